@@ -120,7 +120,7 @@ def skill_masks(rows: DataFrame, key: str) -> DataFrame:
     63-skill word it touches, so any number of skills is supported.
     """
     word = F.floor(F.col("skill_id") / MASK_BITS).cast("int")
-    bit = F.shiftleft(F.lit(1).cast("bigint"), F.pmod(F.col("skill_id"), F.lit(MASK_BITS)).cast("int"))
+    bit = F.expr(f"shiftleft(CAST(1 AS BIGINT), CAST(pmod(skill_id, {MASK_BITS}) AS INT))")
     per_word = (rows.select(key, word.alias("w"), bit.alias("b"))
                 .groupBy(key, "w").agg(F.bit_or("b").alias("b")))
     return (per_word.groupBy(key)

@@ -11,12 +11,14 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..operators import catalogue as C
 from ..operators import eligibility as E
+from ..operators import reports as R
 from ..sources.binding import Domain
 from ..sources.schema import TABLE_NAMES
-from . import sql_catalogue, sql_domain
+from . import sql_catalogue, sql_domain, sql_reports
 from .oracle import with_binding
 
 Builder = Callable[[Domain], DataFrame]
@@ -51,6 +53,47 @@ register("admit_rejected",
          sql_domain.SQL["admit_rejected"])
 
 
+_REPORTS = {
+    "lookup_departments": R.lookup_departments,
+    "lookup_skills": R.lookup_skills,
+    "lookup_recruiters": R.lookup_recruiters,
+    "eligibility_options_jobs": R.eligibility_options_jobs,
+    "students_directory": R.students_directory,
+    "jobs_board": lambda T: R.jobs_board(T).withColumn(
+        "required_skills", F.array_join("required_skills", ", ")),
+    "company_directory": R.company_directory,
+    "admin_stats": R.admin_stats,
+    "home_stats": R.home_stats,
+    "company_stats": R.company_stats,
+    "company_dashboard": R.company_dashboard,
+    "status_summary_by_company": lambda T: R.status_summary(T, True),
+    "status_summary_all": lambda T: R.status_summary(T, False),
+    "recent_jobs": R.recent_jobs,
+    "recent_applications": R.recent_applications,
+    "latest_interview": R.latest_interview,
+    "latest_interview_window": R.latest_interview_window,
+    "applicant_board": R.applicant_board,
+    "offer_per_application": R.offer_per_application,
+    "job_skills_text": R.job_skills_text,
+    "job_profile": R.job_profile,
+    "student_profile": R.student_profile,
+    "student_applications": R.student_applications,
+    "stage_timeline": R.stage_timeline,
+    "application_detail": R.application_detail,
+    "scoped_applications": R.scoped_applications,
+    "interview_owners": R.interview_owners,
+    "offer_owners": R.offer_owners,
+    "status_change_ownership": R.status_change_ownership,
+    "search_applications": R.search_applications,
+    "search_students": R.search_students,
+    "search_jobs": R.search_jobs,
+    "search_companies": R.search_companies,
+    "job_type_facets": R.job_type_facets,
+}
+for _name, _fn in _REPORTS.items():
+    register(_name, _fn, sql_reports.SQL.get(_name))
+
+
 def _bind(builder: Builder) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         return builder(Domain(spark, sf_dir))
