@@ -13,12 +13,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import audit as K
 from ..operators import catalogue as C
 from ..operators import eligibility as E
 from ..operators import reports as R
 from ..sources.binding import Domain
 from ..sources.schema import TABLE_NAMES
-from . import sql_catalogue, sql_domain, sql_reports
+from . import sql_audit, sql_catalogue, sql_domain, sql_reports
 from .oracle import with_binding
 
 Builder = Callable[[Domain], DataFrame]
@@ -93,6 +94,9 @@ _REPORTS = {
 for _name, _fn in _REPORTS.items():
     register(_name, _fn, sql_reports.SQL.get(_name))
 
+for _name, _fn in K.AUDITS.items():
+    register(_name, _fn, sql_audit.SQL[_name])
+
 
 def _bind(builder: Builder) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
