@@ -142,10 +142,123 @@ BINDING = {
         WHERE l.l_returnflag = 'N'""",
 }
 
+FORMS = {
+    "student_form": """
+        SELECT c_custkey AS form_id, CAST(c_custkey + 1000000000 AS VARCHAR) AS student_id,
+               CASE WHEN c_custkey % 97 = 0 THEN '   ' ELSE '  ' || c_name || ' ' END AS name,
+               CASE WHEN c_custkey % 89 = 0 THEN 'no-at-sign.example'
+                    WHEN c_custkey % 50 = 0 THEN upper(lower(c_name) || '@campus.example')
+                    WHEN c_custkey % 31 <= 1
+                         THEN 'twin' || CAST(c_custkey // 31 AS VARCHAR) || '@campus.example'
+                    ELSE ' New.' || c_name || '@Campus.Example ' END AS email,
+               CASE WHEN c_custkey % 3 = 0 THEN '' WHEN c_custkey % 13 = 0 THEN 'call me'
+                    ELSE '+91 ' || lpad(CAST(c_custkey AS VARCHAR), 10, '0') END AS phone,
+               CASE WHEN c_custkey % 17 = 0 THEN '2001-02-30'
+                    ELSE CAST(1995 + c_custkey % 10 AS VARCHAR) || '-' ||
+                         CAST(1 + c_custkey % 12 AS VARCHAR) || '-' ||
+                         CAST(1 + c_custkey % 28 AS VARCHAR) END AS dob,
+               CASE WHEN c_custkey % 101 = 0 THEN 'NaN' WHEN c_custkey % 103 = 0 THEN '-1.50'
+                    ELSE CAST((c_custkey * 37) % 1100 // 100 AS VARCHAR) || '.' ||
+                         lpad(CAST((c_custkey * 37) % 1100 % 100 AS VARCHAR), 2, '0') END AS cgpa,
+               CAST(1890 + (c_custkey * 7) % 320 AS VARCHAR) AS graduation_year,
+               CASE WHEN c_custkey % 19 = 0 THEN '99'
+                    ELSE CAST(c_nationkey AS VARCHAR) END AS department_id
+        FROM customer""",
+    "company_form": """
+        SELECT s_suppkey AS form_id, s_suppkey AS company_id, s_suppkey * 2 + 1 AS user_id,
+               CASE WHEN s_suppkey % 11 = 0
+                    THEN 'Supplier#' || lpad(CAST(s_suppkey + 1 AS VARCHAR), 9, '0')
+                    ELSE ' ' || s_name END AS company_name,
+               CASE WHEN s_suppkey % 7 = 0 THEN ' ' ELSE 'Manufacturing' END AS industry,
+               'NATION_' || CAST(s_nationkey AS VARCHAR) AS location,
+               CASE WHEN s_suppkey % 5 = 0 THEN 'ftp://files.example' WHEN s_suppkey % 5 = 1 THEN ''
+                    ELSE 'https://s' || CAST(s_suppkey AS VARCHAR) || '.example' END AS website,
+               CASE WHEN s_suppkey % 9 = 0
+                         THEN 'hr' || CAST(s_suppkey + 1 AS VARCHAR) || '@company.example'
+                    WHEN s_suppkey % 8 = 0 THEN 'bad email'
+                    ELSE ' HR' || CAST(s_suppkey AS VARCHAR) || '@Company.Example ' END AS email,
+               CASE WHEN s_suppkey % 4 = 0 THEN '12'
+                    ELSE '(080) 555-' || lpad(CAST(s_suppkey AS VARCHAR), 4, '0') END AS phone
+        FROM supplier""",
+    "job_form": """
+        SELECT p.p_partkey AS form_id, p.p_partkey AS job_id, j.company_id,
+               CAST(j.company_id * 10 + (p.p_size % 7 + 1) AS VARCHAR) AS recruiter_id,
+               CASE WHEN p.p_partkey % 23 = 0 THEN '' ELSE p.p_name END AS job_title,
+               p.p_type AS job_type, 'Updated ' || p.p_name AS description,
+               'NATION_' || CAST(p.p_partkey % 25 AS VARCHAR) AS location,
+               CASE WHEN p.p_partkey % 13 = 0 THEN '11.00'
+                    ELSE CAST(p.p_size // 5 AS VARCHAR) || '.50' END AS minimum_cgpa,
+               CASE WHEN p.p_partkey % 17 = 0 THEN '-5' WHEN p.p_partkey % 19 = 0 THEN 'NaN'
+                    ELSE CAST(CAST(floor(p.p_retailprice) AS BIGINT) AS VARCHAR) || '.00' END AS salary,
+               CASE WHEN p.p_partkey % 29 = 0 THEN '2001-13-01'
+                    ELSE '2001-' || CAST(1 + p.p_partkey % 12 AS VARCHAR) || '-15' END AS deadline,
+               CASE WHEN p.p_partkey % 31 = 0 THEN 'Paused' WHEN p.p_size % 5 = 0 THEN 'Closed'
+                    ELSE 'Open' END AS status,
+               CASE WHEN p.p_partkey % 37 = 0
+                         THEN [p.p_partkey % 25 + 1, (p.p_partkey * 7) % 25 + 1, 999]
+                    WHEN p.p_partkey % 2 = 0
+                         THEN [p.p_partkey % 25 + 1, (p.p_partkey * 7) % 25 + 1, p.p_partkey % 25 + 1]
+                    ELSE [p.p_partkey % 25 + 1, (p.p_partkey * 7) % 25 + 1] END AS skills
+        FROM part p JOIN job j ON j.job_id = p.p_partkey""",
+    "certification_form": """
+        SELECT o_orderkey AS form_id, CAST(o_custkey AS VARCHAR) AS student_id,
+               CASE WHEN o_orderkey % 41 = 0 THEN ' ' ELSE o_orderpriority END AS certification_name,
+               'Board ' || o_orderstatus AS issuing_organization,
+               CASE WHEN o_orderkey % 43 = 0 THEN 'someday'
+                    ELSE strftime(CAST(o_orderdate AS DATE), '%Y-%m-%d') END AS issue_date,
+               CASE WHEN o_orderkey % 3 = 0 THEN '' WHEN o_orderkey % 5 = 0 THEN '1990-01-01'
+                    ELSE strftime(CAST(o_orderdate AS DATE) + 365, '%Y-%m-%d') END AS expiry_date
+        FROM orders WHERE o_custkey % 7 = 1""",
+    "interview_form": """
+        SELECT CAST(l.l_orderkey AS VARCHAR) || '-' || CAST(l.l_linenumber AS VARCHAR) || '-' ||
+               CAST(l.l_partkey AS VARCHAR) || '-' || CAST(l.l_suppkey AS VARCHAR) || '-' ||
+               CAST(CAST(l.l_quantity AS INTEGER) AS VARCHAR) AS form_id,
+               CAST(l.l_orderkey AS VARCHAR) AS application_id,
+               CASE WHEN l.l_linenumber = 1 THEN l.l_suppkey ELSE j.company_id END AS company_id,
+               CASE WHEN l.l_linenumber = 7 THEN 'tomorrow'
+                    ELSE strftime(CAST(l.l_shipdate AS DATE), '%Y-%m-%d') END AS interview_date,
+               CAST(8 + CAST(l.l_quantity AS INTEGER) % 12 AS VARCHAR) || ':' ||
+               CASE WHEN l.l_linenumber = 6 THEN '75' ELSE '30' END AS interview_time,
+               CASE WHEN l.l_linenumber = 5 THEN 'Phone' WHEN l.l_linestatus = 'O' THEN 'Online'
+                    ELSE 'In-person' END AS mode,
+               CASE WHEN l.l_linenumber = 3 THEN 'Done' ELSE 'Scheduled' END AS interview_status,
+               CASE WHEN l.l_linenumber = 4 THEN repeat('x', 501) ELSE '' END AS remarks
+        FROM lineitem l
+        LEFT JOIN application a ON a.application_id = l.l_orderkey
+        LEFT JOIN job j ON j.job_id = a.job_id
+        WHERE l.l_returnflag = 'A'""",
+    "offer_form": """
+        SELECT a.application_id AS form_id, CAST(a.application_id AS VARCHAR) AS application_id,
+               j.company_id,
+               strftime(a.application_date + 10, '%Y-%m-%d') AS offer_date,
+               CASE WHEN a.application_id % 43 = 0 THEN repeat('T', 151)
+                    ELSE 'Offer ' || CAST(a.application_id AS VARCHAR) END AS job_title,
+               CASE WHEN a.application_id % 11 = 0 THEN '-1' ELSE '50000.00' END AS salary,
+               CASE WHEN a.application_id % 7 = 0 THEN strftime(a.application_date + 5, '%Y-%m-%d')
+                    ELSE strftime(a.application_date + 40, '%Y-%m-%d') END AS joining_date,
+               CASE WHEN a.application_id % 13 = 0 THEN 'Maybe' ELSE 'Pending' END AS offer_status
+        FROM application a JOIN job j ON j.job_id = a.job_id""",
+    "student_skill_form": """
+        SELECT CAST(l.l_orderkey AS VARCHAR) || '-' || CAST(l.l_linenumber AS VARCHAR) || '-' ||
+               CAST(l.l_partkey AS VARCHAR) || '-' || CAST(l.l_suppkey AS VARCHAR) || '-' ||
+               CAST(CAST(l.l_quantity AS INTEGER) AS VARCHAR) AS form_id,
+               o.o_custkey AS student_id,
+               CAST(CASE WHEN l.l_linenumber = 7 THEN 999
+                         ELSE CAST(regexp_extract(p.p_brand, '([0-9]+)$', 1) AS BIGINT) END
+                    AS VARCHAR) AS skill_id,
+               CASE l.l_linenumber % 4 WHEN 0 THEN 'Expert' WHEN 1 THEN 'Beginner'
+                    WHEN 2 THEN 'Intermediate' ELSE 'Advanced' END AS proficiency,
+               l.l_linenumber % 2 = 0 AS allow_update
+        FROM lineitem l JOIN orders o ON o.o_orderkey = l.l_orderkey
+        JOIN part p ON p.p_partkey = l.l_partkey
+        WHERE l.l_discount < 0.02""",
+}
+BINDING.update(FORMS)
+
 # Definition order: a CTE may only use the ones above it.
 ORDER = ("department", "student", "company", "skill", "recruiter", "job", "job_skill",
          "student_skill", "application", "interview", "offer", "certification",
-         "user_account", "application_request", "status_change")
+         "user_account", "application_request", "status_change", *FORMS)
 
 
 def _uses(text: str, name: str) -> bool:

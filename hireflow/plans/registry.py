@@ -16,11 +16,12 @@ from pyspark.sql import functions as F
 from ..operators import audit as K
 from ..operators import catalogue as C
 from ..operators import eligibility as E
+from ..operators import intake as V
 from ..operators import reports as R
 from ..sources.binding import Domain
 from ..sources.schema import TABLE_NAMES
-from . import sql_audit, sql_catalogue, sql_domain, sql_reports
-from .oracle import with_binding
+from . import sql_audit, sql_catalogue, sql_domain, sql_intake, sql_reports
+from .oracle import FORMS, with_binding
 
 Builder = Callable[[Domain], DataFrame]
 
@@ -35,7 +36,7 @@ def register(name: str, builder: Builder, sql: str | None = None) -> None:
 
 
 # S1 scan_full / S6 schema contract: every bound table, all columns.
-for _t in (*TABLE_NAMES, "application_request", "status_change"):
+for _t in (*TABLE_NAMES, "application_request", "status_change", *FORMS):
     register(f"scan_{_t}", lambda T, _t=_t: T.table(_t), f"SELECT * FROM {_t}")
 
 for _name, _fn in C.CATALOGUE.items():
@@ -98,6 +99,30 @@ for _name, _fn in K.AUDITS.items():
     register(_name, _fn, sql_audit.SQL[_name])
 
 
+def _accepted(name: str) -> Builder:
+    def run(T):
+        acc = V.INTAKES[name](T)[0]
+        if "skill_ids" in acc.columns:  # list order is input order; compare as sorted text
+            acc = (acc.withColumn("skills_text", F.array_join(
+                F.sort_array("skill_ids").cast("array<string>"), ",")).drop("skill_ids"))
+        return acc
+    return run
+
+
+def _quarantined(name: str) -> Builder:
+    def run(T):
+        q = V.INTAKES[name](T)[1]
+        return q.select("form_id", F.array_join("reasons", " | ").alias("reasons_text"))
+    return run
+
+
+for _name in V.INTAKES:
+    register(f"intake_{_name}_accepted", _accepted(_name),
+             sql_intake.SQL[f"intake_{_name}_accepted"])
+    register(f"intake_{_name}_quarantined", _quarantined(_name),
+             sql_intake.SQL[f"intake_{_name}_quarantined"])
+
+
 def _bind(builder: Builder) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         return builder(Domain(spark, sf_dir))

@@ -22,6 +22,7 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import forms as _forms
 from . import schema as S
 
 
@@ -280,3 +281,32 @@ class Domain:
                       status.alias("status"),
                       (F.col("l_shipdate") + F.make_interval(
                           mins=F.col("l_linenumber"))).alias("ts")))
+
+    # form batches (sources/forms.py) ----------------------------------------
+    @cached_property
+    def student_form(self) -> DataFrame:
+        return _forms.student_form(self)
+
+    @cached_property
+    def company_form(self) -> DataFrame:
+        return _forms.company_form(self)
+
+    @cached_property
+    def job_form(self) -> DataFrame:
+        return _forms.job_form(self)
+
+    @cached_property
+    def certification_form(self) -> DataFrame:
+        return _forms.certification_form(self)
+
+    @cached_property
+    def interview_form(self) -> DataFrame:
+        return _forms.interview_form(self)
+
+    @cached_property
+    def offer_form(self) -> DataFrame:
+        return _forms.offer_form(self)
+
+    @cached_property
+    def student_skill_form(self) -> DataFrame:
+        return _forms.student_skill_form(self)
