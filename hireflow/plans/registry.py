@@ -15,12 +15,13 @@ from pyspark.sql import functions as F
 
 from ..operators import audit as K
 from ..operators import catalogue as C
+from ..operators import changesets as CS
 from ..operators import eligibility as E
 from ..operators import intake as V
 from ..operators import reports as R
 from ..sources.binding import Domain
 from ..sources.schema import TABLE_NAMES
-from . import sql_audit, sql_catalogue, sql_domain, sql_intake, sql_reports
+from . import sql_audit, sql_catalogue, sql_changes, sql_domain, sql_intake, sql_reports
 from .oracle import FORMS, with_binding
 
 Builder = Callable[[Domain], DataFrame]
@@ -122,6 +123,31 @@ for _name in V.INTAKES:
     register(f"intake_{_name}_quarantined", _quarantined(_name),
              sql_intake.SQL[f"intake_{_name}_quarantined"])
 
+_CHANGES = {
+    "snapshot_student_after_registration": lambda T: CS.register_students(T)["student"],
+    "snapshot_user_account_after_registration": lambda T: CS.register_students(T)["user_account"],
+    "snapshot_company_after_edit": lambda T: CS.edit_company_profiles(T)["company"],
+    "snapshot_user_account_after_company_edit":
+        lambda T: CS.edit_company_profiles(T)["user_account"],
+    "snapshot_job_after_edit": lambda T: CS.edit_jobs(T)["job"],
+    "snapshot_job_skill_after_edit": lambda T: CS.edit_jobs(T)["job_skill"],
+    "snapshot_application_after_status_changes": CS.change_statuses,
+    "snapshot_interview_after_cancellations": CS.cancel_interviews_of_rejected,
+    "snapshot_offer_after_withdrawals": CS.withdraw_offers_after_status_changes,
+    "snapshot_job_after_closures": CS.close_overdue_jobs,
+    "snapshot_student_skill_after_changes": CS.change_student_skills,
+    "snapshot_certification_after_deletes": CS.delete_certifications,
+    "cascade_students_blocked": lambda T: CS.delete_students(T)[1],
+    "snapshot_student_after_cascade": lambda T: CS.delete_students(T)[0]["student"],
+    "snapshot_student_skill_after_cascade": lambda T: CS.delete_students(T)[0]["student_skill"],
+    "snapshot_user_account_after_cascade": lambda T: CS.delete_students(T)[0]["user_account"],
+    "snapshot_user_account_after_upsert": CS.upsert_accounts,
+    "snapshot_department_after_renumber": lambda T: CS.renumber_departments(T)["department"],
+    "snapshot_student_after_renumber": lambda T: CS.renumber_departments(T)["student"],
+}
+for _name, _fn in _CHANGES.items():
+    register(_name, _fn, sql_changes.SQL[_name])
+
 
 def _bind(builder: Builder) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
