@@ -8,6 +8,7 @@ plain-SQL twin (streaming); those are checked by row count and by the tests.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,7 +20,9 @@ from ..operators import changesets as CS
 from ..operators import eligibility as E
 from ..operators import intake as V
 from ..operators import reports as R
+from ..session import shared_path
 from ..sources.binding import Domain
+from ..streaming import jobs as ST
 from ..sources.schema import TABLE_NAMES
 from . import sql_audit, sql_catalogue, sql_changes, sql_domain, sql_intake, sql_reports
 from .oracle import FORMS, with_binding
@@ -149,6 +152,37 @@ for _name, _fn in _CHANGES.items():
     register(_name, _fn, sql_changes.SQL[_name])
 
 
+def _stream_dir(T, name: str) -> str:
+    return shared_path(T.spark, "streams", f"{name}-{uuid.uuid4().hex}")
+
+
+def _stream_admission(T, which: int) -> DataFrame:
+    """Run the admission stream over the staged request files, to the end."""
+    base = _stream_dir(T, "admission")
+    src = ST.stage(T.application_request, f"{base}/source")
+    ST.stream_admission(T.spark, src, T, f"{base}/out", f"{base}/checkpoint").awaitTermination()
+    out = ST.admitted(T.spark, f"{base}/out")[which]
+    if which == 1:
+        out = out.selectExpr("request_id", "student_id", "job_id",
+                             "array_join(reasons, ' | ') AS reasons_text")
+    return out
+
+
+def _stream_status(T) -> DataFrame:
+    base = _stream_dir(T, "status")
+    src = ST.stage(T.status_change, f"{base}/source")
+    ST.stream_status_latest(T.spark, src, T, f"{base}/out", f"{base}/checkpoint").awaitTermination()
+    return ST.latest_status_snapshot(T.spark, T, f"{base}/out")
+
+
+register("stream_admission_accepted", lambda T: _stream_admission(T, 0),
+         sql_domain.SQL["admit_accepted"])
+register("stream_admission_rejected", lambda T: _stream_admission(T, 1),
+         sql_domain.SQL["admit_rejected"])
+register("stream_status_latest", _stream_status,
+         sql_changes.SQL["snapshot_application_after_status_changes"])
+
+
 def _bind(builder: Builder) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         return builder(Domain(spark, sf_dir))

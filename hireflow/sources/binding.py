@@ -310,3 +310,10 @@ class Domain:
     @cached_property
     def student_skill_form(self) -> DataFrame:
         return _forms.student_skill_form(self)
+
+    # overrides ---------------------------------------------------------------
+    def with_tables(self, **frames: DataFrame) -> "Domain":
+        """A domain whose named tables are replaced (e.g. by a newer snapshot)."""
+        d = Domain(self.spark, self.sf_dir)
+        d.__dict__.update(frames)
+        return d
