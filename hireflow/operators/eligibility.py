@@ -7,13 +7,15 @@ E4 ``eligible_counts``    per open job, students reaching its CGPA minimum
 E5 ``admit_applications`` request batch -> accepted application rows + rejects
 
 Scale notes. Missing skills are found per *distinct* (student, job) pair, so a
-pair requested a million times costs one probe. E3 never forms a product: the
-candidates of a job are the holders of its rarest required skill (anchor),
-joined on a salted key so one popular skill spreads over many tasks, then a
-per-word skill bitmask (sparse map word -> bits, any number of skills) checks
-the remaining skills row-locally. Jobs with no required skill are matched to
-students through an equi-join on CGPA values (range join by expansion over the
-fixed CGPA domain), also salted. E4 uses a CGPA histogram and a suffix sum.
+pair requested a million times costs one probe. E2/E3 never form a product:
+the candidates of a job are the holders of its rarest required skill (anchor),
+joined on a salted key so one popular skill spreads over many tasks. Required
+skills are densely numbered (the catalogue, size-checked) into BIGINT bit
+words carried on both join sides, so the "holds every required skill" test is
+a codegen'd ``(r & h) = r`` filter inside the join stage. Jobs with no
+required skill are matched to students through an equi-join on CGPA values
+(range join by expansion over the fixed CGPA domain). E4 uses a CGPA
+histogram and a suffix sum.
 """
 
 from __future__ import annotations
@@ -113,11 +115,55 @@ def eligibility_requests(T, as_of=DEFAULT_AS_OF) -> DataFrame:
 
 
 # --- skill masks --------------------------------------------------------------
+MAX_MASK_WORDS = 64            # up to 64 x 63 = 4032 distinct required skills as BIGINT words
+NUMBERING_BROADCAST_ROWS = 1_000_000
+
+
+def number_skills(required: DataFrame) -> tuple[DataFrame, int]:
+    """Dense numbers 0..n-1 for the distinct required skill ids, and n.
+
+    The window runs over the distinct required skills only — the skill
+    catalogue, not the data — and ``n`` (one small count) is the size check
+    that decides both the mask width and whether the numbering is broadcast.
+    """
+    ids = required.select("skill_id").distinct()
+    numbered = ids.select("skill_id", (F.row_number().over(Window.orderBy("skill_id")) - 1)
+                          .alias("skill_no"))
+    n = ids.count()
+    if n <= NUMBERING_BROADCAST_ROWS:
+        numbered = F.broadcast(numbered)
+    return numbered, n
+
+
+def word_masks(rows: DataFrame, key: str, numbered: DataFrame, words: int,
+               prefix: str) -> DataFrame:
+    """(key, prefix0..prefix{words-1}): BIGINT bit words of the numbered
+    skills in ``rows`` (skills outside the numbering are not needed)."""
+    r = rows.select(key, "skill_id").join(numbered, "skill_id")
+    bit = F.expr(f"shiftleft(CAST(1 AS BIGINT), CAST(pmod(skill_no, {MASK_BITS}) AS INT))")
+    aggs = []
+    for w in range(words):
+        in_word = F.floor(F.col("skill_no") / MASK_BITS) == w
+        aggs.append(F.bit_or(F.when(in_word, bit).otherwise(F.lit(0).cast("bigint")))
+                    .alias(f"{prefix}{w}"))
+    return r.groupBy(key).agg(*aggs)
+
+
+def covers_words(words: int, held: str = "h", required: str = "r") -> Column:
+    """Every required bit is held: AND over words of (r & h) = r (codegen'd)."""
+    conds = [(F.col(f"{required}{w}").bitwiseAND(F.col(f"{held}{w}")) == F.col(f"{required}{w}"))
+             for w in range(words)]
+    out = conds[0]
+    for c in conds[1:]:
+        out = out & c
+    return out
+
+
 def skill_masks(rows: DataFrame, key: str) -> DataFrame:
     """(key, mask) with mask a map word -> BIGINT bits of the skill ids held.
 
-    Two hash aggregations with map-side combine; a row's map has one entry per
-    63-skill word it touches, so any number of skills is supported.
+    The general form (any number or spread of skill ids, no numbering); used
+    when the numbered form would need more than ``MAX_MASK_WORDS`` words.
     """
     word = F.floor(F.col("skill_id") / MASK_BITS).cast("int")
     bit = F.expr(f"shiftleft(CAST(1 AS BIGINT), CAST(pmod(skill_id, {MASK_BITS}) AS INT))")
@@ -143,6 +189,63 @@ def _salts(n: int) -> Column:
     return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
 
 
+def _anchors(T, req: DataFrame) -> DataFrame:
+    """Per job its rarest required skill (fewest holders; ties: lowest id).
+
+    A skill nobody holds has 0 holders and, as anchor, yields no candidates,
+    which is the right answer for that job.
+    """
+    holders = T.student_skill.groupBy("skill_id").agg(F.count(F.lit(1)).alias("n_holders"))
+    return (req.join(holders, "skill_id", "left")
+               .groupBy("job_id")
+               .agg(F.min(F.struct(F.coalesce("n_holders", F.lit(0)).alias("n"),
+                                   F.col("skill_id"))).alias("a"))
+               .select("job_id", F.col("a.skill_id").alias("skill_id")))
+
+
+def _division(T, jobs: DataFrame, salt: int, with_cgpa: bool) -> DataFrame:
+    """(student_id, job_id) holding all required skills of ``jobs`` (and, if
+    ``with_cgpa``, reaching the job's CGPA minimum; ``jobs`` then carries
+    ``min_cgpa_x100``).
+
+    Candidates come from one salted equi-join on the anchor skill; both sides
+    already carry their masks (and CGPA), so the subset test is a filter in
+    the join's own stage — candidates are never shuffled again.
+    """
+    job_cols = ["job_id"] + (["min_cgpa_x100"] if with_cgpa else [])
+    req = T.job_skill.join(jobs.select("job_id"), "job_id", "left_semi")
+    numbered, n = number_skills(req)
+    words = max(1, -(-n // MASK_BITS))
+    holdings = T.student_skill.select("student_id", "skill_id")
+    stu_extra = []
+    if with_cgpa:
+        stu_extra = ["cgpa_x100"]
+    if words <= MAX_MASK_WORDS:
+        job_masks = word_masks(req, "job_id", numbered, words, "r")
+        held = word_masks(holdings, "student_id", numbered, words, "h")
+        test = covers_words(words)
+        mask_cols_j = [f"r{w}" for w in range(words)]
+        mask_cols_s = [f"h{w}" for w in range(words)]
+    else:
+        job_masks = skill_masks(req, "job_id").withColumnRenamed("mask", "r")
+        held = skill_masks(holdings, "student_id").withColumnRenamed("mask", "h")
+        test = covers(F.col("h"), F.col("r"))
+        mask_cols_j, mask_cols_s = ["r"], ["h"]
+    job_side = (_anchors(T, req).join(job_masks, "job_id").join(jobs.select(*job_cols), "job_id")
+                .select("skill_id", *job_cols, *mask_cols_j, _salts(salt).alias("salt")))
+    stu = held
+    if with_cgpa:
+        stu = stu.join(T.student.select("student_id", "cgpa_x100"), "student_id")
+    stu_side = (holdings.join(stu, "student_id")
+                .select("skill_id", "student_id", *stu_extra, *mask_cols_s,
+                        _salt("student_id", salt).alias("salt")))
+    cond = test
+    if with_cgpa:
+        cond = cond & (F.col("cgpa_x100") >= F.col("min_cgpa_x100"))
+    return (job_side.join(stu_side, ["skill_id", "salt"]).where(cond)
+            .select("student_id", "job_id"))
+
+
 def skill_division(T, jobs: DataFrame | None = None, salt: int = DEFAULT_SALT) -> DataFrame:
     """(student_id, job_id): students holding every required skill of a job.
 
@@ -150,25 +253,7 @@ def skill_division(T, jobs: DataFrame | None = None, salt: int = DEFAULT_SALT) -
     student; those pairs are the CGPA-free case of ``eligible_all``).
     """
     jobs = T.job.select("job_id") if jobs is None else jobs.select("job_id")
-    req = T.job_skill.join(jobs, "job_id", "left_semi")
-    holders = T.student_skill.groupBy("skill_id").agg(F.count(F.lit(1)).alias("n_holders"))
-    # Anchor = the rarest required skill; a skill nobody holds has 0 holders
-    # and, as anchor, yields no candidates, which is the right answer.
-    anchor = (req.join(holders, "skill_id", "left")
-                 .groupBy("job_id")
-                 .agg(F.min(F.struct(F.coalesce("n_holders", F.lit(0)).alias("n"),
-                                     F.col("skill_id"))).alias("a"))
-                 .select("job_id", F.col("a.skill_id").alias("skill_id")))
-    job_side = (anchor.join(skill_masks(req, "job_id").withColumnRenamed("mask", "req_mask"),
-                            "job_id")
-                      .select("job_id", "skill_id", "req_mask", _salts(salt).alias("salt")))
-    stu_side = T.student_skill.select("student_id", "skill_id",
-                                      _salt("student_id", salt).alias("salt"))
-    held = skill_masks(T.student_skill, "student_id").withColumnRenamed("mask", "held_mask")
-    return (job_side.join(stu_side, ["skill_id", "salt"])
-                    .join(held, "student_id")
-                    .where(covers(F.col("held_mask"), F.col("req_mask")))
-                    .select("student_id", "job_id"))
+    return _division(T, jobs, salt, with_cgpa=False)
 
 
 def eligible_all(T, as_of=DEFAULT_AS_OF, salt: int = DEFAULT_SALT) -> DataFrame:
@@ -179,22 +264,17 @@ def eligible_all(T, as_of=DEFAULT_AS_OF, salt: int = DEFAULT_SALT) -> DataFrame:
     """
     jobs = (T.job.where(accepting(F.col("status"), F.col("application_deadline"), as_of))
             .select("job_id", "min_cgpa_x100"))
-    s = T.student.select("student_id", "cgpa_x100")
-    # Jobs with required skills: anchor + mask, then the CGPA rule.
-    with_skills = (skill_division(T, jobs, salt)
-                   .join(jobs, "job_id").join(s, "student_id")
-                   .where(F.col("cgpa_x100") >= F.col("min_cgpa_x100"))
-                   .select("student_id", "job_id"))
-    # Jobs with none: students at or above the minimum, by expanding each
-    # job over the CGPA values it accepts and equi-joining on the value.
+    with_skills = _division(T, jobs, salt, with_cgpa=True)
+    # Jobs with none: students at or above the minimum, by expanding each job
+    # over the CGPA values it accepts (at most 1001) and equi-joining on the
+    # value; a CGPA value shared by very many students is a skewed key that
+    # AQE's skew-join handling splits.
     no_skill = jobs.join(T.job_skill.select("job_id"), "job_id", "left_anti")
     accepted_values = (no_skill.where(F.col("min_cgpa_x100") <= CGPA_MAX_X100)
                        .select("job_id",
                                F.explode(F.sequence(F.greatest("min_cgpa_x100", F.lit(0)),
-                                                    F.lit(CGPA_MAX_X100))).alias("cgpa_x100"))
-                       .select("job_id", "cgpa_x100", _salts(salt).alias("salt")))
-    s_salted = s.select("student_id", "cgpa_x100", _salt("student_id", salt).alias("salt"))
-    skill_free = (accepted_values.join(s_salted, ["cgpa_x100", "salt"])
+                                                    F.lit(CGPA_MAX_X100))).alias("cgpa_x100")))
+    skill_free = (accepted_values.join(T.student.select("student_id", "cgpa_x100"), "cgpa_x100")
                   .select("student_id", "job_id"))
     pairs = with_skills.unionByName(skill_free)
     applied = applied_pairs(T)

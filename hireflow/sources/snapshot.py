@@ -61,7 +61,10 @@ def read_batch(spark: SparkSession, path: str, schema: T.StructType, fmt: str =
               .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT))
     if fmt == "csv":
         reader = reader.option("header", header)
-    df = reader.load(path)
+    # Spark refuses queries that touch only the corrupt-record column of a raw
+    # file; the parsed batch is materialised once (reliable checkpoint in the
+    # shared folder) and both halves are read from it.
+    df = reader.load(path).checkpoint(eager=True)
     good = df.where(F.col(CORRUPT).isNull()).drop(CORRUPT)
     bad = df.where(F.col(CORRUPT).isNotNull())
     return good, bad
