@@ -464,3 +464,27 @@ def search_companies(T, term: str = "america") -> DataFrame:
 def job_type_facets(T) -> DataFrame:
     """Distinct job types for the filter box, sorted."""
     return T.job.select("job_type").distinct().orderBy("job_type")
+
+
+def status_map_entries(T) -> DataFrame:
+    """``status_map`` flattened: one (company, status, total) per domain status."""
+    m = status_map(T)
+    return m.select("company_id", F.explode("summary").alias("status", "n"))
+
+
+# Display formatting of the job cards ------------------------------------------
+def job_cards(T) -> DataFrame:
+    """Card fields of the jobs page: company initial, status class, two-decimal
+    CGPA and salary text."""
+    return (T.job.join(T.company.select("company_id", "company_name"), "company_id")
+            .select("job_id",
+                    F.substring("company_name", 1, 1).alias("company_initial"),
+                    F.lower("status").alias("status_class"),
+                    F.format_string("%.2f", F.col("min_cgpa_x100") / 100).alias("cgpa_text"),
+                    F.format_string("%.2f", F.col("salary")).alias("salary_text")))
+
+
+def application_lookup_sql(T, application_id: int = 2) -> DataFrame:
+    """A point lookup through the SQL API with a named parameter."""
+    return T.read_rows("SELECT * FROM application WHERE application_id = :id",
+                       id=application_id)

@@ -95,6 +95,9 @@ _REPORTS = {
     "search_jobs": R.search_jobs,
     "search_companies": R.search_companies,
     "job_type_facets": R.job_type_facets,
+    "status_map_entries": R.status_map_entries,
+    "job_cards": R.job_cards,
+    "application_lookup_sql": R.application_lookup_sql,
 }
 for _name, _fn in _REPORTS.items():
     register(_name, _fn, sql_reports.SQL.get(_name))

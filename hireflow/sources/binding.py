@@ -317,3 +317,16 @@ class Domain:
         d = Domain(self.spark, self.sf_dir)
         d.__dict__.update(frames)
         return d
+
+    # SQL access (S3) -----------------------------------------------------------
+    def register_views(self, names=None) -> "Domain":
+        """Expose domain tables as temp views so the reference's SQL text runs
+        unchanged through ``spark.sql`` (views are lazy plans, not copies)."""
+        for name in names or (*S.TABLE_NAMES, "application_request", "status_change"):
+            self.table(name).createOrReplaceTempView(name)
+        return self
+
+    def read_rows(self, query: str, **params) -> DataFrame:
+        """Parameterised read (named ``:markers``), the reference's query helper."""
+        self.register_views()
+        return self.spark.sql(query, args=params or None)
