@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from . import changes as M
 from . import intake as V
 from .eligibility import DEFAULT_AS_OF
+from ..sources.snapshot import checkpointed, publish
 
 JOB_EDIT_COLUMNS = ["job_title", "job_type", "description", "location", "min_cgpa_x100",
                     "application_deadline", "salary", "status"]
@@ -105,16 +106,21 @@ def delete_certifications(T) -> DataFrame:
                            ["certification_id", "student_id"])
 
 
-def student_delete_requests(T, department_id: int = 3) -> DataFrame:
-    return T.student.where(F.col("department_id") == department_id).select("student_id")
+def student_delete_requests(students: DataFrame, department_id: int = 3) -> DataFrame:
+    return students.where(F.col("department_id") == department_id).select("student_id")
 
 
 def delete_students(T) -> tuple[dict[str, DataFrame], DataFrame]:
-    """Delete a department's students: RESTRICT children block, skills and
-    accounts cascade (M8)."""
-    tables = {name: T.table(name) for name in
-              ("student", "student_skill", "certification", "application", "user_account")}
-    return M.cascade_delete(tables, "student", student_delete_requests(T))
+    """After this batch's registrations, delete a department's students:
+    RESTRICT children (applications, certifications) block, skills and login
+    accounts cascade (M8). New registrations have no children yet, so they go."""
+    # A two-step workflow: the registration snapshots feed several joins below,
+    # so their lineage is cut once with a reliable checkpoint (shared folder).
+    registered = {k: checkpointed(v) for k, v in register_students(T).items()}
+    tables = {"student": registered["student"], "user_account": registered["user_account"],
+              "student_skill": T.student_skill, "certification": T.certification,
+              "application": T.application}
+    return M.cascade_delete(tables, "student", student_delete_requests(registered["student"]))
 
 
 def upsert_accounts(T) -> DataFrame:
@@ -135,3 +141,24 @@ def renumber_departments(T) -> dict[str, DataFrame]:
                                   (F.col("department_id") + RENUMBER_DEPARTMENTS_BY).alias("new"))
     return M.cascade_key_update({"department": T.department, "student": T.student},
                                 "department", key_map)
+
+
+ROUTES = {
+    "register_students": register_students,
+    "edit_company_profiles": edit_company_profiles,
+    "edit_jobs": edit_jobs,
+    "change_statuses": lambda T: {"application": change_statuses(T)},
+    "cancel_interviews": lambda T: {"interview": cancel_interviews_of_rejected(T)},
+    "withdraw_offers": lambda T: {"offer": withdraw_offers_after_status_changes(T)},
+    "close_overdue_jobs": lambda T: {"job": close_overdue_jobs(T)},
+    "change_student_skills": lambda T: {"student_skill": change_student_skills(T)},
+    "delete_certifications": lambda T: {"certification": delete_certifications(T)},
+    "delete_students": lambda T: delete_students(T)[0],
+    "upsert_accounts": lambda T: {"user_account": upsert_accounts(T)},
+    "renumber_departments": renumber_departments,
+}
+
+
+def run_route(T, route: str, out_dir: str, batch_id: str) -> str:
+    """Compute one route's snapshots and publish them as one committed batch."""
+    return publish(ROUTES[route](T), out_dir, batch_id)

@@ -208,7 +208,7 @@ FORMS = {
                     ELSE strftime(CAST(o_orderdate AS DATE), '%Y-%m-%d') END AS issue_date,
                CASE WHEN o_orderkey % 3 = 0 THEN '' WHEN o_orderkey % 5 = 0 THEN '1990-01-01'
                     ELSE strftime(CAST(o_orderdate AS DATE) + 365, '%Y-%m-%d') END AS expiry_date
-        FROM orders WHERE o_custkey % 7 = 1""",
+        FROM orders""",
     "interview_form": """
         SELECT CAST(l.l_orderkey AS VARCHAR) || '-' || CAST(l.l_linenumber AS VARCHAR) || '-' ||
                CAST(l.l_partkey AS VARCHAR) || '-' || CAST(l.l_suppkey AS VARCHAR) || '-' ||

@@ -48,7 +48,19 @@ _CERT_DELETES = """
     SELECT certification_id, student_id + certification_id % 2 AS student_id
     FROM certification WHERE expiry_date < issue_date"""
 
-_STUDENT_DELETES = "SELECT student_id FROM student WHERE department_id = 3"
+_REG_STUDENT = f"""
+    SELECT * FROM student
+    UNION ALL
+    SELECT * FROM {_acc('students')} s
+    WHERE s.student_id NOT IN (SELECT student_id FROM student)"""
+
+_REG_ACCOUNT = f"""
+    SELECT * FROM user_account
+    UNION ALL
+    SELECT * FROM ({_NEW_STUDENT_ACCOUNTS}) n
+    WHERE n.user_id NOT IN (SELECT user_id FROM user_account)"""
+
+_STUDENT_DELETES = f"SELECT student_id FROM ({_REG_STUDENT}) rs WHERE department_id = 3"
 
 _BLOCKED = f"""
     SELECT DISTINCT student_id, 'certification' AS blocked_by FROM certification
@@ -62,16 +74,8 @@ _GONE = f"""
     WHERE student_id NOT IN (SELECT student_id FROM ({_BLOCKED}) b)"""
 
 SQL = {
-    "snapshot_student_after_registration": f"""
-        SELECT * FROM student
-        UNION ALL
-        SELECT * FROM {_acc('students')} s
-        WHERE s.student_id NOT IN (SELECT student_id FROM student)""",
-    "snapshot_user_account_after_registration": f"""
-        SELECT * FROM user_account
-        UNION ALL
-        SELECT * FROM ({_NEW_STUDENT_ACCOUNTS}) n
-        WHERE n.user_id NOT IN (SELECT user_id FROM user_account)""",
+    "snapshot_student_after_registration": _REG_STUDENT,
+    "snapshot_user_account_after_registration": _REG_ACCOUNT,
     "snapshot_company_after_edit": f"""
         SELECT c.company_id, {_COMPANY_EDIT}
         FROM company c LEFT JOIN {_acc('companies')} a ON a.company_id = c.company_id""",
@@ -132,11 +136,11 @@ SQL = {
                             AND r.student_id = c.student_id)""",
     "cascade_students_blocked": _BLOCKED,
     "snapshot_student_after_cascade": f"""
-        SELECT * FROM student WHERE student_id NOT IN ({_GONE})""",
+        SELECT * FROM ({_REG_STUDENT}) rs WHERE student_id NOT IN ({_GONE})""",
     "snapshot_student_skill_after_cascade": f"""
         SELECT * FROM student_skill WHERE student_id NOT IN ({_GONE})""",
     "snapshot_user_account_after_cascade": f"""
-        SELECT * FROM user_account u
+        SELECT * FROM ({_REG_ACCOUNT}) u
         WHERE u.student_id IS NULL OR u.student_id NOT IN ({_GONE})""",
     "snapshot_user_account_after_upsert": f"""
         WITH batch AS (

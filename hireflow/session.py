@@ -17,13 +17,16 @@ from pyspark.sql import SparkSession
 # has measured the real size of a shuffle stage. This is the size check behind
 # every join whose side is not bounded by the domain itself.
 RUNTIME_BROADCAST_BYTES = 32 * 1024 * 1024
+# Plan-time threshold, judged from file sizes (compressed parquet understates
+# memory size), so it stays at Spark's conservative default.
+PLAN_BROADCAST_BYTES = 10 * 1024 * 1024
 
 DEFAULTS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.autoBroadcastJoinThreshold": str(RUNTIME_BROADCAST_BYTES),
-    "spark.sql.autoBroadcastJoinThreshold": str(RUNTIME_BROADCAST_BYTES),
+    "spark.sql.autoBroadcastJoinThreshold": str(PLAN_BROADCAST_BYTES),
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
