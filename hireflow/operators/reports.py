@@ -303,6 +303,7 @@ def student_profile(T) -> DataFrame:
                     "department_name",
                     F.array_join(F.transform(skills, lambda x: F.concat_ws(
                         ":", x["skill_name"], x["proficiency"])), ", ").alias("skills_text"),
+                    F.size(skills).cast("bigint").alias("n_skills"),
                     _zero("n_applications"),
                     F.col("last_app.application_id").alias("latest_application_id"),
                     _zero("n_certifications"), "latest_certification_date"))

@@ -11,7 +11,9 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 @pytest.fixture(scope="session")
 def spark():
     from hireflow.session import build_session
-    s = build_session("local[4]", app_name="hireflow-tests", shuffle_partitions=8)
+    import tempfile
+    s = build_session("local[4]", app_name="hireflow-tests", shuffle_partitions=8,
+                      extra={"spark.sql.warehouse.dir": tempfile.mkdtemp(prefix="hireflow-wh-")})
     yield s
     s.stop()
 
