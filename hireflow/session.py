@@ -76,12 +76,19 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     read, never replaced. Only when it is unset (local tests) a folder under
     the system temp dir is created and registered.
     """
-    sc = spark.sparkContext
+    try:
+        sc = spark.sparkContext
+    except Exception:  # Spark Connect: no SparkContext on the client
+        path = spark.conf.get("spark.checkpoint.dir", None)
+        if not path:
+            path = tempfile.mkdtemp(prefix="hireflow-ckpt-")
+            spark.conf.set("spark.checkpoint.dir", path)
+        return path
     path = sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir", None)
     if not path:
         path = tempfile.mkdtemp(prefix="hireflow-ckpt-")
-    sc.setCheckpointDir(path)
-    # setCheckpointDir may add a per-application sub folder; keep the base.
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(path)
     return path
 
 
