@@ -162,3 +162,11 @@ def test_replace_set_and_upsert(seed):
           M.upsert_partial(seed.user_account, batch, ["user_id"], "email").collect()}
     assert up[2] == ("asha@new.example", "STUDENT") and up[10] == ("eve@uni.example", "STUDENT")
     assert len(up) == 8
+
+
+def test_division_general_mask_path_agrees(seed, monkeypatch):
+    words = pairs(E.skill_division(seed))
+    monkeypatch.setattr(E, "MAX_MASK_WORDS", 0)  # force the map-of-words form
+    assert pairs(E.skill_division(seed)) == words
+    assert pairs(E.eligible_all(seed, AS_OF)) == [(1, 1), (1, 3), (2, 3), (3, 1), (3, 2),
+                                                  (3, 3), (4, 3)]
