@@ -170,3 +170,16 @@ def test_division_general_mask_path_agrees(seed, monkeypatch):
     assert pairs(E.skill_division(seed)) == words
     assert pairs(E.eligible_all(seed, AS_OF)) == [(1, 1), (1, 3), (2, 3), (3, 1), (3, 2),
                                                   (3, 3), (4, 3)]
+
+
+def test_missing_skills_inline_and_join_forms_agree(seed, monkeypatch):
+    p = seed.spark.createDataFrame([(s, j) for s in (1, 2, 3, 4) for j in (1, 2, 3, 4, 5)],
+                                   "student_id bigint, job_id bigint")
+
+    def run():
+        return sorted((r.student_id, r.job_id, tuple(r.reasons), tuple(r.missing_skills))
+                      for r in E.eligibility_pairs(seed, p, AS_OF).collect())
+    inline = run()
+    monkeypatch.setattr(E, "MAX_MASK_WORDS", 0)
+    assert run() == inline
+    assert (2, 2, (E.REASON_CGPA, E.REASON_MISSING + "Java"), ("Java",)) in inline
