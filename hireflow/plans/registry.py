@@ -13,6 +13,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T_
 
 from ..operators import audit as K
 from ..operators import catalogue as C
@@ -21,6 +22,7 @@ from ..operators import eligibility as E
 from ..operators import intake as V
 from ..operators import reports as R
 from ..session import shared_path
+from ..sources import snapshot as SN
 from ..sources.binding import Domain
 from ..streaming import jobs as ST
 from ..sources.schema import TABLE_NAMES
@@ -178,6 +180,29 @@ def _stream_status(T) -> DataFrame:
     return ST.latest_status_snapshot(T.spark, T, f"{base}/out")
 
 
+SKILL_FORM_SCHEMA = T_.StructType([
+    T_.StructField("form_id", T_.StringType()), T_.StructField("student_id", T_.LongType()),
+    T_.StructField("skill_id", T_.StringType()), T_.StructField("proficiency", T_.StringType()),
+    T_.StructField("allow_update", T_.BooleanType())])
+
+
+def _load_batch(T) -> DataFrame:
+    """The skill form as a CSV batch file, read back typed and PERMISSIVE."""
+    path = _stream_dir(T, "batch") + "/student_skill_form.csv"
+    T.student_skill_form.write.option("header", True).csv(path)
+    good, _bad = SN.read_batch(T.spark, path, SKILL_FORM_SCHEMA)
+    return good
+
+
+def _published(T) -> DataFrame:
+    """Sink: registration batch published, then read back from the committed batch."""
+    target = CS.run_route(T, "register_students", _stream_dir(T, "published"), "registration")
+    return SN.read_published(T.spark, target, "student")
+
+
+register("load_batch_student_skill_form", _load_batch, "SELECT * FROM student_skill_form")
+register("published_student_after_registration", _published,
+         sql_changes.SQL["snapshot_student_after_registration"])
 register("stream_admission_accepted", lambda T: _stream_admission(T, 0),
          sql_domain.SQL["admit_accepted"])
 register("stream_admission_rejected", lambda T: _stream_admission(T, 1),
