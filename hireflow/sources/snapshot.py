@@ -17,6 +17,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import ensure_checkpoint_dir
+
 COMMIT_MARKER = "_COMMITTED"
 CORRUPT = "_corrupt_record"
 
@@ -50,6 +52,7 @@ def read_published(spark: SparkSession, target: str, name: str) -> DataFrame:
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cut a long lineage with a reliable checkpoint in the shared folder
     named by ``spark.checkpoint.dir`` (never a local checkpoint)."""
+    ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
@@ -64,7 +67,7 @@ def read_batch(spark: SparkSession, path: str, schema: T.StructType, fmt: str =
     # Spark refuses queries that touch only the corrupt-record column of a raw
     # file; the parsed batch is materialised once (reliable checkpoint in the
     # shared folder) and both halves are read from it.
-    df = reader.load(path).checkpoint(eager=True)
+    df = checkpointed(reader.load(path))
     good = df.where(F.col(CORRUPT).isNull()).drop(CORRUPT)
     bad = df.where(F.col(CORRUPT).isNotNull())
     return good, bad
