@@ -30,11 +30,16 @@ def _new_student_accounts(students: DataFrame) -> DataFrame:
 
 
 def register_students(T) -> dict[str, DataFrame]:
-    """POST register/student for a batch: V1, then M1 on student and account."""
+    """POST register/student for a batch: V1, then M1 on student, account and
+    the selected skills, published together."""
     accepted, _ = V.intake_students(T)
-    return {"student": M.apply_inserts(T.student, accepted, ["student_id"]),
-            "user_account": M.apply_inserts(T.user_account, _new_student_accounts(accepted),
-                                            ["user_id"])}
+    out = {"student": M.apply_inserts(T.student, accepted, ["student_id"]),
+           "user_account": M.apply_inserts(T.user_account, _new_student_accounts(accepted),
+                                           ["user_id"])}
+    if "skills" in accepted.columns:
+        out["student_skill"] = M.apply_inserts(T.student_skill, V.registered_skills(accepted),
+                                               ["student_id", "skill_id"])
+    return out
 
 
 def edit_company_profiles(T) -> dict[str, DataFrame]:
@@ -118,8 +123,8 @@ def delete_students(T) -> tuple[dict[str, DataFrame], DataFrame]:
     # so their lineage is cut once with a reliable checkpoint (shared folder).
     registered = {k: checkpointed(v) for k, v in register_students(T).items()}
     tables = {"student": registered["student"], "user_account": registered["user_account"],
-              "student_skill": T.student_skill, "certification": T.certification,
-              "application": T.application}
+              "student_skill": registered.get("student_skill", T.student_skill),
+              "certification": T.certification, "application": T.application}
     return M.cascade_delete(tables, "student", student_delete_requests(registered["student"]))
 
 

@@ -33,6 +33,9 @@ R_DOB = "date of birth is invalid"
 R_DEPARTMENT = "department does not exist"
 R_EMAIL_TAKEN = "email is already used"
 R_EMAIL_TWICE = "email appears earlier in the batch"
+R_REG_SKILL = "unknown skill ids"
+R_REG_PROFICIENCY = "proficiency is not allowed"
+R_REG_SKILL_TWICE = "a skill is listed twice"
 R_COMPANY_NAME = "company name is required"
 R_INDUSTRY = "industry is required"
 R_LOCATION = "location is required"
@@ -98,9 +101,13 @@ def _first_in_batch(df: DataFrame, keys, name: str = "first_id") -> DataFrame:
 
 
 def intake_students(T, batch: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """V1: student registrations."""
+    """V1: student registrations, with their selected skills (if the batch
+    has a ``skills`` list of (skill_id, proficiency)). Accepted rows keep the
+    parsed ``skills`` list; ``registered_skills`` turns it into rows."""
     b = T.student_form if batch is None else batch
-    f = b.select("form_id", "student_id", "phone",
+    has_skills = "skills" in b.columns
+    skills = [F.col("skills")] if has_skills else []
+    f = b.select("form_id", "student_id", "phone", *skills,
                  X.strip("name").alias("n"), X.normal_email("email").alias("e"),
                  X.parse_decimal("cgpa", 4, 2).alias("g"),
                  X.parse_int("graduation_year").alias("y"), X.parse_date("dob").alias("d"),
@@ -120,13 +127,33 @@ def intake_students(T, batch: DataFrame | None = None) -> tuple[DataFrame, DataF
         (R_EMAIL_TAKEN, _is("taken")),
         (R_EMAIL_TWICE, F.col("form_id") != F.col("first_id")),
     ]
+    if has_skills:
+        asked = (f.select("form_id", F.explode("skills").alias("s"))
+                 .select("form_id", X.parse_long(F.col("s.skill_id")).alias("skill_id")))
+        unknown = asked.join(T.skill.select("skill_id"), "skill_id", "left_anti")
+        f = f.join(_flag(unknown, ["form_id"], "bad_skill"), "form_id", "left")
+        ids = F.transform("skills", lambda x: X.strip(x["skill_id"]))
+        rules += [
+            (R_REG_SKILL, _is("bad_skill")),
+            (R_REG_PROFICIENCY,
+             F.exists("skills", lambda x: ~x["proficiency"].isin(*PROFICIENCIES))),
+            (R_REG_SKILL_TWICE, F.size(F.array_distinct(ids)) < F.size("skills")),
+        ]
     accepted = [X.parse_long("student_id").alias("student_id"), F.col("n").alias("name"),
                 F.col("e").alias("email"), F.col("d").alias("dob"),
                 (F.col("g") * 100).cast("int").alias("cgpa_x100"),
-                F.col("y").alias("graduation_year"), F.col("dep").alias("department_id")]
+                F.col("y").alias("graduation_year"), F.col("dep").alias("department_id"),
+                *skills]
     return _split(f, rules, accepted)
 
 
+def registered_skills(accepted: DataFrame) -> DataFrame:
+    """student_skill rows of accepted registrations (one per selected skill)."""
+    return (accepted.select("student_id", F.explode("skills").alias("s"))
+            .select("student_id", X.parse_long(F.col("s.skill_id")).alias("skill_id"),
+                    F.col("s.proficiency").alias("proficiency")))
+
+
 def intake_companies(T, batch: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """V2: company profile edits (email and name must not belong to others)."""
     b = T.company_form if batch is None else batch

@@ -162,7 +162,25 @@ FORMS = {
                          lpad(CAST((c_custkey * 37) % 1100 % 100 AS VARCHAR), 2, '0') END AS cgpa,
                CAST(1890 + (c_custkey * 7) % 320 AS VARCHAR) AS graduation_year,
                CASE WHEN c_custkey % 19 = 0 THEN '99'
-                    ELSE CAST(c_nationkey AS VARCHAR) END AS department_id
+                    ELSE CAST(c_nationkey AS VARCHAR) END AS department_id,
+               CASE WHEN c_custkey % 4 = 0
+                         THEN CAST([] AS STRUCT(skill_id VARCHAR, proficiency VARCHAR)[])
+                    WHEN c_custkey % 53 = 0
+                         THEN [{'skill_id': CAST(c_custkey % 25 + 1 AS VARCHAR),
+                                'proficiency': CASE WHEN c_custkey % 59 = 0 THEN 'Guru'
+                                                    WHEN c_custkey % 3 = 0 THEN 'Beginner'
+                                                    WHEN c_custkey % 3 = 1 THEN 'Intermediate'
+                                                    ELSE 'Advanced' END},
+                               {'skill_id': CAST((c_custkey * 3) % 25 + 1 AS VARCHAR),
+                                'proficiency': 'Beginner'},
+                               {'skill_id': '999', 'proficiency': 'Beginner'}]
+                    ELSE [{'skill_id': CAST(c_custkey % 25 + 1 AS VARCHAR),
+                           'proficiency': CASE WHEN c_custkey % 59 = 0 THEN 'Guru'
+                                               WHEN c_custkey % 3 = 0 THEN 'Beginner'
+                                               WHEN c_custkey % 3 = 1 THEN 'Intermediate'
+                                               ELSE 'Advanced' END},
+                          {'skill_id': CAST((c_custkey * 3) % 25 + 1 AS VARCHAR),
+                           'proficiency': 'Beginner'}] END AS skills
         FROM customer""",
     "company_form": """
         SELECT s_suppkey AS form_id, s_suppkey AS company_id, s_suppkey * 2 + 1 AS user_id,

@@ -41,9 +41,28 @@ def register(name: str, builder: Builder, sql: str | None = None) -> None:
         _SQL[name] = sql
 
 
+def flat_lists(df: DataFrame) -> DataFrame:
+    """Registered outputs stay flat: list columns become sorted text."""
+    for name, dtype in df.dtypes:
+        if dtype.startswith("array<struct"):
+            df = df.withColumn(name, F.array_join(F.sort_array(F.transform(
+                name, lambda x: F.concat_ws(":", x["skill_id"], x["proficiency"]))), ","))
+        elif dtype.startswith("array"):
+            df = df.withColumn(name, F.array_join(F.col(name).cast("array<string>"), ","))
+    return df
+
+
+_FLAT_SQL = {
+    "student_form": """SELECT * REPLACE (array_to_string(list_sort(list_transform(skills,
+                          lambda x: x.skill_id || ':' || x.proficiency)), ',') AS skills)
+                       FROM student_form""",
+    "job_form": "SELECT * REPLACE (array_to_string(skills, ',') AS skills) FROM job_form",
+}
+
 # S1 scan_full / S6 schema contract: every bound table, all columns.
 for _t in (*TABLE_NAMES, "application_request", "status_change", *FORMS):
-    register(f"scan_{_t}", lambda T, _t=_t: T.table(_t), f"SELECT * FROM {_t}")
+    register(f"scan_{_t}", lambda T, _t=_t: flat_lists(T.table(_t)),
+             _FLAT_SQL.get(_t, f"SELECT * FROM {_t}"))
 
 for _name, _fn in C.CATALOGUE.items():
     register(_name, _fn, sql_catalogue.SQL.get(_name))
@@ -114,6 +133,8 @@ def _accepted(name: str) -> Builder:
         if "skill_ids" in acc.columns:  # list order is input order; compare as sorted text
             acc = (acc.withColumn("skills_text", F.array_join(
                 F.sort_array("skill_ids").cast("array<string>"), ",")).drop("skill_ids"))
+        if "skills" in acc.columns:
+            acc = flat_lists(acc).withColumnRenamed("skills", "skills_text")
         return acc
     return run
 
@@ -133,6 +154,8 @@ for _name in V.INTAKES:
 
 _CHANGES = {
     "snapshot_student_after_registration": lambda T: CS.register_students(T)["student"],
+    "snapshot_student_skill_after_registration":
+        lambda T: CS.register_students(T)["student_skill"],
     "snapshot_user_account_after_registration": lambda T: CS.register_students(T)["user_account"],
     "snapshot_company_after_edit": lambda T: CS.edit_company_profiles(T)["company"],
     "snapshot_user_account_after_company_edit":

@@ -7,6 +7,7 @@ from __future__ import annotations
 from ..operators import changesets as CS
 from ..operators.eligibility import DEFAULT_AS_OF
 from .sql_intake import SQL as INTAKE
+from .sql_intake import _long
 
 AS_OF = f"DATE '{DEFAULT_AS_OF}'"
 
@@ -15,10 +16,14 @@ def _acc(name: str) -> str:
     return f"({INTAKE[f'intake_{name}_accepted']})"
 
 
+_STUDENT_COLS = "student_id, name, email, dob, cgpa_x100, graduation_year, department_id"
+_ACCEPTED_STUDENTS = f"(SELECT {_STUDENT_COLS} FROM {_acc('students')} x)"
+
+
 _NEW_STUDENT_ACCOUNTS = f"""
     SELECT student_id * 2 AS user_id, email, 'STUDENT' AS role, student_id,
            CAST(NULL AS BIGINT) AS company_id
-    FROM {_acc('students')} s"""
+    FROM {_ACCEPTED_STUDENTS} s"""
 
 _STATUS_AFTER = """
     WITH valid AS (
@@ -51,7 +56,7 @@ _CERT_DELETES = """
 _REG_STUDENT = f"""
     SELECT * FROM student
     UNION ALL
-    SELECT * FROM {_acc('students')} s
+    SELECT * FROM {_ACCEPTED_STUDENTS} s
     WHERE s.student_id NOT IN (SELECT student_id FROM student)"""
 
 _REG_ACCOUNT = f"""
@@ -60,6 +65,17 @@ _REG_ACCOUNT = f"""
     SELECT * FROM ({_NEW_STUDENT_ACCOUNTS}) n
     WHERE n.user_id NOT IN (SELECT user_id FROM user_account)"""
 
+_REG_SKILLS = f"""
+    SELECT * FROM student_skill
+    UNION ALL
+    SELECT n.student_id, n.skill_id, n.proficiency FROM (
+        SELECT a.student_id, {_long('u.x.skill_id')} AS skill_id, u.x.proficiency AS proficiency
+        FROM {_ACCEPTED_STUDENTS} a
+        JOIN student_form f ON {_long('f.student_id')} = a.student_id,
+        unnest(f.skills) AS u(x)) n
+    WHERE NOT EXISTS (SELECT 1 FROM student_skill ss
+                      WHERE ss.student_id = n.student_id AND ss.skill_id = n.skill_id)"""
+
 _STUDENT_DELETES = f"SELECT student_id FROM ({_REG_STUDENT}) rs WHERE department_id = 3"
 
 _BLOCKED = f"""
@@ -75,6 +91,7 @@ _GONE = f"""
 
 SQL = {
     "snapshot_student_after_registration": _REG_STUDENT,
+    "snapshot_student_skill_after_registration": _REG_SKILLS,
     "snapshot_user_account_after_registration": _REG_ACCOUNT,
     "snapshot_company_after_edit": f"""
         SELECT c.company_id, {_COMPANY_EDIT}
@@ -138,7 +155,7 @@ SQL = {
     "snapshot_student_after_cascade": f"""
         SELECT * FROM ({_REG_STUDENT}) rs WHERE student_id NOT IN ({_GONE})""",
     "snapshot_student_skill_after_cascade": f"""
-        SELECT * FROM student_skill WHERE student_id NOT IN ({_GONE})""",
+        SELECT * FROM ({_REG_SKILLS}) rk WHERE student_id NOT IN ({_GONE})""",
     "snapshot_user_account_after_cascade": f"""
         SELECT * FROM ({_REG_ACCOUNT}) u
         WHERE u.student_id IS NULL OR u.student_id NOT IN ({_GONE})""",

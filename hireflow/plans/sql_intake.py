@@ -82,9 +82,18 @@ _students = _split(
      (V.R_DOB, "d IS NULL"),
      (V.R_DEPARTMENT, "NOT EXISTS (SELECT 1 FROM department x WHERE x.department_id = dep)"),
      (V.R_EMAIL_TAKEN, "EXISTS (SELECT 1 FROM user_account u WHERE lower(u.email) = e)"),
-     (V.R_EMAIL_TWICE, "form_id <> first_id")],
+     (V.R_EMAIL_TWICE, "form_id <> first_id"),
+     (V.R_REG_SKILL, f"EXISTS (SELECT 1 FROM (SELECT unnest(f.skills) AS x) u "
+                     f"WHERE NOT EXISTS (SELECT 1 FROM skill k "
+                     f"WHERE k.skill_id = {_long('u.x.skill_id')}))"),
+     (V.R_REG_PROFICIENCY, "EXISTS (SELECT 1 FROM (SELECT unnest(f.skills) AS x) u "
+                           "WHERE u.x.proficiency NOT IN ('Beginner', 'Intermediate', 'Advanced'))"),
+     (V.R_REG_SKILL_TWICE,
+      f"len(list_distinct(list_transform(skills, lambda x: {_strip('x.skill_id')}))) < len(skills)")],
     f"{_long('student_id')} AS student_id, n AS name, e AS email, d AS dob, "
-    "CAST(g * 100 AS INTEGER) AS cgpa_x100, y AS graduation_year, dep AS department_id")
+    "CAST(g * 100 AS INTEGER) AS cgpa_x100, y AS graduation_year, dep AS department_id, "
+    "array_to_string(list_sort(list_transform(skills, lambda x: x.skill_id || ':' || x.proficiency)), ',') "
+    "AS skills_text")
 
 _companies = _split(
     f"""SELECT b.*, {_strip('b.company_name')} AS n, {_strip('b.industry')} AS ind,

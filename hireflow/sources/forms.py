@@ -51,7 +51,20 @@ def student_form(T) -> DataFrame:
          .alias("dob"),
         cgpa.alias("cgpa"),
         _s(1890 + (k * 7) % 320).alias("graduation_year"),
-        F.when(k % 19 == 0, F.lit("99")).otherwise(_s(F.col("c_nationkey"))).alias("department_id"))
+        F.when(k % 19 == 0, F.lit("99")).otherwise(_s(F.col("c_nationkey"))).alias("department_id"),
+        _registration_skills(k).alias("skills"))
+
+
+def _registration_skills(k):
+    """Selected skills of a registration: (skill_id text, proficiency) pairs."""
+    level = (F.when(k % 59 == 0, F.lit("Guru")).when(k % 3 == 0, F.lit("Beginner"))
+              .when(k % 3 == 1, F.lit("Intermediate")).otherwise(F.lit("Advanced")))
+    a = F.struct(_s(k % 25 + 1).alias("skill_id"), level.alias("proficiency"))
+    b = F.struct(_s((k * 3) % 25 + 1).alias("skill_id"), F.lit("Beginner").alias("proficiency"))
+    bad = F.struct(F.lit("999").alias("skill_id"), F.lit("Beginner").alias("proficiency"))
+    return (F.when(k % 4 == 0, F.array().cast("array<struct<skill_id:string,proficiency:string>>"))
+             .when(k % 53 == 0, F.array(a, b, bad))
+             .otherwise(F.array(a, b)))
 
 
 def company_form(T) -> DataFrame:

@@ -65,3 +65,24 @@ def test_student_intake_splits_the_whole_batch(seed):
     assert q[5] == [V.R_YEAR, V.R_DEPARTMENT]
     assert q[6] == [V.R_NAME, V.R_PHONE, V.R_EMAIL_TWICE]
     assert accepted.count() + quarantined.count() == batch.count()
+
+
+def test_registration_skills_rules_and_rows(seed):
+    sk = "array<struct<skill_id:string,proficiency:string>>"
+    rows = [
+        (1, "2001", "Eve", "eve@uni.example", "", "2004-1-2", "8.50", "2026", "1",
+         [("1", "Advanced"), ("2", "Beginner")]),
+        (2, "2002", "Fay", "fay@uni.example", "", "2004-1-2", "8.50", "2026", "1",
+         [("1", "Guru")]),
+        (3, "2003", "Gia", "gia@uni.example", "", "2004-1-2", "8.50", "2026", "1",
+         [("9", "Beginner"), ("3", "Beginner"), ("3", "Advanced")]),
+        (4, "2004", "Hal", "hal@uni.example", "", "2004-1-2", "8.50", "2026", "1", []),
+    ]
+    batch = seed.spark.createDataFrame(
+        rows, "form_id bigint, student_id string, name string, email string, phone string, "
+              f"dob string, cgpa string, graduation_year string, department_id string, skills {sk}")
+    accepted, quarantined = V.intake_students(seed, batch)
+    q = {r.form_id: r.reasons for r in quarantined.collect()}
+    assert q == {2: [V.R_REG_PROFICIENCY], 3: [V.R_REG_SKILL, V.R_REG_SKILL_TWICE]}
+    got = sorted(map(tuple, V.registered_skills(accepted).collect()))
+    assert got == [(2001, 1, "Advanced"), (2001, 2, "Beginner")]
