@@ -228,6 +228,26 @@ def _salts(n: int) -> Column:
     return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
 
 
+def fan_out_partitions(spark) -> int:
+    """Partition count for a join whose output is far larger than its input.
+
+    AQE coalesces shuffle partitions by the bytes read, so a join fed by a
+    few MB of skill masks but emitting every eligible pair would be squeezed
+    into one or two tasks. A ``repartition(n, keys)`` shuffle keeps ``n``
+    (AQE does not coalesce an explicit count); ``n`` is the session's
+    ``spark.sql.shuffle.partitions``, which the cluster sizes for its largest
+    shuffle.
+    """
+    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def fan_out_salt(salt: int, partitions: int, keys: int) -> int:
+    """Salt buckets per join key: at least ``salt``, and enough that the
+    ``keys`` distinct keys can fill ``partitions`` tasks (a key held by a
+    third of all rows still spreads over every task)."""
+    return max(salt, -(-partitions // max(1, keys)))
+
+
 def _anchors(T, req: DataFrame) -> DataFrame:
     """Per job its rarest required skill (fewest holders; ties: lowest id).
 
@@ -255,6 +275,8 @@ def _division(T, jobs: DataFrame, salt: int, with_cgpa: bool) -> DataFrame:
     req = T.job_skill.join(jobs.select("job_id"), "job_id", "left_semi")
     numbered, n = number_skills(req)
     words = max(1, -(-n // MASK_BITS))
+    parts = fan_out_partitions(T.spark)
+    salt = fan_out_salt(salt, parts, n)
     holdings = T.student_skill.select("student_id", "skill_id")
     stu_extra = []
     if with_cgpa:
@@ -281,7 +303,9 @@ def _division(T, jobs: DataFrame, salt: int, with_cgpa: bool) -> DataFrame:
     cond = test
     if with_cgpa:
         cond = cond & (F.col("cgpa_x100") >= F.col("min_cgpa_x100"))
-    return (job_side.join(stu_side, ["skill_id", "salt"]).where(cond)
+    keys = ["skill_id", "salt"]
+    return (job_side.repartition(parts, *keys)
+            .join(stu_side.repartition(parts, *keys), keys).where(cond)
             .select("student_id", "job_id"))
 
 
@@ -306,14 +330,28 @@ def eligible_all(T, as_of=DEFAULT_AS_OF, salt: int = DEFAULT_SALT) -> DataFrame:
     with_skills = _division(T, jobs, salt, with_cgpa=True)
     # Jobs with none: students at or above the minimum, by expanding each job
     # over the CGPA values it accepts (at most 1001) and equi-joining on the
-    # value; a CGPA value shared by very many students is a skewed key that
-    # AQE's skew-join handling splits.
+    # value. A CGPA value shared by very many students is a hot key: it is
+    # split into ceil(students / STUDENTS_PER_SALT) salt buckets (students by
+    # id hash, that value's job rows replicated per bucket), so a value held
+    # by a third of all students spreads over many tasks while rare values
+    # are not replicated at all. The join keeps an explicit partition count,
+    # its output being pairs.
+    parts = fan_out_partitions(T.spark)
     no_skill = jobs.join(T.job_skill.select("job_id"), "job_id", "left_anti")
+    buckets = value_salts(T)
     accepted_values = (no_skill.where(F.col("min_cgpa_x100") <= CGPA_MAX_X100)
                        .select("job_id",
                                F.explode(F.sequence(F.greatest("min_cgpa_x100", F.lit(0)),
-                                                    F.lit(CGPA_MAX_X100))).alias("cgpa_x100")))
-    skill_free = (accepted_values.join(T.student.select("student_id", "cgpa_x100"), "cgpa_x100")
+                                                    F.lit(CGPA_MAX_X100))).alias("cgpa_x100"))
+                       .join(buckets, "cgpa_x100")
+                       .select("job_id", "cgpa_x100",
+                               F.explode(F.sequence(F.lit(0), F.col("n_salt") - 1)).alias("salt")))
+    holders = (T.student.select("student_id", "cgpa_x100").join(buckets, "cgpa_x100")
+               .select("student_id", "cgpa_x100",
+                       F.pmod(F.xxhash64("student_id"), F.col("n_salt")).cast("int").alias("salt")))
+    vkeys = ["cgpa_x100", "salt"]
+    skill_free = (accepted_values.repartition(parts, *vkeys)
+                  .join(holders.repartition(parts, *vkeys), vkeys)
                   .select("student_id", "job_id"))
     pairs = with_skills.unionByName(skill_free)
     applied = applied_pairs(T)
@@ -323,6 +361,23 @@ def eligible_all(T, as_of=DEFAULT_AS_OF, salt: int = DEFAULT_SALT) -> DataFrame:
                          (~already).alias("can_apply")))
 
 
+STUDENTS_PER_SALT = 4096
+
+
+def value_salts(T) -> DataFrame:
+    """(cgpa_x100, n_salt) for the CGPA values of the domain (0..1000).
+
+    A histogram with map-side combine; at most 1001 rows whatever the data
+    size, so it is broadcast. Values outside the domain are accepted by no
+    job and are left out.
+    """
+    hist = (T.student.where(F.col("cgpa_x100").between(0, CGPA_MAX_X100))
+            .groupBy("cgpa_x100").agg(F.count(F.lit(1)).alias("n")))
+    return F.broadcast(hist.select(
+        "cgpa_x100",
+        F.greatest(F.lit(1), F.ceil(F.col("n") / STUDENTS_PER_SALT)).cast("int").alias("n_salt")))
+
+
 def cgpa_at_least_counts(T, jobs: DataFrame) -> DataFrame:
     """``jobs`` + n_at_least = number of students with CGPA >= min_cgpa_x100.
 

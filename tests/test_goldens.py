@@ -183,3 +183,22 @@ def test_missing_skills_inline_and_join_forms_agree(seed, monkeypatch):
     monkeypatch.setattr(E, "MAX_MASK_WORDS", 0)
     assert run() == inline
     assert (2, 2, (E.REASON_CGPA, E.REASON_MISSING + "Java"), ("Java",)) in inline
+
+
+def test_hot_key_salting_is_exact(seed, monkeypatch):
+    """Every CGPA value split into one bucket per student, and many salt
+    buckets per anchor skill: the same pairs as the unsalted plan."""
+    expected = [(1, 1), (1, 3), (2, 3), (3, 1), (3, 2), (3, 3), (4, 3)]
+    monkeypatch.setattr(E, "STUDENTS_PER_SALT", 1)
+    assert pairs(E.eligible_all(seed, AS_OF, salt=7)) == expected
+    assert pairs(E.skill_division(seed, salt=5)) == [(1, 1), (3, 1), (3, 2)]
+
+
+def test_fan_out_joins_keep_an_explicit_partition_count(seed):
+    """The pair-producing joins are fed by repartition(n) shuffles, which AQE
+    does not coalesce, n being spark.sql.shuffle.partitions."""
+    df = E.eligible_all(seed, AS_OF)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    n = E.fan_out_partitions(seed.spark)
+    assert plan.count(f"REPARTITION_BY_NUM") >= 4
+    assert f"hashpartitioning(skill_id" in plan and f", {n}), REPARTITION_BY_NUM" in plan
