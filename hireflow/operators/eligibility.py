@@ -273,7 +273,9 @@ def _division(T, jobs: DataFrame, salt: int, with_cgpa: bool) -> DataFrame:
     """
     job_cols = ["job_id"] + (["min_cgpa_x100"] if with_cgpa else [])
     req = T.job_skill.join(jobs.select("job_id"), "job_id", "left_semi")
-    numbered, n = number_skills(req)
+    # Numbering every skill any job requires (a superset of ``req``'s) is as
+    # exact and its size check does not have to derive ``jobs``.
+    numbered, n = number_skills(T.job_skill)
     words = max(1, -(-n // MASK_BITS))
     parts = fan_out_partitions(T.spark)
     salt = fan_out_salt(salt, parts, n)
