@@ -220,14 +220,6 @@ def covers(held: Column, required: Column) -> Column:
                    .bitwiseAND(e["value"]) == e["value"]))
 
 
-def _salt(col: str, n: int) -> Column:
-    return F.pmod(F.xxhash64(col), F.lit(n)).cast("int")
-
-
-def _salts(n: int) -> Column:
-    return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-
-
 def fan_out_partitions(spark) -> int:
     """Partition count for a join whose output is far larger than its input.
 
@@ -248,18 +240,34 @@ def fan_out_salt(salt: int, partitions: int, keys: int) -> int:
     return max(salt, -(-partitions // max(1, keys)))
 
 
-def _anchors(T, req: DataFrame) -> DataFrame:
-    """Per job its rarest required skill (fewest holders; ties: lowest id).
+def _skill_salts(T, n: int, base_salt: int) -> DataFrame:
+    """(skill_id, n_holders, n_salt) for every skill some job requires.
+
+    ``n_salt`` = max(base_salt, ceil(holders / STUDENTS_PER_SALT)): a skill
+    held by a third of all students is split into proportionally many salt
+    buckets instead of a fixed few. One row per required skill — ``n`` rows,
+    counted before — so it is broadcast under the numbering's size bound.
+    """
+    holders = T.student_skill.groupBy("skill_id").agg(F.count(F.lit(1)).alias("n_holders"))
+    held = F.coalesce(F.col("n_holders"), F.lit(0).cast("bigint"))
+    s = (T.job_skill.select("skill_id").distinct().join(holders, "skill_id", "left")
+         .select("skill_id", held.alias("n_holders"),
+                 F.greatest(F.lit(base_salt), F.ceil(held / STUDENTS_PER_SALT))
+                  .cast("int").alias("n_salt")))
+    return F.broadcast(s) if n <= NUMBERING_BROADCAST_ROWS else s
+
+
+def _anchors(req: DataFrame, skill_salts: DataFrame) -> DataFrame:
+    """Per job its rarest required skill (fewest holders; ties: lowest id),
+    with that skill's salt count.
 
     A skill nobody holds has 0 holders and, as anchor, yields no candidates,
     which is the right answer for that job.
     """
-    holders = T.student_skill.groupBy("skill_id").agg(F.count(F.lit(1)).alias("n_holders"))
-    return (req.join(holders, "skill_id", "left")
+    return (req.join(skill_salts, "skill_id")
                .groupBy("job_id")
-               .agg(F.min(F.struct(F.coalesce("n_holders", F.lit(0)).alias("n"),
-                                   F.col("skill_id"))).alias("a"))
-               .select("job_id", F.col("a.skill_id").alias("skill_id")))
+               .agg(F.min(F.struct("n_holders", "skill_id", "n_salt")).alias("a"))
+               .select("job_id", F.col("a.skill_id").alias("skill_id"), F.col("a.n_salt").alias("n_salt")))
 
 
 def _division(T, jobs: DataFrame, salt: int, with_cgpa: bool) -> DataFrame:
@@ -294,14 +302,21 @@ def _division(T, jobs: DataFrame, salt: int, with_cgpa: bool) -> DataFrame:
         held = skill_masks(holdings, "student_id").withColumnRenamed("mask", "h")
         test = covers(F.col("h"), F.col("r"))
         mask_cols_j, mask_cols_s = ["r"], ["h"]
-    job_side = (_anchors(T, req).join(job_masks, "job_id").join(jobs.select(*job_cols), "job_id")
-                .select("skill_id", *job_cols, *mask_cols_j, _salts(salt).alias("salt")))
+    skill_salts = _skill_salts(T, n, salt)
+    job_side = (_anchors(req, skill_salts).join(job_masks, "job_id")
+                .join(jobs.select(*job_cols), "job_id")
+                .select("skill_id", *job_cols, *mask_cols_j,
+                        F.explode(F.sequence(F.lit(0), F.col("n_salt") - 1)).alias("salt")))
     stu = held
     if with_cgpa:
         stu = stu.join(T.student.select("student_id", "cgpa_x100"), "student_id")
-    stu_side = (holdings.join(stu, "student_id")
+    # Holdings of skills no job requires never meet an anchor: the broadcast
+    # salt table drops them before the student-keyed shuffle.
+    stu_side = (holdings.join(skill_salts.select("skill_id", "n_salt"), "skill_id")
+                .join(stu, "student_id")
                 .select("skill_id", "student_id", *stu_extra, *mask_cols_s,
-                        _salt("student_id", salt).alias("salt")))
+                        F.pmod(F.xxhash64("student_id"), F.col("n_salt")).cast("int")
+                         .alias("salt")))
     cond = test
     if with_cgpa:
         cond = cond & (F.col("cgpa_x100") >= F.col("min_cgpa_x100"))
