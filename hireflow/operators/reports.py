@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.schema import APPLICATION_STATUSES
+from .eligibility import fan_out_partitions
 
 # Fixed values of the reference application (page labels).
 STAGE_REACHED = "Status reached"
@@ -367,8 +368,11 @@ def scoped_applications(T, salt: int = DEFAULT_SALT) -> DataFrame:
     Students see their own, companies their jobs', admins all (E8). Each
     application is keyed by its three scopes and joined to the accounts on
     (scope kind, scope id); the admin scope matches every row, so that key
-    is salted (applications spread by hash, admin accounts repeated per salt).
+    is salted (applications spread by hash, admin accounts repeated per salt)
+    over at least ``spark.sql.shuffle.partitions`` buckets, so the third of
+    all keyed rows that carry it spreads over every task of the join.
     """
+    salt = max(salt, fan_out_partitions(T.spark))
     a = (T.application.select("application_id", "student_id", "job_id")
          .join(T.student.select("student_id"), "student_id", "left_semi")
          .join(T.job.select("job_id", "company_id"), "job_id")
