@@ -202,3 +202,11 @@ def test_fan_out_joins_keep_an_explicit_partition_count(seed):
     n = E.fan_out_partitions(seed.spark)
     assert plan.count(f"REPARTITION_BY_NUM") >= 4
     assert f"hashpartitioning(skill_id" in plan and f", {n}), REPARTITION_BY_NUM" in plan
+
+
+def test_window_form_limits_groups_before_the_shuffle(seed):
+    """row_number() = 1 per application keeps one row per map partition
+    before the exchange (partial WindowGroupLimit), so a hot application does
+    not ship all its interviews to one task."""
+    plan = R.latest_interview_window(seed)._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in plan and "Partial" in plan
