@@ -226,11 +226,21 @@ def fan_out_partitions(spark) -> int:
     AQE coalesces shuffle partitions by the bytes read, so a join fed by a
     few MB of skill masks but emitting every eligible pair would be squeezed
     into one or two tasks. A ``repartition(n, keys)`` shuffle keeps ``n``
-    (AQE does not coalesce an explicit count); ``n`` is the session's
-    ``spark.sql.shuffle.partitions``, which the cluster sizes for its largest
-    shuffle.
+    (AQE does not coalesce an explicit count); ``n`` is the largest of the
+    session's ``spark.sql.shuffle.partitions`` (sized for the largest
+    shuffle), AQE's initial partition number if set, and the cluster's
+    default parallelism (all executor cores), so the pair-producing stage is
+    never narrower than the cluster.
     """
-    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    initial = spark.conf.get("spark.sql.adaptive.coalescePartitions.initialPartitionNum", None)
+    if initial:
+        n = max(n, int(initial))
+    try:
+        n = max(n, spark.sparkContext.defaultParallelism)
+    except Exception:  # Spark Connect: no SparkContext on the client
+        pass
+    return max(1, n)
 
 
 def fan_out_salt(salt: int, partitions: int, keys: int) -> int:
