@@ -97,9 +97,11 @@ class Domain:
     @cached_property
     def recruiter(self) -> DataFrame:
         rid = F.col("l_suppkey") * 10 + F.col("l_linenumber")
+        # The company is fixed by the id (line numbers are below 10): grouping
+        # by the id alone gives the distinct rows, partitioned by the join key.
         return (self.raw("lineitem").where(F.col("l_quantity") == 50)
-                .select(rid.alias("recruiter_id"), F.col("l_suppkey").alias("company_id"))
-                .distinct()
+                .groupBy(rid.alias("recruiter_id"))
+                .agg(F.min("l_suppkey").alias("company_id"))
                 .withColumn("recruiter_name",
                             F.concat(F.lit("Recruiter "), F.col("recruiter_id").cast("string"))))
 
@@ -197,9 +199,12 @@ class Domain:
         a = self.application.where(F.col("status") == "Selected")
         li = (self.raw("lineitem").where(F.col("l_returnflag") == "A")
               .select("l_orderkey", "l_extendedprice"))
+        # Grouped by the id alone (the date is fixed by it), so the result is
+        # already hash-partitioned by application_id for the joins that use it.
         g = (a.join(li, li.l_orderkey == a.application_id)
-              .groupBy("application_id", "application_date")
-              .agg(F.min("l_extendedprice").alias("salary")))
+              .groupBy("application_id")
+              .agg(F.min("application_date").alias("application_date"),
+                   F.min("l_extendedprice").alias("salary")))
         return g.select(
             F.col("application_id").alias("offer_id"),
             "application_id",
