@@ -95,6 +95,21 @@ def _is(col: str):
     return F.coalesce(F.col(col), F.lit(False))
 
 
+def _owned_by_other(f: DataFrame, base: DataFrame, key: str, owner: str, name: str) -> DataFrame:
+    """``f`` + flag ``name``: some base row with ``f``'s key has an owner
+    other than ``f``'s own ``owner`` value (F8, "taken by someone else").
+
+    The base is reduced to (key, lowest owner, highest owner) first, so the
+    lookup is N:1 however many rows share a key (no pairs within a key): some
+    owner differs from the own id exactly when the lowest or the highest
+    does. NULL owners and a NULL own id never count, as in SQL.
+    """
+    owners = base.groupBy(key).agg(F.min(owner).alias("_lo"), F.max(owner).alias("_hi"))
+    own = F.col(owner)
+    other = F.coalesce((F.col("_lo") != own) | (F.col("_hi") != own), F.lit(False))
+    return f.join(owners, key, "left").withColumn(name, other).drop("_lo", "_hi")
+
+
 def _first_in_batch(df: DataFrame, keys, name: str = "first_id") -> DataFrame:
     """min(form_id) per key: the row that keeps the key inside the batch."""
     return df.groupBy(*keys).agg(F.min("form_id").alias(name))
@@ -160,18 +175,12 @@ def intake_companies(T, batch: DataFrame | None = None) -> tuple[DataFrame, Data
     f = b.select("form_id", "company_id", "user_id", "website", "phone",
                  X.strip("company_name").alias("n"), X.strip("industry").alias("ind"),
                  X.strip("location").alias("loc"), X.normal_email("email").alias("e"))
-    acc = T.user_account.select(F.lower("email").alias("e"), F.col("user_id").alias("other_user"))
-    other_account = (f.select("form_id", "e", "user_id").join(acc, "e")
-                     .where(F.col("other_user") != F.col("user_id")))
-    comp_e = T.company.select(F.col("email").alias("e"), F.col("company_id").alias("other"))
-    other_email = (f.select("form_id", "e", "company_id").join(comp_e, "e")
-                   .where(F.col("other") != F.col("company_id")))
-    comp_n = T.company.select(F.col("company_name").alias("n"), F.col("company_id").alias("other"))
-    other_name = (f.select("form_id", "n", "company_id").join(comp_n, "n")
-                  .where(F.col("other") != F.col("company_id")))
-    f = (f.join(_flag(other_account, ["form_id"], "acc_taken"), "form_id", "left")
-          .join(_flag(other_email, ["form_id"], "email_taken"), "form_id", "left")
-          .join(_flag(other_name, ["form_id"], "name_taken"), "form_id", "left"))
+    acc = T.user_account.select(F.lower("email").alias("e"), "user_id")
+    f = _owned_by_other(f, acc, "e", "user_id", "acc_taken")
+    f = _owned_by_other(f, T.company.select(F.col("email").alias("e"), "company_id"),
+                        "e", "company_id", "email_taken")
+    f = _owned_by_other(f, T.company.select(F.col("company_name").alias("n"), "company_id"),
+                        "n", "company_id", "name_taken")
     rules = [
         (R_COMPANY_NAME, F.col("n") == ""),
         (R_INDUSTRY, F.col("ind") == ""),

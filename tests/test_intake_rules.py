@@ -86,3 +86,25 @@ def test_registration_skills_rules_and_rows(seed):
     assert q == {2: [V.R_REG_PROFICIENCY], 3: [V.R_REG_SKILL, V.R_REG_SKILL_TWICE]}
     got = sorted(map(tuple, V.registered_skills(accepted).collect()))
     assert got == [(2001, 1, "Advanced"), (2001, 2, "Beginner")]
+
+
+def test_company_taken_by_another_is_a_keyed_lookup(spark, seed):
+    """One email held by many companies (dirty base): a form is refused when
+    some *other* company holds it, accepted when only itself does; a NULL own
+    id never counts as another owner (SQL semantics)."""
+    from hireflow.sources.schema import TABLES
+    base = spark.createDataFrame(
+        [(i, f"Co{i}", "IT", "Pune", None, "dup@x.example") for i in (1, 2, 3)]
+        + [(7, "Solo", "IT", "Pune", None, "solo@x.example")], TABLES["company"].schema)
+    T = seed.with_tables(company=base)
+    forms = spark.createDataFrame(
+        [(1, 1, 101, "Co1", "IT", "Pune", "", "dup@x.example", ""),
+         (2, 7, 107, "Solo", "IT", "Pune", "", "solo@x.example", ""),
+         (3, None, 108, "New", "IT", "Pune", "", "dup@x.example", "")],
+        "form_id long, company_id long, user_id long, company_name string, industry string, "
+        "location string, website string, email string, phone string")
+    accepted, quarantined = V.intake_companies(T, forms)
+    reasons = {r.form_id: r.reasons for r in quarantined.collect()}
+    assert V.R_EMAIL_OTHER_COMPANY in reasons[1]
+    assert 2 not in reasons and 3 not in reasons
+    assert sorted(r.company_id for r in accepted.collect() if r.company_id is not None) == [7]
