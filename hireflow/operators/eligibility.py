@@ -76,24 +76,21 @@ def eligibility_pairs(T, pairs: DataFrame, as_of=DEFAULT_AS_OF) -> DataFrame:
     """Decide every row of ``pairs`` (student_id, job_id, any extra columns).
 
     Unknown student or job -> no row, as the reference returns nothing there.
-    The student side carries its held-skill bit words and the job side its
+    The student side carries its held skills as bit words keyed by word
+    number (a map with at most one entry per held skill) and the job side its
     required skills (sorted by name, each with its word and bit), so after the
     two lookup joins the missing skills are a row-local filter: no per-skill
-    join of the pairs, no regrouping. Beyond ``MAX_MASK_WORDS`` words of
-    required skills the anti-join form (``missing_skills``) is used instead.
+    join of the pairs, no regrouping, and no driver-side sizing (words are
+    taken from the skill ids themselves). ``missing_skills`` is the same rule
+    as an anti join, kept as a cross-check.
     """
     s = T.student.select("student_id", "cgpa_x100")
     j = T.job.select("job_id", "min_cgpa_x100", "status", "application_deadline")
-    numbered, n = number_skills(T.job_skill)
-    words = max(1, -(-n // MASK_BITS))
-    if words <= MAX_MASK_WORDS:
-        s = s.join(held_words(T, numbered, words), "student_id", "left")
-        j = j.join(required_lists(T, numbered), "job_id", "left")
-        base = pairs.join(s, "student_id").join(j, "job_id")
-        d = base.withColumn("missing_skills", missing_from_lists(F.col("req"), F.col("held")))
-    else:
-        base = pairs.join(s, "student_id").join(j, "job_id")
-        d = base.join(missing_skills(T, base), ["student_id", "job_id"], "left")
+    held = skill_masks(T.student_skill.select("student_id", "skill_id"), "student_id")
+    s = s.join(held.withColumnRenamed("mask", "held"), "student_id", "left")
+    j = j.join(required_by_word(T), "job_id", "left")
+    base = pairs.join(s, "student_id").join(j, "job_id")
+    d = base.withColumn("missing_skills", missing_from_lists(F.col("req"), F.col("held")))
     d = d.join(applied_pairs(T), ["student_id", "job_id"], "left")
     missing = F.coalesce(F.col("missing_skills"), F.array().cast("array<string>"))
     reasons = F.array_compact(F.array(
@@ -161,27 +158,22 @@ def word_masks(rows: DataFrame, key: str, numbered: DataFrame, words: int,
     return r.groupBy(key).agg(*aggs)
 
 
-def held_words(T, numbered: DataFrame, words: int) -> DataFrame:
-    """student_id -> array of BIGINT words of the numbered skills held."""
-    h = word_masks(T.student_skill, "student_id", numbered, words, "h")
-    return h.select("student_id", F.array(*[F.col(f"h{w}") for w in range(words)]).alias("held"))
-
-
-def required_lists(T, numbered: DataFrame) -> DataFrame:
-    """job_id -> required skills sorted by name, each with its mask word
-    (1-based) and bit; bounded by the skill catalogue per job. Required
-    skills missing from the skill table are ignored, as the reference's
-    inner join with SKILL does."""
-    word = (F.floor(F.col("skill_no") / MASK_BITS) + 1).cast("int")
-    bit = F.expr(f"shiftleft(CAST(1 AS BIGINT), CAST(pmod(skill_no, {MASK_BITS}) AS INT))")
-    return (T.job_skill.join(T.skill, "skill_id").join(numbered, "skill_id")
+def required_by_word(T) -> DataFrame:
+    """job_id -> required skills sorted by name, each with the mask word and
+    bit of its skill id; bounded by the skill catalogue per job. Required
+    skills missing from the skill table are ignored, as the reference's inner
+    join with SKILL does."""
+    word = F.floor(F.col("skill_id") / MASK_BITS).cast("int")
+    bit = F.expr(f"shiftleft(CAST(1 AS BIGINT), CAST(pmod(skill_id, {MASK_BITS}) AS INT))")
+    return (T.job_skill.join(T.skill, "skill_id")
             .groupBy("job_id")
             .agg(F.sort_array(F.collect_list(
                 F.struct("skill_name", word.alias("word"), bit.alias("bit")))).alias("req")))
 
 
 def missing_from_lists(req: Column, held: Column) -> Column:
-    """Names of required skills whose bit is not held, in name order."""
+    """Names of required skills whose bit is not held, in name order
+    (``held``: map word -> bits; a missing word holds no bits)."""
     missing = F.filter(req, lambda x: F.coalesce(F.element_at(held, x["word"]),
                                                  F.lit(0).cast("bigint"))
                        .bitwiseAND(x["bit"]) == 0)
@@ -201,8 +193,9 @@ def covers_words(words: int, held: str = "h", required: str = "r") -> Column:
 def skill_masks(rows: DataFrame, key: str) -> DataFrame:
     """(key, mask) with mask a map word -> BIGINT bits of the skill ids held.
 
-    The general form (any number or spread of skill ids, no numbering); used
-    when the numbered form would need more than ``MAX_MASK_WORDS`` words.
+    The general form (any number or spread of skill ids, no numbering): the
+    held skills of E1, and the E2/E3 masks when the numbered form would need
+    more than ``MAX_MASK_WORDS`` words.
     """
     word = F.floor(F.col("skill_id") / MASK_BITS).cast("int")
     bit = F.expr(f"shiftleft(CAST(1 AS BIGINT), CAST(pmod(skill_id, {MASK_BITS}) AS INT))")
