@@ -1,9 +1,11 @@
-"""Property tests: the planned all-pairs operators equal a brute-force check.
+"""Property tests: the planned eligibility operators equal a brute-force check.
 
 Random small domains (skills held by most students, repeated CGPA values,
 jobs without skills, closed and overdue jobs) go through ``eligible_all``
 and ``skill_division`` with salting forced to many buckets and with both
-mask forms, and are compared with a direct evaluation of the rules.
+mask forms, and through ``eligibility_pairs`` (reasons in order, missing
+skills by name, flags, decision), and are compared with a direct evaluation
+of the rules.
 """
 
 from __future__ import annotations
@@ -94,3 +96,43 @@ def test_all_pairs_equal_brute_force(seed, domain, per_salt, map_form):
     assert len(rows) == len(got)          # no pair twice
     assert got == eligible
     assert all(r.can_apply == (not r.already_applied) for r in rows)
+
+
+def brute_force_decisions(students, held, jobs, required, applied):
+    names = dict(SKILLS)
+    holds, needs = {}, {}
+    for s, k in held:
+        holds.setdefault(s, set()).add(k)
+    for j, k in required:
+        needs.setdefault(j, set()).add(k)
+    as_of = dt.date.fromisoformat(AS_OF)
+    out = {}
+    for j, *_, min_cgpa, deadline, _salary, status in jobs:
+        for s, *_, cgpa, _year, _dept in students:
+            missing = sorted(names[k] for k in needs.get(j, set()) - holds.get(s, set()))
+            reasons = []
+            if cgpa < min_cgpa:
+                reasons.append(E.REASON_CGPA)
+            if missing:
+                reasons.append(E.REASON_MISSING + ", ".join(missing))
+            if not (status == "Open" and deadline >= as_of):
+                reasons.append(E.REASON_CLOSED)
+            eligible, already = not reasons, (s, j) in set(applied)
+            decision = (E.DECISION_ALREADY if eligible and already
+                        else E.DECISION_ELIGIBLE if eligible else E.DECISION_NOT_ELIGIBLE)
+            out[(s, j)] = (tuple(reasons), tuple(missing), eligible, already,
+                           eligible and not already, decision)
+    return out
+
+
+@settings(max_examples=5, deadline=None, suppress_health_check=[HealthCheck.too_slow])
+@given(domains())
+def test_decisions_equal_brute_force(seed, domain):
+    students, _held, jobs, _required, _applied = domain
+    T = domain_of(seed, *domain)
+    asked = [(s[0], j[0]) for s in students for j in jobs] + [(999, jobs[0][0]), (students[0][0], 999)]
+    pairs = seed.spark.createDataFrame(asked, "student_id bigint, job_id bigint")
+    got = {(r.student_id, r.job_id): (tuple(r.reasons), tuple(r.missing_skills), r.eligible,
+                                      r.already_applied, r.can_apply, r.decision)
+           for r in E.eligibility_pairs(T, pairs, AS_OF).collect()}
+    assert got == brute_force_decisions(*domain)   # unknown student / job: no row
