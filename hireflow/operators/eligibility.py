@@ -6,16 +6,19 @@ E3 ``eligible_all``       every eligible pair of every open, in-date job
 E4 ``eligible_counts``    per open job, students reaching its CGPA minimum
 E5 ``admit_applications`` request batch -> accepted application rows + rejects
 
-Scale notes. Missing skills are found per *distinct* (student, job) pair, so a
-pair requested a million times costs one probe. E2/E3 never form a product:
-the candidates of a job are the holders of its rarest required skill (anchor),
-joined on a salted key so one popular skill spreads over many tasks. Required
-skills are densely numbered (the catalogue, size-checked) into BIGINT bit
-words carried on both join sides, so the "holds every required skill" test is
-a codegen'd ``(r & h) = r`` filter inside the join stage. Jobs with no
-required skill are matched to students through an equi-join on CGPA values
-(range join by expansion over the fixed CGPA domain). E4 uses a CGPA
-histogram and a suffix sum.
+Scale notes. E1 looks up the student (held skills as bit words keyed by word
+number) and the job (required skills with word and bit) once per pair, so
+the missing skills are a row-local filter: no per-skill join of the pairs.
+E2/E3 never form a product: the candidates of a job are the holders of its
+rarest required skill (anchor), joined on a key salted per skill from its
+holder count, so one popular skill spreads over many tasks. Required skills
+are densely numbered (size-checked) into BIGINT bit words carried on both
+join sides, so the "holds every required skill" test is a codegen'd
+``(r & h) = r`` filter inside the join stage, and the join keeps an explicit
+partition count because its output dwarfs its input. Jobs with no required
+skill are matched to students through an equi-join on CGPA values (range
+join by expansion over the fixed CGPA domain), salted per value from the
+CGPA histogram. E4 uses that histogram and a suffix sum.
 """
 
 from __future__ import annotations
