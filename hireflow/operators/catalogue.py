@@ -256,8 +256,9 @@ def q39_students_with_top_cgpa(T) -> DataFrame:
 
 # Section 7: eligibility --------------------------------------------------------
 def q40_cgpa_check_pair(T, student_id: int = PAIR_STUDENT, job_id: int = PAIR_JOB) -> DataFrame:
-    # The pinned pair is a one-row frame keyed by both ids; two equi-joins
-    # attach the student and the job (no product).
+    # Both sides are pinned by primary key (the filters reach the scans), so
+    # each is one row; Catalyst folds the constant job key and plans a
+    # nested-loop join of those two rows, never a product over the tables.
     pair = (T.student.where(F.col("student_id") == student_id)
             .select("student_id", "name", "cgpa_x100", F.lit(job_id).cast("bigint").alias("job_id")))
     j = T.job.where(F.col("job_id") == job_id).select("job_id", "job_title", "min_cgpa_x100")
