@@ -36,3 +36,18 @@ def test_entry_runs(spark):
 def test_matches_oracle(spark, con, name):
     res = compare(QUERIES[name](spark, SF_DIR), ORACLE[name], con)
     assert res["ok"], res
+
+
+JOIN_HEAVY = ["q63_workflow_report", "q49_tracking_report", "q42_cgpa_report_open_jobs",
+              "q41_students_with_all_skills", "skill_division", "eligible_all",
+              "eligible_counts", "eligibility_requests", "admit_accepted", "applicant_board",
+              "scoped_applications", "company_directory", "student_profile", "audit_fk",
+              "intake_companies_quarantined"]
+
+
+@pytest.mark.parametrize("name", JOIN_HEAVY)
+def test_no_product_in_join_plans(spark, name):
+    """Joins are equi-joins (or broadcast-checked lookups), never a Cartesian
+    product or a nested-loop join over the data."""
+    plan = QUERIES[name](spark, SF_DIR)._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
