@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from .common import table
 from .decontaminate import decontaminate
 from .exact_dedup import exact_dedup
+from .language_id import language_id
 from .mixing import mix
 from .ngram_join import ngram_join
 from .substring_dedup import substring_dedup
@@ -35,6 +36,10 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "size", "source_size", "target", "taken")
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id(table(spark, sf_dir, "documents")).drop("row")
+
+
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter(table(spark, sf_dir, "pages"), rules_frame(spark))
 
@@ -51,6 +56,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op3_substring_dedup": op3_substring_dedup,
     "op4_mixing": op4_mixing,
+    "op5_language_id": op5_language_id,
     "op7_url_filter": op7_url_filter,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_ngram_join": op10_ngram_join,

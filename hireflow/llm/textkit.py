@@ -90,7 +90,8 @@ class Texts:
         return self.data[self.starts[i]:self.ends[i]].tobytes()
 
 
-def slices(column: pa.Array | pa.ChunkedArray, most: int = SLICE_BYTES) -> Iterator[tuple[int, Texts]]:
+def slices(column: pa.Array | pa.ChunkedArray, most: int = SLICE_BYTES,
+           rows: int = SLICE_ROWS) -> Iterator[tuple[int, Texts]]:
     """(first row, Texts) for consecutive rows of about ``most`` bytes."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
@@ -104,7 +105,7 @@ def slices(column: pa.Array | pa.ChunkedArray, most: int = SLICE_BYTES) -> Itera
     first = 0
     while first < n:
         last = int(np.searchsorted(offsets, offsets[first] + most, side="right")) - 1
-        last = min(max(last, first + 1), first + SLICE_ROWS, n)
+        last = min(max(last, first + 1), first + rows, n)
         base = offsets[first]
         yield first, Texts(data[base:offsets[last]], offsets[first:last] - base,
                            offsets[first + 1:last + 1] - base)
