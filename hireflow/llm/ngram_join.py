@@ -32,9 +32,11 @@ from pyspark.sql import functions as F
 
 from .common import cut, width
 from .components import components
+from .prefix_filter import fits, share_enough
 from .textkit import by_rarity, rarity_order, slices, word_shingles
 
 BUCKETS = 1 << 16
+FLAGS = 1 << 22              # flags that tell tasks which texts may be asked for
 SUBSET = 2
 LARGEST_BOUNDARY = 1000      # sizes that the search for the boundary looks at
 SKETCH = 1024                # least hashes kept to estimate how many distinct shingles there are
@@ -136,18 +138,20 @@ def _keys(words: int, percent: int, bound: int, rarity):
                 k, d, p, s = (np.concatenate(c) for c in zip(*out, strict=True))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(k, pa.int64()), pa.array(a[d]), pa.array(b[d]), pa.array(size[d], pa.int64()),
-                     pa.array(p, pa.int64()), pa.array(s)], ["key", "a", "b", "size", "place", "scans"])
+                     pa.array(p, pa.int32()), pa.array(s)], ["key", "a", "b", "size", "place", "scans"])
     return run
 
 
-def _texts(words: int):
-    """(node, text) of each distinct set that a task reads."""
+def _texts(words: int, flags):
+    """(node, text) of each distinct set that a task reads and whose flag is up."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = flags.value
         seen: set[tuple[int, int]] = set()
         for batch in batches:
             for first, texts in slices(batch.column("text")):
                 size, a, b = _set_ids(*word_shingles(texts, words), len(texts))
-                new = [i for i in np.flatnonzero(size) if (name := (int(a[i]), int(b[i]))) not in seen
+                up = table[a & (FLAGS - 1)] & (size > 0)
+                new = [i for i in np.flatnonzero(up) if (name := (int(a[i]), int(b[i]))) not in seen
                        and not seen.add(name)]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(a[new]), pa.array(b[new]),
@@ -181,8 +185,8 @@ def _verify(words: int, percent: int):
     return run
 
 
-def _node(a: str = "a", b: str = "b"):
-    return F.concat(F.lpad(F.hex(a), 16, "0"), F.lpad(F.hex(b), 16, "0"))
+def _node():
+    return F.struct("a", "b")
 
 
 def ngram_join(docs: DataFrame, words: int = 3, percent: int = 90, id_col: str = "doc_id",
@@ -220,7 +224,7 @@ def ngram_join(docs: DataFrame, words: int = 3, percent: int = 90, id_col: str =
 
     keys = text.select("text").mapInArrow(
         _keys(words, percent, bound, rarity),
-        "key long, a long, b long, size long, place long, scans boolean")
+        "key long, a long, b long, size long, place int, scans boolean")
     per_key = Window.partitionBy("key")
     listed = (keys.repartition(width(spark), "key")
               .withColumn("turn", F.row_number().over(Window.partitionBy("key", "a", "b").orderBy("place")))
@@ -234,13 +238,13 @@ def ngram_join(docs: DataFrame, words: int = 3, percent: int = 90, id_col: str =
     # Round 1: the least node of each list against the others.
     head = listed.groupBy("key").agg(F.min(F.struct("node", "size", "place", "scans")).alias("h"))
     star = listed.join(head, "key").filter("h.node <> node")
-    first_pairs = cut(_candidates(star.select(
-        F.col("h.node").alias("src"), F.col("h.size").alias("size1"), F.col("h.place").alias("place1"),
-        F.col("h.scans").alias("scans1"), F.col("node").alias("dst"), F.col("size").alias("size2"),
-        F.col("place").alias("place2"), F.col("scans").alias("scans2")), percent))
-    known = text.select("text").mapInArrow(_texts(words), "a long, b long, text string") \
-                .select(_node().alias("node"), "text")
-    edges = cut(_verified(first_pairs, known, words, percent))
+    lists = listed.filter(F.col("size") > bound)          # without the small sets' subsets
+    near = lambda x, y: F.expr(f"{x}.scans or {y}.scans") & fits(
+        f"{x}.size", f"{x}.place", f"{y}.size", f"{y}.place", percent)
+    first_pairs = cut(share_enough(
+        star.alias("s").filter(near("h", "s")).select(F.col("h.node").alias("src"), F.col("node").alias("dst"))
+        .distinct(), lists, percent))
+    edges = cut(_verified(first_pairs, text, words, percent))
     # Round 2: what is left between different components.
     comp = cut(components(edges))
     grouped = listed.join(comp, "node", "left").withColumn(
@@ -248,13 +252,11 @@ def ngram_join(docs: DataFrame, words: int = 3, percent: int = 90, id_col: str =
     mixed = cut(grouped.withColumn("lo", F.min("component").over(per_key))
                 .withColumn("hi", F.max("component").over(per_key)).filter("lo <> hi").drop("lo", "hi"))
     x, y = mixed.alias("x"), mixed.alias("y")
-    rest = _candidates(x.join(y, F.col("x.key") == F.col("y.key")).filter(
-        "x.node < y.node and x.component <> y.component").select(
-        F.col("x.node").alias("src"), F.col("x.size").alias("size1"), F.col("x.place").alias("place1"),
-        F.col("x.scans").alias("scans1"), F.col("y.node").alias("dst"), F.col("y.size").alias("size2"),
-        F.col("y.place").alias("place2"), F.col("y.scans").alias("scans2")), percent)
-    rest = cut(rest.join(first_pairs, ["src", "dst"], "left_anti"))
-    more = cut(_verified(rest, known, words, percent))
+    rest = x.join(y, F.col("x.key") == F.col("y.key")).filter(
+        F.expr("x.node < y.node and x.component <> y.component") & near("x", "y")).select(
+        F.col("x.node").alias("src"), F.col("y.node").alias("dst")).distinct()
+    rest = cut(share_enough(rest, lists, percent).join(first_pairs, ["src", "dst"], "left_anti"))
+    more = cut(_verified(rest, text, words, percent))
     final = components(edges.unionByName(more))
 
     named = sets.withColumn("node", _node()).join(final, "node", "left").withColumn(
@@ -268,19 +270,20 @@ def ngram_join(docs: DataFrame, words: int = 3, percent: int = 90, id_col: str =
         F.coalesce("links", F.lit(False)).alias("links"))
 
 
-def _candidates(pairs: DataFrame, percent: int) -> DataFrame:
-    """Distinct pairs that sizes and places in the rarity order leave possible."""
-    common = (1 + F.least("place1", "place2")
-              + F.least(F.col("size1") - F.col("place1") - 1, F.col("size2") - F.col("place2") - 1))
-    return pairs.filter("scans1 or scans2").filter(
-        F.greatest("size1", "size2") * percent <= 100 * F.least("size1", "size2")).filter(
-        (100 + percent) * common >= percent * (F.col("size1") + F.col("size2"))).select("src", "dst").distinct()
+def _verified(pairs: DataFrame, text: DataFrame, words: int, percent: int) -> DataFrame:
+    """The pairs whose sets, made from their texts, are similar enough.
 
-
-def _verified(pairs: DataFrame, known: DataFrame, words: int, percent: int) -> DataFrame:
-    """The pairs whose sets, made from their texts, are similar enough."""
-    wanted = pairs.select(F.col("src").alias("node")).union(pairs.select("dst")).distinct()
+    Tasks get a table of FLAGS flags, whatever the number of pairs, to leave out most
+    texts that no pair asks for; the join picks the right ones.
+    """
+    spark = text.sparkSession
+    wanted = cut(pairs.select(F.col("src").alias("node")).union(pairs.select("dst")).distinct())
+    flags = np.zeros(FLAGS, bool)
+    flags[[r.flag for r in wanted.select(F.col("node.a").bitwiseAND(F.lit(FLAGS - 1)).alias("flag"))
+           .distinct().collect()]] = True          # at most FLAGS small integers
+    known = text.select("text").mapInArrow(_texts(words, spark.sparkContext.broadcast(flags)),
+                                           "a long, b long, text string").select(_node().alias("node"), "text")
     texts = cut(known.join(wanted, "node", "left_semi").dropDuplicates(["node"]))
     return (pairs.join(texts, pairs["src"] == texts["node"]).drop("node")
             .join(texts.select("node", F.col("text").alias("other")), F.col("dst") == F.col("node")).drop("node")
-            .mapInArrow(_verify(words, percent), "src string, dst string"))
+            .mapInArrow(_verify(words, percent), pairs.select("src", "dst").schema))
