@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from .common import cut, width
 from .components import components
-from .prefix_filter import fits, share_enough
+from .prefix_filter import WORDS, fits, may_share_enough, share_enough, with_marks
 from .textkit import by_rarity, rarity_order, slices, word_shingles
 
 BUCKETS = 1 << 16
@@ -234,13 +234,18 @@ def ngram_join(docs: DataFrame, words: int = 3, percent: int = 90, id_col: str =
               .filter("in_list > 1 and any_scans")
               .select("key", _node().alias("node"), "size", "place", "scans"))
     listed = cut(listed)
+    lists = listed.filter(F.col("size") > bound)          # without the small sets' subsets
+    marks = [f"mark{i}" for i in range(WORDS)]
+    listed = cut(listed.filter(F.col("size") <= bound).select(
+        "*", F.lit(None).cast("long").alias("keys"), *[F.lit(None).cast("long").alias(m) for m in marks])
+        .unionByName(with_marks(lists)))
 
     # Round 1: the least node of each list against the others.
-    head = listed.groupBy("key").agg(F.min(F.struct("node", "size", "place", "scans")).alias("h"))
+    head = listed.groupBy("key").agg(F.min(F.struct("node", "size", "place", "scans", "keys", *marks)).alias("h"))
     star = listed.join(head, "key").filter("h.node <> node")
-    lists = listed.filter(F.col("size") > bound)          # without the small sets' subsets
-    near = lambda x, y: F.expr(f"{x}.scans or {y}.scans") & fits(
+    near = lambda x, y: (F.expr(f"{x}.scans or {y}.scans") & fits(
         f"{x}.size", f"{x}.place", f"{y}.size", f"{y}.place", percent)
+        & F.coalesce(may_share_enough(x, y, percent), F.lit(True)))
     first_pairs = cut(share_enough(
         star.alias("s").filter(near("h", "s")).select(F.col("h.node").alias("src"), F.col("node").alias("dst"))
         .distinct(), lists, percent))

@@ -12,12 +12,39 @@ from pyspark.sql import functions as F
 
 from .common import cut
 
+WORDS = 4        # 64-bit words of a set's marks
+
 
 def prefix_length(size: Column, percent: int) -> Column:
     """How many of a set's rarest tokens a partner must share at least one of."""
     return size - F.ceil(F.lit(percent) * size / 100).cast("long") + 1
 
 
+def with_marks(listed: DataFrame) -> DataFrame:
+    """Adds to each row how many keys its set has here, and a bit map of their hashes.
+
+    Bits of one set that another lacks are tokens that they do not share, so a join on
+    a key can drop most pairs before it makes them.
+    """
+    bit = F.expr("shiftleft(1L, cast(shiftright(key, 2) & 63 as int))")
+    marks = listed.groupBy("node").agg(F.count("*").alias("keys"), *[
+        F.bit_or(F.when(F.pmod("key", F.lit(WORDS)) == i, bit).otherwise(0)).alias(f"mark{i}")
+        for i in range(WORDS)])
+    return listed.join(marks, "node")
+
+
+def may_share_enough(x: str, y: str, percent: int) -> Column:
+    """share_enough, from what the bit maps of rows ``x`` and ``y`` leave possible."""
+    def most(a: str, b: str) -> Column:
+        lacking = sum((F.bit_count(F.col(f"{a}.mark{i}").bitwiseAND(F.bitwise_not(F.col(f"{b}.mark{i}"))))
+                       for i in range(WORDS)), F.lit(0))
+        return F.col(f"{a}.keys") - lacking
+    size = lambda a: F.col(f"{a}.size")
+    rest = lambda a: size(a) - F.least(size(a), prefix_length(size(a), percent))
+    common = F.least(most(x, y), most(y, x)) + F.greatest(rest(x), rest(y))
+    return (100 + percent) * common >= percent * (size(x) + size(y))
+
+
 def fits(size1, place1, size2, place2, percent: int) -> Column:
     """Length and positional filter for a token that two sets have at these places."""
     size1, place1, size2, place2 = (F.col(c) for c in (size1, place1, size2, place2))

@@ -15,6 +15,7 @@ from .common import table
 from .decontaminate import decontaminate
 from .exact_dedup import exact_dedup
 from .language_id import language_id
+from .line_dedup import line_dedup
 from .mixing import mix
 from .ngram_join import ngram_join
 from .substring_dedup import substring_dedup
@@ -44,6 +45,12 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter(table(spark, sf_dir, "pages"), rules_frame(spark))
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """removed: the numbers of the removed lines, from 0, joined by commas."""
+    return line_dedup(table(spark, sf_dir, "documents")).withColumn(
+        "removed", F.array_join(F.col("removed").cast("array<string>"), ","))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"), keep="largest")
 
@@ -58,6 +65,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_mixing": op4_mixing,
     "op5_language_id": op5_language_id,
     "op7_url_filter": op7_url_filter,
+    "op8_line_dedup": op8_line_dedup,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_ngram_join": op10_ngram_join,
 }
