@@ -48,9 +48,10 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         "doc_id", F.sha2("text", 256).alias("text_sha256"),
         best("doc_id").over(run).alias("run_keep"), F.count("*").over(run).alias("run_size"),
         F.row_number().over(run.orderBy(order)).alias("place")))
-    groups = (runs.filter("place = 1").groupBy("text_sha256")
-              .agg(best("run_keep").alias("keep_id"), F.sum("run_size").alias("group_size"),
-                   F.min(F.when(F.col("run_keep").isNotNull(), 0).otherwise(1)).alias("nulls")))
+    # Materialised, so that the join below deals out both sides by digest only and a hot
+    # digest's partition can be split.
+    groups = cut(runs.filter("place = 1").groupBy("text_sha256")
+              .agg(best("run_keep").alias("keep_id"), F.sum("run_size").alias("group_size")))
     kept = (F.col("place") == 1) & F.col("doc_id").eqNullSafe(F.col("keep_id"))
     return runs.join(groups, "text_sha256").select(
         "doc_id", "keep_id", "group_size", kept.alias("kept"), "text_sha256")

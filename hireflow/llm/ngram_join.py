@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, width
+from .common import cut, row_key, width
 from .components import components
 from .prefix_filter import WORDS, fits, may_share_enough, share_enough, with_marks
 from .textkit import by_rarity, rarity_order, slices, word_shingles
@@ -62,8 +62,9 @@ def _profile(words: int):
                 doc, key = word_shingles(texts, words)
                 size, a, b = _set_ids(doc, key, len(texts))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(first, len(texts)), pa.array(size, pa.int64()),
-                     pa.array(a), pa.array(b)], ["doc_id", "n_shingles", "a", "b"])
+                    [batch.column("doc_id").slice(first, len(texts)), batch.column("row_key").slice(first, len(texts)),
+                     pa.array(size, pa.int64()), pa.array(a), pa.array(b)],
+                    ["doc_id", "row_key", "n_shingles", "a", "b"])
     return run
 
 
@@ -191,12 +192,13 @@ def _node():
 
 def ngram_join(docs: DataFrame, words: int = 3, percent: int = 90, id_col: str = "doc_id",
                text_col: str = "text") -> DataFrame:
-    """One row per input row: doc_id, n_shingles, component_id, links.
+    """One row per input row: doc_id, n_shingles, component_id, links, component, row_key.
 
     Words are runs of anything but space and control white space, A-Z lower-cased;
     two sets link when 100 * intersection >= percent * union. component_id is the
     least identifier reachable by links, its own included; links says whether the
-    row's set equals or links with another row's.
+    row's set equals or links with another row's; component names the rows that belong
+    together (null without links), and row_key is common.row_key of the row.
 
     Texts that are null or without words have an empty set, link with nothing and
     are their own component. Repeated rows and other copies share a set and so a
@@ -205,8 +207,11 @@ def ngram_join(docs: DataFrame, words: int = 3, percent: int = 90, id_col: str =
     other columns are ignored, whatever their names.
     """
     spark = docs.sparkSession
-    text = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    rows = cut(text.mapInArrow(_profile(words), "doc_id long, n_shingles long, a long, b long"))
+    text = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"),
+                       row_key(id_col, text_col).alias("row_key"))
+    id_type = docs.schema[id_col].dataType.simpleString()
+    rows = cut(text.mapInArrow(_profile(words), f"doc_id {id_type}, row_key string, n_shingles long, "
+                               "a long, b long"))
     sets = rows.filter("n_shingles > 0").groupBy("a", "b").agg(
         F.max("n_shingles").alias("size"), F.min("doc_id").alias("first_id"), F.count("*").alias("copies"))
 
@@ -268,11 +273,12 @@ def ngram_join(docs: DataFrame, words: int = 3, percent: int = 90, id_col: str =
         "component", F.coalesce("component", "node"))
     ids = named.groupBy("component").agg(F.min("first_id").alias("component_id"), F.count("*").alias("nodes"))
     named = named.join(ids, "component").select(
-        "a", "b", "component_id", ((F.col("nodes") > 1) | (F.col("copies") > 1)).alias("links"))
+        "a", "b", "component_id", "component", ((F.col("nodes") > 1) | (F.col("copies") > 1)).alias("links"))
     return rows.join(named, ["a", "b"], "left").select(
         "doc_id", "n_shingles",
         F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),
-        F.coalesce("links", F.lit(False)).alias("links"))
+        F.coalesce("links", F.lit(False)).alias("links"), F.when(F.col("links"), F.col("component")).alias("component"),
+        "row_key")
 
 
 def _verified(pairs: DataFrame, text: DataFrame, words: int, percent: int) -> DataFrame:

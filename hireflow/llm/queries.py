@@ -11,6 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
+
 from .common import table
 from .decontaminate import decontaminate
 from .exact_dedup import exact_dedup
@@ -19,6 +21,7 @@ from .line_dedup import line_dedup
 from .mixing import mix
 from .ngram_join import ngram_join
 from .substring_dedup import substring_dedup
+from .unit_dedup import unit_dedup
 from .url_filter import rules_frame, url_filter
 
 
@@ -41,6 +44,10 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id(table(spark, sf_dir, "documents")).drop("row")
 
 
+def op6_unit_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return unit_dedup(table(spark, sf_dir, "documents"))
+
+
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter(table(spark, sf_dir, "pages"), rules_frame(spark))
 
@@ -64,10 +71,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_substring_dedup": op3_substring_dedup,
     "op4_mixing": op4_mixing,
     "op5_language_id": op5_language_id,
+    "op6_unit_dedup": op6_unit_dedup,
     "op7_url_filter": op7_url_filter,
     "op8_line_dedup": op8_line_dedup,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_ngram_join": op10_ngram_join,
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLE_SQL: dict[str, str] = {
