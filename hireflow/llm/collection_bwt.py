@@ -15,7 +15,9 @@ import tempfile
 
 import numpy as np
 
-_COLUMNS = {"symbol": np.uint16, "string": np.int32, "offset": np.int32, "lcp": np.uint8}
+_COLUMNS = {"symbol": np.uint16, "at": np.int32, "lcp": np.uint8}
+_LOG = np.zeros(1 << 16, np.uint8)        # floor(log2) of small numbers
+_LOG[1:] = np.frexp(np.arange(1, 1 << 16, dtype=np.float64))[1] - 1
 
 
 class _Columns:
@@ -36,11 +38,21 @@ class _Columns:
 
 def _least_between(lcp: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
     """min(lcp[low + 1 .. high]) for each pair low < high, by a doubling table."""
+    out = lcp[high]
+    far = np.flatnonzero(high - low > 1)          # neighbours need no table
+    if len(far):
+        out[far] = _least_in_table(lcp, low[far], high[far])
+    return out
+
+
+def _least_in_table(lcp: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
     out = np.empty(len(low), lcp.dtype)
     span = high - low
-    level = (np.frexp(span.astype(np.float64))[1] - 1).astype(np.int64)
+    level = _LOG[np.minimum(span, (1 << 16) - 1)]
+    wide = np.flatnonzero(span >= 1 << 16)
+    level[wide] = _LOG[span[wide] >> 16] + 16
     order = np.argsort(level, kind="stable")
-    bounds = np.searchsorted(level[order], np.arange(level.max(initial=0) + 2))
+    bounds = np.searchsorted(level[order], np.arange(int(level.max(initial=0)) + 2))
     table = lcp
     for k in range(len(bounds) - 1):
         mine = order[bounds[k]:bounds[k + 1]]
@@ -54,34 +66,34 @@ def _least_between(lcp: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.nda
 def sorted_suffixes(strings: list[bytes], cap: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(string, offset, common prefix with the one above, at most ``cap``) of all suffixes, sorted."""
     size = np.array([len(s) for s in strings], np.int64)
-    data = np.frombuffer(b"".join(strings), np.uint8)
-    first = np.cumsum(size) - size
-    ids = np.arange(len(strings))
-
-    def before(string: np.ndarray, offset: np.ndarray) -> np.ndarray:
-        """The symbol before each suffix, plus one; 0 at the start of a string."""
-        at = first[string] + offset - 1
-        return np.where(offset > 0, data[np.maximum(at, 0)].astype(np.uint16) + 1, 0) if len(data) else \
-            np.zeros(len(string), np.uint16)
-
-    empty = {"symbol": before(ids, size), "string": ids, "offset": size, "lcp": np.zeros(len(ids))}
+    # The strings end to end, a 0 before each: the symbol before a suffix is the one before
+    # its place, and 0 says that the suffix is a whole string.
+    text = np.zeros(int(size.sum()) + len(strings), np.uint16)
+    first = np.cumsum(size + 1) - size
+    inside = np.ones(len(text), bool)
+    inside[first - 1] = False
+    text[inside] = np.frombuffer(b"".join(strings), np.uint8).astype(np.uint16) + 1
+    ends = (first + size).astype(np.int32)
+    empty = {"symbol": text[ends - 1], "at": ends, "lcp": np.zeros(len(ends), np.uint8)}
     with tempfile.TemporaryDirectory() as folder:
         _Columns(folder, 0).write({c: [empty[c]] for c in _COLUMNS})
         for turn in range(1, int(size.max(initial=0)) + 1):
             old, new = _Columns(folder, turn - 1), _Columns(folder, turn)
             symbol = old.read("symbol")
-            at = np.argsort(symbol, kind="stable")          # a radix sort: one pass by symbol
-            at = at[np.searchsorted(symbol[at], 1):]
-            symbol = symbol[at]
-            string, offset = old.read("string")[at], old.read("offset")[at] - 1
+            order = np.argsort(symbol, kind="stable").astype(np.int32)      # a radix sort: one pass by symbol
+            symbol = symbol[order]
+            whole = np.searchsorted(symbol, 1)
+            order, symbol = order[whole:], symbol[whole:]
+            at = old.read("at")[order] - 1
             lcp = np.zeros(len(at), np.uint8)
             same = np.flatnonzero(symbol[1:] == symbol[:-1]) + 1
-            rest = _least_between(old.read("lcp"), at[same - 1], at[same])
+            rest = _least_between(old.read("lcp"), order[same - 1], order[same])
             lcp[same] = np.minimum(rest, cap - 1) + 1
-            new.write({"symbol": [empty["symbol"], before(string, offset)], "string": [ids, string],
-                       "offset": [size, offset], "lcp": [empty["lcp"], lcp]})
+            new.write({"symbol": [empty["symbol"], text[at - 1]], "at": [ends, at], "lcp": [empty["lcp"], lcp]})
         last = _Columns(folder, int(size.max(initial=0)))
-        return last.read("string"), last.read("offset"), last.read("lcp")
+        at, lcp = last.read("at").astype(np.int64), last.read("lcp")
+    string = np.searchsorted(first, at, side="right") - 1
+    return string, at - first[string], lcp
 
 
 def repeated(strings: list[bytes], owner: np.ndarray, width: int) -> list[tuple[int, int, int]]:

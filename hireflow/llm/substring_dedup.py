@@ -21,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,8 +30,11 @@ from .common import cut, width as partitions
 from .textkit import slices
 
 ANCHOR = 24
-LONGEST = 64
+LONGEST = 27
 COLLECTION_BYTES = 1 << 20
+#: What tells a task's pieces apart, column after column in one binary value.
+_PACKED = (("anchor", np.uint64), ("content", np.uint32), ("place", np.int64), ("tag", np.int32),
+           ("start", np.int32), ("n", np.uint8))
 LAST = (1 << 63) - 1
 
 
@@ -65,11 +69,12 @@ def _pieces(texts, width: int) -> tuple[np.ndarray, ...]:
             texts.hashes(start, stop + width - 1))
 
 
-def _anchors(width: int):
+def _anchors(width: int, buckets: int):
+    """The pieces of a slice of documents, packed by bucket of their anchors."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[bytes, int] = {}       # texts of this task, so that copies are cut once
         for batch in batches:
-            place = batch.column("place").to_numpy()
+            place, tag = batch.column("place").to_numpy(), batch.column("tag").to_numpy()
             for first, texts in slices(batch.column("text")):
                 keep = np.zeros(len(texts), bool)
                 for i in range(len(texts)):
@@ -77,53 +82,92 @@ def _anchors(width: int):
                     if seen.get(name, LAST + 1) > mine:
                         seen[name], keep[i] = mine, True
                 doc, start, n, anchor, content = _pieces(texts, width)
-                use = keep[doc]
-                doc = doc[use]
-                for low in range(0, len(doc), 100_000):
-                    part = slice(low, low + 100_000)
-                    rows = pa.array(doc[part] + first)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(anchor[use][part].view(np.int64)), pa.array(content[use][part].view(np.int64)),
-                         batch.column("place").take(rows), batch.column("tag").take(rows),
-                         pa.array(start[use][part], pa.int32()), pa.array(n[use][part], pa.int32())],
-                        ["anchor", "content", "place", "tag", "start", "n"])
+                bucket = anchor % np.uint64(buckets)
+                order = np.argsort(bucket, kind="stable")
+                order = order[keep[doc[order]]]
+                columns = {"anchor": anchor[order], "content": content[order], "place": place[first + doc[order]],
+                           "tag": tag[first + doc[order]], "start": start[order], "n": n[order]}
+                head = np.flatnonzero(np.diff(bucket[order], prepend=np.uint64(buckets)))
+                packed = [b"".join(columns[c][x:y].astype(kind).tobytes() for c, kind in _PACKED)
+                          for x, y in zip(head, np.append(head[1:], len(order)), strict=True)]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(bucket[order][head].astype(np.int64)), pa.array(packed, pa.binary())],
+                    ["bucket", "pieces"])
     return run
 
 
-_PIECES = pa.list_(pa.struct([("anchor", pa.int64()), ("start", pa.int32()), ("n", pa.int32()),
-                              ("bytes", pa.binary())]))
+def _match(table: pa.Table) -> pa.Table:
+    """Of one bucket's pieces those that repeat whole, and those that share an anchor but differ."""
+    parts: dict[str, list[np.ndarray]] = {c: [] for c, _ in _PACKED}
+    row = sum(np.dtype(kind).itemsize for _, kind in _PACKED)
+    for value in table.column("pieces").to_pylist():
+        at, count = 0, len(value) // row
+        for c, kind in _PACKED:
+            parts[c].append(np.frombuffer(value, kind, count, at))
+            at += count * np.dtype(kind).itemsize
+    p = {c: np.concatenate(x) for c, x in parts.items()}
+    order = np.argsort(p["anchor"], kind="stable")
+    anchor = p["anchor"][order]
+    new = np.concatenate([[True], anchor[1:] != anchor[:-1]])
+    head = np.flatnonzero(new)
+    place = p["place"][order]
+    shared = np.minimum.reduceat(place, head) < np.maximum.reduceat(place, head)
+    order = order[shared[np.cumsum(new) - 1]]         # an anchor of one document cannot repeat
+    p = {c: x[order] for c, x in p.items()}
+    if not len(order):
+        head = np.zeros(0, np.int64)
+        whole = left = np.zeros(0, bool)
+    else:
+        order = np.lexsort((p["place"], p["content"], p["anchor"]))
+        p = {c: x[order] for c, x in p.items()}
+        of_anchor = np.concatenate([[True], p["anchor"][1:] != p["anchor"][:-1]])
+        of_piece = of_anchor | np.concatenate([[True], p["content"][1:] != p["content"][:-1]])
+        first = p["place"][np.flatnonzero(of_piece)][np.cumsum(of_piece) - 1]
+        kinds = np.add.reduceat(of_piece.astype(np.int64), np.flatnonzero(of_anchor))[np.cumsum(of_anchor) - 1]
+        whole = p["place"] > first
+        left = ~whole & (kinds > 1)
+    use = whole | left
+    return pa.table({"place": p["place"][use], "tag": p["tag"][use], "anchor": p["anchor"][use].view(np.int64),
+                     "start": p["start"][use], "n": p["n"][use].astype(np.int32), "whole": whole[use]})
+
+
 _SPANS = pa.list_(pa.struct([("start", pa.int32()), ("n", pa.int32())]))
+_OPEN = pa.list_(pa.struct([("anchor", pa.int64()), ("start", pa.int32()), ("n", pa.int32())]))
 
 
-def _joined_spans(spans: list[tuple[int, int]]) -> list[dict]:
-    """Runs of window starts, merged where they touch."""
-    out: list[list[int]] = []
-    for start, n in sorted(spans):
-        if out and start <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], start + n)
-        else:
-            out.append([start, start + n])
-    return [{"start": a, "n": b - a} for a, b in out]
+def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per document: the windows that repeat for certain, merged, and the open pieces."""
+    for batch in batches:
+        done, left = [], []
+        for found in batch.column("found"):
+            f = found.values
+            anchor, start, n, whole = (f.field(c).to_numpy(zero_copy_only=False)
+                                       for c in ("anchor", "start", "n", "whole"))
+            order = np.argsort(start[whole], kind="stable")
+            a, b = start[whole][order], (start[whole] + n[whole])[order]
+            head = np.flatnonzero(np.concatenate([[True], a[1:] > np.maximum.accumulate(b)[:-1]])) if len(a) else a
+            stop = np.maximum.reduceat(b, head) if len(a) else b
+            done.append([{"start": x, "n": y - x} for x, y in zip(a[head].tolist(), stop.tolist(), strict=True)])
+            left.append([{"anchor": x, "start": y, "n": z} for x, y, z in zip(
+                anchor[~whole].tolist(), start[~whole].tolist(), n[~whole].tolist(), strict=True)])
+        yield pa.RecordBatch.from_arrays([batch.column("place"), batch.column("tag"), pa.array(done, _SPANS),
+                                          pa.array(left, _OPEN)], ["place", "tag", "spans", "open"])
 
 
-def _settle(width: int):
-    """Per document: the windows that repeat for certain, and the bytes of the open pieces."""
+def _open_pieces(width: int):
+    """The bytes of each open piece."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            done, left = [], []
-            texts, found = batch.column("text"), batch.column("found")
-            for i in range(batch.num_rows):
-                data = texts[i].as_py().encode()
-                f = found[i].values
-                anchor, start, n, whole = (f.field(c).to_numpy(zero_copy_only=False)
-                                           for c in ("anchor", "start", "n", "whole"))
-                done.append(_joined_spans(list(zip(start[whole].tolist(), n[whole].tolist(), strict=True))))
-                left.append([{"anchor": a, "start": s, "n": k, "bytes": data[s:s + k + width - 1]}
-                             for a, s, k in zip(anchor[~whole].tolist(), start[~whole].tolist(),
-                                                n[~whole].tolist(), strict=True)])
+            out: list[tuple] = []
+            for place, tag, text, pieces in zip(*(batch.column(c) for c in ("place", "tag", "text", "open")),
+                                                strict=True):
+                data = text.as_py().encode()
+                out += [(place.as_py(), tag.as_py(), p["anchor"], p["start"], data[p["start"]:p["start"] + p["n"] + width - 1])
+                        for p in pieces.as_py()]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("place"), batch.column("tag"), pa.array(done, _SPANS), pa.array(left, _PIECES)],
-                ["place", "tag", "spans", "open"])
+                [pa.array([x[i] for x in out], t) for i, t in enumerate(
+                    (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.binary()))],
+                ["place", "tag", "anchor", "start", "bytes"])
     return run
 
 
@@ -166,7 +210,8 @@ def _remove(width: int):
                 digests.append(kept.hexdigest())
                 kept_spans.append([{"start": a, "n": b - a} for a, b in merged])
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()),
+                [pc.if_else(pc.equal(batch.column("place"), LAST), None, batch.column("place")),
+                 pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()),
                  pa.array(runs, pa.int64()), pa.array(digests), pa.array(kept_spans, _SPANS)],
                 ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "removed"])
     return run
@@ -187,34 +232,29 @@ def substring_dedup(docs: DataFrame, width: int = 50, id_col: str = "doc_id",
     """
     spark = docs.sparkSession
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text")).select(
-        "doc_id", "text", F.coalesce("doc_id", F.lit(LAST)).alias("place"), F.xxhash64("text").alias("tag"))
-    anchors = rows.select("place", "tag", "text").mapInArrow(
-        _anchors(width), "anchor long, content long, place long, tag long, start int, n int")
-    here = Window.partitionBy("anchor")
-    found = (anchors.repartition(partitions(spark), "anchor")
-             .withColumn("first", F.min("place").over(Window.partitionBy("anchor", "content")))
-             .withColumn("low", F.min("place").over(here)).withColumn("high", F.max("place").over(here))
-             .withColumn("one", F.min("content").over(here)).withColumn("two", F.max("content").over(here))
-             .filter("low < high and (place > first or one <> two)")
-             .select("place", "tag", "anchor", "start", "n", (F.col("place") > F.col("first")).alias("whole"))
+    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("place"),
+                       F.xxhash64(text).bitwiseAND(F.lit((1 << 31) - 1)).cast("int").alias("tag"), text.alias("text"))
+    found = (rows.mapInArrow(_anchors(width, partitions(spark)), "bucket long, pieces binary")
+             .groupBy("bucket").applyInArrow(_match, "place long, tag int, anchor long, start int, n int, whole boolean")
              .groupBy("place", "tag").agg(F.collect_list(F.struct("anchor", "start", "n", "whole")).alias("found")))
-    settled = cut(found.join(rows, ["place", "tag"]).select("place", "tag", "text", "found").mapInArrow(
-        _settle(width), "place long, tag long, spans array<struct<start: int, n: int>>, "
-        "open array<struct<anchor: long, start: int, n: int, bytes: binary>>"))
-    left = settled.select("place", "tag", F.explode("open").alias("o")).select(
-        "place", "tag", "o.anchor", "o.start", "o.bytes")
-    volume = left.agg(F.sum(F.length("bytes"))).first()[0] or 0
+    settled = cut(found.mapInArrow(_settle, "place long, tag int, spans array<struct<start: int, n: int>>, "
+                                   "open array<struct<anchor: long, start: int, n: int>>"))
+    volume = settled.agg(F.sum(F.aggregate("open", F.lit(0).cast("long"),
+                                           lambda acc, x: acc + x["n"] + width - 1))).first()[0] or 0
     collections = 1 + volume // COLLECTION_BYTES
+    left = settled.filter(F.size("open") > 0).select("place", "tag", "open").join(rows, ["place", "tag"]).select(
+        "place", "tag", "text", "open").mapInArrow(
+        _open_pieces(width), "place long, tag int, anchor long, start int, bytes binary")
     more = (left.groupBy(F.pmod(F.xxhash64("anchor"), F.lit(collections)).alias("collection"))
-            .applyInArrow(_sort_collection(width), "place long, tag long, start int, n int")
-            .distinct().groupBy("place", "tag").agg(F.collect_list(F.struct("start", "n")).alias("more")))
+            .applyInArrow(_sort_collection(width), "place long, tag int, start int, n int")
+            .groupBy("place", "tag").agg(F.collect_set(F.struct("start", "n")).alias("more")))
     copies = rows.select("place", "tag", F.md5("text").alias("digest"))
     firsts = copies.groupBy("digest").agg(F.min("place").alias("first"))
     copies = copies.distinct().join(firsts, "digest").filter("place > first").select(
         "place", "tag", F.lit(True).alias("copy"))
-    verdict = (settled.select("place", "tag", "spans").dropDuplicates(["place", "tag"])
-               .join(more, ["place", "tag"], "full").join(copies, ["place", "tag"], "full"))
-    return (rows.join(verdict, ["place", "tag"], "left").select("doc_id", "text", "spans", "more", "copy")
+    verdict = (settled.select("place", "tag", "spans").join(more, ["place", "tag"], "full")
+               .join(copies, ["place", "tag"], "full"))
+    # Both joins with the texts deal them out alike, so they are shuffled once.
+    return (rows.join(verdict, ["place", "tag"], "left").select("place", "text", "spans", "more", "copy")
             .mapInArrow(_remove(width), "doc_id long, n_bytes long, n_removed long, n_spans long, "
                         "kept_sha256 string, removed array<struct<start: int, n: int>>"))
