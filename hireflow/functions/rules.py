@@ -17,8 +17,7 @@ EMAIL_PATTERN = r"[^@\s]+@[^@\s]+\.[^@\s]+"
 WEBSITE_PATTERN = r"https?://[^\s]+"
 PHONE_PATTERN = r"[0-9+().\-\s]{7,20}"
 
-INT_PATTERN = r"[+-]?[0-9]{1,9}"
-LONG_PATTERN = r"[+-]?[0-9]{1,18}"
+INT_PATTERN = r"[+-]?[0-9]+"
 DECIMAL_PATTERN = r"[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)"
 DATE_PATTERN = r"[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}"
 TIME_PATTERN = r"[0-9]{1,2}:[0-9]{1,2}"
@@ -33,9 +32,18 @@ def full_match(c, pattern: str) -> Column:
     return _c(c).rlike(rf"\A(?:{pattern})\z")
 
 
+# White space as str.strip() knows it.
+SPACES = r"[\s\x1c-\x1f\x85\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
+
+
+def text(c) -> Column:
+    """Form text as sent: a missing field counts as blank."""
+    return F.coalesce(_c(c), F.lit(""))
+
+
 def strip(c) -> Column:
-    """Python ``str.strip()``: drop leading/trailing whitespace of any kind."""
-    return F.regexp_replace(_c(c), r"^\s+|\s+$", "")
+    """Python ``str.strip()`` of a form text; a missing field gives ''."""
+    return F.regexp_replace(text(c), rf"^{SPACES}|{SPACES}$", "")
 
 
 def blank_to_null(c) -> Column:
@@ -62,17 +70,23 @@ def is_phone_or_blank(c) -> Column:
 
 def parse_int(c) -> Column:
     s = strip(c)
-    return F.when(full_match(s, INT_PATTERN), s.cast("int"))
+    return F.when(full_match(s, INT_PATTERN), s.try_cast("int"))
 
 
 def parse_long(c) -> Column:
     s = strip(c)
-    return F.when(full_match(s, LONG_PATTERN), s.cast("bigint"))
+    return F.when(full_match(s, INT_PATTERN), s.try_cast("bigint"))
 
 
-def parse_decimal(c, precision: int, scale: int) -> Column:
+def parse_number(c) -> Column:
+    """The number as written (up to 18 decimals), for range tests before any rounding."""
     s = strip(c)
-    return F.when(full_match(s, DECIMAL_PATTERN), s.try_cast(f"decimal({precision},{scale})"))
+    return F.when(full_match(s, DECIMAL_PATTERN), s.try_cast("decimal(38,18)"))
+
+
+def parse_decimal(c, precision: int, scale: int) -> Column:
+    """The number as the table stores it, rounded to ``scale``; NULL if it does not fit."""
+    return parse_number(c).try_cast(f"decimal({precision},{scale})")
 
 
 def parse_date(c) -> Column:

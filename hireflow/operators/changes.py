@@ -21,31 +21,55 @@ from ..sources.schema import APPLICATION_STATUSES, TABLES, children_of
 HIT = "__hit"
 
 
-def apply_inserts(base: DataFrame, rows: DataFrame, keys) -> DataFrame:
-    """M1: rows whose key is absent from ``base`` are appended."""
-    new = rows.select(*base.columns).join(base.select(*keys), list(keys), "left_anti")
-    return base.unionByName(new)
+def _one_per_key(rows: DataFrame, keys, order, pick) -> DataFrame:
+    """One row per key: the first or last by ``order``, then by the other columns."""
+    values = [c for c in rows.columns if c not in keys]
+    if not values:
+        return rows.distinct()
+    packed = F.struct(*[F.col(c) for c in order], *[F.col(c) for c in values if c not in order])
+    picked = rows.groupBy(*keys).agg(pick(packed).alias("__one"))
+    return picked.select(*keys, *[F.col(f"__one.{c}").alias(c) for c in values])
+
+
+def split_inserts(base: DataFrame, rows: DataFrame, keys, order=()) -> tuple[DataFrame, DataFrame]:
+    """M1 with its refusals: (rows to append, refused rows with ``refused``).
+
+    A row is refused if part of its key is missing, if ``base`` has the key, or if an
+    earlier row of the batch (by ``order``, then by the other columns) has it.
+    """
+    whole = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])
+    known = base.select(*keys).withColumn(HIT, F.lit(True))
+    named = rows.where(whole).join(known, list(keys), "left")
+    new = named.where(F.col(HIT).isNull()).drop(HIT).select(*rows.columns)
+    first = _one_per_key(new, keys, list(order), F.min).select(*rows.columns)
+    later = new.exceptAll(first)
+    refused = (rows.where(~whole).withColumn("refused", F.lit("key is missing"))
+               .unionByName(named.where(F.col(HIT)).drop(HIT).withColumn("refused", F.lit("key exists")))
+               .unionByName(later.withColumn("refused", F.lit("key appears earlier in the batch"))))
+    return first, refused
+
+
+def apply_inserts(base: DataFrame, rows: DataFrame, keys, order=()) -> DataFrame:
+    """M1: the rows that ``split_inserts`` lets in are appended; keys stay unique."""
+    first, _ = split_inserts(base, rows.select(*dict.fromkeys([*base.columns, *order])), keys, order)
+    return base.unionByName(first.select(*base.columns))
 
 
 def latest_per_key(changes: DataFrame, keys, order) -> DataFrame:
     """The last change per key by ``order`` columns (ties: later columns)."""
-    value_cols = [c for c in changes.columns if c not in keys]
-    packed = F.struct(*[F.col(c) for c in order], *[F.col(c) for c in value_cols
-                                                     if c not in order])
-    last = changes.groupBy(*keys).agg(F.max(packed).alias("__last"))
-    return last.select(*keys, *[F.col(f"__last.{c}").alias(c) for c in value_cols])
+    return _one_per_key(changes, keys, list(order), F.max)
 
 
 def apply_updates(base: DataFrame, changes: DataFrame, keys, columns,
                   order=None) -> DataFrame:
-    """M2: set ``columns`` of matching keys from the (latest) change.
+    """M2: set ``columns`` of matching keys from the latest change.
 
-    A change to NULL overwrites: the match is tested with a marker column,
+    Each key gets one change, the last by ``order`` (without one, the largest values),
+    so base rows never multiply. A change to NULL overwrites: the match is tested with a marker column,
     not with ``coalesce``. Keys missing from ``base`` are ignored (UPDATE).
     """
-    ch = changes.select(*keys, *columns, *(order or []))
-    if order:
-        ch = latest_per_key(ch, keys, order)
+    ch = changes.select(*dict.fromkeys([*keys, *columns, *(order or [])]))
+    ch = latest_per_key(ch, keys, order or [])
     ch = ch.select(*keys, *[F.col(c).alias(f"__new_{c}") for c in columns],
                    F.lit(True).alias(HIT))
     j = base.join(ch, list(keys), "left")
@@ -59,9 +83,14 @@ def apply_deletes(base: DataFrame, doomed: DataFrame, keys) -> DataFrame:
     return base.join(doomed.select(*keys).distinct(), list(keys), "left_anti")
 
 
-def replace_set(base: DataFrame, new_sets: DataFrame, parent_keys) -> DataFrame:
-    """M5: for every parent in ``new_sets`` its rows are replaced by the new set."""
-    kept = base.join(new_sets.select(*parent_keys).distinct(), list(parent_keys), "left_anti")
+def replace_set(base: DataFrame, new_sets: DataFrame, parent_keys, parents=None) -> DataFrame:
+    """M5: for every parent its rows are replaced by its new set.
+
+    ``new_sets`` holds one set per parent (of several edits, the one that M2 lets win);
+    ``parents`` names parents whose new set may be empty.
+    """
+    named = (new_sets if parents is None else parents).select(*parent_keys).distinct()
+    kept = base.join(named, list(parent_keys), "left_anti")
     return kept.unionByName(new_sets.select(*base.columns).distinct())
 
 
@@ -71,10 +100,17 @@ def soft_close(base: DataFrame, targets: DataFrame, keys, column: str, value: st
     return apply_updates(base, ch, keys, [column])
 
 
-def upsert_partial(base: DataFrame, batch: DataFrame, keys, column: str) -> DataFrame:
-    """M7: insert new keys; on a duplicate key update only ``column``."""
-    updated = apply_updates(base, batch, keys, [column])
-    return apply_inserts(updated, batch, keys)
+def upsert_partial(base: DataFrame, batch: DataFrame, keys, column: str, order=None) -> DataFrame:
+    """M7: insert new keys; on a duplicate key update only ``column``.
+
+    Of several rows with a new key the first by ``order`` is inserted and the last one's
+    ``column`` then overwrites it, as if the rows came one by one.
+    """
+    order = list(order or [column])
+    batch = batch.select(*dict.fromkeys([*base.columns, *order]))
+    last = latest_per_key(batch, keys, order).select(*keys, column)
+    grown = apply_inserts(base, batch, keys, order)
+    return apply_updates(grown, last, keys, [column])
 
 
 def scoped_status_update(application: DataFrame, job: DataFrame, changes: DataFrame,

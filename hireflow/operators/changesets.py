@@ -45,18 +45,19 @@ def register_students(T) -> dict[str, DataFrame]:
 def edit_company_profiles(T) -> dict[str, DataFrame]:
     """Profile edits (V2 + M2) with the login email kept in step (M9)."""
     accepted, _ = V.intake_companies(T)
-    company = M.apply_updates(T.company, accepted, ["company_id"], COMPANY_EDIT_COLUMNS)
-    acc_changes = accepted.select(F.lit("COMPANY").alias("role"), "company_id", "email")
-    account = M.apply_updates(T.user_account, acc_changes, ["role", "company_id"], ["email"])
+    company = M.apply_updates(T.company, accepted, ["company_id"], COMPANY_EDIT_COLUMNS, ["form_id"])
+    acc_changes = accepted.select(F.lit("COMPANY").alias("role"), "company_id", "email", "form_id")
+    account = M.apply_updates(T.user_account, acc_changes, ["role", "company_id"], ["email"], ["form_id"])
     return {"company": company, "user_account": account}
 
 
 def edit_jobs(T) -> dict[str, DataFrame]:
     """Job edits (V3 + M2) and their required-skill sets replaced (M5)."""
     accepted, _ = V.intake_jobs(T)
-    job = M.apply_updates(T.job, accepted, ["job_id"], JOB_EDIT_COLUMNS)
-    sets = accepted.select("job_id", F.explode("skill_ids").alias("skill_id"))
-    return {"job": job, "job_skill": M.replace_set(T.job_skill, sets, ["job_id"])}
+    last = M.latest_per_key(accepted, ["job_id"], ["form_id"])
+    job = M.apply_updates(T.job, last, ["job_id"], JOB_EDIT_COLUMNS)
+    sets = last.select("job_id", F.explode("skill_ids").alias("skill_id"))
+    return {"job": job, "job_skill": M.replace_set(T.job_skill, sets, ["job_id"], last)}
 
 
 def change_statuses(T) -> DataFrame:

@@ -7,11 +7,12 @@ reference applies to one form (V1-V7), plus the database's own guards
 * accepted: rows in the domain table's shape, ready for ``changes.apply_*``;
 * quarantined: ``form_id`` + ``reasons`` (array, rules in a fixed order).
 
-accepted + quarantined = input, always. Column rules are plain expressions;
-lookups are left joins (flags), uniqueness inside the batch is a grouped
-``min(form_id)`` per key (partial aggregation, no window over a hot key),
-uniqueness against the base is an equi-join on the key with an ``id <> own``
-filter (the reference's "taken by someone else" check).
+accepted + quarantined = input, always. A missing field counts as blank. Column
+rules are plain expressions; lookups are left joins (flags). Uniqueness inside the
+batch holds among the rows that pass all other rules, so an invalid form never
+blocks a valid one: per key the smallest form_id stays, a grouped minimum (partial
+aggregation, no window over a hot key). Uniqueness against the base is an
+equi-join on the key with an ``id <> own`` filter ("taken by someone else").
 """
 
 from __future__ import annotations
@@ -21,9 +22,14 @@ from pyspark.sql import functions as F
 
 from ..functions import rules as X
 from ..sources.schema import INTERVIEW_MODES, INTERVIEW_STATUSES, JOB_STATUSES, OFFER_STATUSES, \
-    PROFICIENCIES
+    PROFICIENCIES, TABLES
 
 # Reason texts of the engine (the reference shows one generic message per form).
+R_ID = "student id is invalid"
+R_ID_TAKEN = "student id is already used"
+R_ID_TWICE = "student id appears earlier in the batch"
+R_COMPANY_EMAIL_TWICE = "email appears earlier in the batch for another company"
+R_COMPANY_NAME_TWICE = "company name appears earlier in the batch for another company"
 R_NAME = "name is required"
 R_EMAIL = "email is invalid"
 R_CGPA = "cgpa must be a number from 0 to 10"
@@ -79,8 +85,19 @@ R_SKILL_HELD = "skill is already held"
 R_SKILL_TWICE = "skill appears earlier in the batch"
 
 
-def _split(df: DataFrame, rules, accepted_cols) -> tuple[DataFrame, DataFrame]:
+def _split(df: DataFrame, rules, accepted_cols, once=()) -> tuple[DataFrame, DataFrame]:
+    """``once``: (reason, keys, owner) triples, applied in turn. Among the rows valid so
+    far the first with a key keeps it; later ones are refused, unless ``owner`` names
+    a column in which they agree with the first (the same company edits itself twice)."""
     d = df.withColumn("reasons", X.reasons_of(rules))
+    for text, keys, owner in once:
+        own = F.col(owner) if owner else F.col("form_id")
+        first = d.where(F.size("reasons") == 0).groupBy(*keys).agg(
+            F.min(F.struct("form_id", own.alias("own"))).alias("_first"))
+        late = (F.size("reasons") == 0) & ~own.eqNullSafe(F.col("_first.own"))
+        d = (d.join(first, list(keys), "left")
+              .withColumn("reasons", F.when(late & F.col("_first").isNotNull(), F.array(F.lit(text)))
+                          .otherwise(F.col("reasons"))).drop("_first"))
     accepted = d.where(F.size("reasons") == 0).select(*accepted_cols)
     quarantined = d.where(F.size("reasons") > 0).select("form_id", "reasons")
     return accepted, quarantined
@@ -95,6 +112,11 @@ def _is(col: str):
     return F.coalesce(F.col(col), F.lit(False))
 
 
+def _bad_salary():
+    """Not a number of at least 0 as written, or one that the table's type cannot hold."""
+    return F.col("sal").isNull() | (F.col("sal") < 0) | F.col("sal").try_cast("decimal(12,2)").isNull()
+
+
 def _owned_by_other(f: DataFrame, base: DataFrame, key: str, owner: str, name: str) -> DataFrame:
     """``f`` + flag ``name``: some base row with ``f``'s key has an owner
     other than ``f``'s own ``owner`` value (F8, "taken by someone else").
@@ -102,17 +124,20 @@ def _owned_by_other(f: DataFrame, base: DataFrame, key: str, owner: str, name: s
     The base is reduced to (key, lowest owner, highest owner) first, so the
     lookup is N:1 however many rows share a key (no pairs within a key): some
     owner differs from the own id exactly when the lowest or the highest
-    does. NULL owners and a NULL own id never count, as in SQL.
+    does. NULL owners never count; a NULL own id (a row still to be made)
+    differs from every owner.
     """
     owners = base.groupBy(key).agg(F.min(owner).alias("_lo"), F.max(owner).alias("_hi"))
     own = F.col(owner)
-    other = F.coalesce((F.col("_lo") != own) | (F.col("_hi") != own), F.lit(False))
+    other = F.col("_lo").isNotNull() & (own.isNull() | (F.col("_lo") != own) | (F.col("_hi") != own))
     return f.join(owners, key, "left").withColumn(name, other).drop("_lo", "_hi")
 
 
-def _first_in_batch(df: DataFrame, keys, name: str = "first_id") -> DataFrame:
-    """min(form_id) per key: the row that keeps the key inside the batch."""
-    return df.groupBy(*keys).agg(F.min("form_id").alias(name))
+def _too_long(table: str, **columns: str) -> list[tuple[str, object]]:
+    """One rule per column that the schema bounds: form column -> domain column."""
+    bounds = TABLES[table].max_length
+    return [(f"{name} is longer than {bounds[name]} characters", X.longer_than(col, bounds[name]))
+            for col, name in columns.items() if name in bounds]
 
 
 def intake_students(T, batch: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
@@ -124,14 +149,16 @@ def intake_students(T, batch: DataFrame | None = None) -> tuple[DataFrame, DataF
     skills = [F.col("skills")] if has_skills else []
     f = b.select("form_id", "student_id", "phone", *skills,
                  X.strip("name").alias("n"), X.normal_email("email").alias("e"),
-                 X.parse_decimal("cgpa", 4, 2).alias("g"),
+                 X.parse_number("cgpa").alias("g"), X.parse_long("student_id").alias("id"),
                  X.parse_int("graduation_year").alias("y"), X.parse_date("dob").alias("d"),
                  X.parse_long("department_id").alias("dep"))
     dept = _flag(T.department.select(F.col("department_id").alias("dep")), ["dep"], "dep_ok")
     taken = _flag(T.user_account.select(F.lower("email").alias("e")), ["e"], "taken")
-    f = (f.join(dept, "dep", "left").join(taken, "e", "left")
-          .join(_first_in_batch(f, ["e"]), "e", "left"))
+    known = _flag(T.student.select(F.col("student_id").alias("id")), ["id"], "id_known")
+    f = f.join(dept, "dep", "left").join(taken, "e", "left").join(known, "id", "left")
     rules = [
+        (R_ID, F.col("id").isNull()),
+        (R_ID_TAKEN, _is("id_known")),
         (R_NAME, F.col("n") == ""),
         (R_EMAIL, ~X.is_email("e")),
         (R_CGPA, F.col("g").isNull() | (F.col("g") < 0) | (F.col("g") > 10)),
@@ -140,7 +167,7 @@ def intake_students(T, batch: DataFrame | None = None) -> tuple[DataFrame, DataF
         (R_DOB, F.col("d").isNull()),
         (R_DEPARTMENT, ~_is("dep_ok")),
         (R_EMAIL_TAKEN, _is("taken")),
-        (R_EMAIL_TWICE, F.col("form_id") != F.col("first_id")),
+        *_too_long("student", n="name", e="email"),
     ]
     if has_skills:
         asked = (f.select("form_id", F.explode("skills").alias("s"))
@@ -151,22 +178,23 @@ def intake_students(T, batch: DataFrame | None = None) -> tuple[DataFrame, DataF
         rules += [
             (R_REG_SKILL, _is("bad_skill")),
             (R_REG_PROFICIENCY,
-             F.exists("skills", lambda x: ~x["proficiency"].isin(*PROFICIENCIES))),
+             F.exists("skills", lambda x: ~F.coalesce(x["proficiency"], F.lit("Beginner"))
+                      .isin(*PROFICIENCIES))),
             (R_REG_SKILL_TWICE, F.size(F.array_distinct(ids)) < F.size("skills")),
         ]
-    accepted = [X.parse_long("student_id").alias("student_id"), F.col("n").alias("name"),
+    accepted = ["form_id", F.col("id").alias("student_id"), F.col("n").alias("name"),
                 F.col("e").alias("email"), F.col("d").alias("dob"),
-                (F.col("g") * 100).cast("int").alias("cgpa_x100"),
+                F.round(F.col("g") * 100).cast("int").alias("cgpa_x100"),
                 F.col("y").alias("graduation_year"), F.col("dep").alias("department_id"),
                 *skills]
-    return _split(f, rules, accepted)
+    return _split(f, rules, accepted, [(R_EMAIL_TWICE, ["e"], None), (R_ID_TWICE, ["id"], None)])
 
 
 def registered_skills(accepted: DataFrame) -> DataFrame:
     """student_skill rows of accepted registrations (one per selected skill)."""
     return (accepted.select("student_id", F.explode("skills").alias("s"))
             .select("student_id", X.parse_long(F.col("s.skill_id")).alias("skill_id"),
-                    F.col("s.proficiency").alias("proficiency")))
+                    F.coalesce(F.col("s.proficiency"), F.lit("Beginner")).alias("proficiency")))
 
 
 def intake_companies(T, batch: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
@@ -177,7 +205,7 @@ def intake_companies(T, batch: DataFrame | None = None) -> tuple[DataFrame, Data
                  X.strip("location").alias("loc"), X.normal_email("email").alias("e"))
     acc = T.user_account.select(F.lower("email").alias("e"), "user_id")
     f = _owned_by_other(f, acc, "e", "user_id", "acc_taken")
-    f = _owned_by_other(f, T.company.select(F.col("email").alias("e"), "company_id"),
+    f = _owned_by_other(f, T.company.select(F.lower("email").alias("e"), "company_id"),
                         "e", "company_id", "email_taken")
     f = _owned_by_other(f, T.company.select(F.col("company_name").alias("n"), "company_id"),
                         "n", "company_id", "name_taken")
@@ -191,23 +219,25 @@ def intake_companies(T, batch: DataFrame | None = None) -> tuple[DataFrame, Data
         (R_EMAIL_OTHER_ACCOUNT, _is("acc_taken")),
         (R_EMAIL_OTHER_COMPANY, _is("email_taken")),
         (R_NAME_OTHER_COMPANY, _is("name_taken")),
+        *_too_long("company", n="company_name", ind="industry", loc="location", e="email",
+                   website="website"),
     ]
-    accepted = ["company_id", F.col("n").alias("company_name"), F.col("ind").alias("industry"),
+    accepted = ["form_id", "company_id", F.col("n").alias("company_name"), F.col("ind").alias("industry"),
                 F.col("loc").alias("location"), X.blank_to_null("website").alias("website"),
                 F.col("e").alias("email")]
-    return _split(f, rules, accepted)
+    return _split(f, rules, accepted, [(R_COMPANY_EMAIL_TWICE, ["e"], "company_id"),
+                                       (R_COMPANY_NAME_TWICE, ["n"], "company_id")])
 
 
 def intake_jobs(T, batch: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """V3: job postings/edits; skill ids de-duplicated keeping first (C3),
     all must exist (C4, as an anti join), recruiter must be the company's."""
     b = T.job_form if batch is None else batch
-    f = b.select("form_id", "job_id", "company_id", "status",
+    f = b.select("form_id", "job_id", "company_id", X.text("status").alias("status"),
                  X.parse_long("recruiter_id").alias("recruiter_id"),
                  X.strip("job_title").alias("t"), X.strip("job_type").alias("ty"),
                  X.strip("description").alias("ds"), X.strip("location").alias("loc"),
-                 X.parse_decimal("minimum_cgpa", 4, 2).alias("m"),
-                 X.parse_decimal("salary", 12, 2).alias("sal"),
+                 X.parse_number("minimum_cgpa").alias("m"), X.parse_number("salary").alias("sal"),
                  X.parse_date("deadline").alias("dl"),
                  F.array_distinct("skills").alias("skill_ids"))
     asked = f.select("form_id", F.explode("skill_ids").alias("skill_id"))
@@ -222,17 +252,18 @@ def intake_jobs(T, batch: DataFrame | None = None) -> tuple[DataFrame, DataFrame
         (R_DESCRIPTION, F.col("ds") == ""),
         (R_LOCATION, F.col("loc") == ""),
         (R_MIN_CGPA, F.col("m").isNull() | (F.col("m") < 0) | (F.col("m") > 10)),
-        (R_SALARY, F.col("sal").isNull() | (F.col("sal") < 0)),
+        (R_SALARY, _bad_salary()),
         (R_DEADLINE, F.col("dl").isNull()),
         (R_JOB_STATUS, ~F.col("status").isin(*JOB_STATUSES)),
         (R_SKILLS, _is("bad_skill")),
         (R_RECRUITER, ~_is("rec_ok")),
+        *_too_long("job", t="job_title", ty="job_type", loc="location"),
     ]
-    accepted = ["job_id", "company_id", "recruiter_id", F.col("t").alias("job_title"),
+    accepted = ["form_id", "job_id", "company_id", "recruiter_id", F.col("t").alias("job_title"),
                 F.col("ty").alias("job_type"), F.col("ds").alias("description"),
-                F.col("loc").alias("location"), (F.col("m") * 100).cast("int").alias("min_cgpa_x100"),
+                F.col("loc").alias("location"), F.round(F.col("m") * 100).cast("int").alias("min_cgpa_x100"),
                 F.col("dl").alias("application_deadline"),
-                F.col("sal").cast("double").alias("salary"), "status", "skill_ids"]
+                F.col("sal").try_cast("decimal(12,2)").cast("double").alias("salary"), "status", "skill_ids"]
     return _split(f, rules, accepted)
 
 
@@ -255,6 +286,7 @@ def intake_certifications(T, batch: DataFrame | None = None) -> tuple[DataFrame,
         (R_EXPIRY, ~blank_expiry & F.col("exp").isNull()),
         (R_EXPIRY_ORDER, F.col("exp") < F.col("iss")),
         (R_STUDENT, ~_is("st_ok")),
+        *_too_long("certification", cn="certification_name", org="issuing_organization"),
     ]
     accepted = [F.col("form_id").alias("certification_id"), F.col("sid").alias("student_id"),
                 F.col("cn").alias("certification_name"),
@@ -273,7 +305,8 @@ def _owners(T) -> DataFrame:
 def intake_interviews(T, batch: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """V5: interviews; the application must belong to the calling company."""
     b = T.interview_form if batch is None else batch
-    f = b.select("form_id", "company_id", "mode", "interview_status", "remarks",
+    f = b.select("form_id", "company_id", X.text("mode").alias("mode"),
+                 X.text("interview_status").alias("interview_status"), "remarks",
                  X.parse_long("application_id").alias("aid"),
                  X.parse_date("interview_date").alias("dt"),
                  X.parse_time_of_day("interview_time").alias("tm"))
@@ -295,53 +328,49 @@ def intake_interviews(T, batch: DataFrame | None = None) -> tuple[DataFrame, Dat
 def intake_offers(T, batch: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """V6: offers; only for owned, Selected applications without an offer."""
     b = T.offer_form if batch is None else batch
-    f = b.select("form_id", "company_id", "offer_status",
+    f = b.select("form_id", "company_id", X.text("offer_status").alias("offer_status"),
                  X.parse_long("application_id").alias("aid"),
                  X.parse_date("offer_date").alias("od"), X.parse_date("joining_date").alias("jd"),
                  X.strip("job_title").alias("t"),
-                 X.parse_decimal("salary", 12, 2).alias("sal"))
+                 X.parse_number("salary").alias("sal"))
     has_offer = _flag(T.offer.select(F.col("application_id").alias("aid")), ["aid"], "has_offer")
-    f = (f.join(_owners(T), "aid", "left").join(has_offer, "aid", "left")
-          .join(_first_in_batch(f, ["aid"]), "aid", "left"))
+    f = f.join(_owners(T), "aid", "left").join(has_offer, "aid", "left")
     rules = [
         (R_OFFER_DATE, F.col("od").isNull()),
         (R_JOINING_DATE, F.col("jd").isNull()),
         (R_OFFER_TITLE, F.col("t") == ""),
         (R_OFFER_TITLE_LONG, X.longer_than("t", 150)),
-        (R_SALARY, F.col("sal").isNull() | (F.col("sal") < 0)),
+        (R_SALARY, _bad_salary()),
         (R_OFFER_STATUS, ~F.col("offer_status").isin(*OFFER_STATUSES)),
         (R_JOINING_ORDER, F.col("jd") < F.col("od")),
         (R_NOT_OWNED, ~F.coalesce(F.col("owner_id") == F.col("company_id"), F.lit(False))),
         (R_NOT_SELECTED, F.col("owner_id").isNotNull() & (F.col("app_status") != "Selected")),
         (R_OFFER_EXISTS, _is("has_offer")),
-        (R_APP_TWICE, F.col("form_id") != F.col("first_id")),
     ]
     accepted = [F.col("form_id").alias("offer_id"), F.col("aid").alias("application_id"),
                 F.col("od").alias("offer_date"), F.col("t").alias("job_title"),
-                F.col("sal").cast("double").alias("salary"), F.col("jd").alias("joining_date"),
+                F.col("sal").try_cast("decimal(12,2)").cast("double").alias("salary"), F.col("jd").alias("joining_date"),
                 "offer_status"]
-    return _split(f, rules, accepted)
+    return _split(f, rules, accepted, [(R_APP_TWICE, ["aid"], None)])
 
 
 def intake_student_skills(T, batch: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """V7: skill adds/updates; a held skill may only be updated when asked."""
     b = T.student_skill_form if batch is None else batch
-    f = b.select("form_id", "student_id", "proficiency", "allow_update",
+    f = b.select("form_id", "student_id", X.text("proficiency").alias("proficiency"), "allow_update",
                  X.parse_long("skill_id").alias("skill_id"))
     known = _flag(T.skill.select("skill_id"), ["skill_id"], "skill_ok")
     held = _flag(T.student_skill.select("student_id", "skill_id"), ["student_id", "skill_id"],
                  "held")
-    f = (f.join(known, "skill_id", "left").join(held, ["student_id", "skill_id"], "left")
-          .join(_first_in_batch(f, ["student_id", "skill_id"]), ["student_id", "skill_id"], "left"))
+    f = f.join(known, "skill_id", "left").join(held, ["student_id", "skill_id"], "left")
     rules = [
         (R_PROFICIENCY, ~F.col("proficiency").isin(*PROFICIENCIES)),
         (R_SKILL, ~_is("skill_ok")),
-        (R_SKILL_HELD, _is("held") & ~F.col("allow_update")),
-        (R_SKILL_TWICE, F.col("form_id") != F.col("first_id")),
+        (R_SKILL_HELD, _is("held") & ~_is("allow_update")),
     ]
     accepted = ["student_id", "skill_id", "proficiency",
                 F.when(_is("held"), "update").otherwise("insert").alias("action")]
-    return _split(f, rules, accepted)
+    return _split(f, rules, accepted, [(R_SKILL_TWICE, ["student_id", "skill_id"], None)])
 
 
 INTAKES = {

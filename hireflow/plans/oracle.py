@@ -144,8 +144,11 @@ BINDING = {
 
 FORMS = {
     "student_form": """
-        SELECT c_custkey AS form_id, CAST(c_custkey + 1000000000 AS VARCHAR) AS student_id,
-               CASE WHEN c_custkey % 97 = 0 THEN '   ' ELSE '  ' || c_name || ' ' END AS name,
+        SELECT c_custkey AS form_id, CASE WHEN c_custkey % 73 = 0 THEN 'abc' WHEN c_custkey % 79 = 0 THEN CAST(c_custkey AS VARCHAR)
+                    ELSE CAST(c_custkey + 1000000000 - CASE WHEN c_custkey % 83 = 0 THEN 1 ELSE 0 END AS VARCHAR)
+               END AS student_id,
+               CASE WHEN c_custkey % 97 = 0 THEN '   ' WHEN c_custkey % 67 = 0 THEN NULL
+                    WHEN c_custkey % 71 = 0 THEN repeat('n', 121) ELSE '  ' || c_name || ' ' END AS name,
                CASE WHEN c_custkey % 89 = 0 THEN 'no-at-sign.example'
                     WHEN c_custkey % 50 = 0 THEN upper(lower(c_name) || '@campus.example')
                     WHEN c_custkey % 31 <= 1
@@ -158,6 +161,7 @@ FORMS = {
                          CAST(1 + c_custkey % 12 AS VARCHAR) || '-' ||
                          CAST(1 + c_custkey % 28 AS VARCHAR) END AS dob,
                CASE WHEN c_custkey % 101 = 0 THEN 'NaN' WHEN c_custkey % 103 = 0 THEN '-1.50'
+                    WHEN c_custkey % 47 = 0 THEN '10.004' WHEN c_custkey % 61 = 0 THEN NULL
                     ELSE CAST((c_custkey * 37) % 1100 // 100 AS VARCHAR) || '.' ||
                          lpad(CAST((c_custkey * 37) % 1100 % 100 AS VARCHAR), 2, '0') END AS cgpa,
                CAST(1890 + (c_custkey * 7) % 320 AS VARCHAR) AS graduation_year,
@@ -204,13 +208,13 @@ FORMS = {
                CASE WHEN p.p_partkey % 23 = 0 THEN '' ELSE p.p_name END AS job_title,
                p.p_type AS job_type, 'Updated ' || p.p_name AS description,
                'NATION_' || CAST(p.p_partkey % 25 AS VARCHAR) AS location,
-               CASE WHEN p.p_partkey % 13 = 0 THEN '11.00'
+               CASE WHEN p.p_partkey % 13 = 0 THEN '11.00' WHEN p.p_partkey % 53 = 0 THEN '-0.004'
                     ELSE CAST(p.p_size // 5 AS VARCHAR) || '.50' END AS minimum_cgpa,
                CASE WHEN p.p_partkey % 17 = 0 THEN '-5' WHEN p.p_partkey % 19 = 0 THEN 'NaN'
                     ELSE CAST(CAST(floor(p.p_retailprice) AS BIGINT) AS VARCHAR) || '.00' END AS salary,
                CASE WHEN p.p_partkey % 29 = 0 THEN '2001-13-01'
                     ELSE '2001-' || CAST(1 + p.p_partkey % 12 AS VARCHAR) || '-15' END AS deadline,
-               CASE WHEN p.p_partkey % 31 = 0 THEN 'Paused' WHEN p.p_size % 5 = 0 THEN 'Closed'
+               CASE WHEN p.p_partkey % 31 = 0 THEN 'Paused' WHEN p.p_partkey % 43 = 0 THEN NULL WHEN p.p_size % 5 = 0 THEN 'Closed'
                     ELSE 'Open' END AS status,
                CASE WHEN p.p_partkey % 37 = 0
                          THEN [p.p_partkey % 25 + 1, (p.p_partkey * 7) % 25 + 1, 999]
@@ -220,7 +224,7 @@ FORMS = {
         FROM part p JOIN job j ON j.job_id = p.p_partkey""",
     "certification_form": """
         SELECT o_orderkey AS form_id, CAST(o_custkey AS VARCHAR) AS student_id,
-               CASE WHEN o_orderkey % 41 = 0 THEN ' ' ELSE o_orderpriority END AS certification_name,
+               CASE WHEN o_orderkey % 41 = 0 THEN ' ' WHEN o_orderkey % 47 = 0 THEN NULL ELSE o_orderpriority END AS certification_name,
                'Board ' || o_orderstatus AS issuing_organization,
                CASE WHEN o_orderkey % 43 = 0 THEN 'someday'
                     ELSE strftime(CAST(o_orderdate AS DATE), '%Y-%m-%d') END AS issue_date,

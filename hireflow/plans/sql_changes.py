@@ -70,8 +70,8 @@ _REG_SKILLS = f"""
     UNION ALL
     SELECT n.student_id, n.skill_id, n.proficiency FROM (
         SELECT a.student_id, {_long('u.x.skill_id')} AS skill_id, u.x.proficiency AS proficiency
-        FROM {_ACCEPTED_STUDENTS} a
-        JOIN student_form f ON {_long('f.student_id')} = a.student_id,
+        FROM {_acc('students')} a
+        JOIN student_form f ON f.form_id = a.form_id,
         unnest(f.skills) AS u(x)) n
     WHERE NOT EXISTS (SELECT 1 FROM student_skill ss
                       WHERE ss.student_id = n.student_id AND ss.skill_id = n.skill_id)"""

@@ -9,7 +9,7 @@ from ..operators import intake as V
 
 
 def _strip(x: str) -> str:
-    return rf"regexp_replace({x}, '^\s+|\s+$', '', 'g')"
+    return rf"regexp_replace(coalesce({x}, ''), '^\s+|\s+$', '', 'g')"
 
 
 def _match(x: str, pattern: str) -> str:
@@ -22,12 +22,12 @@ def _int(x: str, kind: str = "INTEGER", pattern: str = X.INT_PATTERN) -> str:
 
 
 def _long(x: str) -> str:
-    return _int(x, "BIGINT", X.LONG_PATTERN)
+    return _int(x, "BIGINT")
 
 
-def _dec(x: str, p: int, sc: int) -> str:
+def _number(x: str) -> str:
     s = _strip(x)
-    return f"CASE WHEN {_match(s, X.DECIMAL_PATTERN)} THEN TRY_CAST({s} AS DECIMAL({p},{sc})) END"
+    return f"CASE WHEN {_match(s, X.DECIMAL_PATTERN)} THEN TRY_CAST({s} AS DECIMAL(38,18)) END"
 
 
 def _date(x: str) -> str:
@@ -62,19 +62,39 @@ def _reasons(rules) -> str:
         f"CASE WHEN coalesce({cond}, FALSE) THEN '{text}' END" for text, cond in rules) + ")"
 
 
-def _split(checked: str, rules, accepted_cols: str) -> tuple[str, str]:
-    body = f"WITH f AS ({checked}), r AS (SELECT *, {_reasons(rules)} AS reasons_text FROM f)"
-    return (f"{body} SELECT {accepted_cols} FROM r WHERE reasons_text = ''",
-            f"{body} SELECT form_id, reasons_text FROM r WHERE reasons_text <> ''")
+def _too_long(**bounds: int) -> list[tuple[str, str]]:
+    return [(f"{name} is longer than {n} characters", f"length({col}) > {n}")
+            for key, n in bounds.items() for col, name in [key.split("__")]]
+
+
+def _split(checked: str, rules, accepted_cols: str, once=()) -> tuple[str, str]:
+    """``once``: (reason, key, owner). Rows still valid are taken in form order; a row whose
+    key an earlier valid row (of another owner) has gets the reason."""
+    body, last = f"WITH f AS ({checked}), r0 AS (SELECT *, {_reasons(rules)} AS reasons_text FROM f)", "r0"
+    for turn, (text, key, owner) in enumerate(once, 1):
+        clash = " AND ".join(f"e.{k} = x.{k}" for k in key.split(", "))
+        mine = f"AND (e.{owner} IS DISTINCT FROM x.{owner})" if owner else ""
+        first = f"AND NOT EXISTS (SELECT 1 FROM {last} d WHERE d.reasons_text = '' AND d.form_id < e.form_id AND " \
+                + " AND ".join(f"d.{k} = e.{k}" for k in key.split(", ")) + ")"
+        body += (f", r{turn} AS (SELECT x.* REPLACE (CASE WHEN x.reasons_text = '' AND EXISTS (SELECT 1 FROM {last} e "
+                 f"WHERE e.reasons_text = '' AND e.form_id < x.form_id AND {clash} {mine} {first}) "
+                 f"THEN '{text}' ELSE x.reasons_text END AS reasons_text) FROM {last} x)")
+        last = f"r{turn}"
+    return (f"{body} SELECT {accepted_cols} FROM {last} WHERE reasons_text = ''",
+            f"{body} SELECT form_id, reasons_text FROM {last} WHERE reasons_text <> ''")
+
+
+_BAD_SALARY = "sal IS NULL OR sal < 0 OR TRY_CAST(sal AS DECIMAL(12,2)) IS NULL"
 
 
 _students = _split(
     f"""SELECT b.*, {_strip('b.name')} AS n, lower({_strip('b.email')}) AS e,
-               {_dec('b.cgpa', 4, 2)} AS g, {_int('b.graduation_year')} AS y,
-               {_date('b.dob')} AS d, {_long('b.department_id')} AS dep,
-               min(b.form_id) OVER (PARTITION BY lower({_strip('b.email')})) AS first_id
+               {_number('b.cgpa')} AS g, {_int('b.graduation_year')} AS y,
+               {_date('b.dob')} AS d, {_long('b.department_id')} AS dep, {_long('b.student_id')} AS id
         FROM student_form b""",
-    [(V.R_NAME, "n = ''"),
+    [(V.R_ID, "id IS NULL"),
+     (V.R_ID_TAKEN, "EXISTS (SELECT 1 FROM student s WHERE s.student_id = id)"),
+     (V.R_NAME, "n = ''"),
      (V.R_EMAIL, f"NOT {_email_ok('e')}"),
      (V.R_CGPA, "g IS NULL OR g < 0 OR g > 10"),
      (V.R_YEAR, "y IS NULL OR y < 1900 OR y > 2200"),
@@ -82,18 +102,19 @@ _students = _split(
      (V.R_DOB, "d IS NULL"),
      (V.R_DEPARTMENT, "NOT EXISTS (SELECT 1 FROM department x WHERE x.department_id = dep)"),
      (V.R_EMAIL_TAKEN, "EXISTS (SELECT 1 FROM user_account u WHERE lower(u.email) = e)"),
-     (V.R_EMAIL_TWICE, "form_id <> first_id"),
+     *_too_long(n__name=120, e__email=150),
      (V.R_REG_SKILL, f"EXISTS (SELECT 1 FROM (SELECT unnest(f.skills) AS x) u "
                      f"WHERE NOT EXISTS (SELECT 1 FROM skill k "
                      f"WHERE k.skill_id = {_long('u.x.skill_id')}))"),
      (V.R_REG_PROFICIENCY, "EXISTS (SELECT 1 FROM (SELECT unnest(f.skills) AS x) u "
-                           "WHERE u.x.proficiency NOT IN ('Beginner', 'Intermediate', 'Advanced'))"),
+                           "WHERE coalesce(u.x.proficiency, 'Beginner') NOT IN "
+                           "('Beginner', 'Intermediate', 'Advanced'))"),
      (V.R_REG_SKILL_TWICE,
       f"len(list_distinct(list_transform(skills, lambda x: {_strip('x.skill_id')}))) < len(skills)")],
-    f"{_long('student_id')} AS student_id, n AS name, e AS email, d AS dob, "
-    "CAST(g * 100 AS INTEGER) AS cgpa_x100, y AS graduation_year, dep AS department_id, "
+    "form_id, id AS student_id, n AS name, e AS email, d AS dob, "
+    "CAST(round(g * 100) AS INTEGER) AS cgpa_x100, y AS graduation_year, dep AS department_id, "
     "array_to_string(list_sort(list_transform(skills, lambda x: x.skill_id || ':' || x.proficiency)), ',') "
-    "AS skills_text")
+    "AS skills_text", [(V.R_EMAIL_TWICE, "e", None), (V.R_ID_TWICE, "id", None)])
 
 _companies = _split(
     f"""SELECT b.*, {_strip('b.company_name')} AS n, {_strip('b.industry')} AS ind,
@@ -106,19 +127,21 @@ _companies = _split(
      (V.R_WEBSITE, f"NOT {_blank_or('website', X.WEBSITE_PATTERN)}"),
      (V.R_PHONE, f"NOT {_blank_or('phone', X.PHONE_PATTERN)}"),
      (V.R_EMAIL_OTHER_ACCOUNT,
-      "EXISTS (SELECT 1 FROM user_account u WHERE lower(u.email) = e AND u.user_id <> f.user_id)"),
+      "EXISTS (SELECT 1 FROM user_account u WHERE lower(u.email) = e AND (f.user_id IS NULL OR u.user_id <> f.user_id))"),
      (V.R_EMAIL_OTHER_COMPANY,
-      "EXISTS (SELECT 1 FROM company c WHERE c.email = e AND c.company_id <> f.company_id)"),
+      "EXISTS (SELECT 1 FROM company c WHERE lower(c.email) = e AND (f.company_id IS NULL OR c.company_id <> f.company_id))"),
      (V.R_NAME_OTHER_COMPANY,
-      "EXISTS (SELECT 1 FROM company c WHERE c.company_name = n AND c.company_id <> f.company_id)")],
-    f"company_id, n AS company_name, ind AS industry, loc AS location, "
-    f"nullif({_strip('website')}, '') AS website, e AS email")
+      "EXISTS (SELECT 1 FROM company c WHERE c.company_name = n AND (f.company_id IS NULL OR c.company_id <> f.company_id))"),
+     *_too_long(n__company_name=150, ind__industry=100, loc__location=150, e__email=150, website__website=255)],
+    f"form_id, company_id, n AS company_name, ind AS industry, loc AS location, "
+    f"nullif({_strip('website')}, '') AS website, e AS email",
+    [(V.R_COMPANY_EMAIL_TWICE, "e", "company_id"), (V.R_COMPANY_NAME_TWICE, "n", "company_id")])
 
 _jobs = _split(
-    f"""SELECT b.form_id, b.job_id, b.company_id, b.status, {_long('b.recruiter_id')} AS recruiter_id,
+    f"""SELECT b.form_id, b.job_id, b.company_id, coalesce(b.status, '') AS status, {_long('b.recruiter_id')} AS recruiter_id,
                {_strip('b.job_title')} AS t, {_strip('b.job_type')} AS ty,
                {_strip('b.description')} AS ds, {_strip('b.location')} AS loc,
-               {_dec('b.minimum_cgpa', 4, 2)} AS m, {_dec('b.salary', 12, 2)} AS sal,
+               {_number('b.minimum_cgpa')} AS m, {_number('b.salary')} AS sal,
                {_date('b.deadline')} AS dl, list_distinct(b.skills) AS skill_set,
                EXISTS (SELECT 1 FROM (SELECT unnest(b.skills) AS sid) u
                        WHERE u.sid NOT IN (SELECT skill_id FROM skill)) AS bad_skill
@@ -128,15 +151,16 @@ _jobs = _split(
      (V.R_DESCRIPTION, "ds = ''"),
      (V.R_LOCATION, "loc = ''"),
      (V.R_MIN_CGPA, "m IS NULL OR m < 0 OR m > 10"),
-     (V.R_SALARY, "sal IS NULL OR sal < 0"),
+     (V.R_SALARY, _BAD_SALARY),
      (V.R_DEADLINE, "dl IS NULL"),
      (V.R_JOB_STATUS, f"NOT {_in('status', ('Open', 'Closed'))}"),
      (V.R_SKILLS, "bad_skill"),
      (V.R_RECRUITER, "NOT EXISTS (SELECT 1 FROM recruiter x WHERE x.recruiter_id = f.recruiter_id "
-                     "AND x.company_id = f.company_id)")],
-    "job_id, company_id, recruiter_id, t AS job_title, ty AS job_type, ds AS description, "
-    "loc AS location, CAST(m * 100 AS INTEGER) AS min_cgpa_x100, dl AS application_deadline, "
-    "CAST(sal AS DOUBLE) AS salary, status, "
+                     "AND x.company_id = f.company_id)"),
+     *_too_long(t__job_title=150, ty__job_type=50, loc__location=150)],
+    "form_id, job_id, company_id, recruiter_id, t AS job_title, ty AS job_type, ds AS description, "
+    "loc AS location, CAST(round(m * 100) AS INTEGER) AS min_cgpa_x100, dl AS application_deadline, "
+    "CAST(TRY_CAST(sal AS DECIMAL(12,2)) AS DOUBLE) AS salary, status, "
     "array_to_string(list_sort(skill_set), ',') AS skills_text")
 
 _certifications = _split(
@@ -149,7 +173,8 @@ _certifications = _split(
      (V.R_ISSUE, "iss IS NULL"),
      (V.R_EXPIRY, f"{_strip('expiry_date')} <> '' AND exp IS NULL"),
      (V.R_EXPIRY_ORDER, "exp < iss"),
-     (V.R_STUDENT, "NOT EXISTS (SELECT 1 FROM student s WHERE s.student_id = sid)")],
+     (V.R_STUDENT, "NOT EXISTS (SELECT 1 FROM student s WHERE s.student_id = sid)"),
+     *_too_long(cn__certification_name=150, org__issuing_organization=150)],
     "form_id AS certification_id, sid AS student_id, cn AS certification_name, "
     "org AS issuing_organization, iss AS issue_date, exp AS expiry_date")
 
@@ -157,7 +182,8 @@ _OWNER = """(SELECT j.company_id FROM application a JOIN job j ON j.job_id = a.j
              WHERE a.application_id = {aid})"""
 
 _interviews = _split(
-    f"""SELECT b.*, {_long('b.application_id')} AS aid, {_date('b.interview_date')} AS dt,
+    f"""SELECT b.* REPLACE (coalesce(b.mode, '') AS mode, coalesce(b.interview_status, '') AS interview_status),
+               {_long('b.application_id')} AS aid, {_date('b.interview_date')} AS dt,
                {_time('b.interview_time')} AS tm
         FROM interview_form b""",
     [(V.R_INTERVIEW_DATE, "dt IS NULL"),
@@ -170,38 +196,37 @@ _interviews = _split(
     f"tm AS interview_time, mode, interview_status, nullif({_strip('remarks')}, '') AS remarks")
 
 _offers = _split(
-    f"""SELECT b.*, {_long('b.application_id')} AS aid, {_date('b.offer_date')} AS od,
+    f"""SELECT b.* REPLACE (coalesce(b.offer_status, '') AS offer_status),
+               {_long('b.application_id')} AS aid, {_date('b.offer_date')} AS od,
                {_date('b.joining_date')} AS jd, {_strip('b.job_title')} AS t,
-               {_dec('b.salary', 12, 2)} AS sal,
-               min(b.form_id) OVER (PARTITION BY {_long('b.application_id')}) AS first_id
+               {_number('b.salary')} AS sal
         FROM offer_form b""",
     [(V.R_OFFER_DATE, "od IS NULL"),
      (V.R_JOINING_DATE, "jd IS NULL"),
      (V.R_OFFER_TITLE, "t = ''"),
      (V.R_OFFER_TITLE_LONG, "length(t) > 150"),
-     (V.R_SALARY, "sal IS NULL OR sal < 0"),
+     (V.R_SALARY, _BAD_SALARY),
      (V.R_OFFER_STATUS, f"NOT {_in('offer_status', ('Pending', 'Accepted', 'Withdrawn'))}"),
      (V.R_JOINING_ORDER, "jd < od"),
      (V.R_NOT_OWNED, f"NOT coalesce({_OWNER.format(aid='f.aid')} = f.company_id, FALSE)"),
      (V.R_NOT_SELECTED, "EXISTS (SELECT 1 FROM application a JOIN job j ON j.job_id = a.job_id "
                         "WHERE a.application_id = f.aid AND a.status <> 'Selected')"),
-     (V.R_OFFER_EXISTS, "EXISTS (SELECT 1 FROM offer o WHERE o.application_id = f.aid)"),
-     (V.R_APP_TWICE, "form_id <> first_id")],
+     (V.R_OFFER_EXISTS, "EXISTS (SELECT 1 FROM offer o WHERE o.application_id = f.aid)")],
     "form_id AS offer_id, aid AS application_id, od AS offer_date, t AS job_title, "
-    "CAST(sal AS DOUBLE) AS salary, jd AS joining_date, offer_status")
+    "CAST(TRY_CAST(sal AS DECIMAL(12,2)) AS DOUBLE) AS salary, jd AS joining_date, offer_status",
+    [(V.R_APP_TWICE, "aid", None)])
 
 _skills = _split(
-    f"""SELECT b.form_id, b.student_id, b.proficiency, b.allow_update,
-               {_long('b.skill_id')} AS skill_id,
-               min(b.form_id) OVER (PARTITION BY b.student_id, {_long('b.skill_id')}) AS first_id,
+    f"""SELECT b.form_id, b.student_id, coalesce(b.proficiency, '') AS proficiency,
+               coalesce(b.allow_update, FALSE) AS allow_update, {_long('b.skill_id')} AS skill_id,
                EXISTS (SELECT 1 FROM student_skill ss WHERE ss.student_id = b.student_id
                        AND ss.skill_id = {_long('b.skill_id')}) AS held
         FROM student_skill_form b""",
     [(V.R_PROFICIENCY, f"NOT {_in('proficiency', ('Beginner', 'Intermediate', 'Advanced'))}"),
      (V.R_SKILL, "NOT EXISTS (SELECT 1 FROM skill k WHERE k.skill_id = f.skill_id)"),
-     (V.R_SKILL_HELD, "held AND NOT allow_update"),
-     (V.R_SKILL_TWICE, "form_id <> first_id")],
-    "student_id, skill_id, proficiency, CASE WHEN held THEN 'update' ELSE 'insert' END AS action")
+     (V.R_SKILL_HELD, "held AND NOT allow_update")],
+    "student_id, skill_id, proficiency, CASE WHEN held THEN 'update' ELSE 'insert' END AS action",
+    [(V.R_SKILL_TWICE, "student_id, skill_id", None)])
 
 SQL = {}
 for _name, (_acc, _quar) in {"students": _students, "companies": _companies, "jobs": _jobs,

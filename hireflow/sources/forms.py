@@ -37,11 +37,14 @@ def student_form(T) -> DataFrame:
               .when(k % 31 <= 1, F.concat(F.lit("twin"), _s(F.floor(k / 31)), F.lit("@campus.example")))
               .otherwise(F.concat(F.lit(" New."), F.col("c_name"), F.lit("@Campus.Example "))))
     cgpa = (F.when(k % 101 == 0, F.lit("NaN")).when(k % 103 == 0, F.lit("-1.50"))
+             .when(k % 47 == 0, F.lit("10.004")).when(k % 61 == 0, F.lit(None).cast("string"))
              .otherwise(F.concat(_s(F.floor(v / 100)), F.lit("."), F.lpad(_s(v % 100), 2, "0"))))
     return T.raw("customer").select(
         k.alias("form_id"),
-        _s(k + NEW_ID_OFFSET).alias("student_id"),
-        F.when(k % 97 == 0, F.lit("   ")).otherwise(F.concat(F.lit("  "), "c_name", F.lit(" ")))
+        F.when(k % 73 == 0, F.lit("abc")).when(k % 79 == 0, _s(k))
+         .otherwise(_s(k + NEW_ID_OFFSET - F.when(k % 83 == 0, 1).otherwise(0))).alias("student_id"),
+        F.when(k % 97 == 0, F.lit("   ")).when(k % 67 == 0, F.lit(None).cast("string"))
+         .when(k % 71 == 0, F.repeat(F.lit("n"), 121)).otherwise(F.concat(F.lit("  "), "c_name", F.lit(" ")))
          .alias("name"),
         email.alias("email"),
         F.when(k % 3 == 0, F.lit("")).when(k % 13 == 0, F.lit("call me"))
@@ -105,13 +108,13 @@ def job_form(T) -> DataFrame:
         F.col("p_type").alias("job_type"),
         F.concat(F.lit("Updated "), F.col("p_name")).alias("description"),
         F.concat(F.lit("NATION_"), _s(k % 25)).alias("location"),
-        F.when(k % 13 == 0, F.lit("11.00"))
+        F.when(k % 13 == 0, F.lit("11.00")).when(k % 53 == 0, F.lit("-0.004"))
          .otherwise(F.concat(_s(F.floor(F.col("p_size") / 5)), F.lit(".50"))).alias("minimum_cgpa"),
         F.when(k % 17 == 0, F.lit("-5")).when(k % 19 == 0, F.lit("NaN"))
          .otherwise(F.concat(_s(F.floor("p_retailprice")), F.lit(".00"))).alias("salary"),
         F.when(k % 29 == 0, F.lit("2001-13-01"))
          .otherwise(F.concat(F.lit("2001-"), _s(1 + k % 12), F.lit("-15"))).alias("deadline"),
-        F.when(k % 31 == 0, F.lit("Paused"))
+        F.when(k % 31 == 0, F.lit("Paused")).when(k % 43 == 0, F.lit(None).cast("string"))
          .when(F.col("p_size") % 5 == 0, F.lit("Closed")).otherwise(F.lit("Open")).alias("status"),
         skills.alias("skills")))
 
@@ -124,7 +127,8 @@ def certification_form(T) -> DataFrame:
     return o.select(
         k.alias("form_id"),
         _s(F.col("o_custkey")).alias("student_id"),
-        F.when(k % 41 == 0, F.lit(" ")).otherwise(F.col("o_orderpriority")).alias("certification_name"),
+        F.when(k % 41 == 0, F.lit(" ")).when(k % 47 == 0, F.lit(None).cast("string"))
+         .otherwise(F.col("o_orderpriority")).alias("certification_name"),
         F.concat(F.lit("Board "), F.col("o_orderstatus")).alias("issuing_organization"),
         F.when(k % 43 == 0, F.lit("someday")).otherwise(_date_text(issue)).alias("issue_date"),
         F.when(k % 3 == 0, F.lit("")).when(k % 5 == 0, F.lit("1990-01-01"))

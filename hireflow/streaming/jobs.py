@@ -27,14 +27,15 @@ from ..sources.schema import APPLICATION_STATUSES
 REQUEST_SCHEMA = "request_id bigint, student_id bigint, job_id bigint, ts timestamp_ntz"
 CHANGE_SCHEMA = ("change_id string, application_id bigint, company_id bigint, status string, "
                  "ts timestamp_ntz")
-DUPLICATE_DELIVERY_WINDOW = "7 days"
 
 
 def _prior(spark: SparkSession, path: str, epoch_id: int) -> DataFrame | None:
     """Output of earlier epochs (a replayed epoch ignores its own old output)."""
     try:
         return spark.read.parquet(path).where(F.col("epoch") < epoch_id).drop("epoch")
-    except AnalysisException:
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":      # nothing written yet
+            raise
         return None
 
 
@@ -55,25 +56,30 @@ def _source(spark: SparkSession, schema: str, source_dir: str, max_files: int |
 def stream_admission(spark: SparkSession, source_dir: str, T, out_dir: str, checkpoint: str,
                      as_of=DEFAULT_AS_OF, available_now: bool = True,
                      max_files_per_trigger: int | None = None) -> StreamingQuery:
-    """Admit application requests as they arrive.
+    """Admit application requests as they arrive, however late.
 
-    A request delivered twice (same request_id) within the watermark is
-    dropped by the stream itself; every micro-batch is then decided by the
-    batch twin against the applications table plus everything admitted by
-    earlier micro-batches (which the watermark state does not remember).
+    Every request ends in exactly one output: a request_id that an earlier epoch has
+    decided, or that is delivered twice in one micro-batch (the earliest counts), is
+    not decided again. The published ``seen`` ids are the memory for that, so nothing
+    is forgotten or dropped with time. Each micro-batch is decided by the batch twin
+    against the applications table plus everything admitted by earlier epochs.
     """
-    requests = (_source(spark, REQUEST_SCHEMA, source_dir, max_files_per_trigger)
-                .withColumn("event_time", F.col("ts").cast("timestamp"))
-                .withWatermark("event_time", DUPLICATE_DELIVERY_WINDOW)
-                .dropDuplicatesWithinWatermark(["request_id"])
-                .drop("event_time"))
+    requests = _source(spark, REQUEST_SCHEMA, source_dir, max_files_per_trigger)
 
     def per_batch(batch: DataFrame, epoch_id: int) -> None:
+        once = (batch.groupBy("request_id").agg(F.min(F.struct("ts", "student_id", "job_id")).alias("r"))
+                .select("request_id", "r.student_id", "r.job_id", "r.ts"))
+        seen = _prior(spark, f"{out_dir}/seen", epoch_id)
+        if seen is not None:
+            once = once.join(seen, "request_id", "left_anti")
+        new = once.persist()          # read by three outputs; a lost part is made again from the batch
         earlier = _prior(spark, f"{out_dir}/accepted", epoch_id)
         apps = T.application if earlier is None else T.application.unionByName(earlier)
-        accepted, rejected = admit_applications(T.with_tables(application=apps), batch, as_of)
+        accepted, rejected = admit_applications(T.with_tables(application=apps), new, as_of)
         accepted.write.mode("overwrite").parquet(f"{out_dir}/accepted/epoch={epoch_id}")
         rejected.write.mode("overwrite").parquet(f"{out_dir}/rejected/epoch={epoch_id}")
+        new.select("request_id").write.mode("overwrite").parquet(f"{out_dir}/seen/epoch={epoch_id}")
+        new.unpersist()
 
     return _start(requests, per_batch, checkpoint, available_now)
 
@@ -120,7 +126,8 @@ def latest_status_snapshot(spark: SparkSession, T, out_dir: str) -> DataFrame:
                          order=["ts", "change_id"])
 
 
-def stage(df: DataFrame, path: str, files: int = 4) -> str:
-    """Write a derived request/change stream as ``files`` parquet files."""
-    df.repartition(files).write.mode("overwrite").parquet(path)
+def stage(df: DataFrame, path: str, files: int | None = None) -> str:
+    """Write a derived request/change stream as parquet, in as many files as it has
+    partitions (``files`` fixes the number in tests)."""
+    (df.repartition(files) if files else df).write.mode("overwrite").parquet(path)
     return path

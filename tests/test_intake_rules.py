@@ -25,6 +25,11 @@ def test_numbers_parse_exactly_or_not_at_all(spark):
     assert one(spark, X.parse_decimal("v", 4, 2), "1e1") is None
     assert one(spark, X.parse_int("v"), "12.0") is None
     assert one(spark, X.parse_int("v"), " 12 ") == 12
+    assert one(spark, X.parse_int("v"), "0000000000012") == 12
+    assert one(spark, X.parse_long("v"), "9223372036854775807") == 2**63 - 1
+    assert one(spark, X.parse_long("v"), "9223372036854775808") is None
+    assert one(spark, X.parse_int("v"), None) is None
+    assert one(spark, X.strip("v"), "\u00a0 x\u3000") == "x" and one(spark, X.strip("v"), None) == ""
 
 
 def test_dates_and_times(spark):
@@ -63,7 +68,7 @@ def test_student_intake_splits_the_whole_batch(seed):
     assert q[3] == [V.R_EMAIL]
     assert q[4] == [V.R_CGPA, V.R_DOB]
     assert q[5] == [V.R_YEAR, V.R_DEPARTMENT]
-    assert q[6] == [V.R_NAME, V.R_PHONE, V.R_EMAIL_TWICE]
+    assert q[6] == [V.R_NAME, V.R_PHONE]      # form 5 with the same email is itself invalid
     assert accepted.count() + quarantined.count() == batch.count()
 
 
@@ -90,8 +95,8 @@ def test_registration_skills_rules_and_rows(seed):
 
 def test_company_taken_by_another_is_a_keyed_lookup(spark, seed):
     """One email held by many companies (dirty base): a form is refused when
-    some *other* company holds it, accepted when only itself does; a NULL own
-    id never counts as another owner (SQL semantics)."""
+    some *other* company holds it, accepted when only itself does; a company
+    still to be made (NULL id) may not take another's email."""
     from hireflow.sources.schema import TABLES
     base = spark.createDataFrame(
         [(i, f"Co{i}", "IT", "Pune", None, "dup@x.example") for i in (1, 2, 3)]
@@ -106,5 +111,36 @@ def test_company_taken_by_another_is_a_keyed_lookup(spark, seed):
     accepted, quarantined = V.intake_companies(T, forms)
     reasons = {r.form_id: r.reasons for r in quarantined.collect()}
     assert V.R_EMAIL_OTHER_COMPANY in reasons[1]
-    assert 2 not in reasons and 3 not in reasons
+    assert 2 not in reasons and V.R_EMAIL_OTHER_COMPANY in reasons[3]
     assert sorted(r.company_id for r in accepted.collect() if r.company_id is not None) == [7]
+
+
+def test_invalid_first_form_does_not_block_and_rounding_does_not_admit(seed):
+    rows = [
+        (1, "3001", "Eve", "eve@uni.example", "", "2004-1-2", "10.004", "2026", "1"),
+        (2, "3002", "Eva", "eve@uni.example", "", "2004-1-2", "9", "2026", "1"),
+        (3, "3003", "Evi", "eve@uni.example", "", "2004-1-2", "9", "2026", "1"),
+        (4, "3002", "Fay", "fay@uni.example", "", "2004-1-2", "9", "2026", "1"),
+        (5, "abc", "Gia", "gia@uni.example", "", "2004-1-2", "9", "2026", "1"),
+        (6, "3006", None, "hal@uni.example", None, "2004-1-2", "-0.004", "2026", "1"),
+        (7, "3007", "x" * 121, "ivy@uni.example", "", "2004-1-2", "9", "2026", "1"),
+    ]
+    batch = seed.spark.createDataFrame(
+        rows, "form_id bigint, student_id string, name string, email string, phone string, "
+              "dob string, cgpa string, graduation_year string, department_id string")
+    accepted, quarantined = V.intake_students(seed, batch)
+    assert [r.form_id for r in accepted.collect()] == [2]
+    assert {r.form_id: r.reasons for r in quarantined.collect()} == {
+        1: [V.R_CGPA], 3: [V.R_EMAIL_TWICE], 4: [V.R_ID_TWICE], 5: [V.R_ID], 6: [V.R_NAME, V.R_CGPA],
+        7: ["name is longer than 120 characters"]}
+
+
+def test_companies_may_not_take_one_name_in_one_batch(seed):
+    forms = seed.spark.createDataFrame(
+        [(1, None, None, "New", "IT", "Pune", "", "n@x.example", ""),
+         (2, 2, 90002, "New", "IT", "Pune", "", "m@x.example", "")],
+        "form_id long, company_id long, user_id long, company_name string, industry string, "
+        "location string, website string, email string, phone string")
+    accepted, quarantined = V.intake_companies(seed, forms)
+    assert accepted.count() == 1
+    assert [tuple(r) for r in quarantined.collect()] == [(2, [V.R_COMPANY_NAME_TWICE])]

@@ -68,3 +68,20 @@ def test_admission_stream_equals_batch_twin(seed):
     assert sorted(map(tuple, acc_s.collect())) == sorted(map(tuple, acc_b.collect()))
     assert (sorted((r.request_id, tuple(r.reasons)) for r in rej_s.collect())
             == sorted((r.request_id, tuple(r.reasons)) for r in rej_b.collect()))
+
+
+def test_admission_stream_decides_late_and_repeated_requests_once(seed):
+    """Four files, one per epoch: the second repeats requests, the last is years late."""
+    spark = seed.spark
+    base = _fresh(spark, "admission-late")
+    ask = "request_id bigint, student_id bigint, job_id bigint, ts timestamp_ntz"
+    r = [tuple(x) for x in seed.application_request.select("request_id", "student_id", "job_id", "ts").collect()]
+    late = [(900001, *r[0][1:3], r[0][3].replace(year=2000)), (900002, -1, r[0][2], r[0][3].replace(year=2001))]
+    for k, rows in enumerate((r, r[:2], late)):
+        spark.createDataFrame(rows, ask).coalesce(1).write.parquet(f"{base}/source/part={k}")
+    src = f"{base}/source/*"
+    ST.stream_admission(spark, src, seed, f"{base}/out", f"{base}/ckpt", as_of="2026-10-01",
+                        max_files_per_trigger=1).awaitTermination()
+    acc, rej = ST.admitted(spark, f"{base}/out")
+    got = sorted([x.application_id for x in acc.collect()] + [x.request_id for x in rej.collect()])
+    assert got == sorted({x[0] for x in r} | {900001, 900002})
