@@ -29,18 +29,23 @@ SPACE = r"[\x20\x09-\x0D]+"
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """(place, tag, pos, words) of every line that has words; words are joined by one space."""
-    split = docs.select("place", "tag", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    return split.select("place", "tag", "pos", F.trim(F.regexp_replace(F.lower("line"), SPACE, " "))
-                        .alias("words")).filter("words <> ''")
+    """(place, tag, pos, w) of every line that has words; w are its words, lower-cased."""
+    split = docs.select("place", "tag", F.posexplode(F.split(F.lower("text"), "\n")).alias("pos", "line"))
+    # Filtered by the line: a filter on w would be moved below it and make it twice.
+    return split.filter(F.col("line").rlike(r"[^\x20\x09-\x0D]")).select(
+        "place", "tag", "pos", F.array_remove(F.split("line", SPACE), "").alias("w"))
 
 
-def _shingled(lines: DataFrame, words: int) -> DataFrame:
-    """Adds ``shingles``: the distinct hashes of runs of ``words`` words; a shorter line is one run."""
+def _shingles(words: int) -> Column:
+    """The hashes of a line's runs of ``words`` words; a shorter line is one run."""
     run = ", ".join(f"w[i + {k}]" if k else "w[i]" for k in range(words))
-    return lines.withColumn("w", F.split("words", " ")).withColumn("shingles", F.expr(
-        f"if(size(w) < {words}, array(xxhash64(w)), "
-        f"array_distinct(transform(sequence(0, size(w) - {words}), i -> xxhash64({run}))))")).drop("w")
+    return F.expr(f"if(size(w) < {words}, array(xxhash64(w)), "
+                  f"transform(sequence(0, size(w) - {words}), i -> xxhash64({run})))")
+
+
+def _shingled(lines: DataFrame, words: int) -> DataFrame:
+    """Adds ``shingles``: the distinct hashes of a line's runs of words."""
+    return lines.withColumn("shingles", F.array_distinct(_shingles(words)))
 
 
 def _rarity(lines: DataFrame, words: int) -> Column:
@@ -48,7 +53,7 @@ def _rarity(lines: DataFrame, words: int) -> Column:
     bucket = F.col("h").bitwiseAND(F.lit(BUCKETS - 1))
     # No line has an empty array. A plain explode would also filter by the arrays' sizes,
     # below the projection that makes them, and so make them twice.
-    counts = (_shingled(lines, words).select(F.explode_outer("shingles").alias("h"))
+    counts = (lines.select(F.explode_outer(_shingles(words)).alias("h"))
               .groupBy(bucket.cast("int").alias("bucket")).agg(F.count("*").alias("n")))
     every = lines.sparkSession.range(BUCKETS).select(F.col("id").cast("int").alias("bucket"))
     places = every.join(counts, "bucket", "left").withColumn(
@@ -64,7 +69,7 @@ def _first_lines(lines: DataFrame) -> DataFrame:
 
 
 def _names() -> list[Column]:
-    return [F.xxhash64("words").alias("name1"), F.xxhash64(F.lit(7), F.col("words")).alias("name2")]
+    return [F.xxhash64("w").alias("name1"), F.xxhash64(F.lit(7), F.col("w")).alias("name2")]
 
 
 def _similar(pairs: DataFrame, lines: DataFrame, words: int, percent: int) -> DataFrame:
@@ -81,7 +86,7 @@ def _similar(pairs: DataFrame, lines: DataFrame, words: int, percent: int) -> Da
         lambda x: x["up"]), "").cast("binary").alias("flags"))).scalar()
     asked = (lines.withColumn("node", F.struct("place", "tag", "pos"))
              .filter(F.substring(flags, (flag + 1).cast("int"), F.lit(1)) == F.lit(b"1"))
-             .select("node", "words").join(wanted, "node", "left_semi").dropDuplicates(["node"]))
+             .select("node", "w").join(wanted, "node", "left_semi").dropDuplicates(["node"]))
     sets = cut(_shingled(asked, words).select("node", "shingles"))
     both = F.size(F.array_intersect("shingles", "others"))
     return (pairs.join(sets, pairs["src"] == sets["node"]).drop("node")
@@ -103,10 +108,9 @@ def removed_lines(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFra
     rare = F.slice("named", 1, prefix_length(F.col("size"), percent).cast("int"))
     firsts = sets.groupBy(*_names()).agg(F.min(F.struct("place", "tag", "pos", "size", rare.alias("rare")))
                                          .alias("f"))
-    prefix = firsts.select(F.struct("f.place", "f.tag", "f.pos").alias("node"), F.col("f.size").alias("size"),
-                           F.posexplode("f.rare").alias("place", "key"))
-    in_list = Window.partitionBy("key")
-    listed = (prefix.withColumn("n", F.count("*").over(in_list)).filter("n > 1").drop("n"))
+    prefix = firsts.select("f.place", "f.tag", "f.pos", "f.size", F.posexplode("f.rare").alias("at", "key"))
+    listed = cut(prefix.withColumn("n", F.count("*").over(Window.partitionBy("key"))).filter("n > 1").select(
+        "key", F.struct("place", "tag", "pos").alias("node"), "size", F.col("at").alias("place")))
     listed = cut(with_marks(listed))
     near = lambda x, y: ((F.col(f"{x}.node") < F.col(f"{y}.node"))
                          & fits(f"{x}.size", f"{x}.place", f"{y}.size", f"{y}.place", percent)
@@ -133,7 +137,8 @@ def removed_lines(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFra
 
 def _placed(docs: DataFrame, id_col: str, text_col: str, *more: Column) -> DataFrame:
     return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("place"),
-                       F.xxhash64(text_col).alias("tag"), F.col(text_col).alias("text"), *more)
+                       F.xxhash64(text_col).bitwiseAND(F.lit((1 << 31) - 1)).cast("int").alias("tag"),
+                       F.col(text_col).alias("text"), *more)
 
 
 def line_dedup(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id",

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 
+from .chat_format import as_transcripts, fit, parse_transcripts
 from .common import table
 from .decontaminate import decontaminate
 from .exact_dedup import exact_dedup
@@ -31,6 +32,13 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
 
 
+def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fitted on the conversations whose crc32 is not 2 modulo 4; parses all of them."""
+    raw = as_transcripts(table(spark, sf_dir, "conversations"))
+    learn = raw.filter(F.crc32(F.col("conv_id").cast("string").cast("binary")) % 4 != 2)
+    return parse_transcripts(raw, fit(learn))
+
+
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(table(spark, sf_dir, "documents")).drop("removed")
 
@@ -68,6 +76,7 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
+    "op2_chat_format": op2_chat_format,
     "op3_substring_dedup": op3_substring_dedup,
     "op4_mixing": op4_mixing,
     "op5_language_id": op5_language_id,
