@@ -13,13 +13,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Literal bindings of the catalogue (reference literal -> bound domain value).
-HIGH_CGPA_X100 = 800                 # CGPA >= 8.00
-CSE_DEPARTMENT = "NATION_3"          # 'Computer Science and Engineering'
-MAX_MIN_CGPA_X100 = 800              # Minimum_CGPA <= 8.00
-JOB_LOCATION = "NATION_7"            # 'Bengaluru'
-NAME_PREFIX = "Customer#0000001"     # Name LIKE 'A%'
-SALARY_LOW, SALARY_HIGH = 925.0, 950.0   # BETWEEN 25000 AND 35000
+# Literal bindings of the catalogue on the bound domain.
+HIGH_CGPA_X100 = 800
+CSE_DEPARTMENT = "NATION_3"
+MAX_MIN_CGPA_X100 = 800
+JOB_LOCATION = "NATION_7"
+NAME_PREFIX = "Customer#0000001"
+SALARY_LOW, SALARY_HIGH = 925.0, 950.0
 PAIR_STUDENT, PAIR_JOB = 2, 1        # Q40
 DIVISION_JOB = 12                    # Q41 (a job with three required skills)
 LOOKUP_APPLICATION = 2               # Q50
@@ -175,7 +175,7 @@ def q25_applications_per_job(T) -> DataFrame:
 
 
 def q26_average_cgpa(T) -> DataFrame:
-    return T.student.agg(F.round(F.avg("cgpa_x100") / 100, 4).alias("average_student_cgpa"))
+    return T.student.agg(F.round(F.avg("cgpa_x100") / 100, 6).alias("average_student_cgpa"))
 
 
 def q27_highest_cgpa(T) -> DataFrame:
@@ -187,7 +187,7 @@ def q28_lowest_cgpa(T) -> DataFrame:
 
 
 def q29_average_salary(T) -> DataFrame:
-    return T.job.agg(F.round(F.avg("salary"), 4).alias("average_job_salary"))
+    return T.job.agg(F.round(F.avg("salary"), 6).alias("average_job_salary"))
 
 
 def q30_applications_by_status(T) -> DataFrame:

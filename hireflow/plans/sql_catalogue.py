@@ -1,20 +1,53 @@
 """Oracle SQL (DuckDB) for the catalogue queries, over the bound domain CTEs.
 
-Each text is an independent formulation of the query in plain SQL (the
-reference's own shape where DuckDB accepts it: scalar subqueries, IN / NOT IN,
-double NOT EXISTS); ``oracle.with_binding`` adds the domain definitions.
+Each text states what a query must return, in its own terms: the fact tables are read
+through one wide relation, counts are made before anything is joined to them, the
+division is a count of covered skills, and extremes are window values.
+``oracle.with_binding`` adds the domain definitions.
 """
 
 from __future__ import annotations
 
 from ..operators import catalogue as C
 
+#: Every application with the names of its student and job and the job's company.
+PLACED = """(FROM application
+    JOIN (SELECT student_id, name AS student_name, department_id FROM student) USING (student_id)
+    JOIN (SELECT job_id, job_title, company_id FROM job) USING (job_id)
+    SELECT application_id, student_name, job_title, company_id, department_id, status)"""
+
+
+def _per(parent: str, key: str, child: str, label: str, count: str, at_least: int) -> str:
+    """Rows of ``parent`` with the number of its ``child`` rows, counted before the join."""
+    keep = f"WHERE coalesce(n, 0) >= {at_least}" if at_least else ""
+    return f"""
+        SELECT {label}, coalesce(n, 0) AS {count}
+        FROM {parent} LEFT JOIN (SELECT {key}, count(*) AS n FROM {child} GROUP BY ALL) USING ({key}) {keep}"""
+
+
+def _with_status(status: str) -> str:
+    return f"SELECT student_name, job_title, status FROM {PLACED} WHERE status = '{status}'"
+
+
+def _tracking(department: str, company: str) -> str:
+    return f"""
+        WITH outcome AS (
+            SELECT application_id, interview_status, offer_status
+            FROM (SELECT application_id FROM application)
+            LEFT JOIN interview USING (application_id) LEFT JOIN offer USING (application_id))
+        SELECT student_name, {department} job_title, {company}, status AS application_status,
+               interview_status, offer_status
+        FROM outcome JOIN {PLACED} USING (application_id)
+        JOIN (SELECT company_id, company_name FROM company) USING (company_id)
+        JOIN (SELECT department_id, department_name FROM department) USING (department_id)"""
+
+
 SQL = {
     "q01_students": "SELECT * FROM student",
     "q02_students_cgpa_ge": f"SELECT * FROM student WHERE cgpa_x100 >= {C.HIGH_CGPA_X100}",
     "q03_students_of_department": f"""
-        SELECT s.* FROM student s JOIN department d ON s.department_id = d.department_id
-        WHERE d.department_name = '{C.CSE_DEPARTMENT}'""",
+        SELECT * FROM student WHERE department_id IN (
+            SELECT department_id FROM department WHERE department_name = '{C.CSE_DEPARTMENT}')""",
     "q04_open_jobs": "SELECT * FROM job WHERE status = 'Open'",
     "q05_jobs_min_cgpa_le": f"SELECT * FROM job WHERE min_cgpa_x100 <= {C.MAX_MIN_CGPA_X100}",
     "q06_companies": "SELECT * FROM company",
@@ -27,76 +60,47 @@ SQL = {
     "q13_students_name_prefix": f"SELECT * FROM student WHERE name LIKE '{C.NAME_PREFIX}%'",
     "q14_jobs_salary_between": f"SELECT * FROM job WHERE salary BETWEEN {C.SALARY_LOW} AND {C.SALARY_HIGH}",
     "q15_student_department": """
-        SELECT s.name AS student_name, d.department_name
-        FROM student s INNER JOIN department d ON s.department_id = d.department_id""",
+        SELECT name AS student_name, department_name
+        FROM department JOIN (SELECT department_id, name FROM student) USING (department_id)""",
     "q16_job_company_recruiter": """
-        SELECT j.job_title, c.company_name, r.recruiter_name
-        FROM job j INNER JOIN company c ON j.company_id = c.company_id
-        INNER JOIN recruiter r ON j.recruiter_id = r.recruiter_id""",
-    "q17_application_status": """
-        SELECT s.name AS student_name, j.job_title, a.status AS application_status
-        FROM application a INNER JOIN student s ON a.student_id = s.student_id
-        INNER JOIN job j ON a.job_id = j.job_id""",
+        SELECT job_title, company_name, recruiter_name
+        FROM (SELECT company_id, company_name FROM company)
+        JOIN (SELECT job_title, company_id, recruiter_id FROM job) USING (company_id)
+        JOIN (SELECT recruiter_id, recruiter_name FROM recruiter) USING (recruiter_id)""",
+    "q17_application_status": f"SELECT student_name, job_title, status AS application_status FROM {PLACED}",
     "q18_student_skills": """
-        SELECT s.name AS student_name, sk.skill_name, ss.proficiency
-        FROM student_skill ss INNER JOIN student s ON ss.student_id = s.student_id
-        INNER JOIN skill sk ON ss.skill_id = sk.skill_id""",
+        SELECT name AS student_name, skill_name, proficiency
+        FROM skill JOIN student_skill USING (skill_id) JOIN (SELECT student_id, name FROM student) USING (student_id)""",
     "q19_job_required_skills": """
-        SELECT j.job_title, sk.skill_name AS required_skill
-        FROM job_skill js INNER JOIN job j ON js.job_id = j.job_id
-        INNER JOIN skill sk ON js.skill_id = sk.skill_id""",
+        SELECT job_title, skill_name AS required_skill
+        FROM skill JOIN job_skill USING (skill_id) JOIN (SELECT job_id, job_title FROM job) USING (job_id)""",
     "q20_student_certifications": """
-        SELECT s.name AS student_name, c.certification_name, c.issuing_organization
-        FROM certification c INNER JOIN student s ON c.student_id = s.student_id""",
-    "q21_interview_schedule": """
-        SELECT s.name AS student_name, j.job_title, i.interview_date, i.interview_status
-        FROM interview i INNER JOIN application a ON i.application_id = a.application_id
-        INNER JOIN student s ON a.student_id = s.student_id
-        INNER JOIN job j ON a.job_id = j.job_id""",
-    "q22_offers": """
-        SELECT s.name AS student_name, j.job_title, o.salary, o.offer_status
-        FROM offer o INNER JOIN application a ON o.application_id = a.application_id
-        INNER JOIN student s ON a.student_id = s.student_id
-        INNER JOIN job j ON a.job_id = j.job_id""",
-    "q23_students_per_department": """
-        SELECT d.department_id, d.department_name, count(s.student_id) AS student_count
-        FROM department d LEFT JOIN student s ON d.department_id = s.department_id
-        GROUP BY d.department_id, d.department_name""",
-    "q24_jobs_per_company": """
-        SELECT c.company_id, c.company_name, count(j.job_id) AS job_count
-        FROM company c LEFT JOIN job j ON c.company_id = j.company_id
-        GROUP BY c.company_id, c.company_name""",
-    "q25_applications_per_job": """
-        SELECT j.job_id, j.job_title, count(a.application_id) AS application_count
-        FROM job j LEFT JOIN application a ON j.job_id = a.job_id
-        GROUP BY j.job_id, j.job_title""",
-    "q26_average_cgpa": "SELECT round(avg(cgpa_x100) / 100, 4) AS average_student_cgpa FROM student",
+        SELECT name AS student_name, certification_name, issuing_organization
+        FROM (SELECT student_id, name FROM student) JOIN certification USING (student_id)""",
+    "q21_interview_schedule": f"""
+        SELECT student_name, job_title, interview_date, interview_status
+        FROM {PLACED} JOIN interview USING (application_id)""",
+    "q22_offers": f"""
+        SELECT student_name, p.job_title, salary, offer_status
+        FROM {PLACED} p JOIN (SELECT application_id, salary, offer_status FROM offer) USING (application_id)""",
+    "q23_students_per_department": _per("department", "department_id", "student", "department_id, department_name", "student_count", 0),
+    "q24_jobs_per_company": _per("company", "company_id", "job", "company_id, company_name", "job_count", 0),
+    "q25_applications_per_job": _per("job", "job_id", "application", "job_id, job_title", "application_count", 0),
+    "q26_average_cgpa": "SELECT round(avg(cgpa_x100) / 100, 6) AS average_student_cgpa FROM student",
     "q27_highest_cgpa": "SELECT max(cgpa_x100) AS highest_student_cgpa_x100 FROM student",
     "q28_lowest_cgpa": "SELECT min(cgpa_x100) AS lowest_student_cgpa_x100 FROM student",
-    "q29_average_salary": "SELECT round(avg(salary), 4) AS average_job_salary FROM job",
+    "q29_average_salary": "SELECT round(avg(salary), 6) AS average_job_salary FROM job",
     "q30_applications_by_status": """
         SELECT status, count(*) AS application_count FROM application GROUP BY status""",
-    "q31_departments_with_students": """
-        SELECT d.department_name, count(s.student_id) AS student_count
-        FROM department d INNER JOIN student s ON d.department_id = s.department_id
-        GROUP BY d.department_id, d.department_name HAVING count(s.student_id) > 1""",
-    "q32_jobs_with_applications": """
-        SELECT j.job_title, count(a.application_id) AS application_count
-        FROM job j INNER JOIN application a ON j.job_id = a.job_id
-        GROUP BY j.job_id, j.job_title HAVING count(a.application_id) > 1""",
-    "q33_companies_with_jobs": """
-        SELECT c.company_name, count(j.job_id) AS job_count
-        FROM company c INNER JOIN job j ON c.company_id = j.company_id
-        GROUP BY c.company_id, c.company_name HAVING count(j.job_id) > 1""",
+    "q31_departments_with_students": _per("department", "department_id", "student", "department_name", "student_count", 2),
+    "q32_jobs_with_applications": _per("job", "job_id", "application", "job_title", "application_count", 2),
+    "q33_companies_with_jobs": _per("company", "company_id", "job", "company_name", "job_count", 2),
     "q34_statuses_with_applications": """
-        SELECT status, count(*) AS application_count FROM application
-        GROUP BY status HAVING count(*) > 1""",
+        SELECT DISTINCT status, n AS application_count
+        FROM (SELECT status, count(*) OVER (PARTITION BY status) AS n FROM application) WHERE n > 1""",
     "q35_students_above_average": """
-        SELECT student_id, name, cgpa_x100 FROM student
-        WHERE cgpa_x100 > (SELECT avg(cgpa_x100) FROM student)""",
-    "q36_jobs_above_average": """
-        SELECT job_id, job_title, salary FROM job
-        WHERE salary > (SELECT avg(salary) FROM job)""",
+        SELECT student_id, name, cgpa_x100 FROM student QUALIFY cgpa_x100 > avg(cgpa_x100) OVER ()""",
+    "q36_jobs_above_average": "SELECT job_id, job_title, salary FROM job QUALIFY salary > avg(salary) OVER ()",
     "q37_students_who_applied": """
         SELECT student_id, name FROM student
         WHERE student_id IN (SELECT student_id FROM application)""",
@@ -104,20 +108,19 @@ SQL = {
         SELECT student_id, name FROM student
         WHERE student_id NOT IN (SELECT student_id FROM application)""",
     "q39_students_with_top_cgpa": """
-        SELECT student_id, name, cgpa_x100 FROM student
-        WHERE cgpa_x100 = (SELECT max(cgpa_x100) FROM student)""",
+        SELECT student_id, name, cgpa_x100 FROM student QUALIFY rank() OVER (ORDER BY cgpa_x100 DESC) = 1""",
     "q40_cgpa_check_pair": f"""
-        SELECT s.name AS student_name, s.cgpa_x100, j.job_title, j.min_cgpa_x100,
-               CASE WHEN s.cgpa_x100 >= j.min_cgpa_x100 THEN 'Eligible'
-                    ELSE 'Not Eligible' END AS cgpa_eligibility
-        FROM student s CROSS JOIN job j
-        WHERE s.student_id = {C.PAIR_STUDENT} AND j.job_id = {C.PAIR_JOB}""",
+        WITH asked AS (SELECT {C.PAIR_STUDENT} AS student_id, {C.PAIR_JOB} AS job_id)
+        SELECT name AS student_name, cgpa_x100, job_title, min_cgpa_x100,
+               if(cgpa_x100 < min_cgpa_x100, 'Not Eligible', 'Eligible') AS cgpa_eligibility
+        FROM asked JOIN (SELECT student_id, name, cgpa_x100 FROM student) USING (student_id)
+        JOIN (SELECT job_id, job_title, min_cgpa_x100 FROM job) USING (job_id)""",
     "q41_students_with_all_skills": f"""
-        SELECT s.student_id, s.name FROM student s
-        WHERE NOT EXISTS (
-            SELECT 1 FROM job_skill rs WHERE rs.job_id = {C.DIVISION_JOB}
-              AND NOT EXISTS (SELECT 1 FROM student_skill ss
-                              WHERE ss.student_id = s.student_id AND ss.skill_id = rs.skill_id))""",
+        WITH needed AS (SELECT skill_id FROM job_skill WHERE job_id = {C.DIVISION_JOB}),
+        covered AS (SELECT student_id, count(DISTINCT skill_id) AS n
+                    FROM student_skill JOIN needed USING (skill_id) GROUP BY ALL)
+        SELECT student_id, name FROM student LEFT JOIN covered USING (student_id)
+        WHERE coalesce(n, 0) = (SELECT count(DISTINCT skill_id) FROM needed)""",
     "q42_cgpa_report_open_jobs": """
         SELECT j.job_id, j.job_title, j.min_cgpa_x100,
                count(s.student_id) AS eligible_students,
@@ -125,31 +128,13 @@ SQL = {
         FROM job j LEFT JOIN student s ON s.cgpa_x100 >= j.min_cgpa_x100
         WHERE j.status = 'Open'
         GROUP BY j.job_id, j.job_title, j.min_cgpa_x100""",
-    "q44_shortlisted": """
-        SELECT s.name AS student_name, j.job_title, a.status
-        FROM application a INNER JOIN student s ON a.student_id = s.student_id
-        INNER JOIN job j ON a.job_id = j.job_id WHERE a.status = 'Shortlisted'""",
-    "q45_selected": """
-        SELECT s.name AS student_name, j.job_title, a.status
-        FROM application a INNER JOIN student s ON a.student_id = s.student_id
-        INNER JOIN job j ON a.job_id = j.job_id WHERE a.status = 'Selected'""",
-    "q46_rejected": """
-        SELECT s.name AS student_name, j.job_title, a.status
-        FROM application a INNER JOIN student s ON a.student_id = s.student_id
-        INNER JOIN job j ON a.job_id = j.job_id WHERE a.status = 'Rejected'""",
-    "q48_scheduled_interviews": """
-        SELECT s.name AS student_name, j.job_title, i.interview_date, i.interview_status
-        FROM interview i INNER JOIN application a ON i.application_id = a.application_id
-        INNER JOIN student s ON a.student_id = s.student_id
-        INNER JOIN job j ON a.job_id = j.job_id WHERE i.interview_status = 'Scheduled'""",
-    "q49_tracking_report": """
-        SELECT s.name AS student_name, j.job_title, c.company_name,
-               a.status AS application_status, i.interview_status, o.offer_status
-        FROM application a INNER JOIN student s ON a.student_id = s.student_id
-        INNER JOIN job j ON a.job_id = j.job_id
-        INNER JOIN company c ON j.company_id = c.company_id
-        LEFT JOIN interview i ON a.application_id = i.application_id
-        LEFT JOIN offer o ON a.application_id = o.application_id""",
+    "q44_shortlisted": _with_status("Shortlisted"),
+    "q45_selected": _with_status("Selected"),
+    "q46_rejected": _with_status("Rejected"),
+    "q48_scheduled_interviews": f"""
+        SELECT student_name, job_title, interview_date, interview_status
+        FROM (SELECT * FROM interview WHERE interview_status = 'Scheduled') JOIN {PLACED} USING (application_id)""",
+    "q49_tracking_report": _tracking("", "company_name"),
     "q50_application_lookup": f"SELECT * FROM application WHERE application_id = {C.LOOKUP_APPLICATION}",
     "q51_student_lookup": f"SELECT * FROM student WHERE student_id = {C.LOOKUP_STUDENT}",
     "q52_job_lookup": f"SELECT * FROM job WHERE job_id = {C.LOOKUP_JOB}",
@@ -165,18 +150,9 @@ SQL = {
         FROM application WHERE status = 'Selected'""",
     "q60_total_offers": "SELECT count(*) AS total_offers FROM offer",
     "q61_open_jobs": "SELECT count(*) AS open_jobs FROM job WHERE status = 'Open'",
-    "q63_workflow_report": """
-        SELECT s.name AS student_name, d.department_name AS department, j.job_title,
-               c.company_name AS company, a.status AS application_status,
-               i.interview_status, o.offer_status
-        FROM application a INNER JOIN student s ON a.student_id = s.student_id
-        INNER JOIN department d ON s.department_id = d.department_id
-        INNER JOIN job j ON a.job_id = j.job_id
-        INNER JOIN company c ON j.company_id = c.company_id
-        LEFT JOIN interview i ON a.application_id = i.application_id
-        LEFT JOIN offer o ON a.application_id = o.application_id""",
+    "q63_workflow_report": _tracking("department_name AS department,", "company_name AS company"),
 }
-# Same text as an earlier query (the reference repeats these queries).
+# These queries ask again what an earlier one asked.
 SQL["q43_application_status"] = SQL["q17_application_status"]
 SQL["q47_offers_received"] = SQL["q22_offers"]
 SQL["q62_applications_by_status"] = SQL["q30_applications_by_status"]
