@@ -292,8 +292,8 @@ def q42_cgpa_report_open_jobs(T) -> DataFrame:
     The reference lists the full students x open jobs product with a label.
     Here the same report is given per open job as the number of students on
     each side of the label, computed from a CGPA histogram (at most 1001
-    values) and a suffix sum; no product of the two tables is formed. Listing
-    eligible pairs is ``eligibility.eligible_all``.
+    values) and a suffix sum; no product of the two tables is formed. Counts
+    with skills are in ``eligible_counts``.
     """
     from .eligibility import cgpa_at_least_counts
     n_students = T.student.agg(F.count(F.lit(1))).scalar()

@@ -13,7 +13,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.schema import APPLICATION_STATUSES, TABLES, children_of
@@ -40,18 +40,22 @@ def split_inserts(base: DataFrame, rows: DataFrame, keys, order=()) -> tuple[Dat
     whole = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])
     known = base.select(*keys).withColumn(HIT, F.lit(True))
     named = rows.where(whole).join(known, list(keys), "left")
-    new = named.where(F.col(HIT).isNull()).drop(HIT).select(*rows.columns)
-    first = _one_per_key(new, keys, list(order), F.min).select(*rows.columns)
-    later = new.exceptAll(first)
+    values = [c for c in rows.columns if c not in keys and c not in order]
+    turn = F.row_number().over(Window.partitionBy(*keys).orderBy(*order, *values, *keys))
+    new = named.where(F.col(HIT).isNull()).withColumn("__turn", turn)
+    first = new.where("__turn = 1").select(*rows.columns)
+    later = new.where("__turn > 1").select(*rows.columns)
     refused = (rows.where(~whole).withColumn("refused", F.lit("key is missing"))
-               .unionByName(named.where(F.col(HIT)).drop(HIT).withColumn("refused", F.lit("key exists")))
+               .unionByName(named.where(F.col(HIT)).select(*rows.columns).withColumn("refused", F.lit("key exists")))
                .unionByName(later.withColumn("refused", F.lit("key appears earlier in the batch"))))
     return first, refused
 
 
 def apply_inserts(base: DataFrame, rows: DataFrame, keys, order=()) -> DataFrame:
     """M1: the rows that ``split_inserts`` lets in are appended; keys stay unique."""
-    first, _ = split_inserts(base, rows.select(*dict.fromkeys([*base.columns, *order])), keys, order)
+    whole = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])
+    new = rows.where(whole).join(base.select(*keys), list(keys), "left_anti")
+    first = _one_per_key(new.select(*dict.fromkeys([*base.columns, *order])), keys, list(order), F.min)
     return base.unionByName(first.select(*base.columns))
 
 

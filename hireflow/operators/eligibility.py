@@ -42,7 +42,6 @@ REASON_DUPLICATE = "Duplicate request in batch."
 REASON_APPLIED = "Already applied."
 
 DEFAULT_AS_OF = "2001-09-01"
-DEFAULT_SALT = 16
 MASK_BITS = 63  # bits used per BIGINT word of a skill mask
 
 
@@ -127,40 +126,6 @@ def eligibility_requests(T, as_of=DEFAULT_AS_OF) -> DataFrame:
 
 
 # --- skill masks --------------------------------------------------------------
-MAX_MASK_WORDS = 64            # up to 64 x 63 = 4032 distinct required skills as BIGINT words
-NUMBERING_BROADCAST_ROWS = 1_000_000
-
-
-def number_skills(required: DataFrame) -> tuple[DataFrame, int]:
-    """Dense numbers 0..n-1 for the distinct required skill ids, and n.
-
-    The window runs over the distinct required skills only — the skill
-    catalogue, not the data — and ``n`` (one small count) is the size check
-    that decides both the mask width and whether the numbering is broadcast.
-    """
-    ids = required.select("skill_id").distinct()
-    numbered = ids.select("skill_id", (F.row_number().over(Window.orderBy("skill_id")) - 1)
-                          .alias("skill_no"))
-    n = ids.count()
-    if n <= NUMBERING_BROADCAST_ROWS:
-        numbered = F.broadcast(numbered)
-    return numbered, n
-
-
-def word_masks(rows: DataFrame, key: str, numbered: DataFrame, words: int,
-               prefix: str) -> DataFrame:
-    """(key, prefix0..prefix{words-1}): BIGINT bit words of the numbered
-    skills in ``rows`` (skills outside the numbering are not needed)."""
-    r = rows.select(key, "skill_id").join(numbered, "skill_id")
-    bit = F.expr(f"shiftleft(CAST(1 AS BIGINT), CAST(pmod(skill_no, {MASK_BITS}) AS INT))")
-    aggs = []
-    for w in range(words):
-        in_word = F.floor(F.col("skill_no") / MASK_BITS) == w
-        aggs.append(F.bit_or(F.when(in_word, bit).otherwise(F.lit(0).cast("bigint")))
-                    .alias(f"{prefix}{w}"))
-    return r.groupBy(key).agg(*aggs)
-
-
 def required_by_word(T) -> DataFrame:
     """job_id -> required skills sorted by name, each with the mask word and
     bit of its skill id; bounded by the skill catalogue per job. Required
@@ -183,22 +148,10 @@ def missing_from_lists(req: Column, held: Column) -> Column:
     return F.transform(missing, lambda x: x["skill_name"])
 
 
-def covers_words(words: int, held: str = "h", required: str = "r") -> Column:
-    """Every required bit is held: AND over words of (r & h) = r (codegen'd)."""
-    conds = [(F.col(f"{required}{w}").bitwiseAND(F.col(f"{held}{w}")) == F.col(f"{required}{w}"))
-             for w in range(words)]
-    out = conds[0]
-    for c in conds[1:]:
-        out = out & c
-    return out
-
-
 def skill_masks(rows: DataFrame, key: str) -> DataFrame:
     """(key, mask) with mask a map word -> BIGINT bits of the skill ids held.
 
-    The general form (any number or spread of skill ids, no numbering): the
-    held skills of E1, and the E2/E3 masks when the numbered form would need
-    more than ``MAX_MASK_WORDS`` words.
+    One form for any number or spread of skill ids: the held skills of E1.
     """
     word = F.floor(F.col("skill_id") / MASK_BITS).cast("int")
     bit = F.expr(f"shiftleft(CAST(1 AS BIGINT), CAST(pmod(skill_id, {MASK_BITS}) AS INT))")
@@ -208,199 +161,6 @@ def skill_masks(rows: DataFrame, key: str) -> DataFrame:
             .agg(F.map_from_entries(F.collect_list(F.struct("w", "b"))).alias("mask")))
 
 
-def covers(held: Column, required: Column) -> Column:
-    """Every required bit is held (a missing word counts as no bits)."""
-    return F.forall(
-        F.map_entries(required),
-        lambda e: (F.coalesce(F.element_at(held, e["key"]), F.lit(0).cast("bigint"))
-                   .bitwiseAND(e["value"]) == e["value"]))
-
-
-def fan_out_partitions(spark) -> int:
-    """Partition count for a join whose output is far larger than its input.
-
-    AQE coalesces shuffle partitions by the bytes read, so a join fed by a
-    few MB of skill masks but emitting every eligible pair would be squeezed
-    into one or two tasks. A ``repartition(n, keys)`` shuffle keeps ``n``
-    (AQE does not coalesce an explicit count); ``n`` is the largest of the
-    session's ``spark.sql.shuffle.partitions`` (sized for the largest
-    shuffle), AQE's initial partition number if set, and the cluster's
-    default parallelism (all executor cores), so the pair-producing stage is
-    never narrower than the cluster.
-    """
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    initial = spark.conf.get("spark.sql.adaptive.coalescePartitions.initialPartitionNum", None)
-    if initial:
-        n = max(n, int(initial))
-    try:
-        n = max(n, spark.sparkContext.defaultParallelism)
-    except Exception:  # Spark Connect: no SparkContext on the client
-        pass
-    return max(1, n)
-
-
-def fan_out_salt(salt: int, partitions: int, keys: int) -> int:
-    """Salt buckets per join key: at least ``salt``, and enough that the
-    ``keys`` distinct keys can fill ``partitions`` tasks (a key held by a
-    third of all rows still spreads over every task)."""
-    return max(salt, -(-partitions // max(1, keys)))
-
-
-def _skill_salts(T, n: int, base_salt: int) -> DataFrame:
-    """(skill_id, n_holders, n_salt) for every skill some job requires.
-
-    ``n_salt`` = max(base_salt, ceil(holders / STUDENTS_PER_SALT)): a skill
-    held by a third of all students is split into proportionally many salt
-    buckets instead of a fixed few. One row per required skill — ``n`` rows,
-    counted before — so it is broadcast under the numbering's size bound.
-    """
-    holders = T.student_skill.groupBy("skill_id").agg(F.count(F.lit(1)).alias("n_holders"))
-    held = F.coalesce(F.col("n_holders"), F.lit(0).cast("bigint"))
-    s = (T.job_skill.select("skill_id").distinct().join(holders, "skill_id", "left")
-         .select("skill_id", held.alias("n_holders"),
-                 F.greatest(F.lit(base_salt), F.ceil(held / STUDENTS_PER_SALT))
-                  .cast("int").alias("n_salt")))
-    return F.broadcast(s) if n <= NUMBERING_BROADCAST_ROWS else s
-
-
-def _anchors(req: DataFrame, skill_salts: DataFrame) -> DataFrame:
-    """Per job its rarest required skill (fewest holders; ties: lowest id),
-    with that skill's salt count.
-
-    A skill nobody holds has 0 holders and, as anchor, yields no candidates,
-    which is the right answer for that job.
-    """
-    return (req.join(skill_salts, "skill_id")
-               .groupBy("job_id")
-               .agg(F.min(F.struct("n_holders", "skill_id", "n_salt")).alias("a"))
-               .select("job_id", F.col("a.skill_id").alias("skill_id"), F.col("a.n_salt").alias("n_salt")))
-
-
-def _division(T, jobs: DataFrame, salt: int, with_cgpa: bool) -> DataFrame:
-    """(student_id, job_id) holding all required skills of ``jobs`` (and, if
-    ``with_cgpa``, reaching the job's CGPA minimum; ``jobs`` then carries
-    ``min_cgpa_x100``).
-
-    Candidates come from one salted equi-join on the anchor skill; both sides
-    already carry their masks (and CGPA), so the subset test is a filter in
-    the join's own stage — candidates are never shuffled again.
-    """
-    job_cols = ["job_id"] + (["min_cgpa_x100"] if with_cgpa else [])
-    req = T.job_skill.join(jobs.select("job_id"), "job_id", "left_semi")
-    # Numbering every skill any job requires (a superset of ``req``'s) is as
-    # exact and its size check does not have to derive ``jobs``.
-    numbered, n = number_skills(T.job_skill)
-    words = max(1, -(-n // MASK_BITS))
-    parts = fan_out_partitions(T.spark)
-    salt = fan_out_salt(salt, parts, n)
-    holdings = T.student_skill.select("student_id", "skill_id")
-    stu_extra = []
-    if with_cgpa:
-        stu_extra = ["cgpa_x100"]
-    if words <= MAX_MASK_WORDS:
-        job_masks = word_masks(req, "job_id", numbered, words, "r")
-        held = word_masks(holdings, "student_id", numbered, words, "h")
-        test = covers_words(words)
-        mask_cols_j = [f"r{w}" for w in range(words)]
-        mask_cols_s = [f"h{w}" for w in range(words)]
-    else:
-        job_masks = skill_masks(req, "job_id").withColumnRenamed("mask", "r")
-        held = skill_masks(holdings, "student_id").withColumnRenamed("mask", "h")
-        test = covers(F.col("h"), F.col("r"))
-        mask_cols_j, mask_cols_s = ["r"], ["h"]
-    skill_salts = _skill_salts(T, n, salt)
-    job_side = (_anchors(req, skill_salts).join(job_masks, "job_id")
-                .join(jobs.select(*job_cols), "job_id")
-                .select("skill_id", *job_cols, *mask_cols_j,
-                        F.explode(F.sequence(F.lit(0), F.col("n_salt") - 1)).alias("salt")))
-    stu = held
-    if with_cgpa:
-        stu = stu.join(T.student.select("student_id", "cgpa_x100"), "student_id")
-    # Holdings of skills no job requires never meet an anchor: the broadcast
-    # salt table drops them before the student-keyed shuffle.
-    stu_side = (holdings.join(skill_salts.select("skill_id", "n_salt"), "skill_id")
-                .join(stu, "student_id")
-                .select("skill_id", "student_id", *stu_extra, *mask_cols_s,
-                        F.pmod(F.xxhash64("student_id"), F.col("n_salt")).cast("int")
-                         .alias("salt")))
-    cond = test
-    if with_cgpa:
-        cond = cond & (F.col("cgpa_x100") >= F.col("min_cgpa_x100"))
-    keys = ["skill_id", "salt"]
-    return (job_side.repartition(parts, *keys)
-            .join(stu_side.repartition(parts, *keys), keys).where(cond)
-            .select("student_id", "job_id"))
-
-
-def skill_division(T, jobs: DataFrame | None = None, salt: int = DEFAULT_SALT) -> DataFrame:
-    """(student_id, job_id): students holding every required skill of a job.
-
-    Jobs that require at least one skill (a job requiring nothing admits every
-    student; those pairs are the CGPA-free case of ``eligible_all``).
-    """
-    jobs = T.job.select("job_id") if jobs is None else jobs.select("job_id")
-    return _division(T, jobs, salt, with_cgpa=False)
-
-
-def eligible_all(T, as_of=DEFAULT_AS_OF, salt: int = DEFAULT_SALT) -> DataFrame:
-    """Every (student, job) that passes E1 for every open, in-date job.
-
-    Output: student_id, job_id, already_applied, can_apply. The result is
-    large by nature; write it partitioned (e.g. by job) rather than collect.
-    """
-    jobs = (T.job.where(accepting(F.col("status"), F.col("application_deadline"), as_of))
-            .select("job_id", "min_cgpa_x100"))
-    with_skills = _division(T, jobs, salt, with_cgpa=True)
-    # Jobs with none: students at or above the minimum, by expanding each job
-    # over the CGPA values it accepts (at most 1001) and equi-joining on the
-    # value. A CGPA value shared by very many students is a hot key: it is
-    # split into ceil(students / STUDENTS_PER_SALT) salt buckets (students by
-    # id hash, that value's job rows replicated per bucket), so a value held
-    # by a third of all students spreads over many tasks while rare values
-    # are not replicated at all. The join keeps an explicit partition count,
-    # its output being pairs.
-    parts = fan_out_partitions(T.spark)
-    no_skill = jobs.join(T.job_skill.select("job_id"), "job_id", "left_anti")
-    buckets = value_salts(T)
-    accepted_values = (no_skill.where(F.col("min_cgpa_x100") <= CGPA_MAX_X100)
-                       .select("job_id",
-                               F.explode(F.sequence(F.greatest("min_cgpa_x100", F.lit(0)),
-                                                    F.lit(CGPA_MAX_X100))).alias("cgpa_x100"))
-                       .join(buckets, "cgpa_x100")
-                       .select("job_id", "cgpa_x100",
-                               F.explode(F.sequence(F.lit(0), F.col("n_salt") - 1)).alias("salt")))
-    holders = (T.student.select("student_id", "cgpa_x100").join(buckets, "cgpa_x100")
-               .select("student_id", "cgpa_x100",
-                       F.pmod(F.xxhash64("student_id"), F.col("n_salt")).cast("int").alias("salt")))
-    vkeys = ["cgpa_x100", "salt"]
-    skill_free = (accepted_values.repartition(parts, *vkeys)
-                  .join(holders.repartition(parts, *vkeys), vkeys)
-                  .select("student_id", "job_id"))
-    pairs = with_skills.unionByName(skill_free)
-    applied = applied_pairs(T)
-    already = F.coalesce(F.col("already_applied"), F.lit(False))
-    return (pairs.join(applied, ["student_id", "job_id"], "left")
-                 .select("student_id", "job_id", already.alias("already_applied"),
-                         (~already).alias("can_apply")))
-
-
-STUDENTS_PER_SALT = 4096
-
-
-def value_salts(T) -> DataFrame:
-    """(cgpa_x100, n_salt) for the CGPA values of the domain (0..1000).
-
-    A histogram with map-side combine; at most 1001 rows whatever the data
-    size, so it is broadcast. Values outside the domain are accepted by no
-    job and are left out.
-    """
-    hist = (T.student.where(F.col("cgpa_x100").between(0, CGPA_MAX_X100))
-            .groupBy("cgpa_x100").agg(F.count(F.lit(1)).alias("n")))
-    return F.broadcast(hist.select(
-        "cgpa_x100",
-        F.greatest(F.lit(1), F.ceil(F.col("n") / STUDENTS_PER_SALT)).cast("int").alias("n_salt")))
-
-
 def cgpa_at_least_counts(T, jobs: DataFrame) -> DataFrame:
     """``jobs`` + n_at_least = number of students with CGPA >= min_cgpa_x100.
 

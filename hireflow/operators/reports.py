@@ -21,7 +21,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.schema import APPLICATION_STATUSES
-from .eligibility import fan_out_partitions
 
 # Fixed values of the reference application (page labels).
 STAGE_REACHED = "Status reached"
@@ -31,7 +30,6 @@ NO_INTERVIEW = "No interview scheduled"
 INTERVIEW_RECORD = "interview record"
 NO_OFFER = "No offer generated"
 
-DEFAULT_SALT = 16
 
 
 def _count(df: DataFrame, key: str, name: str, where=None) -> DataFrame:
@@ -362,41 +360,24 @@ def application_detail(T) -> DataFrame:
 
 
 # Visibility and ownership ----------------------------------------------
-def scoped_applications(T, salt: int = DEFAULT_SALT) -> DataFrame:
-    """(user_id, application_id) for every application each account may see.
-
-    Students see their own, companies their jobs', admins all (E8). Each
-    application is keyed by its three scopes and joined to the accounts on
-    (scope kind, scope id); the admin scope matches every row, so that key
-    is salted (applications spread by hash, admin accounts repeated per salt)
-    over at least ``spark.sql.shuffle.partitions`` buckets, so the third of
-    all keyed rows that carry it spreads over every task of the join.
+def scoped_applications(T) -> DataFrame:
+    """(scope, user_id, application_id): who may see each application.
+
+    Students see their own and companies their jobs'. Admins see all: that is one row
+    per application with scope ADMIN and no user, not a copy per admin.
     """
-    salt = max(salt, fan_out_partitions(T.spark))
     a = (T.application.select("application_id", "student_id", "job_id")
          .join(T.student.select("student_id"), "student_id", "left_semi")
          .join(T.job.select("job_id", "company_id"), "job_id")
          .join(T.company.select("company_id"), "company_id", "left_semi"))
-    scope = F.explode(F.array(
-        F.struct(F.lit("STUDENT").alias("kind"), F.col("student_id").alias("scope_id")),
-        F.struct(F.lit("COMPANY").alias("kind"), F.col("company_id").alias("scope_id")),
-        F.struct(F.lit("ADMIN").alias("kind"), F.lit(0).cast("bigint").alias("scope_id"))))
-    keyed = (a.select("application_id", scope.alias("s"))
-             .select("application_id", "s.kind", "s.scope_id",
-                     F.when(F.col("s.kind") == "ADMIN",
-                            F.pmod(F.xxhash64("application_id"), F.lit(salt)))
-                      .otherwise(F.lit(0)).cast("int").alias("salt")))
     acc = T.user_account
-    accounts = acc.select(
-        "user_id", F.col("role").alias("kind"),
-        F.when(acc.role == "STUDENT", acc.student_id)
-         .when(acc.role == "COMPANY", acc.company_id)
-         .when(acc.role == "ADMIN", F.lit(0).cast("bigint")).alias("scope_id"),
-        F.when(acc.role == "ADMIN", F.sequence(F.lit(0), F.lit(salt - 1)))
-         .otherwise(F.array(F.lit(0))).alias("salts"))
-    accounts = (accounts.where(F.col("scope_id").isNotNull())
-                .select("user_id", "kind", "scope_id", F.explode("salts").alias("salt")))
-    return keyed.join(accounts, ["kind", "scope_id", "salt"]).select("user_id", "application_id")
+    students = acc.where(acc.role == "STUDENT").select("user_id", "student_id")
+    companies = acc.where(acc.role == "COMPANY").select("user_id", "company_id")
+    rows = lambda d, scope: d.select(F.lit(scope).alias("scope"), "user_id", "application_id")
+    every = a.select(F.lit(None).cast("bigint").alias("user_id"), "application_id")
+    return (rows(a.join(students, "student_id"), "STUDENT")
+            .unionByName(rows(a.join(companies, "company_id"), "COMPANY"))
+            .unionByName(rows(every, "ADMIN")))
 
 
 def interview_owners(T) -> DataFrame:

@@ -19,6 +19,7 @@ from ..operators import audit as K
 from ..operators import catalogue as C
 from ..operators import changesets as CS
 from ..operators import eligibility as E
+from ..operators import eligible_counts as EC
 from ..operators import intake as V
 from ..operators import reports as R
 from ..session import shared_path
@@ -68,8 +69,8 @@ for _name, _fn in C.CATALOGUE.items():
     register(_name, _fn, sql_catalogue.SQL.get(_name))
 
 register("eligibility_requests", E.eligibility_requests, sql_domain.SQL["eligibility_requests"])
-register("skill_division", lambda T: E.skill_division(T), sql_domain.SQL["skill_division"])
-register("eligible_all", E.eligible_all, sql_domain.SQL["eligible_all"])
+for _name in ("skill_holders_per_job", "eligible_students_per_job", "eligible_jobs_per_student"):
+    register(_name, getattr(EC, _name), sql_domain.SQL[_name])
 register("eligible_counts", E.eligible_counts, sql_domain.SQL["eligible_counts"])
 register("admit_accepted", lambda T: E.admit_applications(T, T.application_request)[0],
          sql_domain.SQL["admit_accepted"])

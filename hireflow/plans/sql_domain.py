@@ -51,6 +51,17 @@ _WINNERS = """
                                          ORDER BY ts NULLS FIRST, request_id) AS rn
             FROM application_request) x WHERE rn = 1)"""
 
+# Pairs decided one by one, with skill sets as lists.
+_SETS = f"""posts AS (
+            SELECT job_id, min_cgpa_x100, coalesce(need, []) AS need,
+                   status = 'Open' AND application_deadline >= {AS_OF} AS taking
+            FROM job LEFT JOIN (SELECT job_id, list(DISTINCT skill_id) AS need
+                                FROM job_skill JOIN skill USING (skill_id) GROUP BY ALL) USING (job_id)),
+        persons AS (
+            SELECT student_id, cgpa_x100, coalesce(held, []) AS held
+            FROM student LEFT JOIN (SELECT student_id, list(DISTINCT skill_id) AS held
+                                    FROM student_skill GROUP BY ALL) USING (student_id))"""
+
 SQL = {
     "eligibility_requests": f"""
         WITH r AS (SELECT request_id, student_id, job_id FROM application_request),
@@ -58,34 +69,21 @@ SQL = {
         SELECT request_id, student_id, job_id, reasons_text, missing_text, eligible,
                already_applied, eligible AND NOT already_applied AS can_apply, {_DECISION}
         FROM d""",
-    "skill_division": """
-        WITH req AS (SELECT js.job_id, count(*) AS n FROM job_skill js
-                     WHERE js.job_id IN (SELECT job_id FROM job) GROUP BY js.job_id)
-        SELECT ss.student_id, js.job_id
-        FROM job_skill js JOIN req ON req.job_id = js.job_id
-        JOIN student_skill ss ON ss.skill_id = js.skill_id
-        GROUP BY ss.student_id, js.job_id, req.n HAVING count(*) = req.n""",
-    "eligible_all": f"""
-        WITH jobs AS (SELECT job_id, min_cgpa_x100 FROM job
-                      WHERE status = 'Open' AND NOT ({AS_OF} > application_deadline)),
-        req AS (SELECT js.job_id, count(*) AS n FROM job_skill js
-                WHERE js.job_id IN (SELECT job_id FROM jobs) GROUP BY js.job_id),
-        division AS (SELECT ss.student_id, js.job_id
-                     FROM job_skill js JOIN req ON req.job_id = js.job_id
-                     JOIN student_skill ss ON ss.skill_id = js.skill_id
-                     GROUP BY ss.student_id, js.job_id, req.n HAVING count(*) = req.n),
-        pairs AS (
-            SELECT d.student_id, d.job_id FROM division d
-            JOIN jobs j ON j.job_id = d.job_id JOIN student s ON s.student_id = d.student_id
-            WHERE s.cgpa_x100 >= j.min_cgpa_x100
-            UNION ALL
-            SELECT s.student_id, j.job_id FROM jobs j JOIN student s
-              ON s.cgpa_x100 >= j.min_cgpa_x100
-            WHERE j.job_id NOT IN (SELECT job_id FROM job_skill))
-        SELECT p.student_id, p.job_id, a.student_id IS NOT NULL AS already_applied,
-               a.student_id IS NULL AS can_apply
-        FROM pairs p LEFT JOIN (SELECT DISTINCT student_id, job_id FROM application) a
-          ON a.student_id = p.student_id AND a.job_id = p.job_id""",
+    "skill_holders_per_job": f"""
+        WITH {_SETS}
+        SELECT job_id, len(need) AS n_skills,
+               (SELECT count(*) FROM persons WHERE list_has_all(held, need)) AS students_with_all_skills
+        FROM posts""",
+    "eligible_students_per_job": f"""
+        WITH {_SETS}
+        SELECT job_id, count(student_id) AS eligible_students
+        FROM posts LEFT JOIN persons ON cgpa_x100 >= min_cgpa_x100 AND list_has_all(held, need)
+        WHERE taking GROUP BY ALL""",
+    "eligible_jobs_per_student": f"""
+        WITH {_SETS}
+        SELECT student_id, count(job_id) AS eligible_jobs
+        FROM persons LEFT JOIN (FROM posts WHERE taking) ON cgpa_x100 >= min_cgpa_x100 AND list_has_all(held, need)
+        GROUP BY ALL""",
     "eligible_counts": """
         SELECT j.job_id, j.min_cgpa_x100, count(s.student_id) AS eligible_students
         FROM job j LEFT JOIN student s ON s.cgpa_x100 >= j.min_cgpa_x100

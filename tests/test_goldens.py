@@ -10,6 +10,7 @@ from hireflow.operators import audit as K
 from hireflow.operators import catalogue as C
 from hireflow.operators import changes as M
 from hireflow.operators import eligibility as E
+from hireflow.operators import eligible_counts as EC
 from hireflow.operators import reports as R
 
 AS_OF = "2026-10-01"
@@ -19,22 +20,30 @@ def pairs(df, a="student_id", b="job_id"):
     return sorted((r[a], r[b]) for r in df.select(a, b).collect())
 
 
-def test_eligible_all_pairs_and_flags(seed):
-    rows = E.eligible_all(seed, AS_OF).collect()
-    got = sorted((r.student_id, r.job_id, r.can_apply) for r in rows)
-    assert got == [(1, 1, False), (1, 3, False), (2, 3, True), (3, 1, True), (3, 2, False),
-                   (3, 3, True), (4, 3, True)]
+def every_pair(seed):
+    return seed.student.select("student_id").crossJoin(seed.job.select("job_id"))      # a handful of rows
+
+
+def test_pair_decisions_and_counts_agree(seed):
+    decided = [r for r in E.eligibility_pairs(seed, every_pair(seed), AS_OF).collect() if r.eligible]
+    assert sorted((r.student_id, r.job_id, r.can_apply) for r in decided) == [
+        (1, 1, False), (1, 3, False), (2, 3, True), (3, 1, True), (3, 2, False), (3, 3, True), (4, 3, True)]
+    per_job = {r.job_id: r.eligible_students for r in EC.eligible_students_per_job(seed, AS_OF).collect()}
+    assert {j: n for j, n in per_job.items() if n} == {1: 2, 2: 1, 3: 4}
+    per_student = {r.student_id: r.eligible_jobs for r in EC.eligible_jobs_per_student(seed, AS_OF).collect()}
+    assert per_student == {1: 2, 2: 1, 3: 3, 4: 1}
 
 
 def test_deadline_day_counts_and_next_day_closes(seed):
-    on_day = pairs(E.eligible_all(seed, "2026-10-20"))
-    after = pairs(E.eligible_all(seed, "2026-10-21"))
-    assert (1, 1) in on_day and (3, 1) in on_day
-    assert after == [(1, 3), (2, 3), (3, 2), (3, 3), (4, 3)]
+    on_day = {r.job_id: r.eligible_students for r in EC.eligible_students_per_job(seed, "2026-10-20").collect()}
+    after = {r.job_id: r.eligible_students for r in EC.eligible_students_per_job(seed, "2026-10-21").collect()}
+    assert on_day[1] == 2 and 1 not in after
+    assert {j: n for j, n in after.items() if n} == {2: 1, 3: 4}
 
 
-def test_skill_division_matches_count_form(seed):
-    assert pairs(E.skill_division(seed)) == [(1, 1), (3, 1), (3, 2)]
+def test_skill_holders_per_job(seed):
+    got = {r.job_id: r.students_with_all_skills for r in EC.skill_holders_per_job(seed).collect() if r.n_skills}
+    assert {j: n for j, n in got.items() if n} == {1: 2, 2: 1}
 
 
 def test_division_for_one_job_and_job_without_skills(seed):
@@ -93,10 +102,11 @@ def test_status_summary_shows_zero_statuses(seed):
 
 def test_scoped_visibility(seed):
     got = {}
-    for r in R.scoped_applications(seed, salt=4).collect():
-        got.setdefault(r.user_id, set()).add(r.application_id)
-    assert got == {2: {10, 13}, 4: {11, 14}, 6: {12}, 3: {10, 11, 13, 14}, 5: {12},
-                   -1: {10, 11, 12, 13, 14}}
+    for r in R.scoped_applications(seed).collect():
+        got.setdefault((r.scope, r.user_id), set()).add(r.application_id)
+    assert got == {("STUDENT", 2): {10, 13}, ("STUDENT", 4): {11, 14}, ("STUDENT", 6): {12},
+                   ("COMPANY", 3): {10, 11, 13, 14}, ("COMPANY", 5): {12},
+                   ("ADMIN", None): {10, 11, 12, 13, 14}}
 
 
 def test_stage_timeline_labels(seed):
@@ -164,14 +174,6 @@ def test_replace_set_and_upsert(seed):
     assert len(up) == 8
 
 
-def test_division_general_mask_path_agrees(seed, monkeypatch):
-    words = pairs(E.skill_division(seed))
-    monkeypatch.setattr(E, "MAX_MASK_WORDS", 0)  # force the map-of-words form
-    assert pairs(E.skill_division(seed)) == words
-    assert pairs(E.eligible_all(seed, AS_OF)) == [(1, 1), (1, 3), (2, 3), (3, 1), (3, 2),
-                                                  (3, 3), (4, 3)]
-
-
 def test_missing_skills_inline_and_join_forms_agree(seed, monkeypatch):
     p = seed.spark.createDataFrame([(s, j) for s in (1, 2, 3, 4) for j in (1, 2, 3, 4, 5)],
                                    "student_id bigint, job_id bigint")
@@ -186,23 +188,34 @@ def test_missing_skills_inline_and_join_forms_agree(seed, monkeypatch):
     assert (2, 2, (E.REASON_CGPA, E.REASON_MISSING + "Java"), ("Java",)) in inline
 
 
-def test_hot_key_salting_is_exact(seed, monkeypatch):
-    """Every CGPA value split into one bucket per student, and many salt
-    buckets per anchor skill: the same pairs as the unsalted plan."""
-    expected = [(1, 1), (1, 3), (2, 3), (3, 1), (3, 2), (3, 3), (4, 3)]
-    monkeypatch.setattr(E, "STUDENTS_PER_SALT", 1)
-    assert pairs(E.eligible_all(seed, AS_OF, salt=7)) == expected
-    assert pairs(E.skill_division(seed, salt=5)) == [(1, 1), (3, 1), (3, 2)]
-
-
-def test_fan_out_joins_keep_an_explicit_partition_count(seed):
-    """The pair-producing joins are fed by repartition(n) shuffles, which AQE
-    does not coalesce, n being spark.sql.shuffle.partitions."""
-    df = E.eligible_all(seed, AS_OF)
-    plan = df._jdf.queryExecution().executedPlan().toString()
-    n = E.fan_out_partitions(seed.spark)
-    assert plan.count(f"REPARTITION_BY_NUM") >= 4
-    assert f"hashpartitioning(skill_id" in plan and f", {n}), REPARTITION_BY_NUM" in plan
+def test_counts_make_no_pairs(seed):
+    """The counts join students and jobs through their skill sets only."""
+    for name in ("eligible_students_per_job", "eligible_jobs_per_student", "skill_holders_per_job"):
+        plan = getattr(EC, name)(seed)._jdf.queryExecution().optimizedPlan().toString()
+        for line in plan.split("\n"):
+            assert not ("Join" in line and "student_id" in line and "job_id" in line.split("student_id", 1)[1])
+
+
+def test_updates_keep_one_row_per_key(seed):
+    """Several changes of one key, repeated and missing keys: rows never multiply or vanish."""
+    c = seed.company.first()
+    edit = [(c.company_id, f"N{k}", k) for k in (1, 3, 2)]
+    ch = seed.spark.createDataFrame(edit, "company_id bigint, company_name string, form_id bigint")
+    out = M.apply_updates(seed.company, ch, ["company_id"], ["company_name"], ["form_id"]).collect()
+    assert len(out) == seed.company.count()
+    assert [r.company_name for r in out if r.company_id == c.company_id] == ["N3"]
+    new = seed.spark.createDataFrame([(7001, "X"), (7001, "Y"), (None, "Z"), (1, "W")], "skill_id bigint, skill_name string")
+    first, refused = M.split_inserts(seed.skill, new, ["skill_id"])
+    assert [tuple(r) for r in first.collect()] == [(7001, "X")]
+    assert sorted((r.skill_name, r.refused) for r in refused.collect()) == [
+        ("W", "key exists"), ("Y", "key appears earlier in the batch"), ("Z", "key is missing")]
+    acc = seed.user_account.first()
+    rows = [(acc.user_id, "a@x", "STUDENT", 1, None), (acc.user_id, "b@x", "STUDENT", 1, None),
+            (8001, "c@x", "STUDENT", 2, None), (8001, "d@x", "STUDENT", 2, None)]
+    up = M.upsert_partial(seed.user_account, seed.spark.createDataFrame(rows, seed.user_account.schema),
+                          ["user_id"], "email").collect()
+    assert len(up) == seed.user_account.count() + 1
+    assert {r.user_id: r.email for r in up if r.user_id in (acc.user_id, 8001)} == {acc.user_id: "b@x", 8001: "d@x"}
 
 
 def test_window_form_limits_groups_before_the_shuffle(seed):

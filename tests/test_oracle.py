@@ -39,7 +39,7 @@ def test_matches_oracle(spark, con, name):
 
 
 JOIN_HEAVY = ["q63_workflow_report", "q49_tracking_report", "q42_cgpa_report_open_jobs",
-              "q41_students_with_all_skills", "skill_division", "eligible_all",
+              "q41_students_with_all_skills", "eligible_students_per_job", "eligible_jobs_per_student",
               "eligible_counts", "eligibility_requests", "admit_accepted", "applicant_board",
               "scoped_applications", "company_directory", "student_profile", "audit_fk",
               "intake_companies_quarantined"]

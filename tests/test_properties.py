@@ -1,11 +1,9 @@
 """Property tests: the planned eligibility operators equal a brute-force check.
 
-Random small domains (skills held by most students, repeated CGPA values,
-jobs without skills, closed and overdue jobs) go through ``eligible_all``
-and ``skill_division`` with salting forced to many buckets and with both
-mask forms, and through ``eligibility_pairs`` (reasons in order, missing
-skills by name, flags, decision), and are compared with a direct evaluation
-of the rules.
+Random small domains (skills held by most students, repeated CGPA values, jobs
+without skills, closed and overdue jobs) go through the exact counts per job and per
+student and through ``eligibility_pairs`` (reasons in order, missing skills by name,
+flags, decision), and are compared with a direct evaluation of the rules.
 """
 
 from __future__ import annotations
@@ -16,6 +14,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
 from hireflow.operators import eligibility as E
+from hireflow.operators import eligible_counts as EC
 from hireflow.sources.schema import TABLES
 
 AS_OF = "2026-10-01"
@@ -78,24 +77,35 @@ def domain_of(seed, students, held, jobs, required, applied):
 
 
 @settings(max_examples=6, deadline=None, suppress_health_check=[HealthCheck.too_slow])
-@given(domains(), st.sampled_from([1, 2, 4096]), st.booleans())
-def test_all_pairs_equal_brute_force(seed, domain, per_salt, map_form):
+@given(domains())
+def test_counts_equal_brute_force(seed, domain):
+    students, held, jobs, required, applied = domain
     division, eligible = brute_force(*domain)
     T = domain_of(seed, *domain)
-    saved = (E.STUDENTS_PER_SALT, E.MAX_MASK_WORDS)
-    E.STUDENTS_PER_SALT = per_salt
-    if map_form:
-        E.MAX_MASK_WORDS = 0
-    try:
-        got_div = {(r.student_id, r.job_id) for r in E.skill_division(T, salt=3).collect()}
-        rows = E.eligible_all(T, AS_OF, salt=3).collect()
-    finally:
-        E.STUDENTS_PER_SALT, E.MAX_MASK_WORDS = saved
-    assert got_div == division
-    got = {(r.student_id, r.job_id): r.already_applied for r in rows}
-    assert len(rows) == len(got)          # no pair twice
-    assert got == eligible
-    assert all(r.can_apply == (not r.already_applied) for r in rows)
+    got = {r.job_id: (r.n_skills, r.students_with_all_skills) for r in EC.skill_holders_per_job(T).collect()}
+    for j, *_ in jobs:
+        n = len({k for x, k in required if x == j})
+        assert got[j] == (n, sum(b == j for _, b in division) if n else len(students))
+    per_job = {r.job_id: r.eligible_students for r in EC.eligible_students_per_job(T, AS_OF).collect()}
+    assert {j: n for j, n in per_job.items() if n} == {
+        j: n for j, *_ in jobs if (n := sum(b == j for _, b in eligible))}
+    per_student = {r.student_id: r.eligible_jobs for r in EC.eligible_jobs_per_student(T, AS_OF).collect()}
+    assert per_student == {s[0]: sum(a == s[0] for a, _ in eligible) for s in students}
+
+
+def test_counts_follow_the_rules_of_single_decisions(seed):
+    """CGPA outside 0..1000 and required skills that no table lists count as in E1."""
+    day = dt.date(2026, 12, 31)
+    students = [(1, "A", "a@x.example", dt.date(2003, 1, 1), 1050, 2025, 1),
+                (2, "B", "b@x.example", dt.date(2003, 1, 1), -5, 2025, 1)]
+    jobs = [(1, 1, 11, "J1", "Full-time", "d", "Pune", 1001, day, 1000.0, "Open"),
+            (2, 1, 11, "J2", "Full-time", "d", "Pune", -5, day, 1000.0, "Open")]
+    T = domain_of(seed, students, [], jobs, [(2, 777)], [])
+    ask = seed.spark.createDataFrame([(s, j) for s in (1, 2) for j in (1, 2)], "student_id bigint, job_id bigint")
+    want = {(r.student_id, r.job_id) for r in E.eligibility_pairs(T, ask, AS_OF).collect() if r.eligible}
+    assert want == {(1, 1), (1, 2), (2, 2)}
+    per_job = {r.job_id: r.eligible_students for r in EC.eligible_students_per_job(T, AS_OF).collect()}
+    assert per_job == {j: sum(b == j for _, b in want) for j in (1, 2)}
 
 
 def brute_force_decisions(students, held, jobs, required, applied):
