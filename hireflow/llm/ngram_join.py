@@ -14,8 +14,8 @@ set sizes and the mean length of an inverted list. Rarity is the number of
 documents that hold any shingle of the same hash bucket, counted over the whole
 table into a fixed number of buckets, so the table that tasks get has a fixed size.
 
-Equal sets are one node, so a group of copies is one set. In each list the least
-node is compared with all others; after that only pairs from different components
+Equal sets are one node, so a group of copies is one set. In each list one set,
+the one nearest to what all share, is compared with all others; after that only pairs from different components
 are left, and all of those are compared. So a group of near copies costs as many
 comparisons as it has members, and no link between different components is lost.
 """
@@ -245,14 +245,17 @@ def ngram_join(docs: DataFrame, words: int = 3, percent: int = 90, id_col: str =
         "*", F.lit(None).cast("long").alias("keys"), *[F.lit(None).cast("long").alias(m) for m in marks])
         .unionByName(with_marks(lists)))
 
-    # Round 1: the least node of each list against the others.
-    head = listed.groupBy("key").agg(F.min(F.struct("node", "size", "place", "scans", "keys", *marks)).alias("h"))
+    # Round 1: in each list the set that has the key at the lowest place, the one with the
+    # fewest shingles of its own, against the others. In a group of near copies that is
+    # the text closest to what they were copied from.
+    head = listed.groupBy("key").agg(F.min(F.struct("place", "node", "size", "scans", "keys", *marks)).alias("h"))
     star = listed.join(head, "key").filter("h.node <> node")
     near = lambda x, y: (F.expr(f"{x}.scans or {y}.scans") & fits(
         f"{x}.size", f"{x}.place", f"{y}.size", f"{y}.place", percent)
         & F.coalesce(may_share_enough(x, y, percent), F.lit(True)))
     first_pairs = cut(share_enough(
-        star.alias("s").filter(near("h", "s")).select(F.col("h.node").alias("src"), F.col("node").alias("dst"))
+        star.alias("s").filter(near("h", "s")).select(F.least("h.node", "s.node").alias("src"),
+                                                      F.greatest("h.node", "s.node").alias("dst"))
         .distinct(), lists, percent))
     edges = cut(_verified(first_pairs, text, words, percent))
     # Round 2: what is left between different components.
