@@ -37,7 +37,7 @@ BINDING = {
     "recruiter": """
         SELECT DISTINCT l_suppkey * 10 + l_linenumber AS recruiter_id, l_suppkey AS company_id,
                'Recruiter ' || CAST(l_suppkey * 10 + l_linenumber AS VARCHAR) AS recruiter_name
-        FROM lineitem WHERE l_quantity = 50""",
+        FROM lineitem""",
     "job": """
         SELECT p.p_partkey AS job_id, a.company_id,
                a.company_id * 10 + (p.p_size % 7 + 1) AS recruiter_id,
@@ -65,7 +65,7 @@ BINDING = {
         FROM orders o
         JOIN lineitem l ON l.l_orderkey = o.o_orderkey
         JOIN part p ON p.p_partkey = l.l_partkey
-        WHERE l.l_discount >= 0.08
+        WHERE l.l_discount >= 0.05
         GROUP BY o.o_custkey, p.p_brand""",
     "application": """
         SELECT o.o_orderkey AS application_id, o.o_custkey AS student_id, x.job_id,
@@ -126,7 +126,7 @@ BINDING = {
     "application_request": """
         SELECT event_id AS request_id, user_id AS student_id,
                CAST(json_extract_string(props, '$.k') AS BIGINT) AS job_id, ts
-        FROM events WHERE event_type = 'purchase'""",
+        FROM events""",
     "status_change": """
         SELECT CAST(l.l_orderkey AS VARCHAR) || '-' || CAST(l.l_linenumber AS VARCHAR) || '-' ||
                CAST(l.l_partkey AS VARCHAR) || '-' || CAST(l.l_suppkey AS VARCHAR) || '-' ||
@@ -273,7 +273,7 @@ FORMS = {
                l.l_linenumber % 2 = 0 AS allow_update
         FROM lineitem l JOIN orders o ON o.o_orderkey = l.l_orderkey
         JOIN part p ON p.p_partkey = l.l_partkey
-        WHERE l.l_discount < 0.02""",
+        WHERE l.l_discount < 0.05""",
 }
 BINDING.update(FORMS)
 

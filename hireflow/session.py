@@ -46,8 +46,8 @@ def build_session(master: str | None = None, app_name: str = "hireflow",
     if shuffle_partitions:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     conf.update(extra or {})
-    if "spark.checkpoint.dir" not in conf:
-        conf["spark.checkpoint.dir"] = tempfile.mkdtemp(prefix="hireflow-ckpt-")
+    if "spark.checkpoint.dir" not in conf and master:
+        conf["spark.checkpoint.dir"] = _own_folder(master)
     for key, value in conf.items():
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
@@ -57,36 +57,38 @@ def build_session(master: str | None = None, app_name: str = "hireflow",
 
 
 def configure(spark: SparkSession) -> SparkSession:
-    """Apply the engine's SQL settings to an existing session (cluster use)."""
+    """Fill in the engine's SQL settings that a session leaves unset (cluster use)."""
     for key, value in DEFAULTS.items():
-        if key.startswith("spark.ui"):
-            continue
-        try:
+        if key.startswith("spark.sql.") and spark.conf.get(key, None) is None:
             spark.conf.set(key, value)
-        except Exception:  # static conf on a running cluster session
-            pass
     ensure_checkpoint_dir(spark)
     return spark
 
 
+def _own_folder(master: str) -> str:
+    """A temporary folder for tests on one machine; a cluster must name a shared one."""
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return tempfile.mkdtemp(prefix="hireflow-ckpt-")
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
     On a cluster this is a shared filesystem path set by the platform; it is
-    read, never replaced. Only when it is unset (local tests) a folder under
-    the system temp dir is created and registered.
+    read, never replaced. Only on one machine (tests), where it is unset, a folder
+    under the system temp dir is created and registered.
     """
     try:
         sc = spark.sparkContext
     except Exception:  # Spark Connect: no SparkContext on the client
         path = spark.conf.get("spark.checkpoint.dir", None)
         if not path:
-            path = tempfile.mkdtemp(prefix="hireflow-ckpt-")
-            spark.conf.set("spark.checkpoint.dir", path)
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         return path
     path = sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir", None)
     if not path:
-        path = tempfile.mkdtemp(prefix="hireflow-ckpt-")
+        path = _own_folder(sc.master)
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(path)
     return path

@@ -99,7 +99,7 @@ class Domain:
         rid = F.col("l_suppkey") * 10 + F.col("l_linenumber")
         # The company is fixed by the id (line numbers are below 10): grouping
         # by the id alone gives the distinct rows, partitioned by the join key.
-        return (self.raw("lineitem").where(F.col("l_quantity") == 50)
+        return (self.raw("lineitem")
                 .groupBy(rid.alias("recruiter_id"))
                 .agg(F.min("l_suppkey").alias("company_id"))
                 .withColumn("recruiter_name",
@@ -146,7 +146,7 @@ class Domain:
     @cached_property
     def student_skill(self) -> DataFrame:
         o = self.raw("orders").select("o_orderkey", "o_custkey")
-        li = (self.raw("lineitem").where(F.col("l_discount") >= 0.08)
+        li = (self.raw("lineitem").where(F.col("l_discount") >= _forms.SKILL_DISCOUNT)
               .select("l_orderkey", "l_partkey", "l_linenumber"))
         p = self.raw("part").select("p_partkey", "p_brand")
         lvl = F.max("l_linenumber")
@@ -251,8 +251,8 @@ class Domain:
     # request streams (re-aimed per-request routes) -----------------------
     @cached_property
     def application_request(self) -> DataFrame:
-        """Apply requests: purchase events; user -> student, props k -> job."""
-        return (self.raw("events").where(F.col("event_type") == "purchase")
+        """Apply requests: every event; user -> student, props k -> job."""
+        return (self.raw("events")
                 .select(F.col("event_id").alias("request_id"),
                         F.col("user_id").alias("student_id"),
                         F.get_json_object("props", "$.k").cast("bigint").alias("job_id"),

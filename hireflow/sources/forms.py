@@ -13,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+# Line items from this discount on are skills a student holds; the others are skill forms.
+SKILL_DISCOUNT = 0.05
 NEW_ID_OFFSET = 1_000_000_000  # ids of newly registered students
 
 
@@ -182,8 +184,8 @@ def offer_form(T) -> DataFrame:
 
 
 def student_skill_form(T) -> DataFrame:
-    """Skill adds / updates (V7): low-discount line items of a student's orders."""
-    li = (T.raw("lineitem").where(F.col("l_discount") < 0.02)
+    """Skill adds / updates (V7): the line items that are not skills held already."""
+    li = (T.raw("lineitem").where(F.col("l_discount") < SKILL_DISCOUNT)
           .select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity"))
     o = T.raw("orders").select("o_orderkey", "o_custkey")
     p = T.raw("part").select("p_partkey", "p_brand")
