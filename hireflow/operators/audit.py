@@ -65,10 +65,10 @@ def audit_unique(T) -> DataFrame:
 def audit_fk(T) -> DataFrame:
     """K3: child rows whose (non-null) foreign key has no parent row.
 
-    Foreign keys that reference the same parent key are checked together:
-    the children's (key, report columns) are unioned and anti-joined with the
-    parent once, so each parent is read and shuffled once however many tables
-    reference it (student: four).
+    Few distinct values may carry all rows of a child (25 skills), so the rows are not
+    joined with the parent. The distinct keys of all children that reference one parent
+    (map-side combine leaves a row per value and task) are anti-joined with it once;
+    only the orphan keys then pick their child rows.
     """
     by_parent: dict[tuple[str, tuple[str, ...]], list[DataFrame]] = {}
     for spec in TABLES.values():
@@ -82,8 +82,9 @@ def audit_fk(T) -> DataFrame:
             by_parent.setdefault((fk.parent, tuple(fk.parent_columns)), []).append(refs)
     out = []
     for (parent, cols), refs in by_parent.items():
-        keys = T.table(parent).select(*cols)
-        orphans = reduce(DataFrame.unionByName, refs).join(keys, list(cols), "left_anti")
+        rows = reduce(DataFrame.unionByName, refs)
+        orphan_keys = rows.select(*cols).distinct().join(T.table(parent).select(*cols), list(cols), "left_anti")
+        orphans = rows.join(orphan_keys, list(cols), "left_semi")
         out.append(_rows(orphans, "fk_missing", F.col("table_name"), F.col("key"), F.col("detail")))
     return _union(out, T.spark)
 
