@@ -156,9 +156,16 @@ def fit(labelled: DataFrame, max_sample: int = 2000) -> Hierarchy | None:
     if not languages:
         return None
     each = max(1, max_sample // languages)
-    by_lang = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), F.xxhash64("text"))
-    rows = (usable.withColumn("turn", F.row_number().over(by_lang)).filter(F.col("turn") <= each)
-            .select("lang", "text").mapInArrow(_sample_features, "lang string, x binary").collect())
+    usable = usable.withColumn("order", F.xxhash64("doc_id", "text"))
+    by_lang = Window.partitionBy("lang").orderBy("order")
+    first = lambda d: d.withColumn("turn", F.row_number().over(by_lang)).filter(F.col("turn") <= each)
+    # The last hash that each language's sample takes, from hashes alone; the texts are then
+    # picked where they are read. One row per language.
+    last = first(usable.select("lang", "order")).groupBy(F.col("lang").alias("of")).agg(F.max("order").alias("last"))
+    picked = usable.join(F.broadcast(last) if languages <= max_sample else last,
+                         (F.col("lang") == F.col("of")) & (F.col("order") <= F.col("last")))
+    rows = (first(picked).select("lang", "text")
+            .mapInArrow(_sample_features, "lang string, x binary").collect())
     rows.sort(key=lambda r: (r.lang, bytes(r.x)))
     x = np.array([np.frombuffer(r.x, np.float32) for r in rows], dtype=np.float64)
     return Hierarchy(x, [r.lang for r in rows])
