@@ -88,7 +88,65 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "pipeline": corpus_pipeline.run,
 }
 
+_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_BENCH_WORDS = r"regexp_extract_all(" + _LOWER + r", '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+_SPACED_WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
+
+
+def _shingles(size: int) -> str:
+    """The distinct runs of ``size`` words of the list w; a shorter list is one run."""
+    return (f"list_distinct(list_transform(range(1, greatest(2, len(w) - {size} + 2)), "
+            f"lambda k: array_to_string(w[k:k + {size} - 1], chr(10))))")
+
+
 ORACLE_SQL: dict[str, str] = {
+    "op1_decontamination": f"""
+WITH d AS (SELECT doc_id, {_BENCH_WORDS.format("coalesce(text, '')")} AS w FROM documents),
+b AS (SELECT item_id, {_BENCH_WORDS.format("coalesce(text, '')")} AS w FROM benchmark),
+windows AS (
+  SELECT DISTINCT item_id, least(10, len(w)) AS n, array_to_string(w[k:k + least(10, len(w)) - 1], ' ') AS words
+  FROM b, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS t(k) WHERE len(w) > 0),
+spots AS (
+  SELECT doc_id, k, n, array_to_string(w[k:k + n - 1], ' ') AS words
+  FROM d, (SELECT DISTINCT n FROM windows) s, unnest(range(1, len(w) - n + 2)) AS t(k)),
+hits AS (SELECT doc_id, k, n, item_id FROM spots JOIN windows USING (n, words)),
+covered AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM hits, unnest(range(k, k + n)) AS t(p) GROUP BY ALL),
+items AS (SELECT doc_id, count(DISTINCT item_id) AS n_items,
+                 array_to_string(list_sort(list(DISTINCT CAST(item_id AS VARCHAR))), ',') AS ids
+          FROM hits GROUP BY ALL)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(ids, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN items USING (doc_id)""",
+    "op8_line_dedup": f"""
+WITH every AS (
+  SELECT doc_id, pos - 1 AS pos, {_SPACED_WORDS.format("lower(line)")} AS w
+  FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line,
+               generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents)),
+sets AS (SELECT doc_id, pos, {_shingles(5)} AS s FROM every WHERE len(w) > 0),
+runs AS (SELECT doc_id, pos, len(s) AS n, unnest(s) AS run FROM sets),
+near AS (
+  SELECT b.doc_id, b.pos
+  FROM runs a JOIN runs b ON a.run = b.run AND (a.doc_id, a.pos) < (b.doc_id, b.pos)
+  GROUP BY a.doc_id, a.pos, b.doc_id, b.pos, a.n, b.n
+  HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+gone AS (SELECT doc_id, count(DISTINCT pos) AS n, array_to_string(list_sort(list(DISTINCT pos)), ',') AS removed
+         FROM near GROUP BY doc_id)
+SELECT doc_id, coalesce(len(string_split(text, chr(10))), 0) AS n_lines, coalesce(n, 0) AS n_removed,
+       coalesce(removed, '') AS removed
+FROM documents LEFT JOIN gone USING (doc_id)""",
+    "op10_ngram_join": f"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, {_SPACED_WORDS.format(_LOWER.format("coalesce(text, '')"))} AS w FROM documents),
+sets AS (SELECT doc_id, CASE WHEN len(w) > 0 THEN {_shingles(3)} ELSE [] END AS s FROM words),
+runs AS (SELECT doc_id, len(s) AS n, unnest(s) AS run FROM sets),
+links AS (
+  SELECT a.doc_id AS x, b.doc_id AS y
+  FROM runs a JOIN runs b ON a.run = b.run AND a.doc_id <> b.doc_id AND 100 * least(a.n, b.n) >= 90 * greatest(a.n, b.n)
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 90 * (a.n + b.n - count(*))),
+reach AS (SELECT doc_id AS x, doc_id AS y FROM documents
+          UNION SELECT reach.x, links.y FROM reach JOIN links ON reach.y = links.x)
+SELECT doc_id, len(s) AS n_shingles, least_id AS component_id
+FROM sets JOIN (SELECT x AS doc_id, min(y) AS least_id FROM reach GROUP BY x) USING (doc_id)""",
     "op7_url_filter": r"""
 WITH parts AS (
   SELECT page_id, CASE WHEN instr(url, '://') > 0
