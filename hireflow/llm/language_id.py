@@ -54,18 +54,19 @@ def features(texts: Texts) -> np.ndarray:
 
 def _machine(x: np.ndarray, y: np.ndarray, cost: float = 20.0, rounds: int = 200) -> np.ndarray:
     """Weights and bias of a linear machine: squared hinge loss, accelerated gradient steps."""
-    x = np.hstack([x, np.ones((len(x), 1))])
-    w = np.zeros(x.shape[1])
+    x = np.hstack([x, np.ones((len(x), 1), x.dtype)])
+    y = y.astype(x.dtype)
+    w = np.zeros(x.shape[1], x.dtype)
     ahead, t = w.copy(), 1.0
     scale = cost / len(x)
-    top = np.ones(x.shape[1])
+    top = np.ones(x.shape[1], x.dtype)
     for _ in range(20):
         top = x.T @ (x @ (top / np.linalg.norm(top)))
-    step = 1.0 / (1.0 + 2.2 * scale * np.linalg.norm(top))
+    step = float(1.0 / (1.0 + 2.2 * scale * np.linalg.norm(top)))
     for _ in range(rounds):
         slack = np.maximum(0, 1 - y * (x @ ahead))
         new = ahead - step * (ahead - 2 * scale * (x.T @ (y * slack)))
-        t, before = (1 + np.sqrt(1 + 4 * t * t)) / 2, t
+        t, before = float((1 + np.sqrt(1 + 4 * t * t)) / 2), t
         ahead, w = new + (before - 1) / t * (new - w), new
     return w
 
@@ -145,7 +146,7 @@ def _predict(hierarchy: Hierarchy | None):
     return run
 
 
-def fit(labelled: DataFrame, max_sample: int = 2000) -> Hierarchy | None:
+def fit(labelled: DataFrame, max_sample: int = 1200) -> Hierarchy | None:
     """A hierarchy from a table (doc_id, text, lang); None if it has no usable row.
 
     The sample is at most ``max_sample`` rows of DIMENSIONS numbers: its size on the
@@ -167,7 +168,7 @@ def fit(labelled: DataFrame, max_sample: int = 2000) -> Hierarchy | None:
     rows = (first(picked).select("lang", "text")
             .mapInArrow(_sample_features, "lang string, x binary").collect())
     rows.sort(key=lambda r: (r.lang, bytes(r.x)))
-    x = np.array([np.frombuffer(r.x, np.float32) for r in rows], dtype=np.float64)
+    x = np.array([np.frombuffer(r.x, np.float32) for r in rows])
     return Hierarchy(x, [r.lang for r in rows])
 
 
@@ -175,7 +176,7 @@ def is_held_out(doc_id: str) -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def language_id(docs: DataFrame, max_sample: int = 2000, id_col: str = "doc_id", text_col: str = "text",
+def language_id(docs: DataFrame, max_sample: int = 1200, id_col: str = "doc_id", text_col: str = "text",
                 lang_col: str = "lang") -> DataFrame:
     """One row per input row: doc_id, held_out, lang_pred, score, row (a struct of the input columns).
 

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from .common import cut
 from .prefix_filter import WORDS, fits, may_share_enough, prefix_length, share_enough, with_marks
 
-BUCKETS = 1 << 16
+BUCKETS = 1 << 14
 FLAGS = 1 << 19              # flags that tell which lines may be asked for again
 LAST = (1 << 63) - 1
 SPACE = r"[\x20\x09-\x0D]+"
