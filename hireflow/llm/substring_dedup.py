@@ -32,17 +32,18 @@ from .textkit import slices
 ANCHOR = 24
 LONGEST = 27
 COLLECTION_BYTES = 1 << 20
-#: What tells a task's pieces apart, column after column in one binary value.
-_PACKED = (("anchor", np.uint64), ("content", np.uint32), ("place", np.int64), ("tag", np.int32),
-           ("start", np.int32), ("n", np.uint8))
+#: What tells a task's pieces apart, column after column in one binary value. Contents are
+#: named by 128 bits (content and check) and their length: pieces named alike are deleted unseen.
+_PACKED = (("anchor", np.uint64), ("content", np.uint64), ("check", np.uint64), ("place", np.int64),
+           ("tag", np.int32), ("start", np.int32), ("n", np.uint8))
 LAST = (1 << 63) - 1
 
 
 def _pieces(texts, width: int) -> tuple[np.ndarray, ...]:
-    """document, offset, number of windows, anchor hash, content hash of each piece."""
+    """document, offset, number of windows, anchor hash, two content hashes of each piece."""
     n = len(texts.data)
     if n < width:
-        return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.uint64, np.uint64))
+        return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.uint64, np.uint64, np.uint64))
     at = np.arange(n - ANCHOR + 1)
     low = texts.hashes(at, at + ANCHOR)
     span, want = 1, width - ANCHOR + 1
@@ -66,7 +67,7 @@ def _pieces(texts, width: int) -> tuple[np.ndarray, ...]:
     stop = np.append(stops, len(low))[np.searchsorted(stops, start, side="right")]
     doc = np.searchsorted(texts.starts, start, side="right") - 1
     return (doc, start - texts.starts[doc], stop - start, low[start],
-            texts.hashes(start, stop + width - 1))
+            texts.hashes(start, stop + width - 1), texts.checks(start, stop + width - 1))
 
 
 def _anchors(width: int, buckets: int):
@@ -81,12 +82,13 @@ def _anchors(width: int, buckets: int):
                     name, mine = hashlib.blake2b(texts.text(i), digest_size=16).digest(), int(place[first + i])
                     if seen.get(name, LAST + 1) > mine:
                         seen[name], keep[i] = mine, True
-                doc, start, n, anchor, content = _pieces(texts, width)
+                doc, start, n, anchor, content, check = _pieces(texts, width)
                 bucket = anchor % np.uint64(buckets)
                 order = np.argsort(bucket, kind="stable")
                 order = order[keep[doc[order]]]
-                columns = {"anchor": anchor[order], "content": content[order], "place": place[first + doc[order]],
-                           "tag": tag[first + doc[order]], "start": start[order], "n": n[order]}
+                columns = {"anchor": anchor[order], "content": content[order], "check": check[order],
+                           "place": place[first + doc[order]], "tag": tag[first + doc[order]], "start": start[order],
+                           "n": n[order]}
                 head = np.flatnonzero(np.diff(bucket[order], prepend=np.uint64(buckets)))
                 packed = [b"".join(columns[c][x:y].astype(kind).tobytes() for c, kind in _PACKED)
                           for x, y in zip(head, np.append(head[1:], len(order)), strict=True)]
@@ -118,10 +120,11 @@ def _match(table: pa.Table) -> pa.Table:
         head = np.zeros(0, np.int64)
         whole = left = np.zeros(0, bool)
     else:
-        order = np.lexsort((p["place"], p["content"], p["anchor"]))
+        order = np.lexsort((p["place"], p["n"], p["check"], p["content"], p["anchor"]))
         p = {c: x[order] for c, x in p.items()}
-        of_anchor = np.concatenate([[True], p["anchor"][1:] != p["anchor"][:-1]])
-        of_piece = of_anchor | np.concatenate([[True], p["content"][1:] != p["content"][:-1]])
+        differs = lambda c: np.concatenate([[True], p[c][1:] != p[c][:-1]])
+        of_anchor = differs("anchor")
+        of_piece = of_anchor | differs("content") | differs("check") | differs("n")
         first = p["place"][np.flatnonzero(of_piece)][np.cumsum(of_piece) - 1]
         kinds = np.add.reduceat(of_piece.astype(np.int64), np.flatnonzero(of_anchor))[np.cumsum(of_anchor) - 1]
         whole = p["place"] > first

@@ -17,7 +17,8 @@ from hireflow.llm.language_id import language_id
 from hireflow.llm.line_dedup import line_dedup
 from hireflow.llm.mixing import mix
 from hireflow.llm.ngram_join import boundary, ngram_join
-from hireflow.llm.substring_dedup import substring_dedup
+from hireflow.llm.substring_dedup import _pieces, substring_dedup
+from hireflow.llm.textkit import Texts
 from hireflow.llm.unit_dedup import unit_dedup
 from hireflow.llm.url_filter import rules_frame, url_filter
 from hireflow.plans.compare import compare, duck
@@ -92,6 +93,20 @@ def test_substring_dedup(docs, rows):
     assert got == brute.substrings(rows)
 
 
+def test_substring_dedup_tells_pieces_apart_whose_hashes_share_32_bits(spark):
+    # Two pieces of 76 bytes around one anchor; the low halves of their content hashes agree.
+    texts = ["udahuahfoetqimizlcgxwrmgrgmuooxxqqnhkrfmbxsiwvffogmgoippuydwqgamzpzdegjwvsvn",
+             "zkpylnsulvanhodchjywowjgvfmuooxxqqnhkrfmbxsiwvffogcgkrtcvmclidjfnymlqksrlrkt"]
+    data = np.frombuffer("".join(texts).encode(), np.uint8)
+    _, _, _, anchor, content, check = _pieces(Texts(data, np.array([0, 76]), np.array([76, 152])), 50)
+    assert anchor[0] == anchor[1] and content.astype(np.uint32)[0] == content.astype(np.uint32)[1]
+    assert content[0] != content[1] and check[0] != check[1]
+    rows = list(enumerate(texts))
+    got = _got(substring_dedup(spark.createDataFrame(rows, "doc_id long, text string")),
+               "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    assert got == brute.substrings(rows) and got[1][2] == 0
+
+
 def test_mixing(docs, rows):
     out = [r.asDict() for r in mix(docs, carry=("source",)).select("*", F.col("row.source").alias("source")).collect()]
     total = sum(r["size"] for r in out)
