@@ -53,7 +53,7 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_unit_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return unit_dedup(table(spark, sf_dir, "documents"))
+    return unit_dedup(table(spark, sf_dir, "documents"), whole_lines=True)
 
 
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

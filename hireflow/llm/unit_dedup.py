@@ -5,7 +5,9 @@ space). Its digest is taken over its words, A-Z lower-cased, so case and white
 space do not matter. Digests are grouped over the whole table; of each group the
 occurrence that ranks first, by document and offset, stays. Later ones are removed
 where they stand together: a run of neighbouring repeated units goes if it has at
-least ``min_words`` words, so that short sentences that recur by chance stay.
+least ``min_words`` words, so that short sentences that recur by chance stay inside
+other text. With ``whole_lines`` a line of which every unit is a later occurrence
+goes however short it is.
 """
 
 from __future__ import annotations
@@ -27,7 +29,8 @@ _STOP[[ord(c) for c in ".!?"]] = True
 
 
 def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row per unit that has words; ``unit`` numbers them inside their document."""
+    """One row per unit that has words; ``unit`` numbers them inside their document. ``shape`` is
+    4 * words + 2 (if the unit begins a line) + 1 (if it ends one)."""
     for batch in batches:
         for first, texts in slices(batch.column("text")):
             doc, start, end = texts.runs(NOT_SPACE)
@@ -40,6 +43,10 @@ def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             new[1:] = (doc[1:] != doc[:-1]) | (lines[start[1:]] != lines[end[:-1]]) | _STOP[texts.data[end[:-1] - 1]]
             head = np.flatnonzero(new)
             words = np.diff(np.append(head, len(doc)))
+            last = head + words - 1
+            opens = np.ones(len(head), bool)
+            opens[1:] = (doc[head[1:]] != doc[last[:-1]]) | (lines[start[head[1:]]] != lines[end[last[:-1]]])
+            closes = np.append(opens[1:], True)
             h = texts.hashes(start, end, lower=True)
             up, down = powers(len(h))
             names = []
@@ -52,30 +59,50 @@ def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays(
                 [pa.array(names[0]), pa.array(names[1]), batch.column("place").take(at), batch.column("tag").take(at),
                  pa.array(unit, pa.int32()), pa.array(start[head] - base, pa.int32()),
-                 pa.array(end[head + words - 1] - base, pa.int32()), pa.array(words, pa.int32())],
-                ["name1", "name2", "place", "tag", "unit", "start", "stop", "words"])
+                 pa.array(end[last] - base, pa.int32()), pa.array(4 * words + 2 * opens + closes, pa.int64())],
+                ["name1", "name2", "place", "tag", "unit", "start", "stop", "shape"])
+
+
+def _lines_of(run: list[dict]) -> list[tuple[int, int]]:
+    """Byte ranges of the whole lines in a run of neighbouring units, neighbouring lines as one."""
+    out, first, joins = [], None, False
+    for r in run:
+        if r["shape"] & 2:
+            first = r["start"]
+        if first is None:               # the line began before the run
+            continue
+        if r["shape"] & 1:
+            if joins:
+                out[-1] = (out[-1][0], r["stop"])
+            else:
+                out.append((first, r["stop"]))
+            first, joins = None, True
+    return out
 
 
-def _runs(repeats: list[dict], min_words: int) -> list[tuple[int, int]]:
-    """Byte ranges of the runs of neighbouring repeated units that have enough words."""
+def _runs(repeats: list[dict], min_words: int, whole_lines: bool) -> list[tuple[int, int]]:
+    """Byte ranges of the runs of neighbouring repeated units that have enough words, and of
+    the whole lines in the others if they are asked for."""
     out, run = [], []
     for r in [*sorted(repeats, key=lambda x: x["unit"]), None]:
         if run and (r is None or r["unit"] != run[-1]["unit"] + 1):
-            if sum(x["words"] for x in run) >= min_words:
+            if sum(x["shape"] >> 2 for x in run) >= min_words:
                 out.append((run[0]["start"], run[-1]["stop"]))
+            elif whole_lines:
+                out += _lines_of(run)
             run = []
         run.append(r)
     return out
 
 
-def _cut_out(min_words: int):
+def _cut_out(min_words: int, whole_lines: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             for doc_id, text, repeats in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "repeats")),
                                              strict=True):
                 data = (text or "").encode()
-                spans = _runs(repeats or [], min_words)
+                spans = _runs(repeats or [], min_words, whole_lines)
                 kept, at = [], 0
                 for a, b in spans:
                     kept.append(data[at:a])
@@ -91,7 +118,8 @@ def _cut_out(min_words: int):
     return run
 
 
-def unit_dedup(docs: DataFrame, min_words: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def unit_dedup(docs: DataFrame, min_words: int = 20, id_col: str = "doc_id", text_col: str = "text",
+               whole_lines: bool = False) -> DataFrame:
     """One row per input row: doc_id, n_bytes, n_removed, n_spans, removed, kept_sha256, kept_text.
 
     ``removed`` lists the removed byte ranges of the original text as first-stop pairs.
@@ -105,15 +133,15 @@ def unit_dedup(docs: DataFrame, min_words: int = 20, id_col: str = "doc_id", tex
                        F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("place"),
                        F.xxhash64(text_col).alias("tag"))
     units = rows.select("place", "tag", "text").mapInArrow(
-        _units, "name1 long, name2 long, place long, tag long, unit int, start int, stop int, words int")
+        _units, "name1 long, name2 long, place long, tag long, unit int, start int, stop int, shape long")
     first = cut(units.groupBy("name1", "name2").agg(
         F.min(F.struct("place", "tag", "unit")).alias("first"), F.count("*").alias("copies"))
         .filter("copies > 1").drop("copies"))
     repeats = (units.join(first, ["name1", "name2"])
                .filter(F.struct("place", "tag", "unit") != F.col("first"))
-               .groupBy("place", "tag").agg(F.collect_set(F.struct("unit", "start", "stop", "words"))
+               .groupBy("place", "tag").agg(F.collect_set(F.struct("unit", "start", "stop", "shape"))
                                             .alias("repeats")))
     id_type = docs.schema[id_col].dataType.simpleString()
     return rows.join(repeats, ["place", "tag"], "left").select("doc_id", "text", "repeats").mapInArrow(
-        _cut_out(min_words), f"doc_id {id_type}, n_bytes long, n_removed long, n_spans long, removed string, "
+        _cut_out(min_words, whole_lines), f"doc_id {id_type}, n_bytes long, n_removed long, n_spans long, removed string, "
         "kept_sha256 string, kept_text string")

@@ -173,6 +173,24 @@ def test_unit_dedup(spark, docs, rows):
         assert hashlib.sha256(kept + data.encode()[at:]).hexdigest() == r.kept_sha256
 
 
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_unit_dedup_query_removes_every_later_line(spark, sf):
+    docs = spark.read.parquet(f"/root/testdata/{sf}/documents.parquet").select("doc_id", "text")
+    want = brute.repeated_units([tuple(r) for r in docs.collect()])
+    got = {r.doc_id: r.removed for r in Q.queries()["op6_unit_dedup"](spark, f"/root/testdata/{sf}").collect()}
+    assert got == {i: ",".join(f"{a}-{b}" for a, b in spans) for (i, _), spans in want.items()}
+
+
+def test_unit_dedup_of_short_lines(spark):
+    rows = [(1, "All rights reserved.\nOne text. Short."), (2, "Other words\n  ALL rights  reserved.\n\nOne text.\nmore"),
+            (3, "Short. One text. And new.\nShort. One text.\nOther words"), (4, "x One text.\nOne text. Short. y")]
+    out = unit_dedup(spark.createDataFrame(rows, "doc_id long, text string"), whole_lines=True).collect()
+    want = brute.repeated_units(rows)
+    assert {r.doc_id: r.removed for r in out} == {i: ",".join(f"{a}-{b}" for a, b in s) for (i, _), s in want.items()}
+    assert {r.doc_id: r.kept_text for r in out} == {
+        1: rows[0][1], 2: "Other words\n  \nmore", 3: "Short. One text. And new.\n", 4: rows[3][1]}
+
+
 def test_line_dedup(docs, rows):
     # Two texts under one id are ordered by a hash that brute force does not know.
     plain = docs.filter("not (doc_id <=> 900010)")
