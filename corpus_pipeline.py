@@ -38,10 +38,10 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def keep_one_of_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of similar documents the one with the smallest doc_id stays (of those
+    """Of each group of similar documents (five-word shingles, Jaccard 0.8) the one with the smallest doc_id stays (of those
     with equal doc_ids the one with the least key, of repeated rows one). A document that
     links with nothing stays whatever its doc_id."""
-    linked = cut(ngram_join(docs).filter("links").select("doc_id", "row_key", "component"))
+    linked = cut(ngram_join(docs, words=5, percent=80).filter("links").select("doc_id", "row_key", "component"))
     first = linked.groupBy("component").agg(F.min(F.struct(
         F.col("doc_id").isNull().alias("none"), "doc_id", "row_key")).alias("first"))
     status = linked.select("row_key").distinct().join(

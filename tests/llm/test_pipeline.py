@@ -11,6 +11,18 @@ from . import brute
 SF = "/root/testdata/sf0.001"
 
 
+def test_near_copies_go_at_five_words_and_80_percent(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    text = " ".join(f"word{k}" for k in range(100))
+    more = [(7001, text), (7002, text + " " + " ".join(f"new{k}" for k in range(15))),
+            (7003, text.replace("word50", "edit")), (7004, text.replace("word2", "edit"))]
+    docs = docs.unionByName(spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in more], docs.schema))
+    rows = [tuple(r) for r in docs.select("doc_id", "text").collect()]
+    want = {i for i, _, c in brute.similar_groups(rows, 5, 80) if i == c}
+    assert 7002 not in want and 7002 in {i for i, _, c in brute.similar_groups(rows) if i == c}
+    assert {r.doc_id for r in P.keep_one_of_similar(spark, docs, SF).collect()} == want
+
+
 def test_stages(spark, tmp_path):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     more = [(5001, "12 34", "en", "s", 5), (5002, None, None, "s", 0), (5003, docs.first().text, "en", "s", 1)]
