@@ -60,12 +60,15 @@ def remove_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix: of each document that gives words to it, how many, how often it is passed
-    whole, and the word ranges taken beyond that."""
+    whole, the word ranges taken beyond that, and the text that they count words of."""
     carry = tuple(c for c in docs.columns if c not in ("text", "doc_id"))
-    mixed = mix(docs, carry=carry).filter("taken > 0")
+    keyed = docs.withColumn("mix_key", row_key())
+    texts = keyed.select("mix_key", "text").dropDuplicates(["mix_key"])
+    mixed = mix(keyed, carry=(*carry, "mix_key")).filter("taken > 0").withColumn("mix_key", F.col("row.mix_key"))
+    mixed = mixed.join(texts, "mix_key")
     spans = F.array_join(F.transform("spans", lambda s: F.concat_ws("-", s["first"], s["stop"])), ",")
     return mixed.select("doc_id", *[F.col(f"row.{c}") for c in carry], "size", "source_size", "target", "taken",
-                        "passes", F.coalesce(spans, F.lit("")).alias("spans"))
+                        "passes", F.coalesce(spans, F.lit("")).alias("spans"), "text")
 
 
 STAGES = [

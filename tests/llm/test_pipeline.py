@@ -23,6 +23,20 @@ def test_near_copies_go_at_five_words_and_80_percent(spark):
     assert {r.doc_id for r in P.keep_one_of_similar(spark, docs, SF).collect()} == want
 
 
+def test_the_mix_can_be_rebuilt(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    docs = docs.unionByName(docs.limit(3)).unionByName(spark.createDataFrame([(None, "no id here", "en", "s", 10)],
+                                                                              docs.schema))
+    given = [tuple(r) for r in docs.select("doc_id", "text").collect()]
+    out = P.mix_sources(spark, docs, SF).collect()
+    assert len(out) == sum(r.taken > 0 for r in P.mix(docs).collect())
+    for r in out:
+        words = re.findall(r"[^\x20\x09-\x0D]+", r.text)
+        spans = [tuple(map(int, s.split("-"))) for s in r.spans.split(",") if s]
+        assert (r.doc_id, r.text) in given and len(words) == r.size
+        assert r.taken == r.passes * r.size + sum(len(words[a:b]) for a, b in spans)
+
+
 def test_stages(spark, tmp_path):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     more = [(5001, "12 34", "en", "s", 5), (5002, None, None, "s", 0), (5003, docs.first().text, "en", "s", 1)]
