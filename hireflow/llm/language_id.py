@@ -12,7 +12,6 @@ row's text is read whole, in the sample and in prediction.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -29,13 +28,16 @@ FAMILIES = {"germanic": ("en", "de", "nl", "sv", "da", "no", "is", "af"),
             "romance": ("fr", "es", "it", "pt", "ro", "ca", "gl"),
             "slavic": ("ru", "uk", "pl", "cs", "sk", "bg", "sr", "hr", "sl")}
 UNKNOWN = "und"
-_LETTER = re.compile(r"[^\W\d_]")
 
 
 def family(lang: str) -> str:
     return next((f for f, members in FAMILIES.items() if lang in members), lang)
 
 
+def has_letter(text: Column) -> Column:
+    return F.coalesce(text.rlike(r"\p{L}"), F.lit(False))
+
+
 def features(texts: Texts) -> np.ndarray:
     """One row per document: roots of the relative frequencies of its byte 2-, 3- and 4-grams."""
     data = LOWER[texts.data].astype(np.uint32)
@@ -135,8 +137,7 @@ def _predict(hierarchy: Hierarchy | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, texts in slices(batch.column("text"), rows=64):
-                lettered = np.array([bool(_LETTER.search(texts.text(i).decode("utf-8", "replace")))
-                                     for i in range(len(texts))])
+                lettered = batch.column("lettered").slice(first, len(texts)).to_numpy(zero_copy_only=False)
                 langs, score = ([UNKNOWN] * len(texts), np.zeros(len(texts))) if hierarchy is None else \
                     hierarchy.predict(features(texts))
                 yield pa.RecordBatch.from_arrays(
@@ -152,7 +153,7 @@ def fit(labelled: DataFrame, max_sample: int = 1200) -> Hierarchy | None:
     The sample is at most ``max_sample`` rows of DIMENSIONS numbers: its size on the
     driver has that bound.
     """
-    usable = labelled.filter("lang is not null and text is not null").filter(F.col("text").rlike(r"\p{L}"))
+    usable = labelled.filter("lang is not null").filter(has_letter(F.col("text")))
     languages = usable.select("lang").distinct().count()
     if not languages:
         return None
@@ -189,7 +190,8 @@ def language_id(docs: DataFrame, max_sample: int = 1200, id_col: str = "doc_id",
     named = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"))
     learn = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     model = fit(learn.filter(F.col("doc_id").isNotNull() & ~is_held_out("doc_id")), max_sample)
-    out = named.select("row", F.col(f"row.{text_col}").alias("text")).mapInArrow(
+    text = F.col(f"row.{text_col}")
+    out = named.select("row", text.alias("text"), has_letter(text).alias("lettered")).mapInArrow(
         _predict(model), f"row {named.schema['row'].dataType.simpleString()}, lang_pred string, score double")
     return out.select(F.col(f"row.{id_col}").alias("doc_id"), is_held_out(f"row.{id_col}").alias("held_out"),
                       "lang_pred", "score", "row")

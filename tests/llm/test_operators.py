@@ -173,6 +173,13 @@ def test_unit_dedup(spark, docs, rows):
         assert hashlib.sha256(kept + data.encode()[at:]).hexdigest() == r.kept_sha256
 
 
+def test_number_signs_are_no_letters(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    signs = spark.createDataFrame([(95, "\u00bd \u00b2 \u2460", None, "s", 5), (96, "\u00bd x", None, "s", 3)], docs.schema)
+    got = {r.doc_id: r for r in language_id(docs.unionByName(signs)).filter("row.lang is null").collect()}
+    assert (got[95].lang_pred, got[95].score) == ("und", 0.0) and got[96].lang_pred != "und"
+
+
 @pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
 def test_unit_dedup_query_removes_every_later_line(spark, sf):
     docs = spark.read.parquet(f"/root/testdata/{sf}/documents.parquet").select("doc_id", "text")
