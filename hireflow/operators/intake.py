@@ -10,9 +10,9 @@ reference applies to one form (V1-V7), plus the database's own guards
 accepted + quarantined = input, always. A missing field counts as blank. Column
 rules are plain expressions; lookups are left joins (flags). Uniqueness inside the
 batch holds among the rows that pass all other rules, so an invalid form never
-blocks a valid one: per key the smallest form_id stays, a grouped minimum (partial
-aggregation, no window over a hot key). Uniqueness against the base is an
-equi-join on the key with an ``id <> own`` filter ("taken by someone else").
+blocks a valid one: forms are admitted in order, as if they came one by one (a grouped
+minimum under one key, ``admission.admit_in_order`` under several). Uniqueness against the
+base is an equi-join on the key with an ``id <> own`` filter ("taken by someone else").
 """
 
 from __future__ import annotations
@@ -21,6 +21,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import rules as X
+from ..sources.snapshot import checkpointed
+from .admission import admit_in_order
 from ..sources.schema import INTERVIEW_MODES, INTERVIEW_STATUSES, JOB_STATUSES, OFFER_STATUSES, \
     PROFICIENCIES, TABLES
 
@@ -86,10 +88,21 @@ R_SKILL_TWICE = "skill appears earlier in the batch"
 
 
 def _split(df: DataFrame, rules, accepted_cols, once=()) -> tuple[DataFrame, DataFrame]:
-    """``once``: (reason, keys, owner) triples, applied in turn. Among the rows valid so
-    far the first with a key keeps it; later ones are refused, unless ``owner`` names
-    a column in which they agree with the first (the same company edits itself twice)."""
+    """``once``: (reason, keys, owner) triples. The valid rows are taken in form order; a row is
+    refused if an earlier row that got in holds one of its keys, unless ``owner`` names
+    a column in which they agree (the same company edits itself twice). Under several keys
+    a refused row blocks nobody (``admission``); under one key, the first row is in."""
     d = df.withColumn("reasons", X.reasons_of(rules))
+    if len(once) > 1:
+        # Read by several rounds and by both halves of the result, so it is made once.
+        d = checkpointed(d)
+        (owner,) = {o for _, _, o in once}
+        texts = F.array(*[F.lit(text) for text, _, _ in once])
+        valid = admit_in_order(d.where(F.size("reasons") == 0), [list(keys) for _, keys, _ in once], owner=owner)
+        valid = valid.withColumn("reasons", F.transform("refused_by", lambda k: F.get(texts, k))).drop("refused_by")
+        refused = valid.where(F.size("reasons") > 0).select("form_id", "reasons")
+        return (valid.where(F.size("reasons") == 0).select(*accepted_cols),
+                d.where(F.size("reasons") > 0).select("form_id", "reasons").unionByName(refused))
     for text, keys, owner in once:
         own = F.col(owner) if owner else F.col("form_id")
         first = d.where(F.size("reasons") == 0).groupBy(*keys).agg(

@@ -302,6 +302,8 @@ def with_binding(body: str) -> str:
     body = body.strip()
     if not ctes:
         return body
+    if body[:14].upper() == "WITH RECURSIVE":
+        return "WITH RECURSIVE " + ",\n".join(ctes) + ",\n" + body[14:].lstrip()
     if body[:4].upper() == "WITH":
         return "WITH " + ",\n".join(ctes) + ",\n" + body[4:].lstrip()
     return "WITH " + ",\n".join(ctes) + "\n" + body

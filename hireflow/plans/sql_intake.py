@@ -68,20 +68,37 @@ def _too_long(**bounds: int) -> list[tuple[str, str]]:
 
 
 def _split(checked: str, rules, accepted_cols: str, once=()) -> tuple[str, str]:
-    """``once``: (reason, key, owner). Rows still valid are taken in form order; a row whose
-    key an earlier valid row (of another owner) has gets the reason."""
-    body, last = f"WITH f AS ({checked}), r0 AS (SELECT *, {_reasons(rules)} AS reasons_text FROM f)", "r0"
-    for turn, (text, key, owner) in enumerate(once, 1):
-        clash = " AND ".join(f"e.{k} = x.{k}" for k in key.split(", "))
-        mine = f"AND (e.{owner} IS DISTINCT FROM x.{owner})" if owner else ""
-        first = f"AND NOT EXISTS (SELECT 1 FROM {last} d WHERE d.reasons_text = '' AND d.form_id < e.form_id AND " \
-                + " AND ".join(f"d.{k} = e.{k}" for k in key.split(", ")) + ")"
-        body += (f", r{turn} AS (SELECT x.* REPLACE (CASE WHEN x.reasons_text = '' AND EXISTS (SELECT 1 FROM {last} e "
-                 f"WHERE e.reasons_text = '' AND e.form_id < x.form_id AND {clash} {mine} {first}) "
-                 f"THEN '{text}' ELSE x.reasons_text END AS reasons_text) FROM {last} x)")
-        last = f"r{turn}"
-    return (f"{body} SELECT {accepted_cols} FROM {last} WHERE reasons_text = ''",
-            f"{body} SELECT form_id, reasons_text FROM {last} WHERE reasons_text <> ''")
+    """``once``: (reason, key, owner). The valid rows come one by one in form order; ``held`` lists what those
+    that got in hold, and a row whose key is held (by another owner) gets the reason and holds nothing.
+    Rows whose keys no other row claims are in anyway."""
+    body = f"f AS ({checked}), r0 AS (SELECT *, {_reasons(rules)} AS reasons_text FROM f)"
+    if not once:
+        return (f"WITH {body} SELECT {accepted_cols} FROM r0 WHERE reasons_text = ''",
+                f"WITH {body} SELECT form_id, reasons_text FROM r0 WHERE reasons_text <> ''")
+    if len(once) == 1:
+        (text, key, owner), = once
+        body += (f", r AS (SELECT * REPLACE (CASE WHEN reasons_text = '' AND row_number() OVER (PARTITION BY reasons_text, {key} "
+                 f"ORDER BY form_id) > 1 THEN '{text}' ELSE reasons_text END AS reasons_text) FROM r0)")
+        return (f"WITH {body} SELECT {accepted_cols} FROM r WHERE reasons_text = ''",
+                f"WITH {body} SELECT form_id, reasons_text FROM r WHERE reasons_text <> ''")
+    hold = [f"{{'k': {n}, 'v': CAST(v.{key} AS VARCHAR), 'w': CAST(v.{owner or 'form_id'} AS VARCHAR)}}"
+            for n, (_, key, owner) in enumerate(once)]
+    clash = "concat_ws(' | ', " + ", ".join(
+        f"CASE WHEN len(list_filter(w.held, lambda h: h.k = ({x}).k AND h.v = ({x}).v AND h.w <> ({x}).w)) > 0 THEN '{text}' END"
+        for x, (text, _, _) in zip(hold, once, strict=True)) + ")"
+    rivals = " OR ".join(f"count(*) OVER (PARTITION BY reasons_text, {key}) > 1" for _, key, _ in once)
+    body += f""", claims AS (SELECT *, reasons_text = '' AND ({rivals}) AS contested FROM r0),
+        valid AS (SELECT *, row_number() OVER (ORDER BY form_id) AS turn FROM claims WHERE contested),
+        walk AS (
+          SELECT CAST(0 AS BIGINT) AS turn, '' AS late, CAST([] AS STRUCT(k INTEGER, v VARCHAR, w VARCHAR)[]) AS held
+          UNION ALL
+          SELECT turn, late, CASE WHEN late = '' THEN list_concat(held, mine) ELSE held END
+          FROM (SELECT v.turn, {clash} AS late, w.held, [{', '.join(hold)}] AS mine
+                FROM walk w JOIN valid v ON v.turn = w.turn + 1)),
+        r AS (SELECT valid.* REPLACE (walk.late AS reasons_text) FROM valid JOIN walk USING (turn)
+              UNION ALL SELECT *, 0 FROM claims WHERE NOT contested)"""
+    return (f"WITH RECURSIVE {body} SELECT {accepted_cols} FROM r WHERE reasons_text = ''",
+            f"WITH RECURSIVE {body} SELECT form_id, reasons_text FROM r WHERE reasons_text <> ''")
 
 
 _BAD_SALARY = "sal IS NULL OR sal < 0 OR TRY_CAST(sal AS DECIMAL(12,2)) IS NULL"
