@@ -1,32 +1,22 @@
 """Eligibility engine: (student, job) decisions with reasons, for whole batches.
 
 E1 ``eligibility_pairs``  decide given pairs, reasons in the reference's order
-E2 ``skill_division``     students holding every required skill of each job
-E3 ``eligible_all``       every eligible pair of every open, in-date job
 E4 ``eligible_counts``    per open job, students reaching its CGPA minimum
 E5 ``admit_applications`` request batch -> accepted application rows + rejects
+(E2 and E3, as exact counts, are in ``eligible_counts``.)
 
 Scale notes. E1 looks up the student (held skills as bit words keyed by word
 number) and the job (required skills with word and bit) once per pair, so
 the missing skills are a row-local filter: no per-skill join of the pairs.
-E2/E3 never form a product: the candidates of a job are the holders of its
-rarest required skill (anchor), joined on a key salted per skill from its
-holder count, so one popular skill spreads over many tasks. Required skills
-are densely numbered (size-checked) into BIGINT bit words carried on both
-join sides, so the "holds every required skill" test is a codegen'd
-``(r & h) = r`` filter inside the join stage, and the join keeps an explicit
-partition count because its output dwarfs its input. Jobs with no required
-skill are matched to students through an equi-join on CGPA values (range
-join by expansion over the fixed CGPA domain), salted per value from the
-CGPA histogram. E4 uses that histogram and a suffix sum.
+E4 is a histogram of CGPA values and a sum from the top over range partitions.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.schema import CGPA_MAX_X100
+from .ranking import running_totals
 
 # Fixed values of the reference application: reason and decision texts.
 REASON_CGPA = "CGPA requirement not met."
@@ -165,17 +155,15 @@ def cgpa_at_least_counts(T, jobs: DataFrame) -> DataFrame:
     """``jobs`` + n_at_least = number of students with CGPA >= min_cgpa_x100.
 
     Histogram of student CGPA (one row per distinct value, map-side combined),
-    merged with the distinct job minima, suffix-summed. The window runs over
-    distinct CGPA values only (at most 1001 under the CGPA rule), so its
-    single partition is bounded by the domain, not by the data.
+    merged with the distinct job minima and summed up from the top over range
+    partitions (``ranking.running_totals``), however many values there are.
     """
     hist = (T.student.groupBy(F.col("cgpa_x100").alias("v"))
             .agg(F.count(F.lit(1)).alias("n")))
     minima = jobs.select(F.col("min_cgpa_x100").alias("v")).distinct().withColumn("n", F.lit(0).cast("bigint"))
-    points = hist.unionByName(minima).groupBy("v").agg(F.sum("n").alias("n"))
-    w = Window.orderBy(F.desc("v")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    suffix = points.select(F.col("v").alias("min_cgpa_x100"),
-                           F.sum("n").over(w).alias("n_at_least"))
+    points = hist.unionByName(minima).where("v IS NOT NULL")
+    suffix = (running_totals(points, "v", "n", name="n_at_least", descending=True)
+              .withColumnRenamed("v", "min_cgpa_x100"))
     return jobs.join(suffix, "min_cgpa_x100")
 
 

@@ -1,11 +1,12 @@
-"""Exact eligibility counts for all jobs and all students.
+"""Exact eligibility counts for all jobs and all students (E2, E3), and rank intervals.
 
 How many students are eligible for each job, and how many jobs each student is
-eligible for, without listing a single (student, job) pair. Students who hold the
-same skills are one group, jobs that require the same skills are another; only
-distinct skill sets are matched. Inside a match the CGPA condition is a running sum
-over the distinct CGPA values. Pairs are decided one by one only when they are asked
-for (``eligibility.eligibility_pairs``).
+eligible for, without listing a single (student, job) pair or pair of skill sets.
+Students stand in order of falling CGPA, so those who reach a job's minimum are the first
+``cut`` of them; a bitmap index (``skill_index``) counts among them those with all the
+skills that the job requires. Per student the same index is built over the jobs in order
+of rising minimum. Pairs are decided one by one only when they are asked for
+(``eligibility.eligibility_pairs``).
 
 The rules are those of E1: required skills that the skill table does not list do not
 count, a job that requires nothing suits every student, any CGPA value is compared as
@@ -14,68 +15,41 @@ it is.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .eligibility import DEFAULT_AS_OF, accepting
+from .eligibility import DEFAULT_AS_OF, accepting, cgpa_at_least_counts
+from .ranking import distinct_ranks, positions, running_totals
+from .skill_index import count_holders, count_within
 
-NOTHING = -1     # the skill that every student holds and that a job without skills asks for
 
-
-def _sets(owners: DataFrame, key: str, skills: DataFrame, name: str) -> DataFrame:
+def _sets(owners: DataFrame, key: str, skills: DataFrame) -> DataFrame:
     """``owners`` with their sorted distinct skill ids (empty if none)."""
-    held = skills.groupBy(key).agg(F.array_sort(F.collect_set("skill_id")).alias(name))
+    held = skills.groupBy(key).agg(F.array_sort(F.collect_set("skill_id")).alias("skills"))
     none = F.array().cast("array<bigint>")
-    return owners.join(held, key, "left").withColumn(name, F.coalesce(name, none))
-
+    return owners.join(held, key, "left").withColumn("skills", F.coalesce("skills", none))
 
-def jobs_with_needs(T, jobs: DataFrame) -> DataFrame:
-    listed = T.job_skill.join(T.skill.select("skill_id"), "skill_id", "left_semi")
-    return _sets(jobs.select("job_id", "min_cgpa_x100"), "job_id", listed, "need")
 
+def _listed_needs(T) -> DataFrame:
+    return T.job_skill.join(T.skill.select("skill_id"), "skill_id", "left_semi")
 
-def students_with_skills(T) -> DataFrame:
-    return _sets(T.student.select("student_id", "cgpa_x100"), "student_id",
-                 T.student_skill.select("student_id", "skill_id"), "held")
 
+def students_by_cgpa(T) -> DataFrame:
+    """student_id, cgpa_x100, place: from the highest CGPA (0), ties by id, unknown CGPA last."""
+    return positions(T.student.select("student_id", "cgpa_x100"), F.col("cgpa_x100").desc_nulls_last(), "student_id",
+                     name="place")
 
-def matching_sets(needs: DataFrame, helds: DataFrame) -> DataFrame:
-    """(need, held) of distinct sets with need inside held.
 
-    Each needed set is looked up under its rarest skill only, among the held sets that
-    contain it.
-    """
-    skill = F.explode(F.concat("held", F.array(F.lit(NOTHING).cast("bigint")))).alias("skill_id")
-    by_skill = helds.select("held").distinct().select("held", skill)
-    rarity = by_skill.groupBy("skill_id").agg(F.count("*").alias("holders"))
-    asked = needs.select("need").distinct()
-    first = (asked.select("need", F.explode(F.when(F.size("need") > 0, F.col("need")).otherwise(
-                F.array(F.lit(NOTHING).cast("bigint")))).alias("skill_id"))
-             .join(rarity, "skill_id", "left")
-             .groupBy("need").agg(F.min(F.struct(F.coalesce("holders", F.lit(0)).alias("n"), "skill_id")).alias("r"))
-             .select("need", F.col("r.skill_id").alias("skill_id")))
-    return (first.join(by_skill, "skill_id").where(F.size(F.array_except("need", "held")) == 0)
-            .select("need", "held"))
-
-
-def _running(points: DataFrame, group: str, descending: bool) -> DataFrame:
-    """(group, v, total): the sum of n over all values at or before v. One row per
-    distinct value and set, so a window holds at most as many rows as there are values."""
-    order = F.desc("v") if descending else F.asc("v")
-    upto = Window.partitionBy(group).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return points.groupBy(group, "v").agg(F.sum("n").alias("n")).select(
-        group, "v", F.sum("n").over(upto).alias("total"))
+def _held_places(T, ranked: DataFrame) -> DataFrame:
+    return (T.student_skill.select("student_id", "skill_id").distinct()
+            .join(ranked.select("student_id", "place"), "student_id").select("place", "skill_id"))
 
 
 def students_per_job(T, jobs: DataFrame) -> DataFrame:
     """job_id, eligible_students: students with all required skills and the minimum CGPA."""
-    j = jobs_with_needs(T, jobs)
-    groups = students_with_skills(T).groupBy("held", "cgpa_x100").agg(F.count("*").alias("n"))
-    reached = matching_sets(j, groups).join(groups, "held").select("need", F.col("cgpa_x100").alias("v"), "n")
-    asked = j.select("need", F.col("min_cgpa_x100").alias("v"), F.lit(0).cast("bigint").alias("n")).distinct()
-    total = _running(reached.unionByName(asked), "need", True)
-    return j.join(total.withColumnRenamed("v", "min_cgpa_x100"), ["need", "min_cgpa_x100"]).select(
-        "job_id", F.col("total").alias("eligible_students"))
+    asked = _sets(cgpa_at_least_counts(T, jobs.select("job_id", "min_cgpa_x100")), "job_id", _listed_needs(T))
+    return count_holders(asked.select("job_id", "skills", F.col("n_at_least").alias("cut")),
+                         _held_places(T, students_by_cgpa(T))).select("job_id", F.col("n").alias("eligible_students"))
 
 
 def eligible_students_per_job(T, as_of=DEFAULT_AS_OF) -> DataFrame:
@@ -85,21 +59,54 @@ def eligible_students_per_job(T, as_of=DEFAULT_AS_OF) -> DataFrame:
 
 def skill_holders_per_job(T) -> DataFrame:
     """E2 as counts: students who hold all skills of each job, whatever their CGPA."""
-    j = jobs_with_needs(T, T.job)
-    groups = students_with_skills(T).groupBy("held").agg(F.count("*").alias("n"))
-    per = matching_sets(j, groups).join(groups, "held").groupBy("need").agg(F.sum("n").alias("students"))
-    return j.join(per, "need", "left").select("job_id", F.size("need").alias("n_skills"),
-                                              F.coalesce("students", F.lit(0)).alias("students_with_all_skills"))
+    everyone = T.student.agg(F.count("*").alias("cut"))
+    asked = _sets(T.job.select("job_id"), "job_id", _listed_needs(T)).withColumn("cut", everyone.scalar())
+    return count_holders(asked, _held_places(T, students_by_cgpa(T))).select(
+        "job_id", F.size("skills").alias("n_skills"), F.col("n").alias("students_with_all_skills"))
 
 
 def eligible_jobs_per_student(T, as_of=DEFAULT_AS_OF) -> DataFrame:
     """student_id, eligible_jobs: open, in-date jobs that the student is eligible for."""
-    j = jobs_with_needs(T, T.job.where(accepting(F.col("status"), F.col("application_deadline"), as_of)))
-    s = students_with_skills(T)
-    groups = j.groupBy("need", "min_cgpa_x100").agg(F.count("*").alias("n"))
-    reached = matching_sets(groups, s).join(groups, "need").select(
-        "held", F.col("min_cgpa_x100").alias("v"), "n")
-    asked = s.select("held", F.col("cgpa_x100").alias("v"), F.lit(0).cast("bigint").alias("n")).distinct()
-    total = _running(reached.unionByName(asked), "held", False)
-    return s.join(total.withColumnRenamed("v", "cgpa_x100"), ["held", "cgpa_x100"]).select(
-        "student_id", F.col("total").alias("eligible_jobs"))
+    jobs = (T.job.where(accepting(F.col("status"), F.col("application_deadline"), as_of))
+            .where(F.col("min_cgpa_x100").isNotNull()).select("job_id", "min_cgpa_x100"))
+    ranked = positions(jobs, "min_cgpa_x100", "job_id", name="place")
+    needs = (_listed_needs(T).select("job_id", "skill_id").distinct()
+             .join(ranked.select("job_id", "place"), "job_id").select("place", "skill_id"))
+    # How many jobs ask for at most each CGPA: the jobs' minima and the students' values on one line.
+    students = T.student.select("student_id", "cgpa_x100")
+    line = (ranked.select(F.col("min_cgpa_x100").alias("v"), F.lit(1).cast("long").alias("n"))
+            .unionByName(students.select(F.col("cgpa_x100").alias("v"), F.lit(0).cast("long").alias("n"))
+                         .where("v IS NOT NULL").distinct()))
+    cuts = running_totals(line, "v", "n", name="cut").withColumnRenamed("v", "cgpa_x100")
+    asked = _sets(students.join(cuts, "cgpa_x100", "left").withColumn("cut", F.coalesce("cut", F.lit(0))),
+                  "student_id", T.student_skill.select("student_id", "skill_id"))
+    return count_within(asked.select("student_id", "skills", "cut"), needs).select(
+        "student_id", F.col("n").alias("eligible_jobs"))
+
+
+def student_cgpa_ranks(T) -> DataFrame:
+    """Every student's place in the order of falling CGPA (from 1) and the dense rank of the CGPA."""
+    ranks = distinct_ranks(T.student.select("cgpa_x100"), "cgpa_x100", name="cgpa_rank", descending=True)
+    value = ranks.select(F.col("cgpa_x100").alias("v"), "cgpa_rank")
+    placed = students_by_cgpa(T)
+    return placed.join(value, placed.cgpa_x100.eqNullSafe(value.v)).select(
+        "student_id", "cgpa_x100", (F.col("place") + 1).alias("place"), "cgpa_rank")
+
+
+def cgpa_rank_intervals(T) -> DataFrame:
+    """Q42 without its product: per open job the students who reach its minimum, as an interval of places.
+
+    They are the places 1 to ``last_place`` of ``student_cgpa_ranks`` (null where nobody reaches it), from
+    ``first_student_id`` to ``last_student_id``; ``last_rank`` is the lowest dense rank of a CGPA that does.
+    Whether one student reaches one job's minimum is a comparison of two numbers.
+    """
+    jobs = cgpa_at_least_counts(T, T.job.where(F.col("status") == "Open").select("job_id", "min_cgpa_x100"))
+    ranked = student_cgpa_ranks(T)
+    # Distinct ends only meet the students: jobs that share one share its row.
+    ends = jobs.select(F.col("n_at_least").alias("place")).where("place > 0").distinct()
+    last = ranked.join(ends, "place").select(F.col("place").alias("n_at_least"), F.col("student_id").alias("last_student_id"),
+                                             F.col("cgpa_rank").alias("last_rank"))
+    first = ranked.where("place = 1").select("student_id").scalar()
+    return jobs.join(last, "n_at_least", "left").select(
+        "job_id", "min_cgpa_x100", F.expr("nullif(n_at_least, 0)").alias("last_place"),
+        F.when(F.col("n_at_least") > 0, first).alias("first_student_id"), "last_student_id", "last_rank")

@@ -17,6 +17,22 @@ from ..sources.snapshot import checkpointed
 _ROW_BITS = 33
 
 
+def _deal(df: DataFrame, order, parts: int | None) -> DataFrame:
+    """``df`` in order over range partitions, materialised; ``_at`` is partition and number inside."""
+    spark = df.sparkSession
+    n = parts or max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return checkpointed(df.withColumn("_tie", F.monotonically_increasing_id())
+                        .repartitionByRange(n, *order, "_tie").sortWithinPartitions(*order, "_tie").drop("_tie")
+                        .withColumn("_at", F.monotonically_increasing_id())
+                        ).withColumn("_part", F.shiftright("_at", _ROW_BITS))
+
+
+def _before(sums: DataFrame) -> DataFrame:
+    """Sum of ``_n`` over the partitions before each. One row per partition (their number is a
+    setting), so one task sums them and every task may hold them."""
+    return sums.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))
+
+
 def positions(df: DataFrame, *order: Column | str, name: str = "position", parts: int | None = None) -> DataFrame:
     """``df`` with each row's place (long, from 0) in ``order``.
 
@@ -26,21 +42,29 @@ def positions(df: DataFrame, *order: Column | str, name: str = "position", parts
     ``df`` itself should give the same rows again when it is read twice. An empty table
     gives an empty result. Columns named ``_tie``, ``_at`` and ``_before`` are reserved.
     """
-    spark = df.sparkSession
-    n = parts or max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    dealt = (df.withColumn("_tie", F.monotonically_increasing_id())
-             .repartitionByRange(n, *order, "_tie").sortWithinPartitions(*order, "_tie").drop("_tie")
-             .withColumn("_at", F.monotonically_increasing_id()))
-    dealt = checkpointed(dealt)
-    part = F.shiftright("_at", _ROW_BITS)
-    counts = dealt.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
-    # One row per partition: at most ``n`` rows, so one task sums them and every task may hold them.
-    before = counts.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))
+    dealt = _deal(df, order, parts)
+    before = _before(dealt.groupBy("_part").agg(F.count("*").alias("_n")))
     inside = F.col("_at").bitwiseAND(F.lit((1 << _ROW_BITS) - 1))
-    return (dealt.withColumn("_part", part).join(F.broadcast(before), "_part")
+    return (dealt.join(F.broadcast(before), "_part")
             .withColumn(name, (F.col("_before") + inside).cast("long")).drop("_part", "_at", "_before"))
 
 
+def running_totals(df: DataFrame, value: str, amount: str, name: str = "total", descending: bool = False) -> DataFrame:
+    """(value, total): per distinct value the sum of ``amount`` over all rows at or before it.
+
+    Values are summed up with partial aggregation first; the running sum inside a range
+    partition starts from the sum of the partitions before it. Null values come last.
+    """
+    values = df.groupBy(value).agg(F.sum(amount).alias("_n"))
+    order = F.col(value).desc_nulls_last() if descending else F.col(value).asc_nulls_last()
+    dealt = _deal(values, [order], None)
+    before = _before(dealt.groupBy("_part").agg(F.sum("_n").alias("_n")))
+    inside = F.sum("_n").over(Window.partitionBy("_part").orderBy("_at")
+                              .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return (dealt.withColumn("_inside", inside).join(F.broadcast(before), "_part")
+            .select(value, (F.col("_before") + F.col("_inside")).alias(name)))
+
+
 def distinct_ranks(df: DataFrame, *columns: str, name: str = "rank", descending: bool = False) -> DataFrame:
     """One row per distinct value of ``columns`` with its dense rank (from 1) and row count ``n``.
 

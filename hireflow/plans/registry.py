@@ -69,7 +69,8 @@ for _name, _fn in C.CATALOGUE.items():
     register(_name, _fn, sql_catalogue.SQL.get(_name))
 
 register("eligibility_requests", E.eligibility_requests, sql_domain.SQL["eligibility_requests"])
-for _name in ("skill_holders_per_job", "eligible_students_per_job", "eligible_jobs_per_student"):
+for _name in ("skill_holders_per_job", "eligible_students_per_job", "eligible_jobs_per_student",
+              "student_cgpa_ranks", "cgpa_rank_intervals"):
     register(_name, getattr(EC, _name), sql_domain.SQL[_name])
 register("eligible_counts", E.eligible_counts, sql_domain.SQL["eligible_counts"])
 register("admit_accepted", lambda T: E.admit_applications(T, T.application_request)[0],

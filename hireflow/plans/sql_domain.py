@@ -84,6 +84,17 @@ SQL = {
         SELECT student_id, count(job_id) AS eligible_jobs
         FROM persons LEFT JOIN (FROM posts WHERE taking) ON cgpa_x100 >= min_cgpa_x100 AND list_has_all(held, need)
         GROUP BY ALL""",
+    "student_cgpa_ranks": """
+        SELECT student_id, cgpa_x100, row_number() OVER (ORDER BY cgpa_x100 DESC NULLS LAST, student_id) AS place,
+               dense_rank() OVER (ORDER BY cgpa_x100 DESC NULLS LAST) AS cgpa_rank
+        FROM student""",
+    "cgpa_rank_intervals": """
+        SELECT j.job_id, j.min_cgpa_x100, nullif(count(s.student_id), 0) AS last_place,
+               arg_min(s.student_id, (-s.cgpa_x100, s.student_id)) AS first_student_id,
+               arg_max(s.student_id, (-s.cgpa_x100, s.student_id)) AS last_student_id,
+               nullif(count(DISTINCT s.cgpa_x100), 0) AS last_rank
+        FROM job j LEFT JOIN student s ON s.cgpa_x100 >= j.min_cgpa_x100
+        WHERE j.status = 'Open' AND j.min_cgpa_x100 IS NOT NULL GROUP BY j.job_id, j.min_cgpa_x100""",
     "eligible_counts": """
         SELECT j.job_id, j.min_cgpa_x100, count(s.student_id) AS eligible_students
         FROM job j LEFT JOIN student s ON s.cgpa_x100 >= j.min_cgpa_x100
