@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 
 from . import changes as M
 from . import intake as V
-from .eligibility import DEFAULT_AS_OF
+from .eligibility import DEFAULT_AS_OF, admit_applications
+from .ranking import fresh_ids
 from ..sources.snapshot import checkpointed, publish
 
 JOB_EDIT_COLUMNS = ["job_title", "job_type", "description", "location", "min_cgpa_x100",
@@ -149,7 +150,107 @@ def renumber_departments(T) -> dict[str, DataFrame]:
                                 "department", key_map)
 
 
+def _new_company_accounts(companies: DataFrame) -> DataFrame:
+    return companies.select((F.col("company_id") * 2 + 1).alias("user_id"), "email", F.lit("COMPANY").alias("role"),
+                            F.lit(None).cast("bigint").alias("student_id"), "company_id")
+
+
+def _appended(base: DataFrame, rows: DataFrame) -> DataFrame:
+    """``rows`` have fresh ids, so nothing is looked up."""
+    return base.unionByName(rows.select(*base.columns))
+
+
+def apply_for_jobs(T, as_of=DEFAULT_AS_OF) -> dict[str, DataFrame]:
+    """Apply requests (E5) added to the applications under new ids."""
+    accepted, _ = admit_applications(T, T.application_request, as_of)
+    return {"application": _appended(T.application, accepted)}
+
+
+def register_companies(T) -> dict[str, DataFrame]:
+    """New companies and their logins, published together."""
+    accepted, _ = V.intake_company_registrations(T)
+    new = checkpointed(fresh_ids(accepted, T.company, "company_id", "form_id"))
+    return {"company": _appended(T.company, new),
+            "user_account": M.apply_inserts(T.user_account, _new_company_accounts(new), ["user_id"])}
+
+
+def edit_student_profiles(T) -> dict[str, DataFrame]:
+    """Student profile edits (M2) with the login email kept in step (M9, student side)."""
+    accepted, _ = V.intake_student_edits(T)
+    columns = ["name", "email", "dob", "cgpa_x100", "graduation_year", "department_id"]
+    logins = accepted.select(F.lit("STUDENT").alias("role"), "student_id", "email", "form_id")
+    return {"student": M.apply_updates(T.student, accepted, ["student_id"], columns, ["form_id"]),
+            "user_account": M.apply_updates(T.user_account, logins, ["role", "student_id"], ["email"], ["form_id"])}
+
+
+def post_jobs(T) -> dict[str, DataFrame]:
+    """Accepted job forms (V3) as new postings under new ids, with their required skills."""
+    accepted, _ = V.intake_jobs(T)
+    new = checkpointed(fresh_ids(accepted.drop("job_id"), T.job, "job_id", "form_id"))
+    skills = new.select("job_id", F.explode("skill_ids").alias("skill_id"))
+    return {"job": _appended(T.job, new), "job_skill": _appended(T.job_skill, skills)}
+
+
+def add_certifications(T) -> dict[str, DataFrame]:
+    """Accepted certification forms (V4) under new ids, in form order."""
+    accepted, _ = V.intake_certifications(T)
+    forms = accepted.withColumnRenamed("certification_id", "form_id")
+    return {"certification": _appended(T.certification, fresh_ids(forms, T.certification, "certification_id", "form_id"))}
+
+
+def schedule_interviews(T) -> dict[str, DataFrame]:
+    """Accepted interview forms (V5) added under their form's id (M1)."""
+    accepted, _ = V.intake_interviews(T)
+    return {"interview": M.apply_inserts(T.interview, accepted, ["interview_id"])}
+
+
+def refused_interviews(T) -> DataFrame:
+    """M1's refusals when the interviews of a batch, and those that stand, are sent in once more."""
+    accepted, _ = V.intake_interviews(T)
+    sent = accepted.unionByName(T.interview).unionByName(accepted)
+    return M.split_inserts(T.interview, sent, ["interview_id"])[1].select("interview_id", "application_id", "refused")
+
+
+def edit_interviews(T) -> dict[str, DataFrame]:
+    accepted, _ = V.intake_interview_edits(T)
+    columns = ["interview_date", "interview_time", "mode", "interview_status", "remarks"]
+    return {"interview": M.apply_updates(T.interview, accepted, ["interview_id"], columns)}
+
+
+def issue_offers(T, forms: DataFrame | None = None) -> dict[str, DataFrame]:
+    """Accepted offer forms (V6) under new ids, in form order."""
+    accepted, _ = V.intake_offers(T, forms)
+    new = accepted.withColumnRenamed("offer_id", "form_id")
+    return {"offer": _appended(T.offer, fresh_ids(new, T.offer, "offer_id", "form_id"))}
+
+
+def edit_offers(T) -> dict[str, DataFrame]:
+    accepted, _ = V.intake_offer_edits(T)
+    columns = ["offer_date", "job_title", "salary", "joining_date", "offer_status"]
+    return {"offer": M.apply_updates(T.offer, accepted, ["offer_id"], columns)}
+
+
+def hiring_workflow(T, log) -> int:
+    """Three batches, each on the version that the one before published: apply, move statuses, offer.
+
+    The change and offer forms are those of the first version, as they were sent in.
+    """
+    forms, changes = T.offer_form, T.status_change
+    log.run(T, apply_for_jobs)
+    log.run(T, lambda now: {"application": M.scoped_status_update(now.application, now.job, changes)})
+    return log.run(T, lambda now: issue_offers(now, forms))
+
+
 ROUTES = {
+    "apply_for_jobs": apply_for_jobs,
+    "register_companies": register_companies,
+    "edit_student_profiles": edit_student_profiles,
+    "post_jobs": post_jobs,
+    "add_certifications": add_certifications,
+    "schedule_interviews": schedule_interviews,
+    "edit_interviews": edit_interviews,
+    "issue_offers": issue_offers,
+    "edit_offers": edit_offers,
     "register_students": register_students,
     "edit_company_profiles": edit_company_profiles,
     "edit_jobs": edit_jobs,

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .ranking import running_totals
+from .ranking import fresh_ids, running_totals
 
 # Fixed values of the reference application: reason and decision texts.
 REASON_CGPA = "CGPA requirement not met."
@@ -180,7 +180,8 @@ def admit_applications(T, requests: DataFrame, as_of=DEFAULT_AS_OF) -> tuple[Dat
     One request per (student, job) survives the batch: the earliest by
     (ts, request_id), found with a grouped min (partial aggregation, so a
     pair repeated by a third of the batch is combined map-side). Accepted rows
-    get status Applied and ``as_of`` as date; their id is the request id.
+    get status Applied and ``as_of`` as date, and new ids: the numbers after the highest
+    application id, in the order of the requests.
     """
     first = (requests.groupBy("student_id", "job_id")
              .agg(F.min(F.struct("ts", "request_id")).alias("w"))
@@ -189,14 +190,14 @@ def admit_applications(T, requests: DataFrame, as_of=DEFAULT_AS_OF) -> tuple[Dat
     dupes = (requests.join(first, "request_id", "left_anti")
              .select("request_id", "student_id", "job_id",
                      F.array(F.lit(REASON_DUPLICATE)).alias("reasons")))
-    decided = eligibility_pairs(T, winners.select("request_id", "student_id", "job_id"), as_of)
+    decided = eligibility_pairs(T, winners.select("request_id", "student_id", "job_id", "ts"), as_of)
     unknown = (winners.join(decided.select("request_id"), "request_id", "left_anti")
                .select("request_id", "student_id", "job_id",
                        F.array(F.lit(REASON_NOT_FOUND)).alias("reasons")))
-    accepted = (decided.where("can_apply")
-                .select(F.col("request_id").alias("application_id"), "student_id", "job_id",
-                        _as_of(as_of).alias("application_date"),
-                        F.lit("Applied").alias("status")))
+    let_in = decided.where("can_apply").select("request_id", "student_id", "job_id", "ts")
+    accepted = fresh_ids(let_in, T.application, "application_id", F.col("ts").asc_nulls_first(), "request_id").select(
+        "application_id", "student_id", "job_id", _as_of(as_of).alias("application_date"),
+        F.lit("Applied").alias("status"), "request_id")
     refused = (decided.where(~F.col("can_apply"))
                .select("request_id", "student_id", "job_id",
                        F.when(F.col("eligible"), F.array(F.lit(REASON_APPLIED)))

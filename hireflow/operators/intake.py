@@ -51,6 +51,7 @@ R_WEBSITE = "website is invalid"
 R_EMAIL_OTHER_ACCOUNT = "email is used by another account"
 R_EMAIL_OTHER_COMPANY = "email is used by another company"
 R_NAME_OTHER_COMPANY = "company name is used by another company"
+R_NAME_TWICE = "company name appears earlier in the batch"
 R_TITLE = "job title is required"
 R_TYPE = "job type is required"
 R_DESCRIPTION = "description is required"
@@ -242,6 +243,62 @@ def intake_companies(T, batch: DataFrame | None = None) -> tuple[DataFrame, Data
                                        (R_COMPANY_NAME_TWICE, ["n"], "company_id")])
 
 
+def intake_student_edits(T, batch: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Student profile edits (``form_id`` is the student's own id): V1's rules for the profile fields; the
+    email must not be another account's."""
+    b = T.student_form if batch is None else batch
+    f = b.select("form_id", "phone", F.col("form_id").alias("student_id"), X.strip("name").alias("n"),
+                 X.normal_email("email").alias("e"), X.parse_number("cgpa").alias("g"),
+                 X.parse_int("graduation_year").alias("y"), X.parse_date("dob").alias("d"),
+                 X.parse_long("department_id").alias("dep"))
+    f = f.withColumn("user_id", F.col("student_id") * 2)
+    dept = _flag(T.department.select(F.col("department_id").alias("dep")), ["dep"], "dep_ok")
+    known = _flag(T.student.select("student_id"), ["student_id"], "id_known")
+    f = f.join(dept, "dep", "left").join(known, "student_id", "left")
+    f = _owned_by_other(f, T.user_account.select(F.lower("email").alias("e"), "user_id"), "e", "user_id", "taken")
+    rules = [
+        (R_STUDENT, ~_is("id_known")),
+        (R_NAME, F.col("n") == ""),
+        (R_EMAIL, ~X.is_email("e")),
+        (R_CGPA, F.col("g").isNull() | (F.col("g") < 0) | (F.col("g") > 10)),
+        (R_YEAR, F.col("y").isNull() | (F.col("y") < 1900) | (F.col("y") > 2200)),
+        (R_PHONE, ~X.is_phone_or_blank("phone")),
+        (R_DOB, F.col("d").isNull()),
+        (R_DEPARTMENT, ~_is("dep_ok")),
+        (R_EMAIL_OTHER_ACCOUNT, _is("taken")),
+        *_too_long("student", n="name", e="email"),
+    ]
+    accepted = ["form_id", "student_id", F.col("n").alias("name"), F.col("e").alias("email"), F.col("d").alias("dob"),
+                F.round(F.col("g") * 100).cast("int").alias("cgpa_x100"), F.col("y").alias("graduation_year"),
+                F.col("dep").alias("department_id")]
+    return _split(f, rules, accepted, [(R_EMAIL_TWICE, ["e"], "student_id")])
+
+
+def intake_company_registrations(T, batch: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """New companies: no field of the form may be missing, name and email must be nobody's yet. (A blank
+    field is let in here; only profile edits ask for more.)"""
+    b = T.company_registration_form if batch is None else batch
+    f = b.select("form_id", "website", *[F.col(c).isNull().alias(f"no_{c}") for c in (
+                     "company_name", "industry", "location", "email")],
+                 X.strip("company_name").alias("n"), X.strip("industry").alias("ind"),
+                 X.strip("location").alias("loc"), X.normal_email("email").alias("e"))
+    emails = T.user_account.select(F.lower("email").alias("e")).unionByName(T.company.select(F.lower("email").alias("e")))
+    f = f.join(_flag(emails, ["e"], "email_taken"), "e", "left")
+    f = f.join(_flag(T.company.select(F.col("company_name").alias("n")), ["n"], "name_taken"), "n", "left")
+    rules = [
+        (R_COMPANY_NAME, F.col("no_company_name")),
+        (R_INDUSTRY, F.col("no_industry")),
+        (R_LOCATION, F.col("no_location")),
+        (R_EMAIL, F.col("no_email")),
+        (R_EMAIL_TAKEN, _is("email_taken")),
+        (R_NAME_OTHER_COMPANY, _is("name_taken")),
+        *_too_long("company", n="company_name", ind="industry", loc="location", e="email", website="website"),
+    ]
+    accepted = ["form_id", F.col("n").alias("company_name"), F.col("ind").alias("industry"),
+                F.col("loc").alias("location"), "website", F.col("e").alias("email")]
+    return _split(f, rules, accepted, [(R_EMAIL_TWICE, ["e"], None), (R_NAME_TWICE, ["n"], None)])
+
+
 def intake_jobs(T, batch: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """V3: job postings/edits; skill ids de-duplicated keeping first (C3),
     all must exist (C4, as an anti join), recruiter must be the company's."""
@@ -338,8 +395,9 @@ def intake_interviews(T, batch: DataFrame | None = None) -> tuple[DataFrame, Dat
     return _split(f, rules, accepted)
 
 
-def intake_offers(T, batch: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """V6: offers; only for owned, Selected applications without an offer."""
+def intake_offers(T, batch: DataFrame | None = None, editing: bool = False) -> tuple[DataFrame, DataFrame]:
+    """V6: offers; only for owned, Selected applications without an offer. ``editing``: edits
+    of offers that exist (``form_id`` is the offer's id), whatever the application's status now."""
     b = T.offer_form if batch is None else batch
     f = b.select("form_id", "company_id", X.text("offer_status").alias("offer_status"),
                  X.parse_long("application_id").alias("aid"),
@@ -357,14 +415,17 @@ def intake_offers(T, batch: DataFrame | None = None) -> tuple[DataFrame, DataFra
         (R_OFFER_STATUS, ~F.col("offer_status").isin(*OFFER_STATUSES)),
         (R_JOINING_ORDER, F.col("jd") < F.col("od")),
         (R_NOT_OWNED, ~F.coalesce(F.col("owner_id") == F.col("company_id"), F.lit(False))),
-        (R_NOT_SELECTED, F.col("owner_id").isNotNull() & (F.col("app_status") != "Selected")),
-        (R_OFFER_EXISTS, _is("has_offer")),
     ]
+    if not editing:
+        rules += [
+            (R_NOT_SELECTED, F.col("owner_id").isNotNull() & (F.col("app_status") != "Selected")),
+            (R_OFFER_EXISTS, _is("has_offer")),
+        ]
     accepted = [F.col("form_id").alias("offer_id"), F.col("aid").alias("application_id"),
                 F.col("od").alias("offer_date"), F.col("t").alias("job_title"),
                 F.col("sal").try_cast("decimal(12,2)").cast("double").alias("salary"), F.col("jd").alias("joining_date"),
                 "offer_status"]
-    return _split(f, rules, accepted, [(R_APP_TWICE, ["aid"], None)])
+    return _split(f, rules, accepted, [] if editing else [(R_APP_TWICE, ["aid"], None)])
 
 
 def intake_student_skills(T, batch: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
@@ -386,6 +447,15 @@ def intake_student_skills(T, batch: DataFrame | None = None) -> tuple[DataFrame,
     return _split(f, rules, accepted, [(R_SKILL_TWICE, ["student_id", "skill_id"], None)])
 
 
+def intake_interview_edits(T) -> tuple[DataFrame, DataFrame]:
+    """V5 on edits: ``form_id`` is the interview's id."""
+    return intake_interviews(T, T.interview_edit_form)
+
+
+def intake_offer_edits(T) -> tuple[DataFrame, DataFrame]:
+    return intake_offers(T, T.offer_edit_form, editing=True)
+
+
 INTAKES = {
     "students": intake_students,
     "companies": intake_companies,
@@ -394,4 +464,8 @@ INTAKES = {
     "interviews": intake_interviews,
     "offers": intake_offers,
     "student_skills": intake_student_skills,
+    "student_edits": intake_student_edits,
+    "company_registrations": intake_company_registrations,
+    "interview_edits": intake_interview_edits,
+    "offer_edits": intake_offer_edits,
 }

@@ -89,3 +89,14 @@ def dense_rank(df: DataFrame, *columns: str, name: str = "rank", descending: boo
     for s in same[1:]:
         condition = condition & s
     return df.join(keys, condition).drop(*[f"_k{i}" for i in range(len(columns))])
+
+
+def fresh_ids(rows: DataFrame, base: DataFrame, key: str, *order: Column | str) -> DataFrame:
+    """``rows`` with ``key``: numbers from the highest of ``base`` on, in ``order``.
+
+    Rows are numbered by positions over materialised range partitions, so a lost task hands out the
+    same numbers again and no two rows share one. ``base`` without rows counts as 0.
+    """
+    highest = base.agg(F.coalesce(F.max(key), F.lit(0)).alias("highest")).scalar()
+    return (positions(rows, *order, name="_place").withColumn(key, (F.col("_place") + 1 + highest).cast("long"))
+            .drop("_place"))

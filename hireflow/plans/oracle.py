@@ -274,6 +274,37 @@ FORMS = {
         FROM lineitem l JOIN orders o ON o.o_orderkey = l.l_orderkey
         JOIN part p ON p.p_partkey = l.l_partkey
         WHERE l.l_discount < 0.05""",
+    "company_registration_form": """
+        SELECT s_suppkey AS form_id,
+               CASE WHEN s_suppkey % 10 = 0 THEN s_name
+                    WHEN s_suppkey % 14 <= 1 THEN 'Twin Works ' || CAST(s_suppkey // 14 AS VARCHAR)
+                    ELSE ' New ' || s_name || ' ' END AS company_name,
+               CASE WHEN s_suppkey % 12 > 0 THEN 'Services' END AS industry,
+               'NATION_' || CAST(s_nationkey AS VARCHAR) AS location,
+               CASE WHEN s_suppkey % 3 = 0 THEN '' ELSE 'https://n' || CAST(s_suppkey AS VARCHAR) || '.example' END AS website,
+               CASE WHEN s_suppkey % 13 = 0 THEN 'hr' || CAST(s_suppkey AS VARCHAR) || '@company.example'
+                    WHEN s_suppkey % 15 <= 1 THEN 'Team' || CAST(s_suppkey // 15 AS VARCHAR) || '@new.example'
+                    ELSE ' Jobs' || CAST(s_suppkey AS VARCHAR) || '@New.Example ' END AS email
+        FROM supplier""",
+    "interview_edit_form": """
+        SELECT i.interview_id AS form_id, CAST(i.application_id AS VARCHAR) AS application_id,
+               j.company_id + CAST(i.application_id % 6 = 0 AS INTEGER) AS company_id,
+               CASE WHEN i.application_id % 11 = 0 THEN 'someday'
+                    ELSE strftime(i.interview_date + 7, '%Y-%m-%d') END AS interview_date,
+               CASE WHEN i.application_id % 13 = 0 THEN '25:00' ELSE '9:30' END AS interview_time,
+               CASE WHEN i.application_id % 17 = 0 THEN 'Phone' ELSE 'Online' END AS mode,
+               CASE WHEN i.application_id % 4 = 1 THEN 'Cancelled' ELSE 'Completed' END AS interview_status,
+               CASE WHEN i.application_id % 2 = 0 THEN ' Moved ' ELSE '' END AS remarks
+        FROM interview i JOIN application a ON a.application_id = i.application_id JOIN job j ON j.job_id = a.job_id""",
+    "offer_edit_form": """
+        SELECT o.offer_id AS form_id, CAST(o.application_id AS VARCHAR) AS application_id,
+               j.company_id + CAST(o.offer_id % 6 = 0 AS INTEGER) AS company_id,
+               strftime(o.offer_date, '%Y-%m-%d') AS offer_date,
+               CASE WHEN o.offer_id % 7 = 0 THEN '' ELSE 'Senior ' || o.job_title END AS job_title,
+               CASE WHEN o.offer_id % 11 = 0 THEN 'ask' ELSE '61000.50' END AS salary,
+               strftime(o.offer_date + CASE WHEN o.offer_id % 5 = 0 THEN -1 ELSE 60 END, '%Y-%m-%d') AS joining_date,
+               CASE WHEN o.offer_id % 3 = 0 THEN 'Accepted' ELSE 'Pending' END AS offer_status
+        FROM offer o JOIN application a ON a.application_id = o.application_id JOIN job j ON j.job_id = a.job_id""",
 }
 BINDING.update(FORMS)
 

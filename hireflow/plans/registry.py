@@ -24,6 +24,7 @@ from ..operators import intake as V
 from ..operators import reports as R
 from ..session import shared_path
 from ..sources import snapshot as SN
+from ..sources import versions as VN
 from ..sources.binding import Domain
 from ..streaming import jobs as ST
 from ..sources.schema import TABLE_NAMES
@@ -155,6 +156,20 @@ for _name in V.INTAKES:
              sql_intake.SQL[f"intake_{_name}_quarantined"])
 
 _CHANGES = {
+    "snapshot_application_after_apply": lambda T: CS.apply_for_jobs(T)["application"],
+    "snapshot_company_after_company_registration": lambda T: CS.register_companies(T)["company"],
+    "snapshot_user_account_after_company_registration": lambda T: CS.register_companies(T)["user_account"],
+    "snapshot_student_after_profile_edit": lambda T: CS.edit_student_profiles(T)["student"],
+    "snapshot_user_account_after_profile_edit": lambda T: CS.edit_student_profiles(T)["user_account"],
+    "snapshot_job_after_posting": lambda T: CS.post_jobs(T)["job"],
+    "snapshot_job_skill_after_posting": lambda T: CS.post_jobs(T)["job_skill"],
+    "snapshot_certification_after_adds": lambda T: CS.add_certifications(T)["certification"],
+    "snapshot_interview_after_scheduling": lambda T: CS.schedule_interviews(T)["interview"],
+    "refused_interview_inserts": CS.refused_interviews,
+    "snapshot_interview_after_edit": lambda T: CS.edit_interviews(T)["interview"],
+    "snapshot_offer_after_issue": lambda T: CS.issue_offers(T)["offer"],
+    "snapshot_offer_after_edit": lambda T: CS.edit_offers(T)["offer"],
+    "versioned_offer_after_workflow": lambda T: _versioned_offers(T),
     "snapshot_student_after_registration": lambda T: CS.register_students(T)["student"],
     "snapshot_student_skill_after_registration":
         lambda T: CS.register_students(T)["student_skill"],
@@ -211,6 +226,12 @@ SKILL_FORM_SCHEMA = T_.StructType([
     T_.StructField("allow_update", T_.BooleanType())])
 
 
+def _versioned_offers(T) -> DataFrame:
+    """Apply, status moves and offers as three batches on a version log; the offers of the last version."""
+    log = VN.VersionLog(T.spark, _stream_dir(T, "versions"))
+    return log.read("offer", CS.hiring_workflow(T, log))
+
+
 def _load_batch(T) -> DataFrame:
     """The skill form as a CSV batch file, read back typed and PERMISSIVE."""
     path = _stream_dir(T, "batch") + "/student_skill_form.csv"

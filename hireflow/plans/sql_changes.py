@@ -4,8 +4,11 @@ of the reference written as the SELECT of the table it would leave behind.
 
 from __future__ import annotations
 
+import re
+
 from ..operators import changesets as CS
 from ..operators.eligibility import DEFAULT_AS_OF
+from .sql_domain import SQL as DOMAIN
 from .sql_intake import SQL as INTAKE
 from .sql_intake import _long
 
@@ -89,7 +92,74 @@ _GONE = f"""
     SELECT student_id FROM ({_STUDENT_DELETES}) d
     WHERE student_id NOT IN (SELECT student_id FROM ({_BLOCKED}) b)"""
 
+def _fresh(table: str, key: str, rows: str, columns: str, order: str = "form_id") -> str:
+    """``rows`` under new ids from the highest of ``table`` on."""
+    return (f"SELECT (SELECT coalesce(max({key}), 0) FROM {table}) + row_number() OVER (ORDER BY {order}) AS {key}, "
+            f"{columns} FROM {rows} x")
+
+
+def _edited(table: str, key: str, accepted: str, columns: list[str], keep: list[str]) -> str:
+    """``table`` with ``columns`` from the accepted edit of the row, if there is one."""
+    new = ", ".join(f"CASE WHEN a.{key} IS NOT NULL THEN a.{c} ELSE t.{c} END AS {c}" for c in columns)
+    same = ", ".join(f"t.{c}" for c in [key, *keep])
+    return (f"SELECT {same}, {new} "
+            f"FROM {table} t LEFT JOIN {accepted} a ON a.{key} = t.{key}")
+
+
+_JOB_COLS = ("company_id, recruiter_id, job_title, job_type, description, location, min_cgpa_x100, "
+             "application_deadline, salary, status")
+_OFFER_COLS = "application_id, offer_date, job_title, salary, joining_date, offer_status"
+_NEW_JOBS = _fresh("job", "job_id", f"(SELECT * EXCLUDE (job_id) FROM {_acc('jobs')} y)", "*")
+_NEW_COMPANIES = _fresh("company", "company_id", _acc("company_registrations"),
+                        "company_name, industry, location, website, email")
+_STUDENT_EDIT = ["name", "email", "dob", "cgpa_x100", "graduation_year", "department_id"]
+_APPLIED = f"""SELECT application_id, student_id, job_id, application_date, status FROM application
+               UNION ALL SELECT application_id, student_id, job_id, application_date, status
+               FROM (SELECT * EXCLUDE (request_id) FROM ({DOMAIN['admit_accepted']}) y) n"""
+# The workflow: what the second and third batch see in place of ``application``.
+_MOVED = re.sub(r"\bapplication\b", "applied_now", _STATUS_AFTER)
+_OFFERS_THEN = _fresh("offer", "offer_id", "(SELECT offer_id AS form_id, * EXCLUDE (offer_id) FROM "
+                      + "(" + re.sub(r"\bapplication\b", "moved_now", INTAKE["intake_offers_accepted"]) + ") z)", _OFFER_COLS)
+
 SQL = {
+    "snapshot_application_after_apply": _APPLIED,
+    "snapshot_company_after_company_registration": f"SELECT * FROM company UNION ALL BY NAME SELECT * FROM ({_NEW_COMPANIES}) n",
+    "snapshot_user_account_after_company_registration": f"""
+        SELECT * FROM user_account UNION ALL BY NAME
+        SELECT company_id * 2 + 1 AS user_id, email, 'COMPANY' AS role, NULL AS student_id, company_id FROM ({_NEW_COMPANIES}) n""",
+    "snapshot_student_after_profile_edit": _edited("student", "student_id", _acc("student_edits"), _STUDENT_EDIT, []),
+    "snapshot_user_account_after_profile_edit": f"""
+        SELECT u.user_id, CASE WHEN u.role = 'STUDENT' AND a.student_id IS NOT NULL THEN a.email ELSE u.email END AS email,
+               u.role, u.student_id, u.company_id
+        FROM user_account u LEFT JOIN {_acc('student_edits')} a ON a.student_id = u.student_id AND u.role = 'STUDENT'""",
+    "snapshot_job_after_posting": f"SELECT * FROM job UNION ALL BY NAME SELECT job_id, {_JOB_COLS} FROM ({_NEW_JOBS}) n",
+    "snapshot_job_skill_after_posting": f"""
+        SELECT job_id, skill_id FROM job_skill UNION ALL
+        SELECT DISTINCT n.job_id, u.skill_id FROM ({_NEW_JOBS}) n JOIN job_form f ON f.form_id = n.form_id, unnest(f.skills) AS u(skill_id)""",
+    "snapshot_certification_after_adds": f"""
+        SELECT * FROM certification UNION ALL BY NAME
+        {_fresh("certification", "certification_id", f"(SELECT certification_id AS form_id, * EXCLUDE (certification_id) FROM {_acc('certifications')} y)",
+                "* EXCLUDE (form_id)")}""",
+    "snapshot_interview_after_scheduling": f"""
+        SELECT * FROM interview UNION ALL BY NAME
+        SELECT DISTINCT * FROM {_acc('interviews')} a WHERE interview_id NOT IN (SELECT interview_id FROM interview)""",
+    "refused_interview_inserts": f"""
+        WITH a AS (SELECT * FROM {_acc('interviews')} y)
+        SELECT interview_id, application_id, 'key exists' AS refused FROM interview
+        UNION ALL SELECT interview_id, application_id, 'key exists' FROM (SELECT * FROM a UNION ALL SELECT * FROM a) z
+        WHERE interview_id IN (SELECT interview_id FROM interview)
+        UNION ALL SELECT interview_id, application_id, 'key appears earlier in the batch' FROM a
+        WHERE interview_id NOT IN (SELECT interview_id FROM interview)""",
+    "snapshot_interview_after_edit": _edited("interview", "interview_id", _acc("interview_edits"), [
+        "interview_date", "interview_time", "mode", "interview_status", "remarks"], ["application_id"]),
+    "snapshot_offer_after_issue": f"""
+        SELECT * FROM offer UNION ALL BY NAME
+        {_fresh("offer", "offer_id", f"(SELECT offer_id AS form_id, * EXCLUDE (offer_id) FROM {_acc('offers')} y)", _OFFER_COLS)}""",
+    "snapshot_offer_after_edit": _edited("offer", "offer_id", _acc("offer_edits"), [
+        "offer_date", "job_title", "salary", "joining_date", "offer_status"], ["application_id"]),
+    "versioned_offer_after_workflow": f"""
+        WITH applied_now AS ({_APPLIED}), moved_now AS ({_MOVED})
+        SELECT * FROM offer UNION ALL BY NAME {_OFFERS_THEN}""",
     "snapshot_student_after_registration": _REG_STUDENT,
     "snapshot_student_skill_after_registration": _REG_SKILLS,
     "snapshot_user_account_after_registration": _REG_ACCOUNT,

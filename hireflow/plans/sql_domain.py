@@ -102,9 +102,10 @@ SQL = {
     "admit_accepted": f"""
         WITH {_WINNERS.strip()},
         d AS ({decide_sql('w')})
-        SELECT request_id AS application_id, student_id, job_id,
-               {AS_OF} AS application_date, 'Applied' AS status
-        FROM d WHERE eligible AND NOT already_applied""",
+        SELECT (SELECT coalesce(max(application_id), 0) FROM application)
+                 + row_number() OVER (ORDER BY r.ts NULLS FIRST, request_id) AS application_id,
+               d.student_id, d.job_id, {AS_OF} AS application_date, 'Applied' AS status, request_id
+        FROM d JOIN application_request r USING (request_id) WHERE eligible AND NOT already_applied""",
     "admit_rejected": f"""
         WITH {_WINNERS.strip()},
         d AS ({decide_sql('w')})

@@ -198,11 +198,12 @@ _certifications = _split(
 _OWNER = """(SELECT j.company_id FROM application a JOIN job j ON j.job_id = a.job_id
              WHERE a.application_id = {aid})"""
 
-_interviews = _split(
+def _interviews(form: str) -> tuple[str, str]:
+    return _split(
     f"""SELECT b.* REPLACE (coalesce(b.mode, '') AS mode, coalesce(b.interview_status, '') AS interview_status),
                {_long('b.application_id')} AS aid, {_date('b.interview_date')} AS dt,
                {_time('b.interview_time')} AS tm
-        FROM interview_form b""",
+        FROM {form} b""",
     [(V.R_INTERVIEW_DATE, "dt IS NULL"),
      (V.R_INTERVIEW_TIME, "tm IS NULL"),
      (V.R_MODE, f"NOT {_in('mode', ('Online', 'In-person'))}"),
@@ -212,12 +213,16 @@ _interviews = _split(
     f"form_id AS interview_id, aid AS application_id, dt AS interview_date, "
     f"tm AS interview_time, mode, interview_status, nullif({_strip('remarks')}, '') AS remarks")
 
-_offers = _split(
+def _offers(form: str, editing: bool) -> tuple[str, str]:
+    new = [(V.R_NOT_SELECTED, "EXISTS (SELECT 1 FROM application a JOIN job j ON j.job_id = a.job_id "
+                              "WHERE a.application_id = f.aid AND a.status <> 'Selected')"),
+           (V.R_OFFER_EXISTS, "EXISTS (SELECT 1 FROM offer o WHERE o.application_id = f.aid)")]
+    return _split(
     f"""SELECT b.* REPLACE (coalesce(b.offer_status, '') AS offer_status),
                {_long('b.application_id')} AS aid, {_date('b.offer_date')} AS od,
                {_date('b.joining_date')} AS jd, {_strip('b.job_title')} AS t,
                {_number('b.salary')} AS sal
-        FROM offer_form b""",
+        FROM {form} b""",
     [(V.R_OFFER_DATE, "od IS NULL"),
      (V.R_JOINING_DATE, "jd IS NULL"),
      (V.R_OFFER_TITLE, "t = ''"),
@@ -226,12 +231,10 @@ _offers = _split(
      (V.R_OFFER_STATUS, f"NOT {_in('offer_status', ('Pending', 'Accepted', 'Withdrawn'))}"),
      (V.R_JOINING_ORDER, "jd < od"),
      (V.R_NOT_OWNED, f"NOT coalesce({_OWNER.format(aid='f.aid')} = f.company_id, FALSE)"),
-     (V.R_NOT_SELECTED, "EXISTS (SELECT 1 FROM application a JOIN job j ON j.job_id = a.job_id "
-                        "WHERE a.application_id = f.aid AND a.status <> 'Selected')"),
-     (V.R_OFFER_EXISTS, "EXISTS (SELECT 1 FROM offer o WHERE o.application_id = f.aid)")],
+     *([] if editing else new)],
     "form_id AS offer_id, aid AS application_id, od AS offer_date, t AS job_title, "
     "CAST(TRY_CAST(sal AS DECIMAL(12,2)) AS DOUBLE) AS salary, jd AS joining_date, offer_status",
-    [(V.R_APP_TWICE, "aid", None)])
+    [] if editing else [(V.R_APP_TWICE, "aid", None)])
 
 _skills = _split(
     f"""SELECT b.form_id, b.student_id, coalesce(b.proficiency, '') AS proficiency,
@@ -245,9 +248,41 @@ _skills = _split(
     "student_id, skill_id, proficiency, CASE WHEN held THEN 'update' ELSE 'insert' END AS action",
     [(V.R_SKILL_TWICE, "student_id, skill_id", None)])
 
+_student_edits = _split(
+    f"""SELECT b.form_id, b.form_id AS student_id, b.phone, {_strip('b.name')} AS n, lower({_strip('b.email')}) AS e,
+               {_number('b.cgpa')} AS g, {_int('b.graduation_year')} AS y, {_date('b.dob')} AS d, {_long('b.department_id')} AS dep
+        FROM student_form b""",
+    [(V.R_STUDENT, "NOT EXISTS (SELECT 1 FROM student s WHERE s.student_id = f.student_id)"),
+     (V.R_NAME, "n = ''"),
+     (V.R_EMAIL, f"NOT {_email_ok('e')}"),
+     (V.R_CGPA, "g IS NULL OR g < 0 OR g > 10"),
+     (V.R_YEAR, "y IS NULL OR y < 1900 OR y > 2200"),
+     (V.R_PHONE, f"NOT {_blank_or('phone', X.PHONE_PATTERN)}"),
+     (V.R_DOB, "d IS NULL"),
+     (V.R_DEPARTMENT, "NOT EXISTS (SELECT 1 FROM department x WHERE x.department_id = dep)"),
+     (V.R_EMAIL_OTHER_ACCOUNT, "EXISTS (SELECT 1 FROM user_account u WHERE lower(u.email) = e AND u.user_id <> f.form_id * 2)"),
+     *_too_long(n__name=120, e__email=150)],
+    "form_id, student_id, n AS name, e AS email, d AS dob, CAST(round(g * 100) AS INTEGER) AS cgpa_x100, "
+    "y AS graduation_year, dep AS department_id", [(V.R_EMAIL_TWICE, "e", None)])
+
+_registrations = _split(
+    f"""SELECT b.*, {_strip('b.company_name')} AS n, {_strip('b.industry')} AS ind, {_strip('b.location')} AS loc,
+               lower({_strip('b.email')}) AS e
+        FROM company_registration_form b""",
+    [(V.R_COMPANY_NAME, "company_name IS NULL"), (V.R_INDUSTRY, "industry IS NULL"),
+     (V.R_LOCATION, "location IS NULL"), (V.R_EMAIL, "email IS NULL"),
+     (V.R_EMAIL_TAKEN, "e IN (SELECT lower(email) FROM user_account) OR e IN (SELECT lower(email) FROM company)"),
+     (V.R_NAME_OTHER_COMPANY, "n IN (SELECT company_name FROM company)"),
+     *_too_long(n__company_name=150, ind__industry=100, loc__location=150, e__email=150, website__website=255)],
+    "form_id, n AS company_name, ind AS industry, loc AS location, website, e AS email",
+    [(V.R_EMAIL_TWICE, "e", None), (V.R_NAME_TWICE, "n", None)])
+
 SQL = {}
 for _name, (_acc, _quar) in {"students": _students, "companies": _companies, "jobs": _jobs,
-                             "certifications": _certifications, "interviews": _interviews,
-                             "offers": _offers, "student_skills": _skills}.items():
+                             "certifications": _certifications, "interviews": _interviews("interview_form"),
+                             "offers": _offers("offer_form", False), "student_skills": _skills,
+                             "student_edits": _student_edits, "company_registrations": _registrations,
+                             "interview_edits": _interviews("interview_edit_form"),
+                             "offer_edits": _offers("offer_edit_form", True)}.items():
     SQL[f"intake_{_name}_accepted"] = _acc
     SQL[f"intake_{_name}_quarantined"] = _quar

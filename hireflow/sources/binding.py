@@ -316,11 +316,24 @@ class Domain:
     def student_skill_form(self) -> DataFrame:
         return _forms.student_skill_form(self)
 
+    @cached_property
+    def company_registration_form(self) -> DataFrame:
+        return _forms.company_registration_form(self)
+
+    @cached_property
+    def interview_edit_form(self) -> DataFrame:
+        return _forms.interview_edit_form(self)
+
+    @cached_property
+    def offer_edit_form(self) -> DataFrame:
+        return _forms.offer_edit_form(self)
+
     # overrides ---------------------------------------------------------------
     def with_tables(self, **frames: DataFrame) -> "Domain":
-        """A domain whose named tables are replaced (e.g. by a newer snapshot)."""
+        """A domain whose named tables are replaced (e.g. by a newer snapshot); the other tables
+        stay as they are here, also those whose binding reads a replaced one."""
         d = Domain(self.spark, self.sf_dir)
-        d.__dict__.update(frames)
+        d.__dict__.update({t: self.table(t) for t in S.TABLE_NAMES} | frames)
         return d
 
     # SQL access (S3) -----------------------------------------------------------

@@ -202,3 +202,48 @@ def student_skill_form(T) -> DataFrame:
                        .otherwise(skill_id_of(F.col("p_brand")))).alias("skill_id"),
                     prof.alias("proficiency"),
                     (n % 2 == 0).alias("allow_update")))
+
+
+def company_registration_form(T) -> DataFrame:
+    """New companies (registration): one per supplier; some miss a field or use a name or email twice."""
+    k = F.col("s_suppkey")
+    return T.raw("supplier").select(
+        k.alias("form_id"),
+        F.when(k % 10 == 0, F.col("s_name")).when(k % 14 <= 1, F.concat(F.lit("Twin Works "), _s(F.floor(k / 14))))
+         .otherwise(F.concat(F.lit(" New "), F.col("s_name"), F.lit(" "))).alias("company_name"),
+        F.when(k % 12 == 0, F.lit(None).cast("string")).otherwise(F.lit("Services")).alias("industry"),
+        F.concat(F.lit("NATION_"), _s(F.col("s_nationkey"))).alias("location"),
+        F.when(k % 3 == 0, F.lit("")).otherwise(F.concat(F.lit("https://n"), _s(k), F.lit(".example"))).alias("website"),
+        F.when(k % 13 == 0, F.concat(F.lit("hr"), _s(k), F.lit("@company.example")))
+         .when(k % 15 <= 1, F.concat(F.lit("Team"), _s(F.floor(k / 15)), F.lit("@new.example")))
+         .otherwise(F.concat(F.lit(" Jobs"), _s(k), F.lit("@New.Example "))).alias("email"))
+
+
+def interview_edit_form(T) -> DataFrame:
+    """Interview edits: one per interview, by the job's company or, now and then, another one."""
+    owner = (T.application.select("application_id", "job_id")
+             .join(T.job.select("job_id", "company_id"), "job_id").select("application_id", "company_id"))
+    k = F.col("application_id")
+    return T.interview.join(owner, "application_id").select(
+        F.col("interview_id").alias("form_id"), _s(k).alias("application_id"),
+        (F.col("company_id") + F.when(k % 6 == 0, 1).otherwise(0)).alias("company_id"),
+        F.when(k % 11 == 0, F.lit("someday")).otherwise(_date_text(F.date_add("interview_date", 7))).alias("interview_date"),
+        F.when(k % 13 == 0, F.lit("25:00")).otherwise(F.lit("9:30")).alias("interview_time"),
+        F.when(k % 17 == 0, F.lit("Phone")).otherwise(F.lit("Online")).alias("mode"),
+        F.when(k % 4 == 1, F.lit("Cancelled")).otherwise(F.lit("Completed")).alias("interview_status"),
+        F.when(k % 2 == 0, F.lit(" Moved ")).otherwise(F.lit("")).alias("remarks"))
+
+
+def offer_edit_form(T) -> DataFrame:
+    """Offer edits: one per offer, by the job's company or, now and then, another one."""
+    owner = (T.application.select("application_id", "job_id")
+             .join(T.job.select("job_id", "company_id"), "job_id").select("application_id", "company_id"))
+    k = F.col("offer_id")
+    return T.offer.join(owner, "application_id").select(
+        k.alias("form_id"), _s(F.col("application_id")).alias("application_id"),
+        (F.col("company_id") + F.when(k % 6 == 0, 1).otherwise(0)).alias("company_id"),
+        _date_text(F.col("offer_date")).alias("offer_date"),
+        F.when(k % 7 == 0, F.lit("")).otherwise(F.concat(F.lit("Senior "), F.col("job_title"))).alias("job_title"),
+        F.when(k % 11 == 0, F.lit("ask")).otherwise(F.lit("61000.50")).alias("salary"),
+        _date_text(F.date_add("offer_date", F.when(k % 5 == 0, -1).otherwise(60))).alias("joining_date"),
+        F.when(k % 3 == 0, F.lit("Accepted")).otherwise(F.lit("Pending")).alias("offer_status"))

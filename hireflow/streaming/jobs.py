@@ -74,7 +74,7 @@ def stream_admission(spark: SparkSession, source_dir: str, T, out_dir: str, chec
             once = once.join(seen, "request_id", "left_anti")
         new = once.persist()          # read by three outputs; a lost part is made again from the batch
         earlier = _prior(spark, f"{out_dir}/accepted", epoch_id)
-        apps = T.application if earlier is None else T.application.unionByName(earlier)
+        apps = T.application if earlier is None else T.application.unionByName(earlier.drop("request_id"))
         accepted, rejected = admit_applications(T.with_tables(application=apps), new, as_of)
         accepted.write.mode("overwrite").parquet(f"{out_dir}/accepted/epoch={epoch_id}")
         rejected.write.mode("overwrite").parquet(f"{out_dir}/rejected/epoch={epoch_id}")

@@ -83,5 +83,7 @@ def test_admission_stream_decides_late_and_repeated_requests_once(seed):
     ST.stream_admission(spark, src, seed, f"{base}/out", f"{base}/ckpt", as_of="2026-10-01",
                         max_files_per_trigger=1).awaitTermination()
     acc, rej = ST.admitted(spark, f"{base}/out")
-    got = sorted([x.application_id for x in acc.collect()] + [x.request_id for x in rej.collect()])
+    got = sorted([x.request_id for x in acc.collect()] + [x.request_id for x in rej.collect()])
     assert got == sorted({x[0] for x in r} | {900001, 900002})
+    ids = [x.application_id for x in acc.collect()] + [x.application_id for x in seed.application.collect()]
+    assert len(ids) == len(set(ids))
