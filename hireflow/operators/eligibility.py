@@ -64,10 +64,11 @@ def missing_skills(T, pairs: DataFrame) -> DataFrame:
              .agg(F.sort_array(F.collect_list("skill_name")).alias("missing_skills")))
 
 
-def eligibility_pairs(T, pairs: DataFrame, as_of=DEFAULT_AS_OF) -> DataFrame:
-    """Decide every row of ``pairs`` (student_id, job_id, any extra columns).
+def eligibility_pairs(T, pairs: DataFrame, as_of=DEFAULT_AS_OF, keep_unknown: bool = False) -> DataFrame:
+    """Decide every row of ``pairs`` (student_id, job_id, any extra columns); ``pairs`` may be a stream.
 
-    Unknown student or job -> no row, as the reference returns nothing there.
+    Unknown student or job -> no row, as the reference returns nothing there; with ``keep_unknown``
+    a row whose only reason says so.
     The student side carries its held skills as bit words keyed by word
     number (a map with at most one entry per held skill) and the job side its
     required skills (sorted by name, each with its word and bit), so after the
@@ -81,7 +82,9 @@ def eligibility_pairs(T, pairs: DataFrame, as_of=DEFAULT_AS_OF) -> DataFrame:
     held = skill_masks(T.student_skill.select("student_id", "skill_id"), "student_id")
     s = s.join(held.withColumnRenamed("mask", "held"), "student_id", "left")
     j = j.join(required_by_word(T), "job_id", "left")
-    base = pairs.join(s, "student_id").join(j, "job_id")
+    how = "left" if keep_unknown else "inner"
+    base = (pairs.join(s.withColumn("_student", F.lit(True)), "student_id", how)
+            .join(j.withColumn("_job", F.lit(True)), "job_id", how))
     d = base.withColumn("missing_skills", missing_from_lists(F.col("req"), F.col("held")))
     d = d.join(applied_pairs(T), ["student_id", "job_id"], "left")
     missing = F.coalesce(F.col("missing_skills"), F.array().cast("array<string>"))
@@ -91,6 +94,8 @@ def eligibility_pairs(T, pairs: DataFrame, as_of=DEFAULT_AS_OF) -> DataFrame:
                F.concat(F.lit(REASON_MISSING), F.array_join(missing, ", "))),
         F.when(~accepting(F.col("status"), F.col("application_deadline"), as_of),
                F.lit(REASON_CLOSED))))
+    if keep_unknown:
+        reasons = F.when(F.col("_student") & F.col("_job"), reasons).otherwise(F.array(F.lit(REASON_NOT_FOUND)))
     eligible = F.size("reasons") == 0
     already = F.coalesce(F.col("already_applied"), F.lit(False))
     extra = [c for c in pairs.columns if c not in ("student_id", "job_id")]

@@ -217,7 +217,7 @@ def _stream_status(T) -> DataFrame:
     base = _stream_dir(T, "status")
     src = ST.stage(T.status_change, f"{base}/source")
     ST.stream_status_latest(T.spark, src, T, f"{base}/out", f"{base}/checkpoint").awaitTermination()
-    return ST.latest_status_snapshot(T.spark, T, f"{base}/out")
+    return ST.latest_status_snapshot(T.spark, f"{base}/out")
 
 
 SKILL_FORM_SCHEMA = T_.StructType([

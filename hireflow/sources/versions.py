@@ -16,6 +16,9 @@ from collections.abc import Callable
 
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+_BUCKET = "_bucket"
 
 
 class VersionTaken(RuntimeError):
@@ -63,13 +66,19 @@ class VersionLog:
         tables = self.manifest(version)
         return base.with_tables(**{t: self.spark.read.parquet(p) for t, p in tables.items()}) if tables else base
 
+    def new_folder(self) -> str:
+        return f"{self.path}/data/{uuid.uuid4().hex}"
+
     def commit(self, frames: dict[str, DataFrame], since: int) -> int:
         """Write ``frames`` as the version after ``since``; the other tables stay where they are."""
-        folder = f"{self.path}/data/{uuid.uuid4().hex}"
+        folder = self.new_folder()
         for table, df in frames.items():
             df.write.parquet(f"{folder}/{table}")
-        tables = self.manifest(since) | {t: f"{folder}/{t}" for t in frames}
-        self._publish(since + 1, json.dumps(tables, sort_keys=True))
+        return self.point({t: f"{folder}/{t}" for t in frames}, since)
+
+    def point(self, folders: dict[str, str], since: int) -> int:
+        """Publish the version after ``since`` in which ``folders`` hold the tables they name."""
+        self._publish(since + 1, json.dumps(self.manifest(since) | folders, sort_keys=True))
         return since + 1
 
     def _publish(self, version: int, text: str) -> None:
@@ -95,3 +104,47 @@ class VersionLog:
         """One batch: ``route`` on the latest version, its snapshots published as the next."""
         since = self.latest()
         return self.commit(route(self.open(base, since)), since)
+
+
+class BucketedTable:
+    """A table on a log in ``buckets`` parts by a hash of its key; a change rewrites the parts it touches.
+
+    Each part is a folder that the manifest names, so a version shares the untouched parts with the
+    one before, file by file.
+    """
+
+    def __init__(self, log: VersionLog, table: str, key: str, buckets: int = 64):
+        self.log, self.table, self.key, self.buckets = log, table, key, buckets
+
+    def _write(self, df: DataFrame) -> str:
+        folder = f"{self.log.new_folder()}/{self.table}"
+        bucket = F.pmod(F.xxhash64(self.key), F.lit(self.buckets))
+        dealt = df.withColumn(_BUCKET, bucket).repartition(_BUCKET)
+        dealt.write.partitionBy(_BUCKET).parquet(folder)
+        return folder
+
+    def _paths(self, version: int | None) -> dict[int, str]:
+        start = f"{self.table}/"
+        return {int(t[len(start):]): p for t, p in self.log.manifest(version).items() if t.startswith(start)}
+
+    def create(self, df: DataFrame, since: int = 0) -> int:
+        """The whole table as the version after ``since``. Parts without rows have no folder."""
+        folder = self._write(df)
+        parts = self.log.spark.read.parquet(folder).select(_BUCKET).distinct().collect()     # at most ``buckets``
+        return self.log.point({f"{self.table}/{b}": f"{folder}/{_BUCKET}={b}" for (b,) in parts}, since)
+
+    def read(self, version: int | None = None) -> DataFrame:
+        return self.log.spark.read.parquet(*self._paths(version).values())
+
+    def update(self, changes: DataFrame, since: int, apply) -> int:
+        """The version after ``since`` with ``apply(rows, changes)`` on the parts that hold a key of ``changes``.
+
+        ``changes`` is read twice; ``apply`` keeps the keys. Changes to keys without a part are dropped.
+        """
+        bucket = F.pmod(F.xxhash64(self.key), F.lit(self.buckets))
+        touched = {b for (b,) in changes.select(bucket).distinct().collect()}                  # at most ``buckets``
+        paths = {b: p for b, p in self._paths(since).items() if b in touched}
+        if not paths:
+            return self.log.point({}, since)
+        folder = self._write(apply(self.log.spark.read.parquet(*paths.values()), changes))
+        return self.log.point({f"{self.table}/{b}": f"{folder}/{_BUCKET}={b}" for b in paths}, since)

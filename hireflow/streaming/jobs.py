@@ -15,28 +15,41 @@ stop (used by the tests and the registry), or continuously.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Iterator
+from contextlib import contextmanager
+
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.utils import AnalysisException
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators.changes import apply_updates
-from ..operators.eligibility import DEFAULT_AS_OF, admit_applications
+from ..operators.eligibility import DEFAULT_AS_OF, REASON_APPLIED, REASON_DUPLICATE, eligibility_pairs
+from ..operators.ranking import fresh_ids
 from ..sources.schema import APPLICATION_STATUSES
+from ..sources.versions import BucketedTable, VersionLog
 
 REQUEST_SCHEMA = "request_id bigint, student_id bigint, job_id bigint, ts timestamp_ntz"
 CHANGE_SCHEMA = ("change_id string, application_id bigint, company_id bigint, status string, "
                  "ts timestamp_ntz")
 
 
-def _prior(spark: SparkSession, path: str, epoch_id: int) -> DataFrame | None:
-    """Output of earlier epochs (a replayed epoch ignores its own old output)."""
+STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+@contextmanager
+def _rocksdb_state(spark: SparkSession) -> Iterator[None]:
+    """A query started inside keeps its state in RocksDB (on disk, changes uploaded to the checkpoint)."""
+    before = spark.conf.get(STATE_STORE, None)
+    spark.conf.set(STATE_STORE, ROCKSDB)
     try:
-        return spark.read.parquet(path).where(F.col("epoch") < epoch_id).drop("epoch")
-    except AnalysisException as e:
-        if e.getCondition() != "PATH_NOT_FOUND":      # nothing written yet
-            raise
-        return None
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(STATE_STORE)
+        else:
+            spark.conf.set(STATE_STORE, before)
 
 
 def _start(df: DataFrame, fn, checkpoint: str, available_now: bool, mode: str = "append"
@@ -53,35 +66,79 @@ def _source(spark: SparkSession, schema: str, source_dir: str, max_files: int |
     return reader.parquet(source_dir)
 
 
+class _OnePerPair(StatefulProcessor):
+    """Per (student, job): whether a request has been admitted, or refused for good in its micro-batch.
+
+    Of the requests of a micro-batch the earliest is decided and the others repeat it; once one has been
+    admitted, later ones have applied already. What is held is one flag a pair.
+    """
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.admitted = handle.getValueState("admitted", "yes boolean")
+
+    def handleInputRows(self, key, rows, timerValues):
+        before, first = self.admitted.exists(), None
+        for row in rows:                     # one pass, whatever their number
+            if first is None or _turn(row) < _turn(first):
+                row, first = first, row
+            if row is not None:
+                yield _decided(row, [REASON_DUPLICATE])
+        if before and not first.reasons:
+            yield _decided(first, [REASON_APPLIED])
+            return
+        if not first.reasons and not first.already_applied:
+            self.admitted.update((True,))
+            yield _decided(first, [])
+        else:
+            yield _decided(first, list(first.reasons) or [REASON_APPLIED])
+
+    def close(self) -> None:
+        pass
+
+
+def _turn(row) -> tuple:
+    return (row.ts is not None, row.ts, row.request_id) if row.ts is not None else (False, row.request_id)
+
+
+def _decided(row, reasons: list[str]) -> Row:
+    return Row(request_id=row.request_id, student_id=row.student_id, job_id=row.job_id, ts=row.ts, reasons=reasons)
+
+
 def stream_admission(spark: SparkSession, source_dir: str, T, out_dir: str, checkpoint: str,
                      as_of=DEFAULT_AS_OF, available_now: bool = True,
                      max_files_per_trigger: int | None = None) -> StreamingQuery:
     """Admit application requests as they arrive, however late.
 
-    Every request ends in exactly one output: a request_id that an earlier epoch has
-    decided, or that is delivered twice in one micro-batch (the earliest counts), is
-    not decided again. The published ``seen`` ids are the memory for that, so nothing
-    is forgotten or dropped with time. Each micro-batch is decided by the batch twin
-    against the applications table plus everything admitted by earlier epochs.
+    Every request ends in exactly one output. Two keyed states in the checkpointed store remember what
+    earlier epochs decided: the request ids seen (a repeated delivery is dropped) and the pairs of
+    student and job with an admission. Rules are looked up by stream-static joins. A micro-batch
+    reads nothing that earlier ones wrote but the highest id they gave, so its time does not grow with
+    their number. New ids follow the order of the requests within an epoch.
     """
-    requests = _source(spark, REQUEST_SCHEMA, source_dir, max_files_per_trigger)
+    requests = _source(spark, REQUEST_SCHEMA, source_dir, max_files_per_trigger).dropDuplicates(["request_id"])
+    ruled = eligibility_pairs(T, requests, as_of, keep_unknown=True).select(
+        "request_id", "student_id", "job_id", "ts", "reasons", "already_applied")
+    decided = ruled.groupBy("student_id", "job_id").transformWithState(
+        _OnePerPair(), f"{REQUEST_SCHEMA}, reasons array<string>", "Append", "None")
 
     def per_batch(batch: DataFrame, epoch_id: int) -> None:
-        once = (batch.groupBy("request_id").agg(F.min(F.struct("ts", "student_id", "job_id")).alias("r"))
-                .select("request_id", "r.student_id", "r.job_id", "r.ts"))
-        seen = _prior(spark, f"{out_dir}/seen", epoch_id)
-        if seen is not None:
-            once = once.join(seen, "request_id", "left_anti")
-        new = once.persist()          # read by three outputs; a lost part is made again from the batch
-        earlier = _prior(spark, f"{out_dir}/accepted", epoch_id)
-        apps = T.application if earlier is None else T.application.unionByName(earlier.drop("request_id"))
-        accepted, rejected = admit_applications(T.with_tables(application=apps), new, as_of)
-        accepted.write.mode("overwrite").parquet(f"{out_dir}/accepted/epoch={epoch_id}")
-        rejected.write.mode("overwrite").parquet(f"{out_dir}/rejected/epoch={epoch_id}")
-        new.select("request_id").write.mode("overwrite").parquet(f"{out_dir}/seen/epoch={epoch_id}")
-        new.unpersist()
-
-    return _start(requests, per_batch, checkpoint, available_now)
+        path = f"{out_dir}/decided/epoch={epoch_id}"
+        batch.write.mode("overwrite").parquet(path)          # the state advances once; all else reads this
+        now = spark.read.parquet(path)
+        before = (T.application.select("application_id") if epoch_id == 0
+                  else spark.read.parquet(f"{out_dir}/highest/epoch={epoch_id - 1}"))
+        accepted = fresh_ids(now.where(F.size("reasons") == 0), before, "application_id",
+                             F.col("ts").asc_nulls_first(), "request_id")
+        (accepted.select("application_id", "student_id", "job_id", F.lit(str(as_of)).cast("date").alias("application_date"),
+                         F.lit("Applied").alias("status"), "request_id")
+         .write.mode("overwrite").parquet(f"{out_dir}/accepted/epoch={epoch_id}"))
+        (now.where(F.size("reasons") > 0).select("request_id", "student_id", "job_id", "reasons")
+         .write.mode("overwrite").parquet(f"{out_dir}/rejected/epoch={epoch_id}"))
+        (before.unionByName(accepted.select("application_id")).agg(F.max("application_id").alias("application_id"))
+         .write.mode("overwrite").parquet(f"{out_dir}/highest/epoch={epoch_id}"))
+
+    with _rocksdb_state(spark):
+        return _start(decided, per_batch, checkpoint, available_now)
 
 
 def admitted(spark: SparkSession, out_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -99,7 +156,8 @@ def stream_status_latest(spark: SparkSession, source_dir: str, T, out_dir: str,
     join). The running max of (ts, change_id, status) per application is
     Spark's own streaming aggregation state (checkpointed state store); each
     micro-batch emits only the applications whose winner changed ("update"
-    mode), written once per epoch.
+    mode). They are merged into a bucketed snapshot (M3): only the buckets that hold one of them are
+    written again, and the epoch's version names the new and the old folders.
     """
     owner = (T.application.select("application_id", "job_id")
              .join(T.job.select("job_id", F.col("company_id").alias("owner_id")), "job_id")
@@ -113,17 +171,30 @@ def stream_status_latest(spark: SparkSession, source_dir: str, T, out_dir: str,
                .select("application_id", F.col("w.ts").alias("ts"),
                        F.col("w.change_id").alias("change_id"), F.col("w.status").alias("status")))
 
+    table = _statuses(spark, out_dir)
+    if table.log.latest() == 0:
+        table.create(T.application)
+
     def per_batch(batch: DataFrame, epoch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{out_dir}/winners/epoch={epoch_id}")
+        if table.log.latest() >= epoch_id + 2:               # a replay of an epoch that was published
+            return
+        path = f"{out_dir}/winners/epoch={epoch_id}"
+        batch.write.mode("overwrite").parquet(path)
+        table.update(spark.read.parquet(path), epoch_id + 1, lambda rows, winners: apply_updates(
+            rows, winners, ["application_id"], ["status"], order=["ts", "change_id"]))
 
     return _start(winners, per_batch, checkpoint, available_now, mode="update")
 
 
-def latest_status_snapshot(spark: SparkSession, T, out_dir: str) -> DataFrame:
-    """Applications with the streamed winners applied (M2 on status)."""
-    winners = spark.read.parquet(f"{out_dir}/winners").drop("epoch")
-    return apply_updates(T.application, winners, ["application_id"], ["status"],
-                         order=["ts", "change_id"])
+def _statuses(spark: SparkSession, out_dir: str) -> BucketedTable:
+    return BucketedTable(VersionLog(spark, f"{out_dir}/snapshot"), "application", "application_id")
+
+
+def latest_status_snapshot(spark: SparkSession, out_dir: str, epoch: int | None = None) -> DataFrame:
+    """Applications with the streamed winners applied, after the last epoch or after ``epoch``."""
+    table = _statuses(spark, out_dir)
+    return table.read(None if epoch is None else epoch + 2).select(
+        "application_id", "student_id", "job_id", "application_date", "status")
 
 
 def stage(df: DataFrame, path: str, files: int | None = None) -> str:

@@ -11,6 +11,7 @@ from hireflow.operators import changes as M
 from hireflow.operators import eligibility as E
 from hireflow.session import shared_path
 from hireflow.sources import snapshot as SN
+from hireflow.sources.versions import VersionLog
 from hireflow.streaming import jobs as ST
 
 
@@ -43,18 +44,29 @@ def test_status_stream_equals_batch_twin_over_many_epochs(seed):
     base = _fresh(spark, "status")
     # One change per file, newest first: later epochs bring older changes.
     src = f"{base}/source"
-    ordered = seed.status_change.orderBy(F.desc("ts"))
-    for i, row in enumerate(ordered.collect()):
-        spark.createDataFrame([row], seed.status_change.schema).write.parquet(f"{src}/part{i}")
+    sent = seed.status_change.orderBy(F.desc("ts"), F.desc("change_id")).collect()
+    for i, row in enumerate(sent):
+        spark.createDataFrame([row], seed.status_change.schema).write.parquet(f"{src}/part{i:04d}")
     files = f"{src}/*"
     q = ST.stream_status_latest(spark, files, seed, f"{base}/out", f"{base}/ckpt",
                                 max_files_per_trigger=1)
     q.awaitTermination()
-    streamed = {r.application_id: r.status
-                for r in ST.latest_status_snapshot(spark, seed, f"{base}/out").collect()}
-    batch = {r.application_id: r.status for r in
-             M.scoped_status_update(seed.application, seed.job, seed.status_change).collect()}
-    assert streamed == batch
+    log = VersionLog(spark, f"{base}/out/snapshot")
+    epochs = log.latest() - 1
+    assert epochs >= len(sent)
+    # Files of one moment may come in any order; an epoch's winners say which changes it brought.
+    came = [spark.read.parquet(f"{base}/out/winners/epoch={e}").select("change_id").collect() for e in range(epochs)]
+    for epoch in sorted({0, min(1, epochs - 1), epochs - 1}):
+        streamed = {r.application_id: r.status
+                    for r in ST.latest_status_snapshot(spark, f"{base}/out", epoch).collect()}
+        names = {r.change_id for rows in came[:epoch + 1] for r in rows}
+        so_far = [r for r in sent if r.change_id in names] if epoch < epochs - 1 else sent
+        batch = {r.application_id: r.status for r in M.scoped_status_update(
+            seed.application, seed.job, spark.createDataFrame(so_far, seed.status_change.schema)).collect()}
+        assert streamed == batch
+    for version in range(2, epochs + 2):       # one change an epoch: at most one bucket is written again
+        old, new = log.manifest(version - 1), log.manifest(version)
+        assert set(old) == set(new) and sum(old[t] != new[t] for t in old) <= 1
 
 
 def test_admission_stream_equals_batch_twin(seed):
