@@ -65,10 +65,9 @@ def audit_unique(T) -> DataFrame:
 def audit_fk(T) -> DataFrame:
     """K3: child rows whose (non-null) foreign key has no parent row.
 
-    Few distinct values may carry all rows of a child (25 skills), so the rows are not
-    joined with the parent. The distinct keys of all children that reference one parent
-    (map-side combine leaves a row per value and task) are anti-joined with it once;
-    only the orphan keys then pick their child rows.
+    All children of one parent meet it in one anti join, so every table is read once. A value that
+    carries most rows of a child (one of 25 skills) does no harm: a small parent is sent to the rows
+    once its size is known, and a large one's skewed partitions are split on the children's side.
     """
     by_parent: dict[tuple[str, tuple[str, ...]], list[DataFrame]] = {}
     for spec in TABLES.values():
@@ -83,8 +82,7 @@ def audit_fk(T) -> DataFrame:
     out = []
     for (parent, cols), refs in by_parent.items():
         rows = reduce(DataFrame.unionByName, refs)
-        orphan_keys = rows.select(*cols).distinct().join(T.table(parent).select(*cols), list(cols), "left_anti")
-        orphans = rows.join(orphan_keys, list(cols), "left_semi")
+        orphans = rows.join(T.table(parent).select(*cols), list(cols), "left_anti")
         out.append(_rows(orphans, "fk_missing", F.col("table_name"), F.col("key"), F.col("detail")))
     return _union(out, T.spark)
 
@@ -174,6 +172,51 @@ def audit_application_rules(T, as_of=DEFAULT_AS_OF) -> DataFrame:
                  F.array_join("reasons", " | "))
 
 
+def _row_findings(spec: TableSpec) -> list[Column]:
+    """What is wrong with one row by itself: (rule, key, detail) or null, a column per rule."""
+    pk = key_text(spec.primary_key)
+
+    def finding(bad: Column, rule: str, detail: Column) -> Column:
+        return F.when(bad, F.struct(F.lit(rule).alias("rule"), pk.alias("key"), detail.alias("detail")))
+    null_pk = reduce(lambda a, b: a | b, [F.col(c).isNull() for c in spec.primary_key])
+    out = [finding(null_pk, "pk_null", F.lit(""))]
+    out += [finding(~F.coalesce(F.expr(c.predicate), F.lit(True)), "check_failed", F.lit(c.name)) for c in spec.checks]
+    out += [finding(F.col(c).isNotNull() & ~F.col(c).isin(*values), "domain", F.concat(F.lit(c + "="), F.col(c)))
+            for c, values in spec.domains.items()]
+    out += [finding(cond, rule, F.lit(c)) for c, rule, cond in _profile_checks(spec)]
+    if spec.name == "user_account":
+        good = role_link_ok(F.col("role"), F.col("student_id"), F.col("company_id"))
+        out.append(finding(~F.coalesce(good, F.lit(False)), "role_link", F.col("role")))
+    return out
+
+
+def _key_claims(spec: TableSpec) -> list[Column]:
+    """The unique keys that a row claims: (rule, key, detail), null where a part of the key is."""
+    def claim(cols, rule: str) -> Column:
+        present = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in cols])
+        return F.when(present, F.struct(F.lit(rule).alias("rule"), key_text(cols).alias("key"),
+                                        F.lit(",".join(cols)).alias("detail")))
+    return [claim(spec.primary_key, "pk_duplicate"), *[claim(cols, "unique_duplicate") for cols in spec.unique]]
+
+
+def audit_table_rules(T) -> DataFrame:
+    """K1, K2, K4 to K7 as one report, every table read once.
+
+    A row is expanded into its findings and the keys that it claims; all are counted in one
+    aggregate (partial first). A finding stands with the number of its rows, a claim if several
+    rows make it.
+    """
+    out = []
+    for spec in TABLES.values():
+        entries = [F.when(c.isNotNull(), F.struct(F.lit(claimed).alias("claimed"), c.alias("e")))
+                   for claimed, cols in ((False, _row_findings(spec)), (True, _key_claims(spec))) for c in cols]
+        every = T.table(spec.name).select(F.explode(F.array_compact(F.array(*entries))).alias("x"))
+        counted = every.groupBy("x.claimed", "x.e.rule", "x.e.key", "x.e.detail").agg(F.count("*").alias("n_rows"))
+        out.append(counted.where("NOT claimed OR n_rows > 1").select(
+            "rule", F.lit(spec.name).alias("table_name"), "key", "detail", "n_rows"))
+    return reduce(DataFrame.unionByName, out)
+
+
 AUDITS = {
     "audit_pk": audit_pk,
     "audit_unique": audit_unique,

@@ -340,13 +340,14 @@ def q48_scheduled_interviews(T) -> DataFrame:
 
 
 def _tracking(T, with_department: bool) -> DataFrame:
-    s_cols = ["student_id", "name"] + (["department_id"] if with_department else [])
-    a = (T.application.select("application_id", "student_id", "job_id", "status")
-         .join(T.student.select(*s_cols), "student_id"))
+    # The small sides meet first; the applications are joined with a person and with a post.
+    s = T.student.select("student_id", "name", *(["department_id"] if with_department else []))
     if with_department:
-        a = a.join(T.department, "department_id")
-    a = (a.join(T.job.select("job_id", "job_title", "company_id"), "job_id")
-          .join(T.company.select("company_id", "company_name"), "company_id"))
+        s = s.join(T.department, "department_id")
+    post = (T.job.select("job_id", "job_title", "company_id")
+            .join(T.company.select("company_id", "company_name"), "company_id"))
+    a = (T.application.select("application_id", "student_id", "job_id", "status")
+         .join(s, "student_id").join(post, "job_id"))
     # Interview is 1:M per application: the left join keeps that fan-out.
     i = T.interview.select("application_id", "interview_status")
     o = T.offer.select("application_id", "offer_status")

@@ -273,7 +273,7 @@ def job_profile(T) -> DataFrame:
     skills = F.coalesce("required_skills", F.array().cast("array<string>"))
     return (T.job.join(c, "company_id").join(r, "recruiter_id")
             .join(skills_by_job(T), "job_id", "left")
-            .select("job_id", "job_title", "job_type", "location", "min_cgpa_x100",
+            .select("job_id", "job_title", "job_type", "description", "location", "min_cgpa_x100",
                     "application_deadline", "salary", "status", "company_name",
                     "company_industry", "company_location", "company_website", "company_email",
                     "recruiter_name", F.array_join(skills, ", ").alias("skills_text")))
@@ -342,22 +342,25 @@ def stage_timeline(T) -> DataFrame:
 
 
 def application_detail(T) -> DataFrame:
-    """Six-table application detail (J4, E10) with interview count and offer."""
+    """Six-table application detail (J4, E10) with interview count and offer; the interviews
+    themselves are ``lists.application_interviews``. Job, company and recruiter meet first, so the
+    applications are joined with three tables' worth of names once."""
     s = T.student.select("student_id", F.col("name").alias("student_name"),
                          F.col("email").alias("student_email"), "cgpa_x100", "department_id")
     j = T.job.select("job_id", "job_title", "job_type", "location", "company_id", "recruiter_id")
     n_i = _count(T.interview, "application_id", "interview_count")
-    return (T.application.join(s, "student_id").join(T.department, "department_id")
-            .join(j, "job_id")
-            .join(T.company.select("company_id", "company_name"), "company_id")
-            .join(T.recruiter.select("recruiter_id", "recruiter_name"), "recruiter_id")
-            .join(n_i, "application_id", "left")
-            .join(T.offer.select("application_id", "offer_id", "offer_status"),
-                  "application_id", "left")
+    s = s.join(T.department, "department_id")
+    j = (j.join(T.company.select("company_id", "company_name"), "company_id")
+         .join(T.recruiter.select("recruiter_id", "recruiter_name"), "recruiter_id"))
+    offer = T.offer.select("application_id", "offer_id", "offer_status", "offer_date", "joining_date",
+                           F.col("job_title").alias("offer_title"), F.col("salary").alias("offer_salary"))
+    return (T.application.join(s, "student_id").join(j, "job_id")
+            .join(n_i, "application_id", "left").join(offer, "application_id", "left")
             .select("application_id", "application_date", "status", "student_id", "company_id",
                     "student_name", "student_email", "cgpa_x100", "department_name",
                     "job_title", "job_type", "location", "company_name", "recruiter_name",
-                    _zero("interview_count"), "offer_id", "offer_status"))
+                    _zero("interview_count"), "offer_id", "offer_status", "offer_date", "joining_date",
+                    "offer_title", "offer_salary"))
 
 
 # Visibility and ownership ----------------------------------------------

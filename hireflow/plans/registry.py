@@ -21,7 +21,9 @@ from ..operators import changesets as CS
 from ..operators import eligibility as E
 from ..operators import eligible_counts as EC
 from ..operators import intake as V
+from ..operators import lists as LS
 from ..operators import reports as R
+from ..operators import search as SE
 from ..session import shared_path
 from ..sources import snapshot as SN
 from ..sources import versions as VN
@@ -122,10 +124,16 @@ _REPORTS = {
     "status_map_entries": R.status_map_entries,
     "job_cards": R.job_cards,
     "application_lookup_sql": R.application_lookup_sql,
+    "application_interviews": LS.application_interviews,
+    "company_jobs": LS.company_jobs,
+    "student_certifications": LS.student_certifications,
+    "search_jobs_many": SE.search_jobs_many,
+    "search_students_many": SE.search_students_many,
 }
 for _name, _fn in _REPORTS.items():
     register(_name, _fn, sql_reports.SQL.get(_name))
 
+register("audit_table_rules", K.audit_table_rules, sql_audit.SQL["audit_table_rules"])
 for _name, _fn in K.AUDITS.items():
     register(_name, _fn, sql_audit.SQL[_name])
 

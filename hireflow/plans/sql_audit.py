@@ -83,7 +83,37 @@ def _domain() -> str:
     return "\nUNION ALL\n".join(parts)
 
 
+def _table_rules() -> str:
+    """Row rules and unique keys, a SELECT each, with the number of rows that a finding stands for."""
+    out = []
+    for spec in TABLES.values():
+        key = "concat_ws('|', " + ", ".join(f"coalesce(CAST({c} AS VARCHAR), '')" for c in spec.primary_key) + ")"
+
+        def bad(rule: str, detail: str, cond: str) -> None:
+            out.append(f"SELECT '{rule}' AS rule, '{spec.name}' AS table_name, {key} AS key, {detail} AS detail, "
+                       f"count(*) AS n_rows FROM {spec.name} WHERE {cond} GROUP BY ALL")
+        bad("pk_null", "''", " OR ".join(f"{c} IS NULL" for c in spec.primary_key))
+        for c in spec.checks:
+            bad("check_failed", f"'{c.name}'", f"NOT coalesce({c.predicate}, TRUE)")
+        for c, values in spec.domains.items():
+            bad("domain", f"'{c}=' || {c}", f"{c} NOT IN ({', '.join(repr(v) for v in values)})")
+        for c in spec.not_null:
+            bad("not_null", f"'{c}'", f"{c} IS NULL")
+        for c, n in spec.max_length.items():
+            bad(f"max_length_{n}", f"'{c}'", f"length({c}) > {n}")
+        if spec.name == "user_account":
+            bad("role_link", "role", "(CAST(student_id IS NOT NULL AS INT), CAST(company_id IS NOT NULL AS INT)) IS DISTINCT FROM "
+                "CASE role WHEN 'ADMIN' THEN (0, 0) WHEN 'STUDENT' THEN (1, 0) WHEN 'COMPANY' THEN (0, 1) END")
+        for rule, cols in [("pk_duplicate", spec.primary_key), *[("unique_duplicate", u) for u in spec.unique]]:
+            text = "concat_ws('|', " + ", ".join(f"CAST({c} AS VARCHAR)" for c in cols) + ")"
+            out.append(f"SELECT '{rule}' AS rule, '{spec.name}' AS table_name, {text} AS key, '{','.join(cols)}' AS detail, "
+                       f"count(*) AS n_rows FROM {spec.name} WHERE {' AND '.join(f'{c} IS NOT NULL' for c in cols)} "
+                       f"GROUP BY ALL HAVING count(*) > 1")
+    return " UNION ALL ".join(out)
+
+
 SQL = {
+    "audit_table_rules": _table_rules(),
     "audit_pk": _pk(),
     "audit_unique": _unique(),
     "audit_fk": _fk(),
