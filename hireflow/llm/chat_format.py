@@ -1,13 +1,14 @@
 """Transcript parsing with a hidden Markov model, and canonical turn rendering.
 
 A transcript is text in numbered parts. Each line is seen as a few features: which
-role's marker it opens with (if any), whether a blank line or the start of the
-transcript stands before it, how long it is and how it ends. The hidden states are
+role's marker it opens with (if any), whether a blank line, the start of a part or
+that of the transcript stands before it, how long it is and how it ends. The hidden states are
 role x (first line of a turn, later line). Viterbi finds the best states; runs of them
 are the turns, which are rendered in one canonical form without their markers.
 
-A transcript may be of any length. It is cut into blocks of ``BLOCK`` parts. For each
-block a task finds the best score between every state before it and every state at
+A transcript may be of any length, and so may each of its parts. Lines get a position over
+all transcripts, and ``BLOCK`` consecutive positions are a block. For each
+block of a transcript a task finds the best score between every state before it and every state at
 its end (a product of matrices in the max-plus algebra); these small matrices are
 chained per transcript, which fixes the states at block ends; then each block's own
 path follows. The result is that of one Viterbi pass over the whole transcript.
@@ -20,15 +21,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.ranking import positions
 from .common import cut
 
 ROLES = ("system", "user", "assistant")
 #: Spellings of speaker markers, by role.
 SPELLINGS = {"system": ("system", "instructions"), "user": ("user", "human", "question", "q", "prompt"),
              "assistant": ("assistant", "ai", "bot", "answer", "a", "model")}
-BLOCK = 64
+BLOCK = 4096          # lines
 #: Sizes of the features: marker, what stands before, length, ending.
-SHAPE = (len(ROLES) + 1, 3, 3, 3)
+SHAPE = (len(ROLES) + 1, 4, 3, 3)
+BLEND = 0.02
 STATES = 2 * len(ROLES)          # 2 r: first line of role r's turn, 2 r + 1: a later line
 
 
@@ -38,19 +41,26 @@ def _marker(role: str) -> str:
 
 
 def _lines(parts: DataFrame) -> DataFrame:
-    """conv_id, part, block, line, text and the features of every line that is not blank."""
-    split = parts.select("conv_id", "part", F.posexplode(F.split("text", "\n")).alias("line", "text"),
-                         F.split("text", "\n").alias("every"))
+    """conv_id, part, line, text and the features of every line that is not blank.
+
+    Lines are numbered from 1. What stands before a line is found before the lines part, so that none
+    carries more than itself and the end of the one before.
+    """
+    every = parts.select("conv_id", "part", F.split("text", "\n").alias("every"))
+    lines = F.transform(F.sequence(F.lit(1), F.size("every")), lambda i: F.struct(
+        i.alias("line"), F.get("every", i - 1).alias("text"),
+        F.when(i > 1, F.trim(F.get("every", i - 2)) == "").alias("after_blank")))
+    split = every.select("conv_id", "part", F.explode(lines).alias("l")).select("conv_id", "part", "l.*")
     blank = lambda c: F.trim(c) == ""
     marker = F.lit(0)
     for k, role in enumerate(ROLES, 1):
         marker = F.when(F.col("text").rlike(_marker(role)), k).otherwise(marker)
-    before = F.when(F.col("line") == 0, F.when(F.col("part") == F.col("first_part"), 2).otherwise(1)).when(
-        blank(F.get("every", F.col("line") - 1)), 1).otherwise(0)
+    before = F.when(F.col("line") == 1, F.when(F.col("part") == F.col("first_part"), 2).otherwise(3)).when(
+        F.col("after_blank"), 1).otherwise(0)
     firsts = parts.groupBy("conv_id").agg(F.min("part").alias("first_part"))
     n = F.length("text")
     return (split.filter(~blank(F.col("text"))).join(firsts, "conv_id")
-            .select("conv_id", "part", F.floor(F.col("part") / BLOCK).alias("block"), "line", "text",
+            .select("conv_id", "part", "line", "text",
                     marker.alias("marker"), before.alias("before"),
                     F.when(n < 40, 0).when(n < 160, 1).otherwise(2).alias("length"),
                     F.when(F.col("text").rlike(r"\?\s*$"), 0).when(F.col("text").rlike(r"[.!:]\s*$"), 1)
@@ -85,10 +95,17 @@ def fit(parts: DataFrame) -> Model:
     lines = lines.join(lines.groupBy("conv_id", "part").agg(F.min("line").alias("head")), ["conv_id", "part"])
     state = 2 * F.col("r") + F.when(F.col("line") == F.col("head"), 0).otherwise(1)
     seen = lines.groupBy(state.alias("s"), "marker", "before", "length", "ending").agg(F.count("*").alias("n")).collect()
-    emit = [np.ones((STATES, k)) for k in SHAPE]
+    emit = [np.zeros((STATES, k)) for k in SHAPE]
     for r in seen:
         for k, c in enumerate(("marker", "before", "length", "ending")):
             emit[k][r.s, r[c]] += r.n
+    # Shares of a state, mixed with a little of those of all lines: what no line has tells nothing, also
+    # about a state that was seldom seen.
+    emit = [(1 - BLEND) * t / np.maximum(1, t.sum(axis=1, keepdims=True)) + BLEND * (t.sum(axis=0) + 1) / (t.sum() + t.shape[1])
+            for t in emit]
+    blank, plain = 1, 0
+    if not any(r.before == blank for r in seen):         # without blank lines to learn from, they are plain ones
+        emit[1][:, blank] = emit[1][:, plain] / 10
     start, move = np.ones(STATES), np.ones((STATES, STATES))
     per = lines.groupBy("conv_id", "part", "r").agg(F.count("*").alias("lines"))
     for r in per.groupBy("r").agg(F.count("*").alias("n"), F.sum("lines").alias("lines")).collect():
@@ -176,8 +193,9 @@ def _rendered(role: Column, text: Column) -> Column:
 def parse_transcripts(parts: DataFrame, model: Model) -> DataFrame:
     """conv_id, turn_no, role, text, n_lines, rendered: one row per recovered turn.
 
-    Input: conv_id, part (order in the transcript), text. Blank lines only separate;
-    null and empty parts have no lines, and a transcript without lines gives no turn.
+    Input: conv_id, part (order in the transcript), text. A turn's text keeps its lines as they are,
+    blank lines and indentation inside it included (a blank line comes back empty); its marker, and
+    blank space at its end, go. Null and empty parts have no lines, and a transcript without lines gives no turn.
     Rows with a null conv_id or part belong to no transcript and are left out. Rows that
     repeat a (conv_id, part) are all read, in the order of their texts. Other columns
     are ignored, whatever their names.
@@ -185,7 +203,8 @@ def parse_transcripts(parts: DataFrame, model: Model) -> DataFrame:
     given = parts.filter("conv_id is not null and part is not null").select(
         "conv_id", F.col("part").cast("long").alias("part"), F.coalesce("text", F.lit("")).alias("text"))
     joined = given.groupBy("conv_id", "part").agg(F.array_join(F.array_sort(F.collect_list("text")), "\n").alias("text"))
-    lines = cut(_lines(joined))
+    lines = (positions(_lines(joined), "conv_id", "part", "line", name="at")
+             .withColumn("block", F.expr(f"at div {BLOCK}")).drop("at"))
     id_type = parts.schema["conv_id"].dataType.simpleString()
     args = (model.start, model.move, model.emit)
     ends = (lines.groupBy("conv_id", "block").applyInArrow(
@@ -207,7 +226,12 @@ def parse_transcripts(parts: DataFrame, model: Model) -> DataFrame:
              .groupBy("conv_id", "turn_no").agg(
                  F.min("role").alias("role"), F.count("*").alias("n_lines"),
                  F.array_sort(F.collect_list(F.struct("part", "line", "text"))).alias("lines")))
-    text = F.array_join(F.filter(F.transform("lines", lambda x: F.trim(x["text"])), lambda x: x != ""), "\n")
+    # Lines as they were, with the blank ones between them; a marker alone in its line leaves none.
+    gap = lambda x, i: F.when(i == 0, "").when(
+        F.get("lines", i - 1)["part"] == x["part"],
+        F.repeat(F.lit("\n"), x["line"] - F.get("lines", i - 1)["line"])).otherwise("\n")
+    whole = F.array_join(F.transform("lines", lambda x, i: F.concat(gap(x, i), x["text"])), "")
+    text = F.regexp_replace(F.regexp_replace(whole, r"\A(?:[^\S\n]*\n)+", ""), r"\s+\z", "")
     return turns.select("conv_id", "turn_no", "role", text.alias("text"), "n_lines").withColumn(
         "rendered", _rendered(F.col("role"), F.col("text")))
 
