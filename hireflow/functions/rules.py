@@ -18,7 +18,7 @@ WEBSITE_PATTERN = r"https?://[^\s]+"
 PHONE_PATTERN = r"[0-9+().\-\s]{7,20}"
 
 INT_PATTERN = r"[+-]?[0-9]+"
-DECIMAL_PATTERN = r"[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)"
+DECIMAL_PATTERN = r"[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]{1,3})?"
 DATE_PATTERN = r"[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}"
 TIME_PATTERN = r"[0-9]{1,2}:[0-9]{1,2}"
 

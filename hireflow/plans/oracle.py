@@ -162,6 +162,7 @@ FORMS = {
                          CAST(1 + c_custkey % 28 AS VARCHAR) END AS dob,
                CASE WHEN c_custkey % 101 = 0 THEN 'NaN' WHEN c_custkey % 103 = 0 THEN '-1.50'
                     WHEN c_custkey % 47 = 0 THEN '10.004' WHEN c_custkey % 61 = 0 THEN NULL
+                    WHEN c_custkey % 43 = 0 THEN '85e-1'
                     ELSE CAST((c_custkey * 37) % 1100 // 100 AS VARCHAR) || '.' ||
                          lpad(CAST((c_custkey * 37) % 1100 % 100 AS VARCHAR), 2, '0') END AS cgpa,
                CAST(1890 + (c_custkey * 7) % 320 AS VARCHAR) AS graduation_year,

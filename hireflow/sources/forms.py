@@ -40,6 +40,7 @@ def student_form(T) -> DataFrame:
               .otherwise(F.concat(F.lit(" New."), F.col("c_name"), F.lit("@Campus.Example "))))
     cgpa = (F.when(k % 101 == 0, F.lit("NaN")).when(k % 103 == 0, F.lit("-1.50"))
              .when(k % 47 == 0, F.lit("10.004")).when(k % 61 == 0, F.lit(None).cast("string"))
+             .when(k % 43 == 0, F.lit("85e-1"))
              .otherwise(F.concat(_s(F.floor(v / 100)), F.lit("."), F.lpad(_s(v % 100), 2, "0"))))
     return T.raw("customer").select(
         k.alias("form_id"),

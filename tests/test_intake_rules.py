@@ -22,7 +22,9 @@ def test_email_rule_rejects_trailing_newline_and_spaces(spark):
 def test_numbers_parse_exactly_or_not_at_all(spark):
     assert float(one(spark, X.parse_decimal("v", 4, 2), "10.00")) == 10.0  # 10.00 fits (4,2)
     assert one(spark, X.parse_decimal("v", 4, 2), "NaN") is None
-    assert one(spark, X.parse_decimal("v", 4, 2), "1e1") is None
+    assert float(one(spark, X.parse_decimal("v", 4, 2), "1e1")) == 10.0       # numbers with exponents are numbers
+    assert float(one(spark, X.parse_decimal("v", 4, 2), " 85E-1 ")) == 8.5
+    assert one(spark, X.parse_decimal("v", 4, 2), "1e3") is None and one(spark, X.parse_decimal("v", 4, 2), "1e") is None
     assert one(spark, X.parse_int("v"), "12.0") is None
     assert one(spark, X.parse_int("v"), " 12 ") == 12
     assert one(spark, X.parse_int("v"), "0000000000012") == 12
