@@ -29,7 +29,9 @@ def _claims(rows: DataFrame, order: str, owner: str, keys: list[list[str]]) -> D
         whole = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in columns])
         return F.when(whole, F.struct(F.lit(k).alias("k"), F.to_json(F.struct(*columns)).alias("v")))
     every = F.array_compact(F.array(*[claim(k, c) for k, c in enumerate(keys)]))
-    return (rows.select(F.col(order).alias("_o"), F.col(owner).alias("_w"), F.explode(every).alias("_c"))
+    # A row without an owner is its own.
+    own = F.coalesce(F.col(owner).cast("string"), F.concat(F.lit("#"), F.col(order).cast("string")))
+    return (rows.select(F.col(order).alias("_o"), own.alias("_w"), F.explode(every).alias("_c"))
             .select("_o", "_w", F.col("_c.k").alias("_k"), F.col("_c.v").alias("_v")))
 
 
@@ -55,7 +57,7 @@ def admit_in_order(rows: DataFrame, keys: list[list[str]], order: str = "form_id
     admitted row of another owner holds the value; empty for admitted rows.
 
     ``order`` is unique. Rows with the same ``owner`` (by default every row is its own) do not
-    refuse each other. A key with a null in it claims nothing. ``rows`` should be materialised:
+    refuse each other; a null owner is nobody else's. A key with a null in it claims nothing. ``rows`` should be materialised:
     they are read again for the result. An empty table gives an empty result.
     """
     owner = owner or order

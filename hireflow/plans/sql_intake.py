@@ -81,7 +81,7 @@ def _split(checked: str, rules, accepted_cols: str, once=()) -> tuple[str, str]:
                  f"ORDER BY form_id) > 1 THEN '{text}' ELSE reasons_text END AS reasons_text) FROM r0)")
         return (f"WITH {body} SELECT {accepted_cols} FROM r WHERE reasons_text = ''",
                 f"WITH {body} SELECT form_id, reasons_text FROM r WHERE reasons_text <> ''")
-    hold = [f"{{'k': {n}, 'v': CAST(v.{key} AS VARCHAR), 'w': CAST(v.{owner or 'form_id'} AS VARCHAR)}}"
+    hold = [f"{{'k': {n}, 'v': CAST(v.{key} AS VARCHAR), 'w': coalesce(CAST(v.{owner or 'form_id'} AS VARCHAR), '#' || v.form_id)}}"
             for n, (_, key, owner) in enumerate(once)]
     clash = "concat_ws(' | ', " + ", ".join(
         f"CASE WHEN len(list_filter(w.held, lambda h: h.k = ({x}).k AND h.v = ({x}).v AND h.w <> ({x}).w)) > 0 THEN '{text}' END"

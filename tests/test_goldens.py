@@ -74,7 +74,8 @@ def test_reasons_in_order_and_closed_once(seed):
 def test_admission_batch(seed):
     accepted, rejected = E.admit_applications(seed, seed.application_request, AS_OF)
     acc = [tuple(r) for r in accepted.collect()]
-    assert acc == [(1, 3, 1, dt.date(2026, 10, 1), "Applied")]
+    highest = max(r.application_id for r in seed.application.collect())
+    assert acc == [(highest + 1, 3, 1, dt.date(2026, 10, 1), "Applied", 1)]      # a new id, and the request that got it
     rej = {r.request_id: r.reasons for r in rejected.collect()}
     assert rej == {2: [E.REASON_DUPLICATE], 3: [E.REASON_APPLIED],
                    4: [E.REASON_CGPA, E.REASON_MISSING + "SQL"], 5: [E.REASON_NOT_FOUND],
