@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.schema import TABLES, TableSpec
+from ..sources.schema import LINK_COLUMNS, ROLE_LINKS, TABLES, TableSpec
 from .eligibility import DEFAULT_AS_OF, eligibility_pairs
 
 AUDIT_COLUMNS = ("rule", "table_name", "key", "detail")
@@ -134,17 +134,16 @@ def audit_domain(T) -> DataFrame:
     return _union(out, T.spark)
 
 
-def role_link_ok(role: Column, student_id: Column, company_id: Column) -> Column:
-    return (((role == "ADMIN") & student_id.isNull() & company_id.isNull())
-            | ((role == "STUDENT") & student_id.isNotNull() & company_id.isNull())
-            | ((role == "COMPANY") & student_id.isNull() & company_id.isNotNull()))
+def wrong_links() -> Column:
+    """An account is linked otherwise than its role expects (an unknown role expects nothing that fits)."""
+    linked = F.concat_ws(",", *[F.when(F.col(c).isNotNull(), F.lit(c)) for c in LINK_COLUMNS])
+    expected = F.create_map(*[F.lit(x) for role, links in ROLE_LINKS.items() for x in (role, ",".join(links))])
+    return ~linked.eqNullSafe(F.try_element_at(expected, F.col("role")))
 
 
 def audit_role_link(T) -> DataFrame:
     """K7: admin has no link, student only a student, company only a company."""
-    u = T.user_account
-    bad = u.where(~F.coalesce(role_link_ok(F.col("role"), F.col("student_id"),
-                                           F.col("company_id")), F.lit(False)))
+    bad = T.user_account.where(wrong_links())
     return _rows(bad, "role_link", "user_account", key_text(["user_id"]), F.col("role"))
 
 
@@ -185,8 +184,7 @@ def _row_findings(spec: TableSpec) -> list[Column]:
             for c, values in spec.domains.items()]
     out += [finding(cond, rule, F.lit(c)) for c, rule, cond in _profile_checks(spec)]
     if spec.name == "user_account":
-        good = role_link_ok(F.col("role"), F.col("student_id"), F.col("company_id"))
-        out.append(finding(~F.coalesce(good, F.lit(False)), "role_link", F.col("role")))
+        out.append(finding(wrong_links(), "role_link", F.col("role")))
     return out
 
 

@@ -5,7 +5,7 @@ CHECK-style predicates, FILTER counts.
 
 from __future__ import annotations
 
-from ..sources.schema import TABLES
+from ..sources.schema import LINK_COLUMNS, ROLE_LINKS, TABLES
 from .sql_domain import decide_sql
 
 
@@ -83,6 +83,10 @@ def _domain() -> str:
     return "\nUNION ALL\n".join(parts)
 
 
+_WRONG_LINKS = ("[" + ", ".join(f"{c} IS NOT NULL" for c in LINK_COLUMNS) + "] IS DISTINCT FROM CASE role "
+                + " ".join(f"WHEN '{role}' THEN {[c in links for c in LINK_COLUMNS]}" for role, links in ROLE_LINKS.items()) + " END")
+
+
 def _table_rules() -> str:
     """Row rules and unique keys, a SELECT each, with the number of rows that a finding stands for."""
     out = []
@@ -102,8 +106,7 @@ def _table_rules() -> str:
         for c, n in spec.max_length.items():
             bad(f"max_length_{n}", f"'{c}'", f"length({c}) > {n}")
         if spec.name == "user_account":
-            bad("role_link", "role", "(CAST(student_id IS NOT NULL AS INT), CAST(company_id IS NOT NULL AS INT)) IS DISTINCT FROM "
-                "CASE role WHEN 'ADMIN' THEN (0, 0) WHEN 'STUDENT' THEN (1, 0) WHEN 'COMPANY' THEN (0, 1) END")
+            bad("role_link", "role", _WRONG_LINKS)
         for rule, cols in [("pk_duplicate", spec.primary_key), *[("unique_duplicate", u) for u in spec.unique]]:
             text = "concat_ws('|', " + ", ".join(f"CAST({c} AS VARCHAR)" for c in cols) + ")"
             out.append(f"SELECT '{rule}' AS rule, '{spec.name}' AS table_name, {text} AS key, '{','.join(cols)}' AS detail, "
@@ -120,14 +123,9 @@ SQL = {
     "audit_check": _check(),
     "audit_not_null": _profile(),
     "audit_domain": _domain(),
-    "audit_role_link": """
-        SELECT 'role_link' AS rule, 'user_account' AS table_name,
-               CAST(user_id AS VARCHAR) AS key, role AS detail
-        FROM user_account
-        WHERE NOT coalesce(
-            (role = 'ADMIN' AND student_id IS NULL AND company_id IS NULL)
-            OR (role = 'STUDENT' AND student_id IS NOT NULL AND company_id IS NULL)
-            OR (role = 'COMPANY' AND student_id IS NULL AND company_id IS NOT NULL), FALSE)""",
+    "audit_role_link": f"""
+        SELECT 'role_link' AS rule, 'user_account' AS table_name, CAST(user_id AS VARCHAR) AS key, role AS detail
+        FROM user_account WHERE {_WRONG_LINKS}""",
     "audit_recruiter_company": """
         SELECT 'recruiter_company' AS rule, 'job' AS table_name, CAST(j.job_id AS VARCHAR) AS key,
                'recruiter_company=' || CAST(r.company_id AS VARCHAR) AS detail

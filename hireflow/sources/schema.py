@@ -21,6 +21,9 @@ INTERVIEW_STATUSES = ("Scheduled", "Completed", "Cancelled")
 INTERVIEW_MODES = ("Online", "In-person")
 OFFER_STATUSES = ("Pending", "Accepted", "Withdrawn")
 ROLES = ("ADMIN", "STUDENT", "COMPANY")
+#: The columns that an account of each role is linked by; it has no other link.
+ROLE_LINKS = {"ADMIN": (), "STUDENT": ("student_id",), "COMPANY": ("company_id",)}
+LINK_COLUMNS = ("student_id", "company_id")
 
 CGPA_MAX_X100 = 1000  # CGPA 0.00 .. 10.00 in hundredths
 
