@@ -1,13 +1,11 @@
-"""Substring deduplication by hashing text units.
-
-A unit is a line, cut further after sentence ends (``.``, ``!`` or ``?`` and a
-space). Its digest is taken over its words, A-Z lower-cased, so case and white
-space do not matter. Digests are grouped over the whole table; of each group the
-occurrence that ranks first, by document and offset, stays. Later ones are removed
-where they stand together: a run of neighbouring repeated units goes if it has at
-least ``min_words`` words, so that short sentences that recur by chance stay inside
-other text. With ``whole_lines`` a line of which every unit is a later occurrence
-goes however short it is.
+"""Substring deduplication by hashing lines or paragraphs.
+
+A unit is a line, a paragraph (lines up to one without words) or, on request, a sentence
+inside a line (a line cut after words that end in ``.``, ``!`` or ``?``). Its digest is
+taken over its words, A-Z lower-cased, so case and white space do not matter. Digests are
+grouped over the whole table; of each group the occurrence that ranks first, by document
+and offset, stays, and all later ones are removed, however short. Offsets are those of
+the original text.
 """
 
 from __future__ import annotations
@@ -28,120 +26,107 @@ _STOP = np.zeros(256, bool)
 _STOP[[ord(c) for c in ".!?"]] = True
 
 
-def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row per unit that has words; ``unit`` numbers them inside their document. ``shape`` is
-    4 * words + 2 (if the unit begins a line) + 1 (if it ends one)."""
-    for batch in batches:
-        for first, texts in slices(batch.column("text")):
-            doc, start, end = texts.runs(NOT_SPACE)
-            if not len(doc):
-                continue
-            # A word begins a unit if it is its document's first, or if a line end or a
-            # sentence end stands between it and the word before.
-            lines = np.concatenate([[0], np.cumsum(texts.data == 10)])
-            new = np.ones(len(doc), bool)
-            new[1:] = (doc[1:] != doc[:-1]) | (lines[start[1:]] != lines[end[:-1]]) | _STOP[texts.data[end[:-1] - 1]]
-            head = np.flatnonzero(new)
-            words = np.diff(np.append(head, len(doc)))
-            last = head + words - 1
-            opens = np.ones(len(head), bool)
-            opens[1:] = (doc[head[1:]] != doc[last[:-1]]) | (lines[start[head[1:]]] != lines[end[last[:-1]]])
-            closes = np.append(opens[1:], True)
-            h = texts.hashes(start, end, lower=True)
-            up, down = powers(len(h))
-            names = []
-            for salt in (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)):
-                total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(h ^ salt) * up[:len(h)], dtype=np.uint64)])
-                names.append(mix((total[head + words] - total[head]) * down[head] + words.astype(np.uint64)).view(np.int64))
-            base = texts.starts[doc[head]]
-            at = pa.array(doc[head] + first)
-            unit = np.arange(len(head)) - np.searchsorted(doc[head], doc[head], side="left")
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(names[0]), pa.array(names[1]), batch.column("place").take(at), batch.column("tag").take(at),
-                 pa.array(unit, pa.int32()), pa.array(start[head] - base, pa.int32()),
-                 pa.array(end[last] - base, pa.int32()), pa.array(4 * words + 2 * opens + closes, pa.int64())],
-                ["name1", "name2", "place", "tag", "unit", "start", "stop", "shape"])
-
-
-def _lines_of(run: list[dict]) -> list[tuple[int, int]]:
-    """Byte ranges of the whole lines in a run of neighbouring units, neighbouring lines as one."""
-    out, first, joins = [], None, False
-    for r in run:
-        if r["shape"] & 2:
-            first = r["start"]
-        if first is None:               # the line began before the run
-            continue
-        if r["shape"] & 1:
-            if joins:
-                out[-1] = (out[-1][0], r["stop"])
-            else:
-                out.append((first, r["stop"]))
-            first, joins = None, True
-    return out
-
-
-def _runs(repeats: list[dict], min_words: int, whole_lines: bool) -> list[tuple[int, int]]:
-    """Byte ranges of the runs of neighbouring repeated units that have enough words, and of
-    the whole lines in the others if they are asked for."""
-    out, run = [], []
-    for r in [*sorted(repeats, key=lambda x: x["unit"]), None]:
-        if run and (r is None or r["unit"] != run[-1]["unit"] + 1):
-            if sum(x["shape"] >> 2 for x in run) >= min_words:
-                out.append((run[0]["start"], run[-1]["stop"]))
-            elif whole_lines:
-                out += _lines_of(run)
-            run = []
-        run.append(r)
-    return out
+def _begins(unit: str, texts, doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Whether each word begins a unit: it is its document's first, or between it and the
+    word before there is a line end, a line without words, or a sentence end."""
+    lines = np.concatenate([[0], np.cumsum(texts.data == 10)])
+    between = lines[start[1:]] - lines[end[:-1]]
+    new = np.ones(len(doc), bool)
+    new[1:] = (doc[1:] != doc[:-1]) | (between >= (2 if unit == "paragraph" else 1))
+    if unit == "sentence":
+        new[1:] |= _STOP[texts.data[end[:-1] - 1]]
+    return new
 
 
-def _cut_out(min_words: int, whole_lines: bool):
+def _units(unit: str):
+    """One row per unit that has words; ``unit`` numbers them inside their document."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for doc_id, text, repeats in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "repeats")),
-                                             strict=True):
-                data = (text or "").encode()
-                spans = _runs(repeats or [], min_words, whole_lines)
-                kept, at = [], 0
-                for a, b in spans:
-                    kept.append(data[at:a])
-                    at = b
-                kept = b"".join([*kept, data[at:]])
-                out.append((doc_id, len(data), len(data) - len(kept), len(spans),
-                            ",".join(f"{a}-{b}" for a, b in spans), hashlib.sha256(kept).hexdigest(),
-                            None if text is None else kept.decode()))
-            names = ["doc_id", "n_bytes", "n_removed", "n_spans", "removed", "kept_sha256", "kept_text"]
-            types = [batch.schema.field("doc_id").type, pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(),
-                     pa.string()]
-            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate(types)], names)
+            for first, texts in slices(batch.column("text")):
+                doc, start, end = texts.runs(NOT_SPACE)
+                if not len(doc):
+                    continue
+                head = np.flatnonzero(_begins(unit, texts, doc, start, end))
+                words = np.diff(np.append(head, len(doc)))
+                last = head + words - 1
+                h = texts.hashes(start, end, lower=True)
+                up, down = powers(len(h))
+                names = []
+                for salt in (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)):
+                    total = np.concatenate([np.zeros(1, np.uint64),
+                                            np.cumsum(mix(h ^ salt) * up[:len(h)], dtype=np.uint64)])
+                    names.append(mix((total[head + words] - total[head]) * down[head]
+                                     + words.astype(np.uint64)).view(np.int64))
+                base = texts.starts[doc[head]]
+                at = pa.array(doc[head] + first)
+                number = np.arange(len(head)) - np.searchsorted(doc[head], doc[head], side="left")
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(names[0]), pa.array(names[1]), batch.column("place").take(at),
+                     batch.column("tag").take(at), pa.array(number, pa.int32()),
+                     pa.array(start[head] - base, pa.int32()), pa.array(end[last] - base, pa.int32())],
+                    ["name1", "name2", "place", "tag", "unit", "start", "stop"])
     return run
 
 
-def unit_dedup(docs: DataFrame, min_words: int = 20, id_col: str = "doc_id", text_col: str = "text",
-               whole_lines: bool = False) -> DataFrame:
+def _runs(repeats: list[dict]) -> list[tuple[int, int]]:
+    """Byte ranges of the removed units, neighbouring ones as one."""
+    out, before = [], None
+    for r in sorted(repeats, key=lambda x: x["unit"]):
+        if before is not None and r["unit"] == before + 1:
+            out[-1] = (out[-1][0], r["stop"])
+        else:
+            out.append((r["start"], r["stop"]))
+        before = r["unit"]
+    return out
+
+
+def _cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        out = []
+        for doc_id, text, repeats in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "repeats")),
+                                         strict=True):
+            data = (text or "").encode()
+            spans = _runs(repeats or [])
+            kept, at = [], 0
+            for a, b in spans:
+                kept.append(data[at:a])
+                at = b
+            kept = b"".join([*kept, data[at:]])
+            out.append((doc_id, len(data), len(data) - len(kept), len(spans),
+                        ",".join(f"{a}-{b}" for a, b in spans), hashlib.sha256(kept).hexdigest(),
+                        None if text is None else kept.decode()))
+        names = ["doc_id", "n_bytes", "n_removed", "n_spans", "removed", "kept_sha256", "kept_text"]
+        types = [batch.schema.field("doc_id").type, pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(),
+                 pa.string()]
+        yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate(types)], names)
+
+
+def unit_dedup(docs: DataFrame, unit: str = "line", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, n_bytes, n_removed, n_spans, removed, kept_sha256, kept_text.
 
-    ``removed`` lists the removed byte ranges of the original text as first-stop pairs.
+    ``unit`` is line, paragraph or sentence. ``removed`` lists the removed byte ranges of
+    the original text as first-stop pairs.
 
     Null texts have no units and a null kept_text; units without words do not exist, so
     blank lines stay. Repeated rows (same id and text) are one document and share a
-    result; rows of one id but different texts rank by a hash of the text; null ids rank
-    last. An empty table gives an empty result; other columns are ignored.
+    result; rows of one id but different texts rank by a hash. Identifiers that are no
+    whole numbers, and null ones, rank last, by a hash of identifier and text. An empty
+    table gives an empty result; other columns are ignored.
     """
+    if unit not in ("line", "paragraph", "sentence"):
+        raise ValueError(f"unit must be line, paragraph or sentence, not {unit!r}")
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"),
-                       F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("place"),
-                       F.xxhash64(text_col).alias("tag"))
+                       F.coalesce(F.col(id_col).try_cast("long"), F.lit(LAST)).alias("place"),
+                       F.xxhash64(F.col(id_col).cast("string"), F.col(text_col)).alias("tag"))
     units = rows.select("place", "tag", "text").mapInArrow(
-        _units, "name1 long, name2 long, place long, tag long, unit int, start int, stop int, shape long")
+        _units(unit), "name1 long, name2 long, place long, tag long, unit int, start int, stop int")
     first = cut(units.groupBy("name1", "name2").agg(
         F.min(F.struct("place", "tag", "unit")).alias("first"), F.count("*").alias("copies"))
         .filter("copies > 1").drop("copies"))
     repeats = (units.join(first, ["name1", "name2"])
                .filter(F.struct("place", "tag", "unit") != F.col("first"))
-               .groupBy("place", "tag").agg(F.collect_set(F.struct("unit", "start", "stop", "shape"))
-                                            .alias("repeats")))
+               .groupBy("place", "tag").agg(F.collect_set(F.struct("unit", "start", "stop")).alias("repeats")))
     id_type = docs.schema[id_col].dataType.simpleString()
     return rows.join(repeats, ["place", "tag"], "left").select("doc_id", "text", "repeats").mapInArrow(
-        _cut_out(min_words, whole_lines), f"doc_id {id_type}, n_bytes long, n_removed long, n_spans long, removed string, "
+        _cut_out, f"doc_id {id_type}, n_bytes long, n_removed long, n_spans long, removed string, "
         "kept_sha256 string, kept_text string")

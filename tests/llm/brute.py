@@ -82,37 +82,27 @@ def repeated_lines(docs, size=5, percent=80):
     return out
 
 
-def repeated_units(docs, min_words=20):
-    """(doc, text) -> removed byte ranges: runs of repeated units of at least ``min_words`` words,
-    and lines made only of repeated units; rows that repeat are one document"""
+def repeated_units(docs, unit="line"):
+    """(doc, text) -> removed byte ranges of lines, paragraphs or sentences that stood earlier,
+    neighbours as one; rows that repeat are one document"""
+    ends = {"line": rb"[^\n]+", "paragraph": rb"(?s).+?(?=\n[\x20\x09-\x0D]*\n|\Z)", "sentence": rb"[^\n]+"}
     seen, out = set(), {}
     for i, text in sorted(set(docs), key=lambda x: order(x[0])):
-        data, units = (text or "").encode(), []          # line, start, stop, number of words, repeated
-        for line in re.finditer(rb"[^\n]+", data):
-            words, unit = list(re.finditer(rb"[^\x20\x09-\x0D]+", line[0])), []
-            for k, w in enumerate(words):
-                unit.append(w)
-                if w[0][-1:] in b".!?" or k == len(words) - 1:
-                    name = tuple(x[0].lower() for x in unit)
-                    units.append((line.start(), line.start() + unit[0].start(), line.start() + w.end(), len(unit),
-                                  name in seen))
+        units = []                                           # start, stop, stood earlier
+        for part in re.finditer(ends[unit], (text or "").encode()):
+            words = list(re.finditer(rb"[^\x20\x09-\x0D]+", part[0]))
+            cuts = [k + 1 for k, w in enumerate(words) if unit == "sentence" and w[0][-1:] in b".!?"]
+            for a, b in zip([0, *cuts], [*cuts, len(words)]):
+                if a < b:
+                    name = tuple(w[0].lower() for w in words[a:b])
+                    units.append((part.start() + words[a].start(), part.start() + words[b - 1].end(), name in seen))
                     seen.add(name)
-                    unit = []
-        whole = {u[0] for u in units} - {u[0] for u in units if not u[4]}
-        go, k = [u[4] and u[0] in whole for u in units], 0
-        while k < len(units):
-            stop = k
-            while stop < len(units) and units[stop][4]:
-                stop += 1
-            if sum(u[3] for u in units[k:stop]) >= min_words:
-                go[k:stop] = [True] * (stop - k)
-            k = stop + 1
         spans = []
-        for k, u in enumerate(units):
-            if go[k] and k and go[k - 1]:
-                spans[-1] = (spans[-1][0], u[2])
-            elif go[k]:
-                spans.append((u[1], u[2]))
+        for k, (start, stop, go) in enumerate(units):
+            if go and k and units[k - 1][2]:
+                spans[-1] = (spans[-1][0], stop)
+            elif go:
+                spans.append((start, stop))
         out[i, text] = spans
     return out
 

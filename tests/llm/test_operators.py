@@ -151,13 +151,11 @@ def test_language_id(spark):
 
 
 def test_unit_dedup(spark, docs, rows):
-    passage = "One two three four five six. Seven eight nine ten eleven twelve! " \
-              "Thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty?"
-    mine = spark.createDataFrame([(1, f"Start here. {passage} End."), (2, f"Other text. {passage.upper()} More."),
-                                  (3, "Short. Von."), (4, "Short. Von."), (5, None), (None, passage)],
+    mine = spark.createDataFrame([(1, "Start here.\nA line of words. End."), (2, "Other\n a LINE of  words. end.\nMore."),
+                                  (3, "Short. Von."), (4, "Short.\nVon."), (5, None), (None, "short. von.")],
                                  "doc_id long, text string")
     got = {r.doc_id: r for r in unit_dedup(mine).collect()}
-    assert got[1].n_removed == 0 and got[2].kept_text == "Other text.  More."
+    assert got[1].n_removed == 0 and (got[2].removed, got[2].kept_text) == ("7-29", "Other\n \nMore.")
     assert got[3].n_removed == got[4].n_removed == 0 and got[5].kept_text is None
     assert got[None].kept_text == ""
     out = unit_dedup(docs).collect()
@@ -188,14 +186,22 @@ def test_unit_dedup_query_removes_every_later_line(spark, sf):
     assert got == {i: ",".join(f"{a}-{b}" for a, b in spans) for (i, _), spans in want.items()}
 
 
-def test_unit_dedup_of_short_lines(spark):
-    rows = [(1, "All rights reserved.\nOne text. Short."), (2, "Other words\n  ALL rights  reserved.\n\nOne text.\nmore"),
-            (3, "Short. One text. And new.\nShort. One text.\nOther words"), (4, "x One text.\nOne text. Short. y")]
-    out = unit_dedup(spark.createDataFrame(rows, "doc_id long, text string"), whole_lines=True).collect()
-    want = brute.repeated_units(rows)
-    assert {r.doc_id: r.removed for r in out} == {i: ",".join(f"{a}-{b}" for a, b in s) for (i, _), s in want.items()}
-    assert {r.doc_id: r.kept_text for r in out} == {
-        1: rows[0][1], 2: "Other words\n  \nmore", 3: "Short. One text. And new.\n", 4: rows[3][1]}
+@pytest.mark.parametrize("unit", ["line", "paragraph", "sentence"])
+def test_unit_dedup_by_each_unit(spark, unit):
+    rows = [(1, "All rights reserved.\nOne text. Short.\n \nA b\nc d"), (2, "Other words\n  ALL rights  reserved.\n\nOne text.\nmore"),
+            (3, "Short. One text. And new.\nShort. One text.\n\nA B\n C d\n\nx"), (4, "x One text.\nOne text. Short. y"),
+            (5, ""), (6, " \n\n "), (7, "x\n\nx\n\nx " + "word " * 50_000), (8, "x " + "word " * 50_000)]
+    want = brute.repeated_units(rows, unit)
+    got = {r.doc_id: r.removed for r in
+           unit_dedup(spark.createDataFrame(rows, "doc_id long, text string"), unit).collect()}
+    assert got == {i: ",".join(f"{a}-{b}" for a, b in s) for (i, _), s in want.items()}
+
+
+def test_unit_dedup_of_ids_that_are_no_numbers(spark):
+    rows = [("a", "same line"), ("b", "same line"), ("7", "same line"), (None, "same line"), (None, "same line")]
+    out = unit_dedup(spark.createDataFrame(rows, "doc_id string, text string")).collect()
+    assert sorted((r.doc_id or "", r.kept_text) for r in out) == [
+        ("", ""), ("", ""), ("7", "same line"), ("a", ""), ("b", "")]
 
 
 def test_line_dedup(docs, rows):
