@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,3 +32,13 @@ def row_key(id_col: str = "doc_id", text_col: str = "text") -> Column:
     """
     return F.md5(F.concat_ws("\x00", F.coalesce(F.col(id_col).cast("string"), F.lit("null")),
                              F.coalesce(F.col(text_col), F.lit("\x01"))))
+
+
+def flag_table(flags: DataFrame, n: int) -> np.ndarray:
+    """n flags, up where the one column of ``flags`` names them. Spark sets them in words of 64,
+    so n / 64 rows reach the driver at most, whatever the number of rows."""
+    words = (flags.toDF("flag").groupBy(F.expr("shiftright(flag, 6)").alias("word"))
+             .agg(F.bit_or(F.expr("shiftleft(1L, cast(flag & 63 as int))")).alias("bits")).collect())
+    table = np.zeros(-(-n // 64), np.int64)
+    table[[r.word for r in words]] = [r.bits for r in words]
+    return np.unpackbits(table.view(np.uint8), bitorder="little").astype(bool)[:n]

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, row_key
+from .common import cut, flag_table, row_key
 from .textkit import ALNUM, LOWER, Texts, mix, slices
 
 BUCKETS = 1 << 22
@@ -134,9 +134,7 @@ def _spots(window: int, sizes: list[int], wanted):
 
 def _flags(spark, rows: DataFrame):
     """A broadcast table of BUCKETS flags from a table (bucket)."""
-    table = np.zeros(BUCKETS, bool)
-    table[[r.bucket for r in rows.distinct().collect()]] = True      # at most BUCKETS small integers
-    return spark.sparkContext.broadcast(table)
+    return spark.sparkContext.broadcast(flag_table(rows, BUCKETS))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, id_col: str = "doc_id",

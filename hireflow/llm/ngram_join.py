@@ -15,9 +15,11 @@ documents that hold any shingle of the same hash bucket, counted over the whole
 table into a fixed number of buckets, so the table that tasks get has a fixed size.
 
 Equal sets are one node, so a group of copies is one set. In each list one set,
-the one nearest to what all share, is compared with all others; after that only pairs from different components
-are left, and all of those are compared. So a group of near copies costs as many
-comparisons as it has members, and no link between different components is lost.
+the one nearest to what all share, is compared with all others; after that only pairs from
+different components are left, and all of those are decided. Most are by parity maps: the
+parity of a set's shingles in each of 512 hash classes. Two maps differ in no more bits than
+the sets have shingles not in common, so a pair whose maps differ in too many bits has no
+link and is never made. No link between different components is lost.
 """
 
 from __future__ import annotations
@@ -27,10 +29,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, row_key, width
+from .common import cut, flag_table, row_key, width
 from .components import components
 from .prefix_filter import WORDS, fits, may_share_enough, share_enough, with_marks
 from .textkit import by_rarity, rarity_order, slices, word_shingles
@@ -39,6 +41,7 @@ BUCKETS = 1 << 16
 FLAGS = 1 << 22              # flags that tell tasks which texts may be asked for
 SUBSET = 2
 LARGEST_BOUNDARY = 1000      # sizes that the search for the boundary looks at
+PARITY = 8                   # 64-bit words of a set's parity map
 SKETCH = 1024                # least hashes kept to estimate how many distinct shingles there are
 
 
@@ -55,16 +58,34 @@ def _set_ids(doc: np.ndarray, key: np.ndarray, n: int) -> tuple[np.ndarray, np.n
     return size, names[0], names[1]
 
 
+def _parity(doc: np.ndarray, key: np.ndarray, n: int) -> np.ndarray:
+    """For each set, PARITY words: bit c is the parity of its shingles of hash class c."""
+    bits = 64 * PARITY
+    h = (key ^ (key >> np.uint64(31))) * np.uint64(0xFF51AFD7ED558CCD)
+    cell = doc * bits + (h >> np.uint64(33)).astype(np.int64) % bits
+    odd = (np.bincount(cell, minlength=n * bits) & 1).astype(np.uint8).reshape(n, bits)
+    return np.packbits(odd, axis=1).view(np.int64)
+
+
+def _may_link(x: str, y: str, percent: int) -> Column:
+    """Whether the sets of rows ``x`` and ``y`` can link: the bits in which their parity maps
+    differ are the least number of shingles that only one of them has."""
+    apart = sum((F.bit_count(F.col(f"{x}.odd{i}").bitwiseXOR(F.col(f"{y}.odd{i}"))) for i in range(PARITY)), F.lit(0))
+    return (100 + percent) * apart <= (100 - percent) * (F.col(f"{x}.size") + F.col(f"{y}.size"))
+
+
 def _profile(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, texts in slices(batch.column("text")):
                 doc, key = word_shingles(texts, words)
                 size, a, b = _set_ids(doc, key, len(texts))
+                odd = _parity(doc, key, len(texts))
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("doc_id").slice(first, len(texts)), batch.column("row_key").slice(first, len(texts)),
-                     pa.array(size, pa.int64()), pa.array(a), pa.array(b)],
-                    ["doc_id", "row_key", "n_shingles", "a", "b"])
+                     pa.array(size, pa.int64()), pa.array(a), pa.array(b),
+                     *[pa.array(np.ascontiguousarray(odd[:, i])) for i in range(PARITY)]],
+                    ["doc_id", "row_key", "n_shingles", "a", "b", *[f"odd{i}" for i in range(PARITY)]])
     return run
 
 
@@ -210,8 +231,9 @@ def ngram_join(docs: DataFrame, words: int = 3, percent: int = 90, id_col: str =
     text = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"),
                        row_key(id_col, text_col).alias("row_key"))
     id_type = docs.schema[id_col].dataType.simpleString()
+    odd = [f"odd{i}" for i in range(PARITY)]
     rows = cut(text.mapInArrow(_profile(words), f"doc_id {id_type}, row_key string, n_shingles long, "
-                               "a long, b long"))
+                               "a long, b long, " + ", ".join(f"{c} long" for c in odd)))
     sets = rows.filter("n_shingles > 0").groupBy("a", "b").agg(
         F.max("n_shingles").alias("size"), F.min("doc_id").alias("first_id"), F.count("*").alias("copies"))
 
@@ -264,9 +286,12 @@ def ngram_join(docs: DataFrame, words: int = 3, percent: int = 90, id_col: str =
         "component", F.coalesce("component", "node"))
     mixed = cut(grouped.withColumn("lo", F.min("component").over(per_key))
                 .withColumn("hi", F.max("component").over(per_key)).filter("lo <> hi").drop("lo", "hi"))
+    maps = rows.join(mixed.select("node.a", "node.b").distinct(), ["a", "b"], "left_semi").dropDuplicates(["a", "b"])
+    mixed = mixed.join(maps.select(_node().alias("node"), *odd), "node")
     x, y = mixed.alias("x"), mixed.alias("y")
     rest = x.join(y, F.col("x.key") == F.col("y.key")).filter(
-        F.expr("x.node < y.node and x.component <> y.component") & near("x", "y")).select(
+        F.expr("x.node < y.node and x.component <> y.component") & _may_link("x", "y", percent)
+        & near("x", "y")).select(
         F.col("x.node").alias("src"), F.col("y.node").alias("dst")).distinct()
     rest = cut(share_enough(rest, lists, percent).join(first_pairs, ["src", "dst"], "left_anti"))
     more = cut(_verified(rest, text, words, percent))
@@ -292,9 +317,7 @@ def _verified(pairs: DataFrame, text: DataFrame, words: int, percent: int) -> Da
     """
     spark = text.sparkSession
     wanted = cut(pairs.select(F.col("src").alias("node")).union(pairs.select("dst")).distinct())
-    flags = np.zeros(FLAGS, bool)
-    flags[[r.flag for r in wanted.select(F.col("node.a").bitwiseAND(F.lit(FLAGS - 1)).alias("flag"))
-           .distinct().collect()]] = True          # at most FLAGS small integers
+    flags = flag_table(wanted.select(F.col("node.a").bitwiseAND(F.lit(FLAGS - 1))), FLAGS)
     known = text.select("text").mapInArrow(_texts(words, spark.sparkContext.broadcast(flags)),
                                            "a long, b long, text string").select(_node().alias("node"), "text")
     texts = cut(known.join(wanted, "node", "left_semi").dropDuplicates(["node"]))
