@@ -259,7 +259,7 @@ def ngram_join(docs: DataFrame, words: int = 3, percent: int = 90, id_col: str =
               .withColumn("in_list", F.count("*").over(per_key))
               .withColumn("any_scans", F.max("scans").over(per_key))
               .filter("in_list > 1 and any_scans")
-              .select("key", _node().alias("node"), "size", "place", "scans"))
+              .select("key", _node().alias("node"), "size", "place", "scans", "in_list"))
     listed = cut(listed)
     lists = listed.filter(F.col("size") > bound)          # without the small sets' subsets
     marks = [f"mark{i}" for i in range(WORDS)]
@@ -280,12 +280,14 @@ def ngram_join(docs: DataFrame, words: int = 3, percent: int = 90, id_col: str =
                                                       F.greatest("h.node", "s.node").alias("dst"))
         .distinct(), lists, percent))
     edges = cut(_verified(first_pairs, text, words, percent))
-    # Round 2: what is left between different components.
+    # Round 2: what is left between different components. A list's head has met all others,
+    # so a list of two is settled, and in longer lists the head goes.
     comp = cut(components(edges))
-    grouped = listed.join(comp, "node", "left").withColumn(
+    grouped = listed.filter("in_list > 2").drop("in_list").join(comp, "node", "left").withColumn(
         "component", F.coalesce("component", "node"))
-    mixed = cut(grouped.withColumn("lo", F.min("component").over(per_key))
-                .withColumn("hi", F.max("component").over(per_key)).filter("lo <> hi").drop("lo", "hi"))
+    others = grouped.withColumn("head", F.min(F.struct("place", "node")).over(per_key)).filter("node <> head.node")
+    mixed = cut(others.withColumn("lo", F.min("component").over(per_key))
+                .withColumn("hi", F.max("component").over(per_key)).filter("lo <> hi").drop("lo", "hi", "head"))
     maps = rows.join(mixed.select("node.a", "node.b").distinct(), ["a", "b"], "left_semi").dropDuplicates(["a", "b"])
     mixed = mixed.join(maps.select(_node().alias("node"), *odd), "node")
     x, y = mixed.alias("x"), mixed.alias("y")
