@@ -24,6 +24,7 @@ from ..operators import intake as V
 from ..operators import lists as LS
 from ..operators import reports as R
 from ..operators import search as SE
+from ..operators import sketches as SK
 from ..session import shared_path
 from ..sources import snapshot as SN
 from ..sources import versions as VN
@@ -248,6 +249,30 @@ def _load_batch(T) -> DataFrame:
     return good
 
 
+#: A skill form as a line of a file; of the students whose id ends in 3 the id is not a number.
+_FORM_LINES = {
+    "csv": "concat(form_id, ',', sid, ',', skill_id, ',', proficiency, ',', allow_update)",
+    "json": """concat('{"form_id": "', form_id, '", "student_id": ', if(sid rlike '^[0-9]+$', sid, concat('"', sid, '"')),
+               ', "skill_id": "', skill_id, '", "proficiency": "', proficiency, '", "allow_update": ', allow_update, '}')""",
+}
+_FORM_TEXTS = """SELECT coalesce(CAST(form_id AS {text}), '') AS form_id,
+    CASE WHEN student_id % 10 = 3 THEN 'S' ELSE '' END || coalesce(CAST(student_id AS {text}), '') AS sid,
+    coalesce(CAST(skill_id AS {text}), '') AS skill_id, coalesce(proficiency, '') AS proficiency,
+    CASE WHEN allow_update THEN 'true' ELSE 'false' END AS allow_update
+    FROM {table}"""
+
+
+def _batch_files(T) -> tuple[DataFrame, DataFrame]:
+    """The skill forms as two batches of CSV and JSON lines, read back."""
+    base = _stream_dir(T, "batches")
+    texts = T.spark.sql(_FORM_TEXTS.format(text="string", table="{forms}"), forms=T.student_skill_form)
+    paths = {}
+    for fmt, line in _FORM_LINES.items():
+        paths[fmt] = f"{base}/{fmt}"
+        texts.select(F.expr(line).alias("value")).write.text(paths[fmt])
+    return SN.read_batches(T.spark, paths, SKILL_FORM_SCHEMA)
+
+
 def _published(T) -> DataFrame:
     """Sink: registration batch published, then read back from the committed batch."""
     target = CS.run_route(T, "register_students", _stream_dir(T, "published"), "registration")
@@ -255,6 +280,20 @@ def _published(T) -> DataFrame:
 
 
 register("load_batch_student_skill_form", _load_batch, "SELECT * FROM student_skill_form")
+register("company_applicants_sketched", SK.company_applicants,
+         """SELECT company_id, count(DISTINCT student_id) AS applicants, TRUE AS within_bound
+            FROM application JOIN job USING (job_id) WHERE company_id IS NOT NULL GROUP BY company_id""")
+register("load_batches_malformed", lambda T: _batch_files(T)[1].groupBy("source_format").agg(
+    F.count("*").alias("bad_lines"), F.countDistinct("raw").alias("texts")),
+    f"""WITH forms AS ({_FORM_TEXTS.format(text="VARCHAR", table="student_skill_form")}),
+        bad AS (SELECT concat_ws(',', form_id, sid, skill_id, proficiency, allow_update) AS line
+                FROM forms WHERE sid LIKE 'S%')
+    SELECT f.source_format, count(*) AS bad_lines, count(DISTINCT line) AS texts
+    FROM bad, (VALUES ('csv'), ('json')) f(source_format) GROUP BY f.source_format""")
+register("load_batches_well_formed", lambda T: _batch_files(T)[0].drop("source_file"),
+         """SELECT s.form_id, student_id, CAST(skill_id AS VARCHAR) AS skill_id, proficiency, allow_update, f.source_format
+            FROM student_skill_form s, (VALUES ('csv'), ('json')) f(source_format)
+            WHERE student_id % 10 <> 3""")
 register("published_student_after_registration", _published,
          sql_changes.SQL["snapshot_student_after_registration"])
 register("stream_admission_accepted", lambda T: _stream_admission(T, 0),

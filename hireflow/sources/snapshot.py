@@ -71,3 +71,23 @@ def read_batch(spark: SparkSession, path: str, schema: T.StructType, fmt: str =
     good = df.where(F.col(CORRUPT).isNull()).drop(CORRUPT)
     bad = df.where(F.col(CORRUPT).isNotNull())
     return good, bad
+
+
+def read_batches(spark: SparkSession, paths: dict[str, str], schema: T.StructType) -> tuple[DataFrame, DataFrame]:
+    """(well-formed rows, malformed lines) of batch files in several formats (csv without
+    header, json), one path or glob per format.
+
+    Both carry where they come from: ``source_format`` and ``source_file``; a malformed line
+    has its text as ``raw``. Each format is parsed once.
+    """
+    full = T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType(), True)])
+    parts = [spark.read.schema(full).format(fmt).option("mode", "PERMISSIVE")
+             .option("columnNameOfCorruptRecord", CORRUPT).load(path)
+             .select(*full.names, F.lit(fmt).alias("source_format"), F.col("_metadata.file_path").alias("source_file"))
+             for fmt, path in sorted(paths.items())]
+    both = parts[0]
+    for more in parts[1:]:
+        both = both.unionByName(more)
+    both = checkpointed(both)
+    return (both.where(F.col(CORRUPT).isNull()).drop(CORRUPT),
+            both.where(F.col(CORRUPT).isNotNull()).select("source_format", "source_file", F.col(CORRUPT).alias("raw")))

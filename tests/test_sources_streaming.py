@@ -99,3 +99,22 @@ def test_admission_stream_decides_late_and_repeated_requests_once(seed):
     assert got == sorted({x[0] for x in r} | {900001, 900002})
     ids = [x.application_id for x in acc.collect()] + [x.application_id for x in seed.application.collect()]
     assert len(ids) == len(set(ids))
+
+
+def test_read_batches_of_two_formats_names_the_file_of_each_line(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("1,x\noops,y\n")
+    (tmp_path / "b.json").write_text('{"id": 2, "name": "z"}\n{"id": "no"}\nnot json\n')
+    schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("name", T.StringType())])
+    good, bad = SN.read_batches(spark, {"csv": str(tmp_path / "*.csv"), "json": str(tmp_path / "b.json")}, schema)
+    assert sorted((r.id, r.name, r.source_format) for r in good.collect()) == [(1, "x", "csv"), (2, "z", "json")]
+    lines = sorted((r.source_file.rsplit("/", 1)[1], r.raw) for r in bad.collect())
+    assert lines == [("a.csv", "oops,y"), ("b.json", "not json"), ("b.json", '{"id": "no"}')]
+
+
+def test_sketches_unite_upwards(spark):
+    from hireflow.operators import sketches as SK
+    rows = spark.range(60_000).selectExpr("id % 3 AS company_id", "id % 5 AS status", "id % 20000 AS student_id")
+    fine = rows.groupBy("company_id", "status").agg(F.hll_sketch_agg("student_id", F.lit(SK.LOG_SIZE)).alias("applicants"))
+    exact = {r.company_id: r.n for r in rows.groupBy("company_id").agg(F.countDistinct("student_id").alias("n")).collect()}
+    for r in SK.united(fine, "company_id").collect():
+        assert abs(r.estimate - exact[r.company_id]) <= SK.BOUND * exact[r.company_id]
