@@ -33,7 +33,7 @@ def full_match(c, pattern: str) -> Column:
 
 
 # White space as str.strip() knows it.
-SPACES = r"[\s\x1c-\x1f\x85\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
+SPACES = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
 
 
 def text(c) -> Column:
@@ -43,7 +43,7 @@ def text(c) -> Column:
 
 def strip(c) -> Column:
     """Python ``str.strip()`` of a form text; a missing field gives ''."""
-    return F.regexp_replace(text(c), rf"^{SPACES}|{SPACES}$", "")
+    return F.btrim(text(c), F.lit(SPACES))
 
 
 def blank_to_null(c) -> Column:

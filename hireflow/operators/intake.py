@@ -93,10 +93,10 @@ def _split(df: DataFrame, rules, accepted_cols, once=()) -> tuple[DataFrame, Dat
     refused if an earlier row that got in holds one of its keys, unless ``owner`` names
     a column in which they agree (the same company edits itself twice). Under several keys
     a refused row blocks nobody (``admission``); under one key, the first row is in."""
-    d = df.withColumn("reasons", X.reasons_of(rules))
+    # Read by both halves of the result (and by several rounds), so every form is parsed and judged
+    # once; a filter on the reasons would otherwise judge the forms again in every use.
+    d = checkpointed(df.withColumn("reasons", X.reasons_of(rules)))
     if len(once) > 1:
-        # Read by several rounds and by both halves of the result, so it is made once.
-        d = checkpointed(d)
         (owner,) = {o for _, _, o in once}
         texts = F.array(*[F.lit(text) for text, _, _ in once])
         valid = admit_in_order(d.where(F.size("reasons") == 0), [list(keys) for _, keys, _ in once], owner=owner)
@@ -122,6 +122,11 @@ def _flag(keys: DataFrame, on, name: str) -> DataFrame:
     return keys.select(*on).distinct().withColumn(name, F.lit(True))
 
 
+def _dealt(batch: DataFrame) -> DataFrame:
+    """Forms read from one file of few row groups, dealt out before they are parsed."""
+    return batch.repartition(batch.sparkSession.sparkContext.defaultParallelism, "form_id")
+
+
 def _is(col: str):
     return F.coalesce(F.col(col), F.lit(False))
 
@@ -158,7 +163,7 @@ def intake_students(T, batch: DataFrame | None = None) -> tuple[DataFrame, DataF
     """V1: student registrations, with their selected skills (if the batch
     has a ``skills`` list of (skill_id, proficiency)). Accepted rows keep the
     parsed ``skills`` list; ``registered_skills`` turns it into rows."""
-    b = T.student_form if batch is None else batch
+    b = _dealt(T.student_form if batch is None else batch)
     has_skills = "skills" in b.columns
     skills = [F.col("skills")] if has_skills else []
     f = b.select("form_id", "student_id", "phone", *skills,
@@ -246,7 +251,7 @@ def intake_companies(T, batch: DataFrame | None = None) -> tuple[DataFrame, Data
 def intake_student_edits(T, batch: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Student profile edits (``form_id`` is the student's own id): V1's rules for the profile fields; the
     email must not be another account's."""
-    b = T.student_form if batch is None else batch
+    b = _dealt(T.student_form if batch is None else batch)
     f = b.select("form_id", "phone", F.col("form_id").alias("student_id"), X.strip("name").alias("n"),
                  X.normal_email("email").alias("e"), X.parse_number("cgpa").alias("g"),
                  X.parse_int("graduation_year").alias("y"), X.parse_date("dob").alias("d"),
