@@ -5,7 +5,7 @@ eligible for, without listing a single (student, job) pair or pair of skill sets
 Students stand in order of falling CGPA, so those who reach a job's minimum are the first
 ``cut`` of them; a bitmap index (``skill_index``) counts among them those with all the
 skills that the job requires. Per student the same index is built over the jobs in order
-of rising minimum. Pairs are decided one by one only when they are asked for
+of rising minimum, those with the same minimum and skills as one. Pairs are decided one by one only when they are asked for
 (``eligibility.eligibility_pairs``).
 
 The rules are those of E1: required skills that the skill table does not list do not
@@ -69,10 +69,11 @@ def eligible_jobs_per_student(T, as_of=DEFAULT_AS_OF) -> DataFrame:
     """student_id, eligible_jobs: open, in-date jobs that the student is eligible for."""
     jobs = (T.job.where(accepting(F.col("status"), F.col("application_deadline"), as_of))
             .where(F.col("min_cgpa_x100").isNotNull()).select("job_id", "min_cgpa_x100"))
-    ranked = positions(jobs, "min_cgpa_x100", "job_id", name="place")
-    needs = (_listed_needs(T).select("job_id", "skill_id").distinct()
-             .join(ranked.select("job_id", "place"), "job_id").select("place", "skill_id"))
-    # How many jobs ask for at most each CGPA: the jobs' minima and the students' values on one line.
+    # Jobs with one minimum and one set of skills suit the same students: they are one place with a weight.
+    alike = (_sets(jobs, "job_id", _listed_needs(T)).groupBy("min_cgpa_x100", "skills").agg(F.count("*").alias("weight")))
+    ranked = positions(alike, "min_cgpa_x100", name="place")
+    needs = ranked.select("place", F.explode("skills").alias("skill_id"))
+    # How many places ask for at most each CGPA: the jobs' minima and the students' values on one line.
     students = T.student.select("student_id", "cgpa_x100")
     line = (ranked.select(F.col("min_cgpa_x100").alias("v"), F.lit(1).cast("long").alias("n"))
             .unionByName(students.select(F.col("cgpa_x100").alias("v"), F.lit(0).cast("long").alias("n"))
@@ -80,7 +81,7 @@ def eligible_jobs_per_student(T, as_of=DEFAULT_AS_OF) -> DataFrame:
     cuts = running_totals(line, "v", "n", name="cut").withColumnRenamed("v", "cgpa_x100")
     asked = _sets(students.join(cuts, "cgpa_x100", "left").withColumn("cut", F.coalesce("cut", F.lit(0))),
                   "student_id", T.student_skill.select("student_id", "skill_id"))
-    return count_within(asked.select("student_id", "skills", "cut"), needs).select(
+    return count_within(asked.select("student_id", "skills", "cut"), needs, ranked.select("place", "weight")).select(
         "student_id", F.col("n").alias("eligible_jobs"))
 
 

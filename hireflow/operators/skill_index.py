@@ -7,6 +7,9 @@ them have the skill. A question is a set of skills and a ``cut``: how many of th
 beyond them (``count_within``). A block's bitmaps answer it with a few word operations
 per 64 owners, the cut touches one block only, and counts add up over blocks.
 
+Owners that are asked for in the same way may be one place with a weight (``count_within``):
+the answer is then the sum of the weights.
+
 Spark deals out tiles: a block's bitmaps with a chunk of the questions. Questions go to the
 blocks before their cut, bitmaps to the chunks (their number follows from the number of
 questions); no owner ever meets a question as a row, and no tile grows with the data.
@@ -21,8 +24,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.snapshot import checkpointed
+
 BLOCK = 65_536           # owners of a block
-QUESTIONS = 16_384       # sets of skills that a tile answers, about
+QUESTIONS = 8_192        # sets of skills that a tile answers, about
+FEW_SKILLS = 256         # up to so many bitmaps are joined by OR for a set
 
 
 def bitmaps(owned: DataFrame) -> DataFrame:
@@ -34,15 +40,26 @@ def bitmaps(owned: DataFrame) -> DataFrame:
             .groupBy("block", "skill_id").agg(F.collect_list(F.struct("word", "bits")).alias("words")))
 
 
-def _dense(index: pa.Table) -> dict[int, np.ndarray]:
-    """skill -> 1,024 words."""
-    out = {}
+def _weights(weighed: DataFrame) -> DataFrame:
+    """Weights (place, weight) as rows of the index: no skill, a cell per place."""
+    return (weighed.select(F.expr(f"place div {BLOCK}").alias("block"),
+                           F.expr(f"CAST(place % {BLOCK} AS INT)").alias("word"), F.col("weight").cast("long").alias("bits"))
+            .groupBy("block").agg(F.collect_list(F.struct("word", "bits")).alias("words"))
+            .select("block", F.lit(None).cast("long").alias("skill_id"), "words"))
+
+
+def _dense(index: pa.Table) -> tuple[dict[int, np.ndarray], np.ndarray]:
+    """skill -> 1,024 words; the weight of each place (1 unless given)."""
+    out, weight = {}, np.ones(BLOCK, np.int64)
     for skill, words in zip(index.column("skill_id").to_pylist(), index.column("words").combine_chunks(), strict=True):
         cells = words.values.flatten()
+        if skill is None:
+            weight[cells[0].to_numpy()] = cells[1].to_numpy()
+            continue
         full = np.zeros(BLOCK // 64, np.uint64)
         full[cells[0].to_numpy()] = cells[1].to_numpy().view(np.uint64)
         out[skill] = full
-    return out
+    return out, weight
 
 
 def _questions(asked: pa.Table):
@@ -61,7 +78,7 @@ def _answers(asked: pa.Table, counts: np.ndarray) -> pa.Table:
 
 
 def _holders(asked: pa.Table, index: pa.Table) -> pa.Table:
-    of_skill, none = _dense(index), np.zeros(BLOCK // 64, np.uint64)
+    (of_skill, _), none = _dense(index), np.zeros(BLOCK // 64, np.uint64)
     asked, sets = _questions(asked)
     counts = np.zeros(asked.num_rows, np.int64)
     for rows, skills, cuts in sets:
@@ -75,33 +92,50 @@ def _holders(asked: pa.Table, index: pa.Table) -> pa.Table:
     return _answers(asked, counts)
 
 
+def _bits(words: np.ndarray) -> np.ndarray:
+    return np.unpackbits(words.view(np.uint8), bitorder="little")
+
+
 def _within(asked: pa.Table, index: pa.Table) -> pa.Table:
-    at = {skill: np.flatnonzero(np.unpackbits(words.view(np.uint8), bitorder="little"))
-          for skill, words in _dense(index).items()}
-    needed = np.zeros(BLOCK, np.int32)
-    for places in at.values():
-        needed[places] += 1
+    of_skill, weight = _dense(index)
+    number = {skill: k for k, skill in enumerate(of_skill)}
+    words = np.array(list(of_skill.values()), np.uint64).reshape(len(number), BLOCK // 64)
+    at, needed = [], None
+    if len(number) > FEW_SKILLS:
+        at = [np.flatnonzero(_bits(row)) for row in words]
+        needed = np.bincount(np.concatenate(at), minlength=BLOCK).astype(np.int32)
     asked, sets = _questions(asked)
     counts = np.zeros(asked.num_rows, np.int64)
     for rows, skills, cuts in sets:
-        last = int(cuts.max())
-        missing = needed[:last].copy() if last < BLOCK else needed.copy()
-        for skill in skills:
-            places = at.get(skill)
-            if places is not None:
-                missing[places[:np.searchsorted(places, last)]] -= 1
-        upto = np.concatenate([[0], np.cumsum(missing == 0)])
-        counts[rows] = upto[cuts]
+        last, have = int(cuts.max()), [number[s] for s in set(skills) if s in number]
+        if needed is None:                   # an owner fits if no other skill's bitmap has it
+            other = np.ones(len(number), bool)
+            other[have] = False
+            fits = _bits(~np.bitwise_or.reduce(words[other], axis=0, initial=np.uint64(0)))[:last]
+        else:                                # an owner fits if all of its skills are taken off
+            missing = needed[:last].copy()
+            for k in have:
+                missing[at[k][:np.searchsorted(at[k], last)]] -= 1
+            fits = missing == 0
+        places = np.flatnonzero(fits)
+        upto = np.concatenate([[0], np.cumsum(weight[places])])
+        counts[rows] = upto[np.searchsorted(places, cuts)]
     return _answers(asked, counts)
 
 
 def _count(questions: DataFrame, index: DataFrame, tile) -> DataFrame:
     asked = F.array_join("skills", ",").alias("asked")
+    questions = checkpointed(questions)      # counted, dealt out and joined to the answers
     named = questions.where("cut > 0").select(asked, "skills", "cut").distinct()
     chunks = max(1, math.ceil(named.select("asked").distinct().count() / QUESTIONS))
     dealt = named.select("asked", "skills", "cut", F.pmod(F.xxhash64("asked"), F.lit(chunks)).alias("chunk"),
                          F.explode(F.expr(f"sequence(0L, (cut - 1) div {BLOCK})")).alias("block"))
     copies = index.withColumn("chunk", F.explode(F.expr(f"sequence(0L, {chunks - 1}L)")))
+    # A tile is little data and much work: a fixed number of tasks, which adaptive execution would
+    # otherwise put together into a few.
+    spark = questions.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    dealt, copies = (x.repartition(tasks, "block", "chunk") for x in (dealt, copies))
     answers = (dealt.groupBy("block", "chunk").cogroup(copies.groupBy("block", "chunk"))
                .applyInArrow(tile, "asked string, cut long, n long")
                .groupBy("asked", "cut").agg(F.sum("n").alias("n")))
@@ -118,9 +152,13 @@ def count_holders(questions: DataFrame, owned: DataFrame) -> DataFrame:
     return some.unionByName(questions.where(F.size("skills") == 0).withColumn("n", F.col("cut")))
 
 
-def count_within(questions: DataFrame, owned: DataFrame) -> DataFrame:
-    """``questions`` + n: of the first ``cut`` owners those whose skills are all among the given ones."""
-    return _count(questions, bitmaps(owned), _tile(_within))
+def count_within(questions: DataFrame, owned: DataFrame, weighed: DataFrame | None = None) -> DataFrame:
+    """``questions`` + n: of the first ``cut`` owners those whose skills are all among the given ones.
+
+    ``weighed``: (place, weight), how many owners a place stands for; without it, one each.
+    """
+    index = bitmaps(owned)
+    return _count(questions, index if weighed is None else index.unionByName(_weights(weighed)), _tile(_within))
 
 
 def _tile(answer):
