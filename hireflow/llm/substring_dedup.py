@@ -7,11 +7,12 @@ window of ``width`` bytes the one with the least hash. Neighbouring windows with
 same anchor form one piece. Equal windows have equal anchors wherever they stand,
 so pieces are dealt out by anchor and every repeat is found inside one collection.
 
-Most pieces are settled before: an anchor that one document alone holds cannot
-repeat, and a piece that an earlier document holds whole repeats whole. Only what
-is left, pieces that share their anchor but differ, is sorted suffix by suffix.
-A piece has at most ``LONGEST`` windows, so a round count has a fixed bound however
-long the documents are.
+Two passes keep what is sent small. The first sends of each piece only where it is and
+its anchor: an anchor that one text alone holds cannot repeat. The second sends the bytes
+of the pieces that share their anchor. A piece that an earlier document holds whole, byte
+for byte, repeats whole; only pieces that share their anchor but differ are sorted suffix
+by suffix. A piece has at most ``LONGEST`` windows, so a round count has a fixed bound
+however long the documents are.
 """
 
 from __future__ import annotations
@@ -22,28 +23,29 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .collection_bwt import repeated
-from .common import cut, width as partitions
-from .textkit import slices
+from .common import width as partitions
+from .textkit import Texts, slices
 
 ANCHOR = 24
 LONGEST = 27
 COLLECTION_BYTES = 1 << 20
-#: What tells a task's pieces apart, column after column in one binary value. Contents are
-#: named by 128 bits (content and check) and their length: pieces named alike are deleted unseen.
-_PACKED = (("anchor", np.uint64), ("content", np.uint64), ("check", np.uint64), ("place", np.int64),
-           ("tag", np.int32), ("start", np.int32), ("n", np.uint8))
+#: A task's pieces, column after column in one binary value. The anchor only deals pieces out and
+#: groups them: anchors that share 32 bits are one group, whose pieces are told apart by their bytes.
+_PACKED = (("anchor", np.uint32), ("place", np.int64), ("tag", np.int64), ("start", np.int32), ("n", np.uint8))
+_OPEN = np.dtype([("anchor", np.uint32), ("start", np.int32), ("n", np.uint8)])
+_SPAN = np.dtype([("start", np.int32), ("n", np.int32)])
 LAST = (1 << 63) - 1
 
 
-def _pieces(texts, width: int) -> tuple[np.ndarray, ...]:
-    """document, offset, number of windows, anchor hash, two content hashes of each piece."""
+def _places(texts, width: int) -> tuple[np.ndarray, ...]:
+    """document, offset, number of windows, anchor hash of each piece."""
     n = len(texts.data)
     if n < width:
-        return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.uint64, np.uint64, np.uint64))
+        return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.uint64))
     at = np.arange(n - ANCHOR + 1)
     low = texts.hashes(at, at + ANCHOR)
     span, want = 1, width - ANCHOR + 1
@@ -66,8 +68,61 @@ def _pieces(texts, width: int) -> tuple[np.ndarray, ...]:
     stops = np.flatnonzero(new | ~valid)
     stop = np.append(stops, len(low))[np.searchsorted(stops, start, side="right")]
     doc = np.searchsorted(texts.starts, start, side="right") - 1
-    return (doc, start - texts.starts[doc], stop - start, low[start],
-            texts.hashes(start, stop + width - 1), texts.checks(start, stop + width - 1))
+    return doc, start - texts.starts[doc], stop - start, low[start]
+
+
+def _pieces(texts, width: int) -> tuple[np.ndarray, ...]:
+    """document, offset, number of windows, anchor hash, two content hashes of each piece."""
+    doc, start, n, anchor = _places(texts, width)
+    low = texts.starts[doc] + start
+    return doc, start, n, anchor, texts.hashes(low, low + n + width - 1), texts.checks(low, low + n + width - 1)
+
+
+def _packed(bucket: np.ndarray, columns: dict[str, np.ndarray], text=lambda rows: b"") -> pa.RecordBatch:
+    """Rows sorted by bucket, one compressed value for each bucket: the columns, then ``text``."""
+    parts = _runs(bucket)
+    values = [b"".join([*(columns[c][x].astype(kind).tobytes() for c, kind in _PACKED), text(x)]) for x in parts]
+    return pa.RecordBatch.from_arrays(
+        [pa.array([int(bucket[x.start]) for x in parts], pa.int64()),
+         pa.array([x.stop - x.start for x in parts], pa.int64()), pa.array([len(v) for v in values], pa.int64()),
+         pa.array([pa.compress(v, "zstd", asbytes=True) for v in values], pa.binary())],
+        ["bucket", "count", "size", "pieces"])
+
+
+def _unpack(table: pa.Table) -> tuple[dict[str, np.ndarray], list[bytes]]:
+    """The columns of all values, and the text that comes after them in each."""
+    parts: dict[str, list[np.ndarray]] = {c: [] for c, _ in _PACKED}
+    rest = []
+    for value, count, size in zip(*(table.column(c).to_pylist() for c in ("pieces", "count", "size")), strict=True):
+        value, at = pa.decompress(value, size, "zstd", asbytes=True), 0
+        for c, kind in _PACKED:
+            parts[c].append(np.frombuffer(value, kind, count, at))
+            at += count * np.dtype(kind).itemsize
+        rest.append(value[at:])
+    return {c: np.concatenate(x) for c, x in parts.items()}, rest
+
+
+def _runs(values: np.ndarray) -> list[slice]:
+    """The rows of each run of equal values."""
+    if not len(values):
+        return []
+    head = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]])).tolist()
+    return [slice(x, y) for x, y in zip(head, [*head[1:], len(values)], strict=True)]
+
+
+def _per_document(place: np.ndarray, tag: np.ndarray, kind: np.dtype, **columns: np.ndarray) -> pa.Table:
+    """One row per document: place, tag, found: its records of ``kind`` end to end."""
+    order = np.lexsort((columns["start"], tag, place))
+    place, tag = place[order], tag[order]
+    records = np.empty(len(order), kind)
+    for c in kind.names:
+        records[c] = columns[c][order]
+    new = np.ones(len(order), bool)
+    new[1:] = (place[1:] != place[:-1]) | (tag[1:] != tag[:-1])
+    head = np.flatnonzero(new)
+    ends = (np.append(head, len(order)) * kind.itemsize).astype(np.int64)
+    found = pa.Array.from_buffers(pa.large_binary(), len(head), [None, pa.py_buffer(ends), pa.py_buffer(records)])
+    return pa.table({"place": place[head], "tag": tag[head], "found": found.cast(pa.binary())})
 
 
 def _anchors(width: int, buckets: int):
@@ -82,118 +137,133 @@ def _anchors(width: int, buckets: int):
                     name, mine = hashlib.blake2b(texts.text(i), digest_size=16).digest(), int(place[first + i])
                     if seen.get(name, LAST + 1) > mine:
                         seen[name], keep[i] = mine, True
-                doc, start, n, anchor, content, check = _pieces(texts, width)
+                doc, start, n, anchor = _places(texts, width)
                 bucket = anchor % np.uint64(buckets)
                 order = np.argsort(bucket, kind="stable")
                 order = order[keep[doc[order]]]
-                columns = {"anchor": anchor[order], "content": content[order], "check": check[order],
-                           "place": place[first + doc[order]], "tag": tag[first + doc[order]], "start": start[order],
-                           "n": n[order]}
-                head = np.flatnonzero(np.diff(bucket[order], prepend=np.uint64(buckets)))
-                packed = [b"".join(columns[c][x:y].astype(kind).tobytes() for c, kind in _PACKED)
-                          for x, y in zip(head, np.append(head[1:], len(order)), strict=True)]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(bucket[order][head].astype(np.int64)), pa.array(packed, pa.binary())],
-                    ["bucket", "pieces"])
+                columns = {"anchor": anchor[order] >> np.uint64(32), "place": place[first + doc[order]],
+                           "tag": tag[first + doc[order]], "start": start[order], "n": n[order]}
+                yield _packed(bucket[order], columns)
     return run
 
 
-def _match(table: pa.Table) -> pa.Table:
-    """Of one bucket's pieces those that repeat whole, and those that share an anchor but differ."""
-    parts: dict[str, list[np.ndarray]] = {c: [] for c, _ in _PACKED}
-    row = sum(np.dtype(kind).itemsize for _, kind in _PACKED)
-    for value in table.column("pieces").to_pylist():
-        at, count = 0, len(value) // row
-        for c, kind in _PACKED:
-            parts[c].append(np.frombuffer(value, kind, count, at))
-            at += count * np.dtype(kind).itemsize
-    p = {c: np.concatenate(x) for c, x in parts.items()}
-    order = np.argsort(p["anchor"], kind="stable")
-    anchor = p["anchor"][order]
-    new = np.concatenate([[True], anchor[1:] != anchor[:-1]])
-    head = np.flatnonzero(new)
-    place = p["place"][order]
-    shared = np.minimum.reduceat(place, head) < np.maximum.reduceat(place, head)
-    order = order[shared[np.cumsum(new) - 1]]         # an anchor of one document cannot repeat
+def _shared(table: pa.Table) -> pa.Table:
+    """Of one bucket's pieces those whose anchor a smaller or larger document holds too.
+
+    Texts that agree in their 64-bit tag are copies: the first stands for all, the others
+    go whole by their digest.
+    """
+    p, _ = _unpack(table)
+    order = np.lexsort((p["place"], p["tag"], p["anchor"]))
     p = {c: x[order] for c, x in p.items()}
-    if not len(order):
-        head = np.zeros(0, np.int64)
-        whole = left = np.zeros(0, bool)
-    else:
-        order = np.lexsort((p["place"], p["n"], p["check"], p["content"], p["anchor"]))
-        p = {c: x[order] for c, x in p.items()}
-        differs = lambda c: np.concatenate([[True], p[c][1:] != p[c][:-1]])
-        of_anchor = differs("anchor")
-        of_piece = of_anchor | differs("content") | differs("check") | differs("n")
-        first = p["place"][np.flatnonzero(of_piece)][np.cumsum(of_piece) - 1]
-        kinds = np.add.reduceat(of_piece.astype(np.int64), np.flatnonzero(of_anchor))[np.cumsum(of_anchor) - 1]
-        whole = p["place"] > first
-        left = ~whole & (kinds > 1)
-    use = whole | left
-    return pa.table({"place": p["place"][use], "tag": p["tag"][use], "anchor": p["anchor"][use].view(np.int64),
-                     "start": p["start"][use], "n": p["n"][use].astype(np.int32), "whole": whole[use]})
-
-
-_SPANS = pa.list_(pa.struct([("start", pa.int32()), ("n", pa.int32())]))
-_OPEN = pa.list_(pa.struct([("anchor", pa.int64()), ("start", pa.int32()), ("n", pa.int32())]))
-
-
-def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per document: the windows that repeat for certain, merged, and the open pieces."""
-    for batch in batches:
-        done, left = [], []
-        for found in batch.column("found"):
-            f = found.values
-            anchor, start, n, whole = (f.field(c).to_numpy(zero_copy_only=False)
-                                       for c in ("anchor", "start", "n", "whole"))
-            order = np.argsort(start[whole], kind="stable")
-            a, b = start[whole][order], (start[whole] + n[whole])[order]
-            head = np.flatnonzero(np.concatenate([[True], a[1:] > np.maximum.accumulate(b)[:-1]])) if len(a) else a
-            stop = np.maximum.reduceat(b, head) if len(a) else b
-            done.append([{"start": x, "n": y - x} for x, y in zip(a[head].tolist(), stop.tolist(), strict=True)])
-            left.append([{"anchor": x, "start": y, "n": z} for x, y, z in zip(
-                anchor[~whole].tolist(), start[~whole].tolist(), n[~whole].tolist(), strict=True)])
-        yield pa.RecordBatch.from_arrays([batch.column("place"), batch.column("tag"), pa.array(done, _SPANS),
-                                          pa.array(left, _OPEN)], ["place", "tag", "spans", "open"])
-
-
-def _open_pieces(width: int):
-    """The bytes of each open piece."""
+    new = np.ones(len(order), bool)
+    new[1:] = (p["anchor"][1:] != p["anchor"][:-1]) | (p["tag"][1:] != p["tag"][:-1])
+    first = p["place"][np.flatnonzero(new)][np.cumsum(new) - 1]
+    p = {c: x[p["place"] == first] for c, x in p.items()}
+    anchor, place = p["anchor"], p["place"]
+    new = np.ones(len(anchor), bool)
+    new[1:] = anchor[1:] != anchor[:-1]
+    head = np.flatnonzero(new)
+    if len(head):
+        use = (np.minimum.reduceat(place, head) < np.maximum.reduceat(place, head))[np.cumsum(new) - 1]
+        p = {c: x[use] for c, x in p.items()}
+    return _per_document(p.pop("place"), p.pop("tag"), _OPEN, **p)
+
+
+def _piece_bytes(width: int, buckets: int):
+    """The pieces that share their anchor, packed by bucket, and after them their bytes."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[tuple] = []
-            for place, tag, text, pieces in zip(*(batch.column(c) for c in ("place", "tag", "text", "open")),
-                                                strict=True):
-                data = text.as_py().encode()
-                out += [(place.as_py(), tag.as_py(), p["anchor"], p["start"], data[p["start"]:p["start"] + p["n"] + width - 1])
-                        for p in pieces.as_py()]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([x[i] for x in out], t) for i, t in enumerate(
-                    (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.binary()))],
-                ["place", "tag", "anchor", "start", "bytes"])
+            for first, texts in slices(batch.column("text")):
+                rows = range(first, first + len(texts))
+                found = [b"".join(batch.column("found")[i].as_py()) for i in rows]
+                open_ = np.frombuffer(b"".join(found), _OPEN)
+                doc = np.repeat(np.arange(len(texts)), [len(x) // _OPEN.itemsize for x in found])
+                bucket = open_["anchor"] % np.uint32(buckets)
+                order = np.argsort(bucket, kind="stable")
+                doc, bucket = doc[order], bucket[order]
+                columns = {c: open_[c][order] for c in _OPEN.names} | {
+                    c: batch.column(c).to_numpy()[first + doc] for c in ("place", "tag")}
+                low = texts.starts[doc] + columns["start"]
+                high = low + columns["n"] + (width - 1)
+                data = texts.data.tobytes()
+                yield _packed(bucket, columns, lambda x: b"".join(
+                    [data[a:b] for a, b in zip(low[x].tolist(), high[x].tolist(), strict=True)]))  # noqa: B023
     return run
 
 
-def _sort_collection(width: int):
+def _collections(anchor: np.ndarray, size: np.ndarray) -> list[slice]:
+    """Pieces in order of their anchors, about COLLECTION_BYTES at once, one anchor's together."""
+    before, new = np.cumsum(size) - size, np.ones(len(size), bool)
+    new[1:] = anchor[1:] != anchor[:-1]
+    return _runs((before[new] // COLLECTION_BYTES)[np.cumsum(new) - 1])
+
+
+def _may_repeat(strings: list[bytes], owner: np.ndarray, width: int) -> np.ndarray:
+    """Whether a string has ``width`` bytes that agree by hash with some of another owner's string."""
+    size = np.array([len(s) for s in strings], np.int64)
+    windows, ends = size - width + 1, np.cumsum(size)
+    string = np.repeat(np.arange(len(strings)), windows)
+    start = np.arange(len(string)) - np.repeat(np.cumsum(windows) - windows, windows) + (ends - size)[string]
+    texts = Texts(np.frombuffer(b"".join(strings), np.uint8), ends - size, ends)
+    h = texts.hashes(start, start + width)
+    order = np.argsort(h)
+    h, string = h[order], string[order]
+    new = np.ones(len(h), bool)
+    new[1:] = h[1:] != h[:-1]
+    head = np.flatnonzero(new)
+    hit = (np.minimum.reduceat(owner[string], head) < np.maximum.reduceat(owner[string], head))[np.cumsum(new) - 1]
+    return np.bincount(string[hit], minlength=len(strings)) > 0
+
+
+def _repeats(width: int):
+    """Per document the windows of one bucket's pieces that an earlier document holds too."""
     def run(table: pa.Table) -> pa.Table:
-        strings = table.column("bytes").to_pylist()
-        place = table.column("place").to_numpy()
-        found = repeated(strings, place, width)
-        rows = pa.array([x[0] for x in found], pa.int64())
-        start = table.column("start").to_numpy()[rows.to_numpy()] + np.array([x[1] for x in found], np.int32)
-        return pa.table({"place": table.column("place").take(rows), "tag": table.column("tag").take(rows),
-                         "start": pa.array(start, pa.int32()), "n": pa.array([x[2] for x in found], pa.int32())})
+        p, rest = _unpack(table)
+        data = b"".join(rest)
+        size = p["n"].astype(np.int64) + (width - 1)
+        ends = np.concatenate([[0], np.cumsum(size)])
+        content = pa.Array.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(ends), pa.py_buffer(data)]
+                                        ).dictionary_encode().indices.to_numpy()
+        order = np.lexsort((p["place"], content, p["anchor"]))
+        of_anchor, of_piece = np.ones(len(order), bool), np.ones(len(order), bool)
+        of_anchor[1:] = p["anchor"][order][1:] != p["anchor"][order][:-1]
+        of_piece[1:] = content[order][1:] != content[order][:-1]
+        place = p["place"][order]
+        whole = place > place[np.flatnonzero(of_piece)][np.cumsum(of_piece) - 1]
+        kinds = np.add.reduceat(of_piece.astype(np.int64), np.flatnonzero(of_anchor))[np.cumsum(of_anchor) - 1]
+        left = ~whole & (kinds > 1)
+        open_ = order[left]
+        strings = lambda pieces: [data[ends[i]:ends[i + 1]] for i in pieces.tolist()]
+        # Most pieces share no more than their anchor: hashes of windows leave those out, and
+        # the transform says what the others share.
+        open_ = np.concatenate([open_[:0], *(open_[x][_may_repeat(strings(open_[x]), p["place"][open_[x]], width)]
+                                             for x in _collections(p["anchor"][open_], size[open_]))])
+        rows, start, n = [order[whole]], [p["start"][order[whole]]], [p["n"][order[whole]].astype(np.int32)]
+        for x in _collections(p["anchor"][open_], size[open_]):
+            mine = open_[x]
+            found = repeated(strings(mine), p["place"][mine], width)
+            if found:
+                string, offset, count = (np.array(c) for c in zip(*found, strict=True))
+                rows.append(mine[string])
+                start.append(p["start"][mine[string]] + offset.astype(np.int32))
+                n.append(count.astype(np.int32))
+        at = np.concatenate(rows)
+        return _per_document(p["place"][at], p["tag"][at], _SPAN, start=np.concatenate(start), n=np.concatenate(n))
     return run
 
 
+_REMOVED = pa.list_(pa.struct([("start", pa.int32()), ("n", pa.int32())]))
+
+
 def _remove(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sizes, removed, runs, digests, kept_spans = [], [], [], [], []
             for i in range(batch.num_rows):
                 data = (batch.column("text")[i].as_py() or "").encode()
-                spans = [(s["start"], s["start"] + s["n"] + width - 1)
-                         for c in ("spans", "more") for s in batch.column(c)[i].as_py() or []]
+                spans = [(a, a + n + width - 1) for a, n in
+                         np.frombuffer(b"".join(batch.column("found")[i].as_py() or []), _SPAN).tolist()]
                 if batch.column("copy")[i].as_py() and len(data) >= width:
                     spans = [(0, len(data))]
                 merged: list[list[int]] = []
@@ -215,7 +285,7 @@ def _remove(width: int):
             yield pa.RecordBatch.from_arrays(
                 [pc.if_else(pc.equal(batch.column("place"), LAST), None, batch.column("place")),
                  pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()),
-                 pa.array(runs, pa.int64()), pa.array(digests), pa.array(kept_spans, _SPANS)],
+                 pa.array(runs, pa.int64()), pa.array(digests), pa.array(kept_spans, _REMOVED)],
                 ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "removed"])
     return run
 
@@ -233,31 +303,24 @@ def substring_dedup(docs: DataFrame, width: int = 50, id_col: str = "doc_id",
     identifiers come after all others and not before each other. An empty table gives
     an empty result; other columns are ignored, whatever their names.
     """
-    spark = docs.sparkSession
+    buckets = partitions(docs.sparkSession)
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("place"),
-                       F.xxhash64(text).bitwiseAND(F.lit((1 << 31) - 1)).cast("int").alias("tag"), text.alias("text"))
-    found = (rows.mapInArrow(_anchors(width, partitions(spark)), "bucket long, pieces binary")
-             .groupBy("bucket").applyInArrow(_match, "place long, tag int, anchor long, start int, n int, whole boolean")
-             .groupBy("place", "tag").agg(F.collect_list(F.struct("anchor", "start", "n", "whole")).alias("found")))
-    settled = cut(found.mapInArrow(_settle, "place long, tag int, spans array<struct<start: int, n: int>>, "
-                                   "open array<struct<anchor: long, start: int, n: int>>"))
-    volume = settled.agg(F.sum(F.aggregate("open", F.lit(0).cast("long"),
-                                           lambda acc, x: acc + x["n"] + width - 1))).first()[0] or 0
-    collections = 1 + volume // COLLECTION_BYTES
-    left = settled.filter(F.size("open") > 0).select("place", "tag", "open").join(rows, ["place", "tag"]).select(
-        "place", "tag", "text", "open").mapInArrow(
-        _open_pieces(width), "place long, tag int, anchor long, start int, bytes binary")
-    more = (left.groupBy(F.pmod(F.xxhash64("anchor"), F.lit(collections)).alias("collection"))
-            .applyInArrow(_sort_collection(width), "place long, tag int, start int, n int")
-            .groupBy("place", "tag").agg(F.collect_set(F.struct("start", "n")).alias("more")))
+                       F.xxhash64(text).alias("tag"), text.alias("text"))
+    packed, found = "bucket long, count long, size long, pieces binary", "place long, tag long, found binary"
+    per_document = lambda x: x.groupBy("place", "tag").agg(F.collect_list("found").alias("found"))
+    shared = per_document(rows.mapInArrow(_anchors(width, buckets), packed)
+                          .groupBy("bucket").applyInArrow(_shared, found))
+    # A row that stands twice sends its pieces twice, which changes nothing.
+    spans = per_document(rows.join(shared, ["place", "tag"]).select("place", "tag", "text", "found")
+                         .mapInArrow(_piece_bytes(width, buckets), packed)
+                         .groupBy("bucket").applyInArrow(_repeats(width), found))
     copies = rows.select("place", "tag", F.md5("text").alias("digest"))
     firsts = copies.groupBy("digest").agg(F.min("place").alias("first"))
     copies = copies.distinct().join(firsts, "digest").filter("place > first").select(
         "place", "tag", F.lit(True).alias("copy"))
-    verdict = (settled.select("place", "tag", "spans").join(more, ["place", "tag"], "full")
-               .join(copies, ["place", "tag"], "full"))
+    verdict = spans.join(copies, ["place", "tag"], "full")
     # Both joins with the texts deal them out alike, so they are shuffled once.
-    return (rows.join(verdict, ["place", "tag"], "left").select("place", "text", "spans", "more", "copy")
+    return (rows.join(verdict, ["place", "tag"], "left").select("place", "text", "found", "copy")
             .mapInArrow(_remove(width), "doc_id long, n_bytes long, n_removed long, n_spans long, "
                         "kept_sha256 string, removed array<struct<start: int, n: int>>"))
