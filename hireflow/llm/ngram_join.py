@@ -35,9 +35,10 @@ from pyspark.sql import functions as F
 from .common import cut, flag_table, row_key, width
 from .components import components
 from .prefix_filter import WORDS, fits, may_share_enough, share_enough, with_marks
-from .textkit import by_rarity, rarity_order, slices, word_shingles
+from .textkit import by_rarity, rarity_classes, slices, word_shingles
 
-BUCKETS = 1 << 16
+BUCKETS = 1 << 24            # hash buckets that shingles are counted in, a byte each in the tasks
+BLOCK = 1 << 16              # buckets whose counts travel as one value
 FLAGS = 1 << 22              # flags that tell tasks which texts may be asked for
 SUBSET = 2
 LARGEST_BOUNDARY = 1000      # sizes that the search for the boundary looks at
@@ -90,21 +91,38 @@ def _profile(words: int):
 
 
 def _bucket_counts(words: int):
+    """A task's counts, a compressed value for each block of buckets; as block -1 its least hashes."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count, least = np.zeros(BUCKETS, np.int64), np.zeros(0, np.uint64)
+        count, least = np.zeros(BUCKETS, np.uint32), np.zeros(0, np.uint64)
         for batch in batches:
             for _, texts in slices(batch.column("text")):
                 _, key = word_shingles(texts, words)
-                count += np.bincount((key & np.uint64(BUCKETS - 1)).astype(np.int64), minlength=BUCKETS)
+                np.add.at(count, (key & np.uint64(BUCKETS - 1)).astype(np.int64), 1)
                 key = np.unique(key)
                 least = np.unique(np.concatenate([least, key[:SKETCH]]))[:SKETCH]
-        used = np.flatnonzero(count)
-        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(count[used])], ["bucket", "n"])
-        yield pa.RecordBatch.from_arrays([pa.array(-1 - least.astype(np.int64)),
-                                          pa.array(np.zeros(len(least), np.int64))], ["bucket", "n"])
+        blocks = count.reshape(-1, BLOCK)
+        used = np.flatnonzero(blocks.any(axis=1))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([-1, *used.tolist()], pa.int64()),
+             pa.array([least.tobytes(), *(pa.compress(blocks[i].tobytes(), "zstd", asbytes=True) for i in used)], pa.binary())],
+            ["block", "counts"])
     return run
 
 
+def _block_classes(key: tuple, table: pa.Table) -> pa.Table:
+    """The sum of all tasks' counts of a block and its buckets' classes; of block -1 the least hashes of all."""
+    block, values = key[0].as_py(), table.column("counts").to_pylist()
+    if block < 0:
+        total, out = 0, np.unique(np.frombuffer(b"".join(values), np.uint64))[:SKETCH]
+    else:
+        count = np.zeros(BLOCK, np.int64)
+        for value in values:
+            count += np.frombuffer(pa.decompress(value, 4 * BLOCK, "zstd", asbytes=True), np.uint32)
+        total, out = int(count.sum()), rarity_classes(count)
+    return pa.table({"block": pa.array([block], pa.int64()), "total": pa.array([total], pa.int64()),
+                     "classes": pa.array([out.tobytes()], pa.binary())})
+
+
 def _missing(size, percent: int):
     """Shingles of a set of this size that a partner may lack."""
     return size - -(-percent * size // 100)
@@ -237,17 +255,19 @@ def ngram_join(docs: DataFrame, words: int = 3, percent: int = 90, id_col: str =
     sets = rows.filter("n_shingles > 0").groupBy("a", "b").agg(
         F.max("n_shingles").alias("size"), F.min("doc_id").alias("first_id"), F.count("*").alias("copies"))
 
-    counted = cut(text.select("text").mapInArrow(_bucket_counts(words), "bucket long, n long")
-                  .groupBy("bucket").agg(F.sum("n").alias("n")))
-    table = np.zeros(BUCKETS, np.int64)
-    for r in counted.filter("bucket >= 0").collect():        # at most BUCKETS rows
-        table[r.bucket] = r.n
-    least = [r.bucket for r in counted.filter("bucket < 0").orderBy(F.desc("bucket")).limit(SKETCH).collect()]
-    distinct = len(least) if len(least) < SKETCH else (SKETCH - 1) / ((-1 - least[-1]) / float(1 << 52))
+    counted = (text.select("text").mapInArrow(_bucket_counts(words), "block long, counts binary")
+               .groupBy("block").applyInArrow(_block_classes, "block long, total long, classes binary").collect())
+    classes, least, total = np.zeros((BUCKETS // BLOCK, BLOCK), np.uint8), np.zeros(0, np.uint64), 0
+    for r in counted:                                         # BUCKETS bytes and SKETCH hashes at most
+        if r.block < 0:
+            least = np.frombuffer(r.classes, np.uint64)
+        else:
+            classes[r.block], total = np.frombuffer(r.classes, np.uint8), total + r.total
+    distinct = len(least) if len(least) < SKETCH else (SKETCH - 1) / (int(least[-1]) / float(1 << 52))
     sizes = {r["size"]: r["n"] for r in sets.filter(F.col("size") <= LARGEST_BOUNDARY)
              .groupBy("size").agg(F.count("*").alias("n")).collect()}
-    bound = boundary(sizes, max(1.0, float(table.sum()) / max(1.0, distinct)), percent)
-    rarity = spark.sparkContext.broadcast(rarity_order(table))   # BUCKETS integers, whatever the input
+    bound = boundary(sizes, max(1.0, total / max(1.0, distinct)), percent)
+    rarity = spark.sparkContext.broadcast(classes.ravel())       # BUCKETS bytes, whatever the input
 
     keys = text.select("text").mapInArrow(
         _keys(words, percent, bound, rarity),
