@@ -23,17 +23,21 @@ from .common import cut
 from .prefix_filter import WORDS, fits, may_share_enough, prefix_length, share_enough, with_marks
 
 BUCKETS = 1 << 14
-FLAGS = 1 << 19              # flags that tell which lines may be asked for again
+FLAGS = 1 << 24              # bits that tell which lines may be asked for again
 LAST = (1 << 63) - 1
 SPACE = r"[\x20\x09-\x0D]+"
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """(place, tag, pos, w) of every line that has words; w are its words, lower-cased."""
+    """(place, tag, pos, line, w) of every line that has words; w are its words, lower-cased."""
     split = docs.select("place", "tag", F.posexplode(F.split(F.lower("text"), "\n")).alias("pos", "line"))
     # Filtered by the line: a filter on w would be moved below it and make it twice.
     return split.filter(F.col("line").rlike(r"[^\x20\x09-\x0D]")).select(
-        "place", "tag", "pos", F.array_remove(F.split("line", SPACE), "").alias("w"))
+        "place", "tag", "pos", "line", _words().alias("w"))
+
+
+def _words() -> Column:
+    return F.array_remove(F.split("line", SPACE), "")
 
 
 def _shingles(words: int) -> Column:
@@ -72,21 +76,36 @@ def _names() -> list[Column]:
     return [F.xxhash64("w").alias("name1"), F.xxhash64(F.lit(7), F.col("w")).alias("name2")]
 
 
+def _flag() -> Column:
+    return F.pmod(F.xxhash64("node.place", "node.tag", "node.pos"), F.lit(FLAGS)).cast("int")
+
+
+def _flags(wanted: DataFrame) -> DataFrame:
+    """One row, an array of FLAGS / 64 words: the bits of the ``node``s of a table are up."""
+    up = wanted.groupBy(F.shiftright(_flag(), 6).cast("long").alias("id")).agg(
+        F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), _flag().bitwiseAND(F.lit(63)))).alias("bits"))
+    every = wanted.sparkSession.range(FLAGS // 64).join(up, "id", "left").select(
+        "id", F.coalesce("bits", F.lit(0).cast("long")).alias("bits"))
+    return every.agg(F.array_sort(F.collect_list(F.struct("id", "bits"))).getField("bits").alias("flags"))
+
+
+def _up(flags: Column) -> Column:
+    return F.getbit(F.get(flags, F.shiftright(_flag(), 6)), _flag().bitwiseAND(F.lit(63))) == 1
+
+
 def _similar(pairs: DataFrame, lines: DataFrame, words: int, percent: int) -> DataFrame:
     """The pairs whose shingle sets, made from their lines, are similar enough.
 
     A fixed number of flags keeps most lines that no pair asks for out of the
-    shuffle; the join picks the right ones.
+    shuffle; the join picks the right ones. Lines are sent as they are and cut into
+    words behind it.
     """
     wanted = cut(pairs.select(F.col("src").alias("node")).union(pairs.select("dst")).distinct())
-    flag = F.pmod(F.xxhash64("node.place", "node.tag", "node.pos"), F.lit(FLAGS))
-    up = wanted.select(flag.alias("id")).distinct().withColumn("up", F.lit("1"))
-    flags = cut(lines.sparkSession.range(FLAGS).join(up, "id", "left").agg(F.array_join(F.transform(
-        F.array_sort(F.collect_list(F.struct("id", F.coalesce("up", F.lit("0")).alias("up")))),
-        lambda x: x["up"]), "").cast("binary").alias("flags"))).scalar()
+    flags = cut(_flags(wanted)).scalar()
     asked = (lines.withColumn("node", F.struct("place", "tag", "pos"))
-             .filter(F.substring(flags, (flag + 1).cast("int"), F.lit(1)) == F.lit(b"1"))
-             .select("node", "w").join(wanted, "node", "left_semi").dropDuplicates(["node"]))
+             .filter(_up(flags))
+             .select("node", "line").join(wanted, "node", "left_semi").dropDuplicates(["node"])
+             .withColumn("w", _words()))
     sets = cut(_shingled(asked, words).select("node", "shingles"))
     both = F.size(F.array_intersect("shingles", "others"))
     return (pairs.join(sets, pairs["src"] == sets["node"]).drop("node")
@@ -95,6 +114,19 @@ def _similar(pairs: DataFrame, lines: DataFrame, words: int, percent: int) -> Da
             .select("src", "dst"))
 
 
+def _pair(high: str, low: str) -> Column:
+    """Two numbers from 0 to 2^31 - 1 as one."""
+    return F.shiftleft(F.col(high).cast("long"), 32).bitwiseOR(F.col(low).cast("long"))
+
+
+def _high(pair: str) -> Column:
+    return F.shiftright(pair, 32).cast("int")
+
+
+def _low(pair: str) -> Column:
+    return F.col(pair).bitwiseAND(F.lit((1 << 31) - 1)).cast("int")
+
+
 def removed_lines(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """(place, tag, pos) of the lines to remove from a table (place, tag, text)."""
     lines = _lines(docs)
@@ -108,9 +140,13 @@ def removed_lines(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFra
     rare = F.slice("named", 1, prefix_length(F.col("size"), percent).cast("int"))
     firsts = sets.groupBy(*_names()).agg(F.min(F.struct("place", "tag", "pos", "size", rare.alias("rare")))
                                          .alias("f"))
-    prefix = firsts.select("f.place", "f.tag", "f.pos", "f.size", F.posexplode("f.rare").alias("at", "key"))
+    # Two numbers a word while most rows are sent to learn that their key stands alone.
+    prefix = firsts.select("f.place", _pair("f.tag", "f.pos").alias("spot"), "f.size",
+                           F.posexplode("f.rare").alias("at", "key")).select(
+        "key", "place", "spot", _pair("size", "at").alias("extent"))
     listed = cut(prefix.withColumn("n", F.count("*").over(Window.partitionBy("key"))).filter("n > 1").select(
-        "key", F.struct("place", "tag", "pos").alias("node"), "size", F.col("at").alias("place")))
+        "key", F.struct("place", _high("spot").alias("tag"), _low("spot").alias("pos")).alias("node"),
+        _high("extent").alias("size"), _low("extent").alias("place")))
     listed = cut(with_marks(listed))
     near = lambda x, y: ((F.col(f"{x}.node") < F.col(f"{y}.node"))
                          & fits(f"{x}.size", f"{x}.place", f"{y}.size", f"{y}.place", percent)
