@@ -10,6 +10,7 @@ least common prefix between the places of the two rests.
 
 from __future__ import annotations
 
+import contextlib
 import os
 import tempfile
 
@@ -21,19 +22,22 @@ _LOG[1:] = np.frexp(np.arange(1, 1 << 16, dtype=np.float64))[1] - 1
 
 
 class _Columns:
-    """The columns of one round, one sequential file each."""
+    """The columns of one round, one sequential file each. A round has as many rows as the one
+    before or more, so files are written over and not made anew."""
 
-    def __init__(self, folder: str, turn: int):
-        self.paths = {c: os.path.join(folder, f"{c}.{turn % 2}") for c in _COLUMNS}
+    def __init__(self, stack: contextlib.ExitStack, folder: str, name: int):
+        self.files = {c: stack.enter_context(open(os.path.join(folder, f"{c}.{name}"), "w+b", buffering=0))
+                      for c in _COLUMNS}
 
     def write(self, parts: dict[str, list[np.ndarray]]) -> None:
         for c, kind in _COLUMNS.items():
-            with open(self.paths[c], "wb") as f:
-                for x in parts[c]:
-                    x.astype(kind, copy=False).tofile(f)
+            self.files[c].seek(0)
+            for x in parts[c]:
+                x.astype(kind, copy=False).tofile(self.files[c])
 
     def read(self, c: str) -> np.ndarray:
-        return np.fromfile(self.paths[c], dtype=_COLUMNS[c])
+        self.files[c].seek(0)
+        return np.fromfile(self.files[c], dtype=_COLUMNS[c])
 
 
 def _least_between(lcp: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
@@ -75,10 +79,11 @@ def sorted_suffixes(strings: list[bytes], cap: int) -> tuple[np.ndarray, np.ndar
     text[inside] = np.frombuffer(b"".join(strings), np.uint8).astype(np.uint16) + 1
     ends = (first + size).astype(np.int32)
     empty = {"symbol": text[ends - 1], "at": ends, "lcp": np.zeros(len(ends), np.uint8)}
-    with tempfile.TemporaryDirectory() as folder:
-        _Columns(folder, 0).write({c: [empty[c]] for c in _COLUMNS})
+    with tempfile.TemporaryDirectory() as folder, contextlib.ExitStack() as stack:
+        rounds = [_Columns(stack, folder, k) for k in range(2)]
+        rounds[0].write({c: [empty[c]] for c in _COLUMNS})
         for turn in range(1, int(size.max(initial=0)) + 1):
-            old, new = _Columns(folder, turn - 1), _Columns(folder, turn)
+            old, new = rounds[(turn - 1) % 2], rounds[turn % 2]
             symbol = old.read("symbol")
             order = np.argsort(symbol, kind="stable").astype(np.int32)      # a radix sort: one pass by symbol
             symbol = symbol[order]
@@ -90,7 +95,7 @@ def sorted_suffixes(strings: list[bytes], cap: int) -> tuple[np.ndarray, np.ndar
             rest = _least_between(old.read("lcp"), order[same - 1], order[same])
             lcp[same] = np.minimum(rest, cap - 1) + 1
             new.write({"symbol": [empty["symbol"], text[at - 1]], "at": [ends, at], "lcp": [empty["lcp"], lcp]})
-        last = _Columns(folder, int(size.max(initial=0)))
+        last = rounds[int(size.max(initial=0)) % 2]
         at, lcp = last.read("at").astype(np.int64), last.read("lcp")
     string = np.searchsorted(first, at, side="right") - 1
     return string, at - first[string], lcp

@@ -10,9 +10,10 @@ so pieces are dealt out by anchor and every repeat is found inside one collectio
 Two passes keep what is sent small. The first sends of each piece only where it is and
 its anchor: an anchor that one text alone holds cannot repeat. The second sends the bytes
 of the pieces that share their anchor. A piece that an earlier document holds whole, byte
-for byte, repeats whole; only pieces that share their anchor but differ are sorted suffix
-by suffix. A piece has at most ``LONGEST`` windows, so a round count has a fixed bound
-however long the documents are.
+for byte, repeats whole; pieces that share their anchor but differ are narrowed to the runs of
+windows that agree by hash with another document's. Runs are settled by their bytes as pieces
+are, and those that differ are sorted suffix by suffix. A piece has at most ``LONGEST``
+windows, so a round count has a fixed bound however long the documents are.
 """
 
 from __future__ import annotations
@@ -27,8 +28,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .collection_bwt import repeated
+from .common import cut
 from .common import width as partitions
-from .textkit import Texts, slices
+from .textkit import Texts, mix, slices
 
 ANCHOR = 24
 LONGEST = 27
@@ -38,6 +40,10 @@ COLLECTION_BYTES = 1 << 20
 _PACKED = (("anchor", np.uint32), ("place", np.int64), ("tag", np.int64), ("start", np.int32), ("n", np.uint8))
 _OPEN = np.dtype([("anchor", np.uint32), ("start", np.int32), ("n", np.uint8)])
 _SPAN = np.dtype([("start", np.int32), ("n", np.int32)])
+_OF_DOCUMENTS = {kind: (("place", np.int64), ("tag", np.int64), *((c, kind[c]) for c in kind.names))
+                 for kind in (_OPEN, _SPAN)}
+#: A round of narrowing that leaves more than this share of the bytes is the last one.
+_PAYS = 0.9
 LAST = (1 << 63) - 1
 
 
@@ -78,10 +84,11 @@ def _pieces(texts, width: int) -> tuple[np.ndarray, ...]:
     return doc, start, n, anchor, texts.hashes(low, low + n + width - 1), texts.checks(low, low + n + width - 1)
 
 
-def _packed(bucket: np.ndarray, columns: dict[str, np.ndarray], text=lambda rows: b"") -> pa.RecordBatch:
+def _packed(bucket: np.ndarray, columns: dict[str, np.ndarray], text=lambda rows: b"",
+            kinds=_PACKED) -> pa.RecordBatch:
     """Rows sorted by bucket, one compressed value for each bucket: the columns, then ``text``."""
     parts = _runs(bucket)
-    values = [b"".join([*(columns[c][x].astype(kind).tobytes() for c, kind in _PACKED), text(x)]) for x in parts]
+    values = [b"".join([*(columns[c][x].astype(kind).tobytes() for c, kind in kinds), text(x)]) for x in parts]
     return pa.RecordBatch.from_arrays(
         [pa.array([int(bucket[x.start]) for x in parts], pa.int64()),
          pa.array([x.stop - x.start for x in parts], pa.int64()), pa.array([len(v) for v in values], pa.int64()),
@@ -89,13 +96,13 @@ def _packed(bucket: np.ndarray, columns: dict[str, np.ndarray], text=lambda rows
         ["bucket", "count", "size", "pieces"])
 
 
-def _unpack(table: pa.Table) -> tuple[dict[str, np.ndarray], list[bytes]]:
+def _unpack(table: pa.Table, kinds=_PACKED) -> tuple[dict[str, np.ndarray], list[bytes]]:
     """The columns of all values, and the text that comes after them in each."""
-    parts: dict[str, list[np.ndarray]] = {c: [] for c, _ in _PACKED}
+    parts: dict[str, list[np.ndarray]] = {c: [] for c, _ in kinds}
     rest = []
     for value, count, size in zip(*(table.column(c).to_pylist() for c in ("pieces", "count", "size")), strict=True):
         value, at = pa.decompress(value, size, "zstd", asbytes=True), 0
-        for c, kind in _PACKED:
+        for c, kind in kinds:
             parts[c].append(np.frombuffer(value, kind, count, at))
             at += count * np.dtype(kind).itemsize
         rest.append(value[at:])
@@ -110,6 +117,23 @@ def _runs(values: np.ndarray) -> list[slice]:
     return [slice(x, y) for x, y in zip(head, [*head[1:], len(values)], strict=True)]
 
 
+def _for_documents(kind: np.dtype, buckets: int, **columns: np.ndarray) -> pa.Table:
+    """Records of ``kind`` on their way to their documents, packed by bucket of the document: a row
+    for each document and bucket of anchors would be up to a row for each record."""
+    place, tag = columns["place"], columns["tag"]
+    bucket = mix(place.view(np.uint64) ^ mix(tag.view(np.uint64))) % np.uint64(buckets)
+    order = np.lexsort((columns["start"], tag, place, bucket))
+    return pa.Table.from_batches([_packed(bucket[order], {c: x[order] for c, x in columns.items()},
+                                          kinds=_OF_DOCUMENTS[kind])])
+
+
+def _gathered(kind: np.dtype):
+    def run(table: pa.Table) -> pa.Table:
+        columns, _ = _unpack(table, _OF_DOCUMENTS[kind])
+        return _per_document(columns.pop("place"), columns.pop("tag"), kind, **columns)
+    return run
+
+
 def _per_document(place: np.ndarray, tag: np.ndarray, kind: np.dtype, **columns: np.ndarray) -> pa.Table:
     """One row per document: place, tag, found: its records of ``kind`` end to end."""
     order = np.lexsort((columns["start"], tag, place))
@@ -147,27 +171,29 @@ def _anchors(width: int, buckets: int):
     return run
 
 
-def _shared(table: pa.Table) -> pa.Table:
+def _shared(buckets: int):
     """Of one bucket's pieces those whose anchor a smaller or larger document holds too.
 
     Texts that agree in their 64-bit tag are copies: the first stands for all, the others
     go whole by their digest.
     """
-    p, _ = _unpack(table)
-    order = np.lexsort((p["place"], p["tag"], p["anchor"]))
-    p = {c: x[order] for c, x in p.items()}
-    new = np.ones(len(order), bool)
-    new[1:] = (p["anchor"][1:] != p["anchor"][:-1]) | (p["tag"][1:] != p["tag"][:-1])
-    first = p["place"][np.flatnonzero(new)][np.cumsum(new) - 1]
-    p = {c: x[p["place"] == first] for c, x in p.items()}
-    anchor, place = p["anchor"], p["place"]
-    new = np.ones(len(anchor), bool)
-    new[1:] = anchor[1:] != anchor[:-1]
-    head = np.flatnonzero(new)
-    if len(head):
-        use = (np.minimum.reduceat(place, head) < np.maximum.reduceat(place, head))[np.cumsum(new) - 1]
-        p = {c: x[use] for c, x in p.items()}
-    return _per_document(p.pop("place"), p.pop("tag"), _OPEN, **p)
+    def run(table: pa.Table) -> pa.Table:
+        p, _ = _unpack(table)
+        order = np.lexsort((p["place"], p["tag"], p["anchor"]))
+        p = {c: x[order] for c, x in p.items()}
+        new = np.ones(len(order), bool)
+        new[1:] = (p["anchor"][1:] != p["anchor"][:-1]) | (p["tag"][1:] != p["tag"][:-1])
+        first = p["place"][np.flatnonzero(new)][np.cumsum(new) - 1]
+        p = {c: x[p["place"] == first] for c, x in p.items()}
+        anchor, place = p["anchor"], p["place"]
+        new = np.ones(len(anchor), bool)
+        new[1:] = anchor[1:] != anchor[:-1]
+        head = np.flatnonzero(new)
+        if len(head):
+            use = (np.minimum.reduceat(place, head) < np.maximum.reduceat(place, head))[np.cumsum(new) - 1]
+            p = {c: x[use] for c, x in p.items()}
+        return _for_documents(_OPEN, buckets, **p)
+    return run
 
 
 def _piece_bytes(width: int, buckets: int):
@@ -176,7 +202,7 @@ def _piece_bytes(width: int, buckets: int):
         for batch in batches:
             for first, texts in slices(batch.column("text")):
                 rows = range(first, first + len(texts))
-                found = [b"".join(batch.column("found")[i].as_py()) for i in rows]
+                found = [batch.column("found")[i].as_py() for i in rows]
                 open_ = np.frombuffer(b"".join(found), _OPEN)
                 doc = np.repeat(np.arange(len(texts)), [len(x) // _OPEN.itemsize for x in found])
                 bucket = open_["anchor"] % np.uint32(buckets)
@@ -199,24 +225,59 @@ def _collections(anchor: np.ndarray, size: np.ndarray) -> list[slice]:
     return _runs((before[new] // COLLECTION_BYTES)[np.cumsum(new) - 1])
 
 
-def _may_repeat(strings: list[bytes], owner: np.ndarray, width: int) -> np.ndarray:
-    """Whether a string has ``width`` bytes that agree by hash with some of another owner's string."""
+def _may_repeat(strings: list[bytes], owner: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """string, first offset, number of offsets of the runs of ``width`` bytes that agree by hash with
+    some of another owner's string."""
     size = np.array([len(s) for s in strings], np.int64)
     windows, ends = size - width + 1, np.cumsum(size)
     string = np.repeat(np.arange(len(strings)), windows)
-    start = np.arange(len(string)) - np.repeat(np.cumsum(windows) - windows, windows) + (ends - size)[string]
+    offset = np.arange(len(string)) - np.repeat(np.cumsum(windows) - windows, windows)
+    start = offset + (ends - size)[string]
     texts = Texts(np.frombuffer(b"".join(strings), np.uint8), ends - size, ends)
     h = texts.hashes(start, start + width)
     order = np.argsort(h)
-    h, string = h[order], string[order]
     new = np.ones(len(h), bool)
-    new[1:] = h[1:] != h[:-1]
-    head = np.flatnonzero(new)
-    hit = (np.minimum.reduceat(owner[string], head) < np.maximum.reduceat(owner[string], head))[np.cumsum(new) - 1]
-    return np.bincount(string[hit], minlength=len(strings)) > 0
+    new[1:] = h[order][1:] != h[order][:-1]
+    head, whose = np.flatnonzero(new), owner[string[order]]
+    hit = np.zeros(len(h) + 1, bool)          # the last one ends the last run
+    hit[order] = (np.minimum.reduceat(whose, head) < np.maximum.reduceat(whose, head))[np.cumsum(new) - 1]
+    first = np.flatnonzero(hit[:-1] & np.concatenate([[True], ~hit[:-2] | (string[1:] != string[:-1])]))
+    last = np.flatnonzero(hit[:-1] & np.concatenate([~hit[1:-1] | (string[1:] != string[:-1]), [True]]))
+    return string[first], offset[first], last - first + 1
+
+
+def _contents(strings: list[bytes]) -> np.ndarray:
+    """A number for each string, the same for equal ones."""
+    return pa.array(strings, pa.large_binary()).dictionary_encode().indices.to_numpy()
+
 
+def _narrowed(strings: list[bytes], owner: np.ndarray, width: int) -> tuple[tuple[np.ndarray, ...], tuple, list[bytes]]:
+    """What of the strings repeats in a smaller owner's string, as far as equal bytes tell, and what
+    the transform has to tell: twice (string, first offset, number of offsets), and the latter's bytes.
 
-def _repeats(width: int):
+    Windows without a hit repeat nowhere. A run of the others that equals a smaller owner's
+    repeats whole; the least owner's stays, so no window loses its earliest place.
+    """
+    string, offset = np.arange(len(strings)), np.zeros(len(strings), np.int64)
+    settled = []
+    while True:
+        before = sum(map(len, strings))
+        run, first, n = _may_repeat(strings, owner, width) if strings else (string, offset, offset)
+        strings = [strings[i][a:a + c + width - 1] for i, a, c in zip(run.tolist(), first.tolist(), n.tolist(), strict=True)]
+        string, offset, owner = string[run], offset[run] + first, owner[run]
+        content = _contents(strings)
+        least = np.full(len(strings), np.iinfo(np.int64).max)
+        np.minimum.at(least, content, owner)
+        whole = owner > least[content]
+        settled.append((string[whole], offset[whole], n[whole]))
+        left = np.flatnonzero(~whole)
+        strings = [strings[i] for i in left.tolist()]
+        string, offset, n, owner = string[left], offset[left], n[left], owner[left]
+        if not strings or sum(map(len, strings)) > _PAYS * before:
+            return tuple(np.concatenate(x) for x in zip(*settled, strict=True)), (string, offset, n), strings
+
+
+def _repeats(width: int, buckets: int):
     """Per document the windows of one bucket's pieces that an earlier document holds too."""
     def run(table: pa.Table) -> pa.Table:
         p, rest = _unpack(table)
@@ -232,24 +293,33 @@ def _repeats(width: int):
         place = p["place"][order]
         whole = place > place[np.flatnonzero(of_piece)][np.cumsum(of_piece) - 1]
         kinds = np.add.reduceat(of_piece.astype(np.int64), np.flatnonzero(of_anchor))[np.cumsum(of_anchor) - 1]
-        left = ~whole & (kinds > 1)
-        open_ = order[left]
-        strings = lambda pieces: [data[ends[i]:ends[i + 1]] for i in pieces.tolist()]
+        open_ = order[~whole & (kinds > 1)]
+        rows, start, n = [order[whole]], [p["start"][order[whole]]], [p["n"][order[whole]].astype(np.int32)]
+
+        def found(piece: np.ndarray, offset: np.ndarray, count: np.ndarray) -> None:
+            rows.append(piece)
+            start.append(p["start"][piece] + offset.astype(np.int32))
+            n.append(count.astype(np.int32))
+
         # Most pieces share no more than their anchor: hashes of windows leave those out, and
         # the transform says what the others share.
-        open_ = np.concatenate([open_[:0], *(open_[x][_may_repeat(strings(open_[x]), p["place"][open_[x]], width)]
-                                             for x in _collections(p["anchor"][open_], size[open_]))])
-        rows, start, n = [order[whole]], [p["start"][order[whole]]], [p["n"][order[whole]].astype(np.int32)]
+        left, strings = [(open_[:0], open_[:0])], []
         for x in _collections(p["anchor"][open_], size[open_]):
             mine = open_[x]
-            found = repeated(strings(mine), p["place"][mine], width)
-            if found:
-                string, offset, count = (np.array(c) for c in zip(*found, strict=True))
-                rows.append(mine[string])
-                start.append(p["start"][mine[string]] + offset.astype(np.int32))
-                n.append(count.astype(np.int32))
+            settled, (string, offset, _), parts = _narrowed(
+                [data[ends[i]:ends[i + 1]] for i in mine.tolist()], p["place"][mine], width)
+            found(mine[settled[0]], *settled[1:])
+            left.append((mine[string], offset))
+            strings += parts
+        piece, offset = (np.concatenate(x) for x in zip(*left, strict=True))
+        for x in _collections(p["anchor"][piece], np.array([len(s) for s in strings], np.int64)):
+            hits = repeated(strings[x], p["place"][piece[x]], width)
+            if hits:
+                string, first, count = (np.array(c) for c in zip(*hits, strict=True))
+                found(piece[x][string], offset[x][string] + first, count)
         at = np.concatenate(rows)
-        return _per_document(p["place"][at], p["tag"][at], _SPAN, start=np.concatenate(start), n=np.concatenate(n))
+        return _for_documents(_SPAN, buckets, place=p["place"][at], tag=p["tag"][at],
+                              start=np.concatenate(start), n=np.concatenate(n))
     return run
 
 
@@ -263,7 +333,7 @@ def _remove(width: int):
             for i in range(batch.num_rows):
                 data = (batch.column("text")[i].as_py() or "").encode()
                 spans = [(a, a + n + width - 1) for a, n in
-                         np.frombuffer(b"".join(batch.column("found")[i].as_py() or []), _SPAN).tolist()]
+                         np.frombuffer(batch.column("found")[i].as_py() or b"", _SPAN).tolist()]
                 if batch.column("copy")[i].as_py() and len(data) >= width:
                     spans = [(0, len(data))]
                 merged: list[list[int]] = []
@@ -308,13 +378,14 @@ def substring_dedup(docs: DataFrame, width: int = 50, id_col: str = "doc_id",
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("place"),
                        F.xxhash64(text).alias("tag"), text.alias("text"))
     packed, found = "bucket long, count long, size long, pieces binary", "place long, tag long, found binary"
-    per_document = lambda x: x.groupBy("place", "tag").agg(F.collect_list("found").alias("found"))
-    shared = per_document(rows.mapInArrow(_anchors(width, buckets), packed)
-                          .groupBy("bucket").applyInArrow(_shared, found))
+    gathered = lambda x, kind: x.groupBy("bucket").applyInArrow(_gathered(kind), found)
+    # Cut, so that the anchors are gone before the bytes are sent.
+    shared = cut(gathered(rows.mapInArrow(_anchors(width, buckets), packed)
+                          .groupBy("bucket").applyInArrow(_shared(buckets), packed), _OPEN))
     # A row that stands twice sends its pieces twice, which changes nothing.
-    spans = per_document(rows.join(shared, ["place", "tag"]).select("place", "tag", "text", "found")
-                         .mapInArrow(_piece_bytes(width, buckets), packed)
-                         .groupBy("bucket").applyInArrow(_repeats(width), found))
+    spans = gathered(rows.join(shared, ["place", "tag"]).select("place", "tag", "text", "found")
+                     .mapInArrow(_piece_bytes(width, buckets), packed)
+                     .groupBy("bucket").applyInArrow(_repeats(width, buckets), packed), _SPAN)
     copies = rows.select("place", "tag", F.md5("text").alias("digest"))
     firsts = copies.groupBy("digest").agg(F.min("place").alias("first"))
     copies = copies.distinct().join(firsts, "digest").filter("place > first").select(
