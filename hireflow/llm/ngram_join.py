@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from .common import cut, flag_table, row_key, width
 from .components import components
 from .prefix_filter import WORDS, fits, may_share_enough, share_enough, with_marks
-from .textkit import by_rarity, rarity_classes, slices, word_shingles
+from .textkit import SLICE_BYTES, by_rarity, rarity_classes, slices, word_shingles
 
 BUCKETS = 1 << 24            # hash buckets that shingles are counted in, a byte each in the tasks
 BLOCK = 1 << 16              # buckets whose counts travel as one value
@@ -43,6 +43,7 @@ FLAGS = 1 << 22              # flags that tell tasks which texts may be asked fo
 SUBSET = 2
 LARGEST_BOUNDARY = 1000      # sizes that the search for the boundary looks at
 PARITY = 8                   # 64-bit words of a set's parity map
+TEXT = SLICE_BYTES // 4      # text handled at once beside a table of BUCKETS
 SKETCH = 1024                # least hashes kept to estimate how many distinct shingles there are
 
 
@@ -78,7 +79,7 @@ def _may_link(x: str, y: str, percent: int) -> Column:
 def _profile(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, texts in slices(batch.column("text")):
+            for first, texts in slices(batch.column("text"), TEXT):
                 doc, key = word_shingles(texts, words)
                 size, a, b = _set_ids(doc, key, len(texts))
                 odd = _parity(doc, key, len(texts))
@@ -95,7 +96,7 @@ def _bucket_counts(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count, least = np.zeros(BUCKETS, np.uint32), np.zeros(0, np.uint64)
         for batch in batches:
-            for _, texts in slices(batch.column("text")):
+            for _, texts in slices(batch.column("text"), TEXT):
                 _, key = word_shingles(texts, words)
                 np.add.at(count, (key & np.uint64(BUCKETS - 1)).astype(np.int64), 1)
                 key = np.unique(key)
@@ -150,7 +151,7 @@ def _keys(words: int, percent: int, bound: int, rarity):
         table = rarity.value
         seen: set[tuple[int, int]] = set()     # sets of this task, so that copies are sent once
         for batch in batches:
-            for _, texts in slices(batch.column("text")):
+            for _, texts in slices(batch.column("text"), TEXT):
                 doc, key = word_shingles(texts, words)
                 size, a, b = _set_ids(doc, key, len(texts))
                 doc, key = by_rarity(doc, key, table)
@@ -188,7 +189,7 @@ def _texts(words: int, flags):
         table = flags.value
         seen: set[tuple[int, int]] = set()
         for batch in batches:
-            for first, texts in slices(batch.column("text")):
+            for first, texts in slices(batch.column("text"), TEXT):
                 size, a, b = _set_ids(*word_shingles(texts, words), len(texts))
                 up = table[a & (FLAGS - 1)] & (size > 0)
                 new = [i for i in np.flatnonzero(up) if (name := (int(a[i]), int(b[i]))) not in seen
